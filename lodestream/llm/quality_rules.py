@@ -103,7 +103,7 @@ def histograms(text: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.
     w = low.words()
     h = w.hashes()
     width = max(len(v.split()) for v in COMMON_WORDS.values()) + 1
-    words = np.zeros((t.n, width), np.int64)
+    words = np.zeros((low.n, width), np.int64)
     of = np.array([x if x in COMMON_WORDS else "" for x in langs], object)
     for lang, (keys, place) in word_sets().items():
         rows = of == lang
@@ -111,7 +111,7 @@ def histograms(text: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.
             inside = rows[w.doc]
             i = np.minimum(np.searchsorted(keys, h[inside]), len(keys) - 1)
             slot = np.where(keys[i] == h[inside], place[i], width - 1)
-            words += np.bincount(w.doc[inside] * width + slot, minlength=t.n * width).reshape(t.n, width)
+            words += np.bincount(w.doc[inside] * width + slot, minlength=low.n * width).reshape(low.n, width)
     return chars, words
 
 
