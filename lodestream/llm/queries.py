@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .ngram_jaccard import ngram_jaccard_join
 from .quality_rules import quality_rules
 
 
@@ -13,7 +14,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return members.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 QUERIES = {
+    "op10_ngram_jaccard": op10_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
 }
 
