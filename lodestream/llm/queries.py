@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .line_dedup import line_dedup
+from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_rules import quality_rules
+from .sentencepiece_lattice import sentencepiece_encode
+
+PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +26,26 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: lines in all, lines removed and their places, and what is left as a digest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, kept = line_dedup(docs.withColumn("n_lines", F.size(F.split("text", "\n"))))
+    return kept.select("doc_id", "n_lines", F.length("text").alias("n_chars_kept"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mix_sources(docs).select("mix_position", "mix_epoch", "doc_id", "source")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_encode(table(spark, sf_dir, "documents"), PIECES)
+
+
 QUERIES = {
+    "op3_line_dedup": op3_line_dedup,
+    "op7_mixing": op7_mixing,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
 }
