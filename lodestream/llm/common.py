@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPACES = (0x20, *range(0x09, 0x0E))
 _MASK = (1 << 64) - 1
@@ -163,4 +164,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestream/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what is written now
     return spark.read.schema(df.schema).parquet(path)
+
+
+BITMAP = 33_554_393  # bits (4 MB as packed words), a prime: ids that follow one another spread evenly
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of the column id modulo BITMAP, of fixed size. It lets through every id in it and, while it is sparse, few others."""
+    h = F.pmod(F.col("id"), F.lit(BITMAP))
+    words = ids.select(h.alias("h")).distinct().select(F.floor(F.col("h") / 32).alias("w"), F.expr("shiftleft(1L, int(h % 32))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most BITMAP / 32 rows
+    out = np.zeros(BITMAP // 32 + 1, np.int64)
+    out[words.w.to_numpy(np.int64)] = words.b.to_numpy(np.int64)
+    return out

@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_rules import quality_rules
 from .sentencepiece_lattice import sentencepiece_encode
+from .substring_dedup import substring_dedup
 
 PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -42,7 +43,13 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_encode(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = substring_dedup(table(spark, sf_dir, "documents"))
+    return out
+
+
 QUERIES = {
+    "op6_substring_dedup": op6_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op7_mixing": op7_mixing,
     "op9_sentencepiece": op9_sentencepiece,
