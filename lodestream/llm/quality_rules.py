@@ -155,42 +155,49 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     return out
 
 
-def quality_rules(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-    min_words: int = 10,
-    max_repeat_percent: int = 20,
-    max_char_distance: float = 0.25,
-    max_word_distance: float = 0.32,
-    min_chars: int = 200,
-    min_hist_words: int = 120,
-) -> DataFrame:
-    """One row per document: the base measures, both distances (null where not judged), base_failed and kept."""
-    ref = references(docs, text_col, lang_col)
+def judged(b: pa.RecordBatch, text: str, lang: str, ref: dict, *, min_words: int, max_repeat_percent: int, max_char_distance: float, max_word_distance: float, min_chars: int, min_hist_words: int) -> dict[str, np.ndarray | pa.Array]:
+    """The columns of quality_rules for one batch."""
     width = max(len(v.split()) for v in COMMON_WORDS.values()) + 1
+    m = measure(b.column(text))
+    langs = b.column(lang).to_pylist()
+    chars, words = histograms(b.column(text), langs)
+    rc, rw = np.zeros((b.num_rows, N_CLASSES)), np.zeros((b.num_rows, width))
+    known = np.array([x in ref for x in langs])
+    for i in np.flatnonzero(known):
+        rc[i], rw[i] = ref[langs[i]]
+    cd, wd = js_distance(chars, rc), js_distance(words, rw)
+    by_char, by_word = known & (chars.sum(1) >= min_chars), known & (m["n_words"] >= min_hist_words)
+    failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
+    odd = (by_char & (cd > max_char_distance)) | (by_word & (wd > max_word_distance))
+    return m | {"base_failed": failed, "kept": ~failed & ~odd, "char_distance": pa.array(cd, mask=~by_char), "word_distance": pa.array(wd, mask=~by_word)}
+
+
+DEFAULTS = {"min_words": 10, "max_repeat_percent": 20, "max_char_distance": 0.25, "max_word_distance": 0.32, "min_chars": 200, "min_hist_words": 120}
+
+
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits: float) -> DataFrame:
+    """One row per document: the base measures, both distances (null where not judged), base_failed and kept. limits: see DEFAULTS."""
+    limits = DEFAULTS | limits
+    ref = references(docs, text_col, lang_col)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            m = measure(b.column(1))
-            langs = b.column(2).to_pylist()
-            chars, words = histograms(b.column(1), langs)
-            rc, rw = np.zeros((b.num_rows, N_CLASSES)), np.zeros((b.num_rows, width))
-            known = np.array([x in ref for x in langs])
-            for i in np.flatnonzero(known):
-                rc[i], rw[i] = ref[langs[i]]
-            cd, wd = js_distance(chars, rc), js_distance(words, rw)
-            by_char, by_word = known & (chars.sum(1) >= min_chars), known & (m["n_words"] >= min_hist_words)
-            failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
-            odd = (by_char & (cd > max_char_distance)) | (by_word & (wd > max_word_distance))
-            cols = {id_col: b.column(0)} | m | {"base_failed": failed, "kept": ~failed & ~odd, "char_distance": pa.array(cd, mask=~by_char), "word_distance": pa.array(wd, mask=~by_word)}
-            yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in cols.items()})
+            if b.num_rows:
+                cols = {id_col: b.column(0)} | judged(b, "_text", "_lang", ref, **limits)
+                yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in cols.items()})
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, " + ", ".join(f"{c} long" for c in COLUMNS) + ", base_failed boolean, kept boolean, char_distance double, word_distance double"
-    small_batches(docs.sparkSession)
-    return docs.select(id_col, text_col, lang_col).mapInArrow(judge, schema)
+    return docs.select(id_col, F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).mapInArrow(judge, schema)
+
+
+def kept_documents(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", **limits: float) -> DataFrame:
+    """The rows of docs, all columns as they are, that the rules keep: decided where the text is read, without a join."""
+    limits = DEFAULTS | limits
+    ref = references(docs, text_col, lang_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(judged(b, text_col, lang_col, ref, **limits)["kept"])) if b.num_rows else b
+
+    return docs.mapInArrow(keep, docs.schema)
