@@ -11,9 +11,11 @@ from .common import table
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
+from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .sentencepiece_lattice import sentencepiece_encode
 from .substring_dedup import substring_dedup
+from .url_templates import url_templates
 
 PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
@@ -48,7 +50,17 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op5_url_templates": op5_url_templates,
     "op6_substring_dedup": op6_substring_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op7_mixing": op7_mixing,
