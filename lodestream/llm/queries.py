@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .embedding_dedup import embedding_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
@@ -15,8 +16,10 @@ from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .sentencepiece_lattice import sentencepiece_encode
 from .substring_dedup import substring_dedup
+from .token_counts import separator_scan, tokenised
 from .url_templates import url_templates
 
+RANKS = os.environ.get("TOKEN_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -58,7 +61,19 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates(table(spark, sf_dir, "pages"))
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted by separator in flat files of the whole corpus."""
+    counts = separator_scan(tokenised(table(spark, sf_dir, "documents"), RANKS), extra="ids")
+    return counts.select(F.explode(F.arrays_zip(F.col("extra").alias("doc_id"), F.col("counts").alias("n_tokens"))).alias("x")).select("x.doc_id", "x.n_tokens")
+
+
 QUERIES = {
+    "op1_embedding_dedup": op1_embedding_dedup,
+    "op8_token_counts": op8_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
     "op5_url_templates": op5_url_templates,
     "op6_substring_dedup": op6_substring_dedup,
