@@ -1,6 +1,9 @@
-"""The named queries of the retrieval engine and their DuckDB twins."""
+"""The named queries of the retrieval engine and, for each that SQL can express, its DuckDB twin."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from .plans import registry
+from .plans import retrieval, text_ops  # noqa: F401  their queries register themselves
+
+QUERIES = registry.QUERIES
+ORACLE = registry.ORACLE
