@@ -85,13 +85,13 @@ def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
 
 def sentences(text: Column, min_length: int = 0) -> Column:
     """Split after . ! ? and white space, trimmed; shorter ones dropped."""
-    parts = F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), F.trim)
+    parts = F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda s: F.trim(s))
     return F.filter(parts, lambda s: (s != "") & (F.length(s) >= min_length))
 
 
 def sentences_before_capital(text: Column) -> Column:
     """Split only where the next sentence begins with an ASCII capital."""
-    return F.filter(F.transform(F.split(F.trim(text), r"(?U)(?<=[.!?])\s+(?=[A-Z])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.trim(text), r"(?U)(?<=[.!?])\s+(?=[A-Z])"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def capitalise(text: Column) -> Column:

@@ -1,15 +1,233 @@
-"""Queries over texts: projections, hashes, chunkers."""
+"""Queries over texts: projections, hashes, duplicates, chunkers, compression, graph extraction."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import bm25 as B
+from ..operators import chunking as C
+from ..operators import context as X
+from ..operators import dedup as D
+from ..operators import diversity as V
+from ..operators import graph as G
+from ..operators.embedding import hash_vector
 from .registry import query, table
+from .retrieval import asked, chunks
 
+class _Sql(str):
+    """SQL with {0} for a column; other braces stand for themselves."""
 
-@query("document_profile", r"""
-select doc_id, sha256(text) as content_sha256, length(text)::int as char_count, len(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda t: t <> ''))::int as word_count, greatest(1, length(text) // 4)::bigint as token_estimate from documents""")
+    def format(self, column: str) -> str:
+        return self.replace("{0}", column)
+
+
+_WORDS = _Sql(r"list_filter(regexp_split_to_array({0}, '[\s\p{Z}]+'), lambda t: t <> '')")
+_SPACED = _Sql(r"trim(regexp_replace({0}, '[\s\p{Z}]+', ' ', 'g'))")
+_LOOSE = _Sql(_SPACED.format(r"regexp_replace(lower({0}), '[^\p{L}\p{N}_\s\p{Z}]', '', 'g')"))
+
+@query("document_profile", f"""
+select doc_id, sha256(text) as content_sha256, length(text)::int as char_count, len({_WORDS.format('text')})::int as word_count, greatest(1, length(text) // 4)::bigint as token_estimate from documents""")
 def document_profile(spark, d):
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.sha2(t, 256).alias("content_sha256"), F.length(t).alias("char_count"), F.size(T.split_words(t)).alias("word_count"), T.token_estimate(t).alias("token_estimate"))
+
+
+_HASHED = f"select *, sha256(lower({_SPACED.format('text')})) as content_hash from documents"
+
+
+@query("dedup_first_seen", f"select min(doc_id) as doc_id, content_hash from ({_HASHED}) group by content_hash")
+def dedup_first_seen(spark, d):
+    return D.first_seen(table(spark, d, "documents")).select("doc_id", "content_hash")
+
+
+@query("dedup_stats", f"with h as (select content_hash, count(*) as c from ({_HASHED}) group by 1) select sum(c)::bigint as total_seen, sum(c - 1)::bigint as duplicates_skipped, count(*) as unique_loaded from h")
+def dedup_stats(spark, d):
+    return D.registry_stats(table(spark, d, "documents"))
+
+
+@query("dedup_is_duplicate", f"select doc_id from ({_HASHED}) where content_hash in (select content_hash from ({_HASHED}) where source = 'src0')")
+def dedup_is_duplicate(spark, d):
+    docs = table(spark, d, "documents")
+    registry = docs.where("source = 'src0'").select(T.content_hash(F.col("text")).alias("content_hash"))
+    return D.is_duplicate(docs, registry).select("doc_id")
+
+
+@query("dedup_exact_by_source", f"""
+with r as (select source, doc_id, text, row_number() over (partition by source order by doc_id)::int as rank from documents)
+select source as query_id, doc_id as chunk_id, rank, min(rank) over (partition by source, md5({_LOOSE.format('text')})) as canonical_rank from r""")
+def dedup_exact_by_source(spark, d):
+    from pyspark.sql import Window
+
+    docs = table(spark, d, "documents")
+    ranked = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"))
+    return D.exact_groups(ranked).select("query_id", "chunk_id", "rank", "canonical_rank")
+
+
+_GRAMS = f"""
+with t as (select item_id, {_LOOSE.format('text')} as t from benchmark),
+g as (select item_id, case when length(t) < 3 then [t] else list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) end as grams from t where t <> '')
+"""
+
+
+@query("simhash", _GRAMS + """, m as (select item_id, md5(unnest(grams)) as m from g),
+h as (select item_id, ('0x' || substr(m, 17, 8))::bigint as hi, ('0x' || substr(m, 25, 8))::bigint as lo from m),
+v as (select item_id, b, sum(case when (hi >> b::bigint) & 1 = 1 then 1 else -1 end) as vh, sum(case when (lo >> b::bigint) & 1 = 1 then 1 else -1 end) as vl from h, range(0, 32) r(b) group by item_id, b)
+select item_id, sum(case when vh > 0 then 1::bigint << b else 0 end)::bigint as hi, sum(case when vl > 0 then 1::bigint << b else 0 end)::bigint as lo from v group by item_id""")
+def simhash(spark, d):
+    return D.simhash_rows(table(spark, d, "benchmark"), key="item_id")
+
+
+@query("minhash", _GRAMS + """
+select item_id, i::int as i, list_min(list_transform(grams, lambda z: ('0x' || substr(md5(unhex(lpad(printf('%x', i), 2, '0') || '000000') || encode(z)), 1, 8))::bigint)) as x from g, range(0, 8) r(i)""")
+def minhash(spark, d):
+    q = table(spark, d, "benchmark").select("item_id", T.char_shingles(T.loose(F.col("text")), 3).alias("grams")).where(F.size("grams") > 0)
+    return q.select("item_id", F.posexplode(D.minhash(F.col("grams"), 8)).alias("i", "x"))
+
+
+def _ranked(spark, d, k=10):
+    c, q = chunks(spark, d), asked(spark, d)
+    return B.bm25_top_k(c, q, k).join(c.select("chunk_id", "content"), "chunk_id").join(q, "query_id")
+
+
+@query("dedup_simhash_results")
+def dedup_simhash_results(spark, d):
+    r = _ranked(spark, d)
+    h = D.simhash_rows(r.select("chunk_id", "content").distinct(), "content", "chunk_id")
+    return D.greedy_by_hamming(r.join(h, "chunk_id"))
+
+
+@query("dedup_minhash_results")
+def dedup_minhash_results(spark, d):
+    r = _ranked(spark, d, 5)
+    s = D.minhash_rows(r.select("chunk_id", "content").distinct(), "content", "chunk_id", 32)
+    return D.greedy_by_minhash(r.join(s, "chunk_id"))
+
+
+def _with_vectors(spark, d):
+    v = F.col("content")
+    return _ranked(spark, d).withColumn("embedding", hash_vector(v, 16)).withColumn("vector", hash_vector(F.col("query"), 16))
+
+
+@query("mmr_select")
+def mmr_select(spark, d):
+    return V.mmr(_with_vectors(spark, d), 5).withColumn("score", F.round("score", 6))
+
+
+@query("greedy_diversify")
+def greedy_diversify(spark, d):
+    return V.greedy_diverse(_with_vectors(spark, d), 0.3)
+
+
+@query("chunk_fixed", r"""
+with s as (select doc_id, text, unnest(range(0, length(text), 200)) as p from documents where length(text) > 0),
+k as (select doc_id, p::int as start_char, least(p + 256, length(text))::int as end_char, substr(text, p + 1, 256) as content from s where not regexp_full_match(substr(text, p + 1, 256), '[\s\p{Z}]*'))
+select doc_id || '#' || (row_number() over (partition by doc_id order by start_char) - 1) as chunk_id, doc_id as document_id, (row_number() over (partition by doc_id order by start_char) - 1)::int as index, start_char, end_char, content from k""")
+def chunk_fixed(spark, d):
+    return C.fixed_chunks(table(spark, d, "documents"), 256, 56)
+
+
+@query("chunk_recursive")
+def chunk_recursive(spark, d):
+    return C.recursive_chunks(table(spark, d, "documents"))
+
+
+@query("chunk_sentence")
+def chunk_sentence(spark, d):
+    return C.sentence_chunks(table(spark, d, "documents"))
+
+
+@query("chunk_semantic")
+def chunk_semantic(spark, d):
+    return C.semantic_chunks(table(spark, d, "documents"))
+
+
+@query("sentences", r"""
+with s as (select item_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\p{Z}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '' and length(x) >= 5) as s from benchmark)
+select item_id, i::int as i, s[i] as sentence from s, range(1, 1000) r(i) where i <= len(s)""")
+def sentences(spark, d):
+    return table(spark, d, "benchmark").select("item_id", F.posexplode(T.sentences(F.col("text"), 5)).alias("i", "sentence")).withColumn("i", F.col("i") + 1)
+
+
+@query("word_shingle_jaccard", f"""
+with w as (select item_id, {_WORDS.format('text')} as w from benchmark),
+g as (select item_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w where len(w) >= 2)
+select a.item_id, round(len(list_intersect(a.g, b.g))::double / len(list_distinct(list_concat(a.g, b.g))), 6) as jaccard from g a join g b on b.item_id = a.item_id + 1""")
+def word_shingle_jaccard(spark, d):
+    g = table(spark, d, "benchmark").where(F.size(T.split_words(F.col("text"))) >= 2).select("item_id", T.word_shingles(F.col("text")).alias("g"))
+    p = g.join(g.select((F.col("item_id") - 1).alias("item_id"), F.col("g").alias("h")), "item_id")
+    return p.select("item_id", F.round(T.jaccard(F.col("g"), F.col("h")), 6).alias("jaccard"))
+
+
+@query("compress_sentences")
+def compress_sentences(spark, d):
+    return X.sentence_compressed(_ranked(spark, d, 5)).select("query_id", "chunk_id", "compressed", F.round("ratio", 6).alias("ratio"), F.round("relevance", 6).alias("relevance"))
+
+
+@query("compress_keywords")
+def compress_keywords(spark, d):
+    return X.keyword_compressed(_ranked(spark, d, 5)).select("query_id", "chunk_id", "compressed", F.round("ratio", 6).alias("ratio"), F.round("relevance", 6).alias("relevance"))
+
+
+@query("explain_results")
+def explain_results(spark, d):
+    t = X.term_overlap(_ranked(spark, d, 5))
+    return t.select("query_id", "chunk_id", "rank", "score", F.array_join("matched_terms", ",").alias("matched_terms"), F.round("overlap", 6).alias("overlap"), X.explanation().alias("summary"))
+
+
+@query("adaptive_depth")
+def adaptive_depth(spark, d):
+    return X.adaptive(_ranked(spark, d, 20), asked(spark, d))
+
+
+# the graph of nations and regions, where every entity is known
+def _nations(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rel = n.select(F.col("n_name").alias("subject"), F.lit("PART_OF").alias("predicate"), F.col("r_name").alias("obj"), F.lit(1.0).alias("weight"), F.col("n_nationkey").alias("doc_id"))
+    return G.relations(rel)
+
+
+_EDGES = "select lower(n_name) as u, lower(r_name) as v from nation join region on n_regionkey = r_regionkey"
+
+
+@query("graph_neighbours", f"""
+with recursive e as ({_EDGES}), b as (select u, v from e union select v, u from e),
+w as (select lower(n_name) as start, lower(n_name) as node, 0 as hops from nation union all select w.start, b.v, w.hops + 1 from w join b on b.u = w.node where w.hops < 2)
+select start, node, min(hops)::int as hops from w where node <> start group by start, node""")
+def graph_neighbours(spark, d):
+    return G.neighbours(_nations(spark, d), table(spark, d, "nation").select(F.col("n_name").alias("start")), 2)
+
+
+@query("graph_relations", "select n_name as subject, 'PART_OF' as predicate, r_name as obj, 1.0::double as weight, 1 as docs from nation join region on n_regionkey = r_regionkey")
+def graph_relations(spark, d):
+    return _nations(spark, d).select("subject", "predicate", "obj", "weight", F.size("doc_ids").alias("docs"))
+
+
+@query("graph_subgraph", "select n_name as subject, r_name as obj from nation join region on n_regionkey = r_regionkey where r_regionkey <= 1 and n_nationkey % 2 = 0")
+def graph_subgraph(spark, d):
+    names = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name")).union(table(spark, d, "region").where("r_regionkey <= 1").select("r_name"))
+    ent = names.select(F.lower("name").alias("key"))
+    return G.subgraph(ent, _nations(spark, d), names)[1].select("subject", "obj")
+
+
+@query("graph_entities", r"""
+with m as (select doc_id, unnest(regexp_extract_all(text, '\b([A-Z]{2,8}s?)\b', 1)) as name from documents)
+select lower(name) as key, count(distinct doc_id)::int as docs from m group by 1""")
+def graph_entities(spark, d):
+    m = G.mentions(table(spark, d, "documents")).where("type = 'ACRONYM'")
+    return G.entities(m).select("key", F.size("doc_ids").alias("docs"))
+
+
+@query("graph_stated_relations")
+def graph_stated_relations(spark, d):
+    c = table(spark, d, "conversations").select(F.concat_ws("#", "conv_id", "turn").alias("doc_id"), "text")
+    return G.relations(G.stated_relations(c, G.mentions(c))).select("subject", "predicate", "obj", "weight", F.size("doc_ids").alias("docs"))
+
+
+@query("graph_expanded_queries")
+def graph_expanded_queries(spark, d):
+    docs = table(spark, d, "documents")
+    m = G.mentions(docs)
+    rel = G.relations(G.stated_relations(docs, m))
+    q = G.expanded_queries(asked(spark, d), G.entities(m), rel)
+    return q.select("query_id", F.array_join("graph_entities", ",").alias("graph_entities"), "expanded")

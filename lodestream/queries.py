@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .plans import registry
-from .plans import retrieval, text_ops  # noqa: F401  their queries register themselves
+from .plans import dialogue, rewriting, retrieval, stores, text_ops  # noqa: F401  their queries register themselves
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE
