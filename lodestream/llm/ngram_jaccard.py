@@ -17,7 +17,7 @@ near copies is expanded into all its pairs.
 
 Defined results: null, empty or blank text has an empty set, links with nothing and is its own component. A text of fewer words than
 the shingle length has its whole sequence as one shingle. Equal texts are one class. Extra columns are ignored; an empty table gives
-an empty result. Ties: the smallest id names a class and a component. Ids must be distinct integers.
+an empty result. Ties: the smallest id names a class and a component. Ids are integers; rows with a null id are left out, rows that repeat one are each returned.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, checkpoint, mix64, signed, small_batches
+from .common import BITMAP, Texts, bitmap, checkpoint, mix64, signed, small_batches
 from .components import components
 
 BAND = 4  # a band holds sizes of one to BAND / threshold times its least
@@ -80,6 +80,24 @@ def sketches(g: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(len(off) - 1, bits), axis=1, bitorder="little").view(np.int64)
 
 
+def long_sketches(g: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Parity sketches of at least a bit a shingle; a power of two times 64 bits, so that a longer one folds onto a shorter by XOR."""
+    h, out = mix64(g ^ np.uint64(0x7FB5D329728EA185)), []
+    for a, b in zip(off[:-1], off[1:]):
+        bits = 64
+        while bits < b - a:
+            bits *= 2
+        out.append(np.packbits((np.bincount((h[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Hamming distance of two long sketches: at most the size of the sets' symmetric difference."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    n = min(len(a), len(b))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, n), 0) ^ np.bitwise_xor.reduce(b.reshape(-1, n), 0)).sum())
+
+
 def emitted(g: np.ndarray, hot: np.ndarray, threshold: Fraction) -> np.ndarray:
     """The keys of one set: those of its first d + 1 parts that hold anything, in each band that it belongs to."""
     n = len(g)
@@ -124,7 +142,7 @@ def ngram_jaccard_join(
     spark = docs.sparkSession
     threshold = Fraction(threshold)
     small_batches(spark)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,7 +152,7 @@ def ngram_jaccard_join(
             s1, s2 = set_ids(g, off)
             sk = sketches(g, off)
             n = b.num_rows
-            cols = {"doc_id": b.column(0), "n": np.diff(off).astype(np.int64), "sid": s1, "sid2": s2} | {f"s{i}": sk[:, i] for i in range(SKETCH_WORDS)}
+            cols = {"doc_id": b.column(0), "n": np.diff(off).astype(np.int64), "sid": s1, "sid2": s2} | {f"s{i}": sk[:, i] for i in range(SKETCH_WORDS)} | {"sk": pa.array(long_sketches(g, off), pa.binary())}
             yield pa.RecordBatch.from_pydict({c: v if isinstance(v, pa.Array) else pa.array(np.ascontiguousarray(v)) for c, v in cols.items()})
             # shingles that many of a batch's distinct sets share: same schema, doc_id null
             _, first = np.unique(s1, return_index=True)
@@ -143,16 +161,16 @@ def ngram_jaccard_join(
             often = c >= max(4, HOT_SHARE * n)
             if often.any():
                 zero = np.zeros(int(often.sum()), np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(zero), pa.int64()), "n": pa.array(c[often].astype(np.int64)), "sid": pa.array(signed(v[often])), "sid2": pa.array(zero)} | {f"s{i}": pa.array(zero) for i in range(SKETCH_WORDS)})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(zero), pa.int64()), "n": pa.array(c[often].astype(np.int64)), "sid": pa.array(signed(v[often])), "sid2": pa.array(zero)} | {f"s{i}": pa.array(zero) for i in range(SKETCH_WORDS)} | {"sk": pa.nulls(len(zero), pa.binary())})
 
     sk_cols = [f"s{i}" for i in range(SKETCH_WORDS)]
-    seen = checkpoint(src.mapInArrow(profile, "doc_id long, n long, sid long, sid2 long, " + ", ".join(f"{c} long" for c in sk_cols)))
+    seen = checkpoint(src.mapInArrow(profile, "doc_id long, n long, sid long, sid2 long, " + ", ".join(f"{c} long" for c in sk_cols) + ", sk binary"))
     profiles = seen.where("doc_id is not null")
     counts = seen.where("doc_id is null").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(HOT_SHINGLES)
     hot = spark.sparkContext.broadcast(np.sort(np.array([r.sid for r in counts.select("sid").collect()], np.int64).view(np.uint64)))
 
     full = profiles.where("n > 0")
-    classes = full.groupBy("sid", "sid2", "n", *sk_cols).agg(F.min("doc_id").alias("rep"))
+    classes = full.groupBy("sid", "sid2", "n").agg(F.min("doc_id").alias("rep"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = hot.value
@@ -171,31 +189,41 @@ def ngram_jaccard_join(
     often = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     shared = checkpoint(rows.join(often, "key", "left_semi"))  # rows whose key another row has too
 
-    bare = classes.groupBy("sid").agg(F.min_by(F.struct("rep", "n", *sk_cols), "rep").alias("r")).select("sid", "r.*")
-    bare = checkpoint(bare.join(shared.select("sid").distinct(), "sid", "left_semi"))
+    needed = classes.join(shared.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("rep").alias("rep"))
+    bare = checkpoint(full.select(F.col("doc_id").alias("rep"), "n", *sk_cols, "sk").join(needed, "rep").dropDuplicates(["rep"]))
     shared = shared.distinct()
 
     lead = shared.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
     shared = checkpoint(shared.join(lead.select("key", "lo"), "key"))
     star = shared.where("sid <> lo").select(F.col("lo").alias("p"), F.col("sid").alias("q")).distinct()
 
+    p, q = threshold.numerator, threshold.denominator
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y, n = b.column(2), b.column(3), b.column(4).to_numpy()
+            keep = pa.array([sketch_distance(x[i].as_py(), y[i].as_py()) * (q + p) <= int(n[i]) * (q - p) for i in range(b.num_rows)], pa.bool_())
+            yield b.select([0, 1]).filter(keep)
+
     def allowed(pairs: DataFrame) -> DataFrame:
+        """Pairs of sets as pairs (a, b) of class ids, without those that sizes or sketches rule out."""
         x, y = bare.alias("x"), bare.alias("y")
         j = pairs.join(x, F.col("p") == F.col("x.sid")).join(y, (F.col("q") == F.col("y.sid")) & _similar(threshold))
-        return j.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+        j = j.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.sk").alias("x"), F.col("y.sk").alias("y"), (F.col("x.n") + F.col("y.n")).alias("n"))
+        return j.mapInArrow(near, "a long, b long")
 
     star = checkpoint(allowed(star))
     links = verified(src, star, k, threshold)
     comp = components(links)
 
     # what the stars have left apart
-    of = bare.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    of = bare.drop("sk").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     at = shared.join(of, "sid")
     mixed = at.groupBy("key").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u < v").select("key")
-    at = checkpoint(at.join(mixed, "key", "left_semi").select("key", "lo", "sid", "rep", "component", "n", *sk_cols))
+    at = checkpoint(at.join(mixed, "key", "left_semi").select("key", "lo", "sid", "component", "n", *sk_cols))
     pairs = at.alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.sid") != F.col("x.lo")) & _similar(threshold))
-    rest = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = checkpoint(rest.join(star, ["a", "b"], "left_anti"))
+    rest = pairs.select(F.col("x.sid").alias("p"), F.col("y.sid").alias("q")).distinct()
+    rest = checkpoint(allowed(rest).join(star, ["a", "b"], "left_anti"))
     more = verified(src, rest, k, threshold)
     links = links.union(more)
     comp = components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
@@ -206,18 +234,6 @@ def ngram_jaccard_join(
     return members.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id"), links
 
 
-BITMAP = 33_554_393  # bits (4 MB as packed words), a prime: ids that follow one another spread evenly
-
-
-def bitmap(ids: DataFrame) -> np.ndarray:
-    """A bitmap of the column id modulo BITMAP, of fixed size. It lets through every id in it and, while it is sparse, few others."""
-    h = F.pmod(F.col("id"), F.lit(BITMAP))
-    words = ids.select(h.alias("h")).distinct().select(F.floor(F.col("h") / 32).alias("w"), F.expr("shiftleft(1L, int(h % 32))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()  # at most BITMAP / 32 rows
-    out = np.zeros(BITMAP // 32 + 1, np.int64)
-    out[words.w.to_numpy(np.int64)] = words.b.to_numpy(np.int64)
-    return out
-
-
 def texts_of(src: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows (doc_id, text) of the ids. The bitmap spares the shuffle of all other texts; the semi-join is exact."""
     told = src.sparkSession.sparkContext.broadcast(bitmap(ids))
@@ -228,7 +244,7 @@ def texts_of(src: DataFrame, ids: DataFrame) -> DataFrame:
             h = b.column(0).to_numpy(zero_copy_only=False) % BITMAP
             yield b.filter(pa.array((bits[h // 32] >> (h % 32)) & 1 == 1))
 
-    near = src.where("doc_id is not null").select("doc_id", "text").mapInArrow(some, "doc_id long, text string")
+    near = src.select("doc_id", "text").mapInArrow(some, "doc_id long, text string")
     return checkpoint(near.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"))
 
 
