@@ -26,6 +26,11 @@ def spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without Unicode white space at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def split_words(text: Column) -> Column:
     """White-space separated words."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
@@ -85,13 +90,13 @@ def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
 
 def sentences(text: Column, min_length: int = 0) -> Column:
     """Split after . ! ? and white space, trimmed; shorter ones dropped."""
-    parts = F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), lambda s: F.trim(s))
+    parts = F.transform(F.split(text, r"(?U)(?<=[.!?])\s+"), stripped)
     return F.filter(parts, lambda s: (s != "") & (F.length(s) >= min_length))
 
 
 def sentences_before_capital(text: Column) -> Column:
     """Split only where the next sentence begins with an ASCII capital."""
-    return F.filter(F.transform(F.split(F.trim(text), r"(?U)(?<=[.!?])\s+(?=[A-Z])"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(stripped(text), r"(?U)(?<=[.!?])\s+(?=[A-Z])"), stripped), lambda s: s != "")
 
 
 def capitalise(text: Column) -> Column:
@@ -102,7 +107,7 @@ def script(text: Column) -> Column:
     """The script most characters have: latin, cjk, arabic, cyrillic, in this order on ties; unknown without any."""
     # Character ranges of the scripts.
     classes = (
-        ("latin", "a-zA-ZÀ-ɏ"),
+        ("latin", "A-Za-zÀ-ÖØ-öø-ÿ"),
         ("cjk", "一-鿿぀-ヿ가-힯"),
         ("arabic", "؀-ۿ"),
         ("cyrillic", "Ѐ-ӿ"),
