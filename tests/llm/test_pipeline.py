@@ -1,0 +1,36 @@
+"""The stages on the smallest tables and on rows with nulls: each keeps what it should and returns the columns of documents."""
+
+import os
+
+import pytest
+
+import corpus_pipeline as P
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_run(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    out = P.run(spark, SF).collect()
+    assert out and {r.doc_id for r in out} <= ids
+    assert all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
+
+
+def test_stages_on_odd_rows(spark):
+    long = "every clean document of this small corpus has its own line of words here {}"
+    rows = [(i, long.format(" ".join(f"w{i}x{j}" for j in range(12))), "en", "s1" if i % 2 else None, 10) for i in range(20)]
+    rows += [(20, rows[3][1], "en", "s1", 10), (21, rows[4][1] + "\nmore words that only this one document holds in its second line", None, "s2", 10)]
+    rows += [(None, rows[5][1], "en", "s1", 10), (22, None, "en", "s1", 0), (23, "", None, None, 0), (24, "too short", "en", "s1", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {}
+    for name, stage in P.STAGES[:-1]:
+        docs = P.checkpoint(stage(spark, docs, ""))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept[name] = {r.doc_id: r.text for r in docs.collect()}
+    assert set(kept["quality_rules"]) == {*range(22), None}
+    assert set(kept["line_dedup"]) == {*range(20), 21, None}
+    assert kept["line_dedup"][21] == "more words that only this one document holds in its second line"
+    assert set(kept["ngram_jaccard"]) == set(kept["mixing"]) == {*range(20), 21, None}
+    assert P.STAGES[-1][1](spark, docs, "").count() >= 22
