@@ -24,6 +24,8 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 # (verdict, host, beginning of the path)
 RULES = (
     ("allow", "org", "/"),
@@ -77,14 +79,15 @@ def url_templates(
     base = base.withColumn("rule", name).withColumn("by_rule", verdict).withColumn("shape", shaped(F.col("path")))
 
     good, bad = F.count_if(F.col("by_rule") == "allow"), F.count_if(F.col("by_rule") == "block")
-    leaves = base.groupBy("host", "shape").agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad"))
+    # every level reads the one before several times: written down, plans stay small
+    leaves = checkpoint(base.groupBy("host", "shape").agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad")))
     parts = F.split("shape", "/")
     tree = leaves.withColumn("segs", F.when(F.size(parts) > LEVELS + 1, F.concat(F.slice(parts, 1, LEVELS), F.array(F.lit("**")))).otherwise(parts)).withColumn("prefix", F.lit(""))
     for level in range(1, LEVELS + 1):
         seg = F.get("segs", F.lit(level))
         child = tree.where(seg.isNotNull()).groupBy("host", "prefix", seg.alias("seg")).agg(F.sum("n").alias("n"))
         wild = child.groupBy("host", "prefix").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where((F.col("kinds") >= many) & (F.col("kinds") >= rarely * F.col("all"))).select("host", "prefix", F.lit(True).alias("wild"))
-        tree = tree.join(wild, ["host", "prefix"], "left").withColumn("prefix", F.when(seg.isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), F.when(F.col("wild"), "*").otherwise(seg)))).drop("wild")
+        tree = checkpoint(tree.join(wild, ["host", "prefix"], "left").withColumn("prefix", F.when(seg.isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), F.when(F.col("wild"), "*").otherwise(seg)))).drop("wild"))
 
     tree = tree.withColumn("branch", F.split_part(F.col("prefix"), F.lit("/"), F.lit(2))).withColumn("rest", F.expr("substring(prefix, length(branch) + 2)")).select("host", "shape", "n", "good", "bad", "prefix", "branch", "rest")
 
@@ -101,9 +104,9 @@ def url_templates(
     smooth = lambda up: (F.col("good") + strength * up) / (labels + strength)
     sums = (F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     per_host = leaves.groupBy("host").agg(*sums).select("host", smooth(F.lit(prior)).alias("host_purity"))
-    tree = tree.join(merged, ["host", "branch"])
+    tree = checkpoint(tree.join(merged, ["host", "branch"]))
     per_kind = tree.groupBy("host", "kind").agg(*sums).join(per_host, "host").select("host", "kind", smooth(F.col("host_purity")).alias("kind_purity"))
     per_template = tree.groupBy("host", "kind", "rest").agg(*sums).join(per_kind, ["host", "kind"]).select("host", "kind", "rest", smooth(F.col("kind_purity")).alias("purity"))
-    judged = tree.join(per_template, ["host", "kind", "rest"]).select("host", "shape", F.col("prefix").alias("template"), "purity")
+    judged = checkpoint(tree.join(per_template, ["host", "kind", "rest"]).select("host", "shape", F.col("prefix").alias("template"), "purity"))
     out = base.join(judged, ["host", "shape"])
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("purity") < reject, "block").otherwise("allow")).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
