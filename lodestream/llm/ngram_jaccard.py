@@ -228,7 +228,8 @@ def ngram_jaccard_join(
     links = links.union(more)
     comp = components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
 
-    of_class = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "sid2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    # written down, so that the join of all documents is a plain one, which adaptive execution splits where a text has very many copies
+    of_class = checkpoint(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "sid2", "n", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")))
     members = full.join(of_class, ["sid", "sid2", "n"]).select("doc_id", "n", "class_id", "component_id")
     members = members.union(profiles.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id")))
     return members.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id"), links
