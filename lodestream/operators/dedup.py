@@ -75,7 +75,8 @@ def minhash(grams: Column, seeds: int = SEEDS) -> Column:
 
 def minhash_rows(docs: DataFrame, text: str = "text", key: str = "doc_id", seeds: int = SEEDS, k: int = 3) -> DataFrame:
     """(key, signature): the same minima by exploding shingles, one aggregate a seed: for whole texts."""
-    g = docs.select(key, F.explode_outer(char_shingles(loose(F.coalesce(F.col(text), F.lit(""))), k)).alias("g"))
+    t = docs.select(key, loose(F.coalesce(F.col(text), F.lit(""))).alias("t"))  # once, not once a shingle
+    g = t.select(key, F.explode_outer(char_shingles(F.col("t"), k)).alias("g"))
     one = lambda i: F.conv(F.substring(F.md5(F.concat(F.lit(i.to_bytes(4, "little")), F.encode("g", "utf-8"))), 1, 8), 16, 10).cast("long")
     return g.groupBy(key).agg(F.array(*[F.coalesce(F.min(one(i)), F.lit((1 << 32) - 1)) for i in range(seeds)]).alias("signature"))
 

@@ -211,7 +211,7 @@ def graph_subgraph(spark, d):
 
 
 @query("graph_entities", r"""
-with m as (select doc_id, unnest(regexp_extract_all(text, '\b([A-Z]{2,8}s?)\b', 1)) as name from documents)
+with w as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as name from documents), m as (select * from w where regexp_full_match(name, '[A-Z]{2,8}s?'))
 select lower(name) as key, count(distinct doc_id)::int as docs from m group by 1""")
 def graph_entities(spark, d):
     m = G.mentions(table(spark, d, "documents")).where("type = 'ACRONYM'")
