@@ -39,6 +39,7 @@ from .common import checkpoint, small_batches
 MARK = "▁"
 FREQUENT = 1 << 17
 LONGEST = 60  # characters of a unit whose cuts fit into 64 bits
+LONGEST_VITERBI = 256  # characters of a unit whose prefixes are folded as an array
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
@@ -107,8 +108,12 @@ class Model:
     def decode(self, ids: np.ndarray) -> str:
         return self.decoder()(ids)
 
+    def raw(self) -> list[bytes]:
+        """What each id decodes to."""
+        return [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
+
     def decoder(self):
-        raw = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(MARK, " ").encode() for p, _, t in self.pieces]
+        raw = self.raw()
 
         def decode(ids) -> str:
             out = b"".join([raw[i] for i in ids])
@@ -129,48 +134,71 @@ def piece_table(spark: SparkSession, model: Model) -> DataFrame:
 
 
 def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """units (w, c; distinct w) with their edges, by an equi-join of substrings with the pieces."""
-    spans = F.expr(f"flatten(transform(sequence(0, n - 1), s -> transform(sequence(1, least({longest}, n - s)), l -> struct(s as s, s + l as e, substring(w, s + 1, l) as piece))))")
-    sub = units.withColumn("n", F.length("w")).where("n > 0").select("w", "c", "n", F.explode(spans).alias("x")).select("w", "c", "n", "x.*")
-    hit = sub.join(F.broadcast(pieces), "piece")
-    return hit.groupBy("w").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.collect_list(F.struct("rank", "s", "e", "id", "risky", "score")).alias("edges"))
+    """units (w, c, n; distinct w) with their edges, by an equi-join of substrings with the pieces.
+
+    An edge is one long, so that sorting edges sorts by rank, then place: rank (20 bits), start (12 bits), length (8 bits), id (20 bits),
+    risky (1 bit). Every unit also emits its empty substring, so that none is lost; units of more than 4096 characters emit nothing else
+    and have their edges found where they are finished. Units come hashed by w from their count, so grouping them needs no shuffle.
+    """
+    starts = units.select("w", "c", "n", F.explode(F.expr("sequence(0, if(n > 4096, 0, n - 1))")).alias("s"))
+    spans = starts.select("w", "c", "n", "s", F.explode(F.expr(f"sequence(if(s = 0, 0, 1), if(n > 4096, 0, least({longest}, n - s)))")).alias("l")).withColumn("piece", F.expr("substring(w, s + 1, l)"))
+    edge = F.expr("shiftleft(cast(rank as bigint), 42) | shiftleft(cast(s as bigint), 30) | shiftleft(cast(l as bigint), 22) | shiftleft(cast(id as bigint), 1) | cast(risky as bigint)").alias("edge")
+    none = pieces.sparkSession.createDataFrame([("", 0, 0.0, 0, False)], pieces.schema)
+    hit = spans.join(F.broadcast(pieces.union(none)), "piece").select("w", "c", "n", edge)
+    grouped = hit.groupBy("w").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.collect_list("edge").alias("edges"))
+    return grouped.withColumn("edges", F.expr(f"filter(edges, x -> (x & {0xFF << 22}L) > 0L)"))
+
+
+_S, _L, _ID = "int(shiftright({x}, 30) & 4095L)", "int(shiftright({x}, 22) & 255L)", "int(shiftright({x}, 1) & 1048575L)"
 
 
-_INNER = "shiftleft(shiftleft(1L, {x}.e - {x}.s - 1) - 1L, {x}.s + 1)"  # the cuts strictly inside an edge
-_ENDS = "shiftleft(1L, {x}.s) | shiftleft(1L, {x}.e)"
+def _ends(x: str) -> str:
+    """The cuts at both ends of an edge."""
+    return f"shiftleft(shiftleft(1L, {_L.format(x=x)}) | 1L, {_S.format(x=x)})"
+
+
+def _inner(x: str) -> str:
+    """The cuts strictly inside an edge."""
+    return f"shiftleft(shiftleft(1L, {_L.format(x=x)}) - 2L, {_S.format(x=x)})"
 
 
 def _mergeable(x: str, cuts: str) -> str:
-    ends, inner = _ENDS.format(x=x), _INNER.format(x=x)
-    return f"(({cuts} & ({ends})) = ({ends}) and bit_count({cuts} & {inner}) = 1)"
+    return f"(({cuts} & {_ends(x)}) = {_ends(x)} and bit_count({cuts} & {_inner(x)}) = 1)"
+
 
+ODD = -1
 
-def segmented(lat: DataFrame, bpe: bool) -> DataFrame:
-    """w, c, n, done, path (s, e, id by place) and, where not done, the edges."""
+
+def segmented(lat: DataFrame, bpe: bool, scores: list[float] | None = None) -> DataFrame:
+    """w, c, n, edges and path: the edges of the segmentation; null where the unit is left to the exact queue."""
     if bpe:
-        better = f"exists(m, y -> y.rank < x.rank and {_mergeable('y', '(a.cuts & ~' + _INNER.format(x='x') + ')')})"
-        step = f"if({_mergeable('x', 'a.cuts')}, named_struct('cuts', a.cuts & ~{_INNER.format(x='x')}, 'odd', a.odd or (x.risky and {better})), a)"
-        fold = f"aggregate(m, named_struct('cuts', shiftleft(1L, n + 1) - 1L, 'odd', false), (a, x) -> {step})"
-        t = lat.withColumn("m", F.expr("array_sort(filter(edges, x -> x.e - x.s > 1))"))
-        t = t.withColumn("r", F.expr(f"if(n <= {LONGEST}, {fold}, named_struct('cuts', 0L, 'odd', true))"))
-        t = t.withColumn("done", ~F.col("r.odd"))
-        on_path = f"(r.cuts & ({_ENDS.format(x='x')})) = ({_ENDS.format(x='x')}) and (r.cuts & {_INNER.format(x='x')}) = 0L"
-        path = F.expr(f"if(done, array_sort(transform(filter(edges, x -> {on_path}), x -> struct(x.s as s, x.e as e, x.id as id))), null)")
-        return t.select("w", "c", "n", "done", path.alias("path"), F.expr("if(done, null, edges)").alias("edges"))
+        # the accumulator is the set of cuts, ODD once a merge allows one of better rank
+        better = f"exists(m, y -> y < x and {_mergeable('y', '(a & ~' + _inner('x') + ')')})"
+        step = f"if(a = {ODD}L or not {_mergeable('x', 'a')}, a, if((x & 1L) = 1L and {better}, {ODD}L, a & ~{_inner('x')}))"
+        fold = f"aggregate(m, shiftleft(1L, n + 1) - 1L, (a, x) -> {step})"
+        t = lat.withColumn("m", F.expr(f"sort_array(filter(edges, x -> (x & {0xFF << 22}L) > {1 << 22}L))"))
+        t = t.withColumn("cuts", F.expr(f"if(n <= {LONGEST}, if(size(m) = 0, shiftleft(1L, n + 1) - 1L, {fold}), {ODD}L)"))
+        path = F.expr(f"if(cuts = {ODD}L, null, filter(edges, x -> (cuts & {_ends('x')}) = {_ends('x')} and (cuts & {_inner('x')}) = 0L))")
+        return t.select("w", "c", "n", "edges", path.alias("path"))
     # Viterbi: best[k] is the best score of the first k characters, with the last edge; a character of no piece costs a fixed penalty
-    worst = F.expr("aggregate(edges, 0D, (a, x) -> least(a, x.score)) - 10D")
-    t = lat.withColumn("low", worst)
-    t = t.withColumn("all", F.expr("array_sort(transform(concat(edges, transform(sequence(0, n - 1), s -> named_struct('rank', 0, 's', s, 'e', s + 1, 'id', -1, 'risky', false, 'score', low))), x -> struct(x.e as e, x.s as s, x.score as score, x.id as id)))"))
-    start = "transform(sequence(0, n), k -> named_struct('score', if(k = 0, 0D, double('-Infinity')), 's', -1, 'id', -1))"
-    step = "transform(a, (o, k) -> if(k = x.e and get(a, x.s).score + x.score > o.score, named_struct('score', get(a, x.s).score + x.score, 's', x.s, 'id', x.id), o))"
-    t = t.withColumn("best", F.expr(f"aggregate(all, {start}, (a, x) -> {step})"))
-    back = "aggregate(sequence(1, n), named_struct('at', n, 'path', cast(array() as array<struct<s:int,e:int,id:int>>)), (a, k) -> if(a.at <= 0, a, named_struct('at', get(best, a.at).s, 'path', concat(array(named_struct('s', get(best, a.at).s, 'e', a.at, 'id', get(best, a.at).id)), a.path))), a -> filter(a.path, x -> x.id >= 0))"
-    return t.select("w", "c", "n", F.lit(True).alias("done"), F.expr(back).alias("path"), F.expr("cast(null as array<struct<rank:int,s:int,e:int,id:int,risky:boolean,score:double>>)").alias("edges"))
-
-
-def by_queue(n: int, edges: list[dict]) -> list[tuple[int, int, int]]:
-    """BPE over the edges of one unit with a priority queue: always the best rank, the leftmost of equals."""
-    of = {(x["s"], x["e"]): (x["rank"], x["id"]) for x in edges}
+    table = "array(" + ",".join(f"{x!r}D" for x in scores or []) + ")"
+    t = lat.withColumn("sc", F.expr(f"transform(edges, x -> get({table}, {_ID.format(x='x')}))"))
+    t = t.withColumn("low", F.lit(min(scores or [0.0]) - 10.0))
+    t = t.withColumn("all", F.expr(
+        f"if(n > {LONGEST_VITERBI}, null, array_sort(concat(zip_with(edges, sc, (x, v) -> struct({_S.format(x='x')} + {_L.format(x='x')} as e, {_S.format(x='x')} as s, v as score, x as edge)),"
+        " transform(sequence(0, n - 1), s -> struct(s + 1 as e, s as s, low as score, -1L as edge)))))"
+    ))
+    start = "transform(sequence(0, n), k -> named_struct('score', if(k = 0, 0D, double('-Infinity')), 's', -1, 'edge', -1L))"
+    step = "transform(a, (o, k) -> if(k = x.e and get(a, x.s).score + x.score > o.score, named_struct('score', get(a, x.s).score + x.score, 's', x.s, 'edge', x.edge), o))"
+    short = f"n <= {LONGEST_VITERBI}"  # longer units are left to the same recurrence where they are finished
+    t = t.withColumn("best", F.expr(f"if({short}, aggregate(all, {start}, (a, x) -> {step}), null)"))
+    back = "aggregate(sequence(1, n), named_struct('at', n, 'path', cast(array() as array<bigint>)), (a, k) -> if(a.at <= 0, a, named_struct('at', get(best, a.at).s, 'path', concat(array(get(best, a.at).edge), a.path))), a -> filter(a.path, x -> x >= 0))"
+    return t.select("w", "c", "n", "edges", F.expr(f"if({short}, {back}, null)").alias("path"))
+
+
+def by_queue(n: int, edges: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """BPE over the edges (rank, start, end, id) of one unit with a priority queue: always the best rank, the leftmost of equals."""
+    of = {(s, e): (r, i) for r, s, e, i in edges}
     nxt, prev = list(range(1, n + 2)), list(range(-1, n))
     alive = [True] * n
     heap = [(of[i, i + 2][0], i, i + 1, i + 2) for i in range(n - 1) if (i, i + 2) in of]
@@ -191,21 +219,56 @@ def by_queue(n: int, edges: list[dict]) -> list[tuple[int, int, int]]:
     return [(i, nxt[i], of[i, nxt[i]][1]) for i in range(n) if alive[i] and (i, nxt[i]) in of]
 
 
+def by_prefix(x: str, of: dict[str, tuple[float, int]], longest: int, low: float) -> list[tuple[int, int, int]]:
+    """Viterbi over one long unit: the best score of every prefix with its last piece; a character of no piece costs `low`."""
+    best, last = [0.0] + [float("-inf")] * len(x), [(0, -1)] * (len(x) + 1)
+    for s in range(len(x)):
+        for e in range(s + 1, min(len(x), s + longest) + 1):
+            score, i = of.get(x[s:e], (low, -1) if e == s + 1 else (float("-inf"), -1))
+            if best[s] + score > best[e]:
+                best[e], last[e] = best[s] + score, (s, i)
+    out, at = [], len(x)
+    while at > 0:
+        s, i = last[at]
+        if i >= 0:
+            out.append((s, at, i))
+        at = s
+    return out[::-1]
+
+
+def unpack(x: int) -> tuple[int, int, int, int]:
+    """rank, start, end, id of a packed edge."""
+    s = x >> 30 & 4095
+    return x >> 42, s, s + (x >> 22 & 255), x >> 1 & 1048575
+
+
 def dictionary(units: DataFrame, model: Model) -> DataFrame:
-    """w, c, ids of every distinct unit."""
+    """w, c, ids (packed 32-bit little-endian integers) and lossy (whether decoding does not give w back) of every distinct unit."""
     spark = units.sparkSession
     longest = max(len(p) for p, _, _ in model.normal())
-    # units of no known character have no edge; the left join keeps them
-    seg = segmented(lattice(units, piece_table(spark, model), longest), model.bpe)
-    known, unknown, fuse = model.byte_ids, model.unknown, not model.bpe
+    # a unit's edges come one after another: hashing up to so many units a task spares sorting all edges by unit
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
+    seg = segmented(lattice(units.withColumn("n", F.length("w")), piece_table(spark, model), longest), model.bpe, [s for _, s, _ in model.pieces])
+    known, unknown, fuse, bpe = model.byte_ids, model.unknown, not model.bpe, model.bpe
+    rank = {p: (r, i) for r, (p, i, _) in enumerate(sorted(model.normal(), key=lambda x: (-x[2], x[1])))}
+
+    score = {p: (s, i) for p, i, s in model.normal()}
+
+    def edges_of(x: str) -> list[tuple[int, int, int, int]]:
+        return [(*rank[x[s:e]][:1], s, e, rank[x[s:e]][1]) for s in range(len(x)) for e in range(s + 1, min(len(x), s + longest) + 1) if x[s:e] in rank]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = model.raw()
         for b in batches:
-            out = []
-            w, path, done, edges = b.column(0).to_pylist(), b.column(4).to_pylist(), b.column(3).to_pylist(), b.column(5)
-            for i, x in enumerate(w):
-                p = [(y["s"], y["e"], y["id"]) for y in path[i] or ()] if done[i] else by_queue(len(x), edges[i].as_py() or [])
-                ids, at, last = [], 0, False
+            out, lossy = [], []
+            for x, edges, path in zip(b.column(0).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                if path is not None:
+                    p = sorted([unpack(y)[1:] for y in path])
+                elif not bpe:
+                    p = by_prefix(x, score, longest, min(s for _, s, _ in model.pieces) - 10)
+                else:
+                    p = by_queue(len(x), [unpack(y) for y in edges.as_py()] if edges.is_valid else edges_of(x))
+                ids, at = [], 0
                 for s, e, k in [*p, (len(x), len(x), -1)]:
                     if s > at:
                         if known:
@@ -215,15 +278,16 @@ def dictionary(units: DataFrame, model: Model) -> DataFrame:
                     if k >= 0:
                         ids.append(k)
                     at = e
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["w", "c", "ids"])
+                out.append(np.array(ids, "<i4").tobytes())
+                lossy.append(b"".join([raw[i] for i in ids]) != x.replace(MARK, " ").encode())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary()), pa.array(lossy)], ["w", "c", "ids", "lossy"])
 
-    bare = units.select("w", "c", F.length("w").alias("n")).join(seg.select("w", "done", "path", "edges"), "w", "left").select("w", "c", "n", F.coalesce("done", F.lit(True)).alias("done"), "path", "edges")
-    return bare.mapInArrow(finish, "w string, c long, ids array<int>")
+    seg = seg.select("w", "c", F.expr("if(path is null and n <= 4096, edges, null)").alias("edges"), "path")
+    return seg.mapInArrow(finish, "w string, c long, ids binary, lossy boolean")
 
 
 def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """id_col, ids, n_tokens, round_trip (whether decoding the ids gives the text back, a word mark counting as a space)."""
+    """id_col, ids, n_tokens, round_trip (whether every unit of the text decodes to itself, a word mark counting as a space)."""
     spark = docs.sparkSession
     with open(model_file, "rb") as f:  # the vocabulary's path is a parameter; the driver tells the model to the tasks
         model = Model.read(f.read())
@@ -253,7 +317,7 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc
     units = src.select("text").mapInArrow(count, "w string, c long").groupBy("w").agg(F.sum("c").alias("c"))
     words = checkpoint(dictionary(units, model))
     top = words.orderBy(F.desc("c"), "w").limit(frequent).toPandas()
-    told = spark.sparkContext.broadcast((dict(zip(top.w, [np.asarray(x, np.int32) for x in top.ids])), model))
+    told = spark.sparkContext.broadcast((dict(zip(top.w, [bytes(x) for x in top.ids])), set(top.w[top.lossy])))
 
     def block_of(k: int) -> int:
         return (TaskContext.get().partitionId() << 32) + k
@@ -275,30 +339,28 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc
             yield pa.RecordBatch.from_pydict({"block": pa.array([block_of(k)]), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, m = told.value
-        decode = m.decoder()
+        common, common_lossy = told.value
         for b in batches:
-            for rows, own_w, own_ids in zip(b.column(0), b.column(1), b.column(2)):
-                own = dict(zip(own_w.as_py() or (), own_ids.as_py() or ()))
+            for rows, own_w, own_ids, own_lossy in zip(*(b.column(i) for i in range(4))):
+                w, f = own_w.as_py() or [], own_lossy.as_py() or []
+                own = dict(zip(w, own_ids.as_py() or []))
+                lossy = common_lossy | {x for x, y in zip(w, f) if y}
                 for d in pa.ipc.open_stream(rows.as_buffer()):
-                    texts = d.column(1).to_pylist()
-                    ids, same = [], []
-                    for t in texts:
-                        if t is None:
-                            ids.append(None)
-                            same.append(None)
-                            continue
-                        parts = [common[u] if u in common else own[u] for u in units_of(t)]
-                        one = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-                        ids.append(one)
-                        same.append(decode(one.tolist()) == t.replace(MARK, " "))
-                    n = [None if x is None else len(x) for x in ids]
-                    yield pa.RecordBatch.from_arrays([d.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(same, pa.bool_())], [id_col, "ids", "n_tokens", "round_trip"])
-
-    pairs = src.mapInArrow(rare, "block long, w string").join(words.select("w", "ids"), "w")
-    own = pairs.groupBy("block").agg(F.collect_list(F.struct("w", "ids")).alias("own")).select("block", F.col("own.w").alias("w"), F.col("own.ids").alias("ids"))
+                    ids, sizes, null, same = [], [0], [], []
+                    for t in d.column(1).to_pylist():
+                        u = units_of(t)
+                        ids.append(b"".join([common[x] if x in common else own[x] for x in u]))
+                        sizes.append(sizes[-1] + len(ids[-1]) // 4)
+                        null.append(t is None)
+                        same.append(None if t is None else not lossy or lossy.isdisjoint(u))
+                    flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                    lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat, mask=pa.array(null, pa.bool_()))
+                    yield pa.RecordBatch.from_arrays([d.column(0), lists, pa.array(np.diff(sizes).astype(np.int64), mask=np.array(null, bool)), pa.array(same, pa.bool_())], [id_col, "ids", "n_tokens", "round_trip"])
+
+    pairs = src.mapInArrow(rare, "block long, w string").join(words.select("w", "ids", "lossy"), "w")
+    own = pairs.groupBy("block").agg(F.collect_list(F.struct("w", "ids", "lossy")).alias("own")).select("block", F.col("own.w").alias("w"), F.col("own.ids").alias("ids"), F.col("own.lossy").alias("lossy"))
     blocks = src.mapInArrow(packed, "block long, rows binary")
-    return blocks.join(own, "block", "left").select("rows", "w", "ids").mapInArrow(encode, f"{id_col} {id_type}, ids array<int>, n_tokens long, round_trip boolean")
+    return blocks.join(own, "block", "left").select("rows", "w", "ids", "lossy").mapInArrow(encode, f"{id_col} {id_type}, ids array<int>, n_tokens long, round_trip boolean")
 
 
 def sentencepiece_decode(df: DataFrame, model_file: str, *, ids_col: str = "ids", into: str = "text") -> DataFrame:

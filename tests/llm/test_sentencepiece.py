@@ -32,7 +32,7 @@ def unigram(path, pieces):
 
 def texts():
     r = random.Random(5)
-    out = [None, "", " ", "  two  spaces ", "a\nb\tc\r\n", "日本語 テスト 🙂 ▁x", "x\x01y", "Hello world, the lattice!", "é" * 90, "a" * 200, "▁▁", "<s> </s> <0x0A>"]
+    out = [None, "", " ", "  two  spaces ", "a\nb\tc\r\n", "日本語 テスト 🙂 ▁x", "x\x01y", "Hello world, the lattice!", "é" * 90, "a" * 200, "▁▁", "<s> </s> <0x0A>", "é日ab" * 1500]
     for _ in range(150):
         out.append(" ".join("".join(r.choice("abcdeinorst") for _ in range(r.randrange(1, 14))) for _ in range(r.randrange(1, 12))))
     return out
@@ -64,6 +64,7 @@ def test_unigram_viterbi_equals_the_library(spark, tmp_path):
     path = unigram(tmp_path / "u.model", pieces)
     sp = spm.SentencePieceProcessor(model_file=path)
     rows = [(i, " ".join("".join(r.choice("abcd") for _ in range(r.randrange(1, 9))) for _ in range(3))) for i in range(60)]
+    rows += [(60, "".join(r.choice("abcd") for _ in range(600)))]
     out = sentencepiece_encode(spark.createDataFrame(rows, "doc_id long, text string"), path, frequent=5)
     got = {x.doc_id: x.ids for x in out.collect()}
     for i, t in rows:
@@ -71,7 +72,7 @@ def test_unigram_viterbi_equals_the_library(spark, tmp_path):
 
 
 def test_queue_takes_best_rank_leftmost():
-    edges = [{"s": s, "e": s + n, "rank": k, "id": k} for n, k in ((1, 9), (2, 0)) for s in range(6 - n)]
+    edges = [(k, s, s + n, k) for n, k in ((1, 9), (2, 0)) for s in range(6 - n)]
     assert [x[:2] for x in by_queue(5, edges)] == [(0, 2), (2, 4), (4, 5)]
 
 
