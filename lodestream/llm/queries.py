@@ -84,4 +84,28 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op6_substring_dedup": f"""
+with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
+first as (select k, min(doc_id) as d from win group by k),
+gone as (select distinct win.doc_id, i + j as p from win join first using (k), range(0, 13) r(j) where d < win.doc_id),
+each as (select doc_id, unnest(range(1, len(ws) + 1)) as p, unnest(ws) as word from w),
+kept as (select e.doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from each e anti join gone g on g.doc_id = e.doc_id and g.p = e.p group by e.doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)""",
+    "op10_ngram_jaccard": f"""
+with recursive w as (select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n, sha256(string_agg(g, '|' order by g)) as h from s group by doc_id),
+c as (select *, min(doc_id) over (partition by h) as class_id from n),
+r as (select s.* from s join c using (doc_id) where doc_id = class_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from r a join r b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n + y.n - shared)),
+e as (select a, b from l union select b, a from l),
+t as (select doc_id as a, doc_id as b from c where doc_id = class_id union select t.a, e.b from t join e on e.a = t.b),
+m as (select a, min(b) as component_id from t group by a)
+select w.doc_id, coalesce(c.n, 0)::bigint as n_shingles, coalesce(component_id, w.doc_id) as component_id, coalesce(class_id, w.doc_id) as class_id
+from w left join c using (doc_id) left join m on m.a = c.class_id""",
+}
