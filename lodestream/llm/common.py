@@ -5,6 +5,7 @@ Words are maximal runs of bytes other than space and \\t..\\r, so a word never s
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -164,7 +165,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestream/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of what is written now
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # both let Spark delete the shuffle files of what is written now
     return spark.read.schema(df.schema).parquet(path)
 
 

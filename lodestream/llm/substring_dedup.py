@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +81,8 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_words": pa.array(w.count.astype(np.int64)), "d1": pa.array(d1), "d2": pa.array(d2), "sha": pa.array(sha, pa.string())})
 
     profiles = checkpoint(src.mapInArrow(profile, "doc_id long, n_words long, d1 long, d2 long, sha string"))
-    first = profiles.where(f"n_words >= {length}").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
+    # written down, so that joins on it are plain ones, which adaptive execution splits where a text has very many copies
+    first = checkpoint(profiles.where(f"n_words >= {length}").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -105,15 +107,22 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = told.value
+        pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
             h = b.column(0).to_numpy() % BITMAP
-            yield b.filter(pa.array((bits[h // 32] >> (h % 32)) & 1 == 1))
+            b = b.filter(pa.array((bits[h // 32] >> (h % 32)) & 1 == 1))
+            packed = [pack.compress((t or "").encode()) for t in b.column(1).to_pylist()]  # texts travel twice from here on
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
 
-    texts = checkpoint(src.mapInArrow(some, "doc_id long, text string").join(held, "doc_id").select("doc_id", "text", "anchors"))
+    texts = checkpoint(src.mapInArrow(some, "doc_id long, packed binary").join(held, "doc_id").select("doc_id", "packed", "anchors"))
+
+    def unpacked(column: pa.Array) -> Texts:
+        d = zstandard.ZstdDecompressor()
+        return Texts(pa.array([d.decompress(x).decode() for x in column.to_pylist()], pa.string()))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = Texts(b.column(1)).words()
+            w = unpacked(b.column(1)).words()
             at, run, low = runs(w, length, anchor)
             flat = b.column(2).flatten().to_numpy().view(np.uint64)
             own = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
@@ -127,7 +136,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = Texts(b.column(1))
+            t = unpacked(b.column(1))
             w = t.words()
             at, run, _ = runs(w, length, length)
             flat = b.column(2).flatten().to_numpy().view(np.uint64)
@@ -143,7 +152,7 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(edge[::2], edge[1::2])])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], ["doc_id", "n_removed", "cut_sha", "spans"])
 
-    cut = texts.select("doc_id", "text").join(found, "doc_id").mapInArrow(parse, "doc_id long, n_removed long, cut_sha string, spans array<struct<first:long,last:long>>")
+    cut = texts.select("doc_id", "packed").join(found, "doc_id").mapInArrow(parse, "doc_id long, n_removed long, cut_sha string, spans array<struct<first:long,last:long>>")
     cut = checkpoint(cut)
 
     nothing = hashlib.sha256(b"").hexdigest()
