@@ -28,7 +28,9 @@ _BREAK = r"[\x20\x09-\x0D]+"
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(line, _BREAK), lambda w: w != "")
+    """The words of a line: white space goes from both ends first, so that the split leaves no empty words to filter."""
+    solid = F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+    return F.when(solid == "", F.array().cast("array<string>")).otherwise(F.split(solid, _BREAK))
 
 
 def _xor(a: Column, b: Column) -> Column:
@@ -67,7 +69,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> tuple[DataFrame, DataFrame]:
     """(removed, documents). removed: one row per document that loses lines: doc, removed (sorted places from 0).
     documents: the rows of docs with what is left of each text."""
-    lines = line_table(docs, id_col, text_col, min_words)
+    lines = checkpoint(line_table(docs, id_col, text_col, min_words))  # texts are cut into words once
     halves = ("p0", "s0", "p1", "s1")
     classes = checkpoint(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("at"), F.first("n").alias("n"), *(F.first(c).alias(c) for c in halves)))
 
