@@ -1,25 +1,27 @@
-"""Embedding near-dedup on a robust-pruned flat graph.
+"""Embedding near-dedup, exact: cells that overlap by a bound from the threshold, compared in full.
 
 1. Usable vectors (no null, non-finite or all-zero ones) are normalised; equal vectors of a label are one node with a weight.
-2. Nodes of a label are dealt to cluster shards, each to its nearest centroid and to the next ones that are nearly as near, so that
-   shards overlap. A shard above `limit` is split again by centroids of its own, found on a bounded sample of it (SAMPLE nodes): no
-   shard's size follows the input, and no centroid table is told to all tasks.
-3. Every shard builds a graph: each node's candidates, nearest first, are pruned robustly (a candidate that is much nearer to a chosen
-   neighbour than to the node goes), reverse edges are added. The adjacency lists of a node from all its shards are united.
-4. Every node is searched from the medoids of its shards by a greedy beam; whatever lies within the range is expanded on until nothing
-   new comes. Each hit's cosine is verified in double precision.
-5. A pair that shares several shards is counted in the first of them. Shards report link counts and a forest of links, never pairs.
+2. Nodes of a label (and of a length) are a shard. A shard above `limit` is split by centroids found on a bounded sample of it (SAMPLE
+   nodes). A node is owned by the cell of its nearest centroid and is a guest of every cell that can own something within the
+   threshold of it: of two linked nodes, none is further beyond the plane between their cells than r = sqrt(2 - 2 * threshold). So all
+   links of a node lie in the one shard that owns it. A cell is split again while that is expected to halve the comparisons.
+3. What a split cannot shrink (a ball of near copies, vectors without clusters) is cut into blocks by a hash, at most about
+   BLOCK * limit nodes each, and all pairs of its blocks are compared: a task holds two blocks, whatever the shard's size.
+4. Cosines are taken in double precision. Tasks report link counts of the nodes owned and a forest of links, never pairs.
 
-`audit_recall` holds the counts of a bounded set of query nodes against a scan of all vectors.
+The bound and the blocks leave nothing out; where clusters are missing, comparisons grow with the square of a label's size.
 
-Defined results: null, empty, zero or non-finite vectors, vectors of a null label and vectors of another length than the shard's first
-link with nothing and are their own component. Ties and repeated rows: equal vectors link with each other. Rows that repeat an id are
+`audit_recall` holds the counts of the nodes whose id is divisible by `every` against a scan of all vectors.
+
+Defined results: null, empty, zero or non-finite vectors and vectors of a null label link with nothing and are their own component;
+vectors of different lengths never link. Ties and repeated rows: equal vectors link with each other. Rows that repeat an id are
 each counted. Other columns play no part; an empty table gives an empty result. Ids are integers; rows with a null id are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,8 @@ from .common import checkpoint, small_batches
 from .components import components
 
 SAMPLE = 512
-OVERLAP = 0.03  # a node also joins centroids whose cosine is at most so much below that of its nearest
-SHARDS_PER_NODE = 3
+BLOCK = 4  # a block of an unsplit shard holds about so many times the limit
+LEVELS = 6  # of splitting; what is large after them is compared in blocks
 
 
 def _centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
@@ -52,148 +54,93 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return c
 
 
-def shards(nodes: DataFrame, limit: int) -> DataFrame:
-    """nodes (node, label, v) with a column shard; a node may have several rows."""
-    at = nodes.withColumn("shard", F.xxhash64("label").cast("string"))
-    for _ in range(6):
+def shards(nodes: DataFrame, limit: int, threshold: float) -> DataFrame:
+    """nodes (node, label, v) with columns shard and own; a node has one row that is its own, and may be a guest in others."""
+    r = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    at = nodes.select("node", "label", "v", F.xxhash64("label", F.size("v")).cast("string").alias("shard"), F.lit(True).alias("own"))
+    schema = f"node long, label {nodes.schema['label'].dataType.simpleString()}, v array<double>, shard string, own boolean"
+
+    def cells(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroid of each row, and all cells that the row belongs to."""
+        s = x @ c.T
+        home = np.argmax(s, 1)
+        apart = np.sqrt(np.maximum(((c[:, None] - c[None]) ** 2).sum(2), 0))
+        return home, s[np.arange(len(x)), home][:, None] - s <= r * apart[home]
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("r").v.to_numpy())
+        own = pdf.sort_values("r").own.to_numpy(bool)
+        c = _centroids(x, int(min(32, np.ceil(2 * pdf.n.iloc[0] / limit))))
+        home, belongs = cells(x, c)
+        pairs = np.bincount(home[own], minlength=len(c)) @ belongs.sum(0)
+        if pairs > own.sum() * len(x) / 2:  # owned by all, before and after
+            return pd.DataFrame({"shard": pd.Series([], dtype=str), "centres": pd.Series([], dtype=object)})
+        return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "centres": [c.ravel().tolist()]})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, own = b.column(0).to_pylist(), b.column(4).to_numpy(zero_copy_only=False)
+            rows, to, owned = [], [], []
+            for i in range(b.num_rows):
+                v = b.column(3)[i].values.to_numpy()
+                home, belongs = cells(v[None], b.column(5)[i].values.to_numpy().reshape(-1, len(v)))
+                for k in np.flatnonzero(belongs[0]):
+                    rows.append(i)
+                    to.append(f"{names[i]}.{k}")
+                    owned.append(bool(own[i] and k == home[0]))
+            out = b.select([1, 2, 3]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(to, pa.string()), pa.array(owned, pa.bool_())], ["node", "label", "v", "shard", "own"])
+
+    whole = []
+    for _ in range(LEVELS):
         at = checkpoint(at)
         big = at.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-        if big.isEmpty():
-            break
         w = Window.partitionBy("shard").orderBy(F.xxhash64("node"), "node")
         sample = at.join(big, "shard").withColumn("r", F.row_number().over(w)).where(F.col("r") <= SAMPLE)
-
-        def split(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(pdf.sort_values("r").v.to_numpy())
-            k = int(min(32, np.ceil(2 * pdf.n.iloc[0] / limit)))
-            return pd.DataFrame({"shard": [pdf.shard.iloc[0]], "centres": [_centroids(x, k).ravel().tolist()]})
-
-        centres = sample.select("shard", "n", "r", "v").groupBy("shard").applyInPandas(split, "shard string, centres array<double>")
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                rows, to = [], []
-                names = b.column(0).to_pylist()
-                for i in range(b.num_rows):
-                    c = b.column(4)[i]
-                    if not c.is_valid:
-                        rows.append(i)
-                        to.append(names[i])
-                        continue
-                    v = b.column(3)[i].values.to_numpy()
-                    s = c.values.to_numpy().reshape(-1, len(v)) @ v
-                    order = np.argsort(-s, kind="stable")[:SHARDS_PER_NODE]
-                    for k in order[s[order] >= s[order[0]] - OVERLAP]:
-                        rows.append(i)
-                        to.append(f"{names[i]}.{k}")
-                out = b.select([1, 2, 3]).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(to, pa.string())], ["node", "label", "v", "shard"])
-
-        label = nodes.schema["label"].dataType.simpleString()
-        at = at.join(centres, "shard", "left").select("shard", "node", "label", "v", "centres").mapInArrow(deal, f"node long, label {label}, v array<double>, shard string").dropDuplicates(["node", "shard"])
-    return at
-
-
-def robust_graph(x: np.ndarray, degree: int, alpha: float, pool: int = 64) -> np.ndarray:
-    """Adjacency (-1 padded) of the rows of x."""
-    n = len(x)
-    adj = np.full((n, degree), -1, np.int64)
-    if n < 2:
-        return adj
-    far = np.random.default_rng(n).integers(0, n, (n, 16))
-    for a in range(0, n, 512):
-        s = x[a : a + 512] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-        k = min(pool, n - 1)
-        top = np.argpartition(-s, k - 1, 1)[:, :k]
-        cand = np.concatenate([top, far[a : a + 512]], 1)
-        cand = np.take_along_axis(cand, np.argsort(-np.take_along_axis(s, cand, 1), 1, kind="stable"), 1)
-        for i in range(len(s)):
-            c = cand[i][cand[i] != a + i]
-            d = np.sqrt(np.maximum(2 - 2 * s[i, c], 0))
-            alive = np.ones(len(c), bool)
-            for slot in range(degree):
-                left = np.flatnonzero(alive)
-                if not len(left):
-                    break
-                p = left[0]
-                adj[a + i, slot] = c[p]
-                alive &= alpha * np.sqrt(np.maximum(2 - 2 * (x[c] @ x[c[p]]), 0)) > d
-                alive[p] = False
-    return adj
-
-
-def _with_reverse(adj: np.ndarray, width: int) -> np.ndarray:
-    """Adds reverse edges, up to width in all."""
-    n = len(adj)
-    u, v = np.repeat(np.arange(n), adj.shape[1]), adj.ravel()
-    ok = v >= 0
-    code = np.unique(np.concatenate([u[ok] * n + v[ok], v[ok] * n + u[ok]]))
-    u, v = code // n, code % n
-    place = np.arange(len(u)) - np.searchsorted(u, np.arange(n))[u]
-    out = np.full((n, width), -1, np.int64)
-    keep = (place < width) & (u != v)
-    out[u[keep], place[keep]] = v[keep]
-    return out
-
-
-def _medoids(x: np.ndarray, k: int = 8) -> np.ndarray:
-    c = _centroids(x[:: max(1, len(x) // SAMPLE)], k)
-    return np.unique(np.argmax(c @ x.T, 1))
+        centres = checkpoint(sample.select("shard", "n", "r", "v", "own").groupBy("shard").applyInPandas(split, "shard string, centres array<double>"))
+        whole.append(at.join(centres, "shard", "left_anti").select("node", "label", "v", "shard", "own"))
+        at = at.join(centres, "shard").select("shard", "node", "label", "v", "own", "centres").mapInArrow(deal, schema)
+        if centres.isEmpty():
+            break
+    else:
+        whole.append(at)
+    return reduce(DataFrame.union, whole)
+
+
+def _join(low: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """low (the smallest row known to be reachable from each) after the links p - q."""
+    while True:
+        a, b = low[p], low[q]
+        apart = a != b
+        if not apart.any():
+            return low
+        p, q, a, b = p[apart], q[apart], a[apart], b[apart]
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while ((new := low[low]) != low).any():
+            low = new
 
 
-def range_search(x: np.ndarray, adj: np.ndarray, threshold: float, beam: int) -> np.ndarray:
-    """Ordered pairs (query * n + hit) of rows with cosine >= threshold, found by a greedy beam from the medoids and expansion of the
-    range. All rows are queries, in blocks."""
-    n = len(x)
-    starts = _medoids(x)
-    found = []
-    for a in range(0, n, 256):
-        q = x[a : a + 256]
-        m = len(q)
-        pool = np.broadcast_to(starts, (m, len(starts))).copy()
-        sim = q @ x[starts].T
-        done = np.zeros(pool.shape, bool)
-        rows = np.arange(m)
-        for _ in range(2 * beam):
-            open_sim = np.where(done, -2, sim)
-            pick = np.argmax(open_sim, 1)
-            if not (open_sim[rows, pick] > -2).any():
-                break
-            node = np.where(open_sim[rows, pick] > -2, pool[rows, pick], -1)
-            done[rows, pick] = True
-            near = np.where(node[:, None] >= 0, adj[node], -1)
-            ns = np.where(near >= 0, np.einsum("md,mkd->mk", q, x[near]), -2.0)
-            pool, sim, done = np.concatenate([pool, near], 1), np.concatenate([sim, ns], 1), np.concatenate([done, near < 0], 1)
-            order = np.lexsort((~done, pool), axis=1)
-            pool, sim, done = (np.take_along_axis(v, order, 1) for v in (pool, sim, done))
-            sim[:, 1:][pool[:, 1:] == pool[:, :-1]] = -3  # the same node again: the expanded copy stays
-            best = np.argsort(-sim, 1, kind="stable")[:, :beam]
-            pool, sim, done = (np.take_along_axis(v, best, 1) for v in (pool, sim, done))
-            done |= sim <= -2
-        r, c = np.nonzero(sim >= threshold)
-        seen = np.unique((a + r) * n + pool[r, c])
-        front = seen
-        while len(front):
-            new = []
-            for b in range(0, len(front), 50_000):
-                f = front[b : b + 50_000]
-                qs, nb = np.repeat(f // n, adj.shape[1]), adj[f % n].ravel()
-                code = np.unique((qs * n + nb)[nb >= 0])
-                code = code[~np.isin(code, seen, assume_unique=True)]
-                for e in range(0, len(code), 200_000):
-                    part = code[e : e + 200_000]
-                    new.append(part[np.einsum("md,md->m", x[part // n], x[part % n]) >= threshold])
-            front = np.setdiff1d(np.unique(np.concatenate(new)) if new else front[:0], seen, assume_unique=True)
-            seen = np.union1d(seen, front)
-        found.append(seen)
-    code = np.concatenate(found) if found else np.zeros(0, np.int64)
-    code = np.unique(np.concatenate([code, (code % n) * n + code // n]))  # a link found from either end
-    return code[code // n != code % n]
+def compare(x: np.ndarray, weight: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row, and the smallest row reachable, by all pairs of a row in left and one in right of which one is owned. Left and
+    right are the same rows or have none in common."""
+    links, low = np.zeros(len(x), np.int64), np.arange(len(x))
+    same = np.array_equal(left, right)
+    y = x[right].T.copy()
+    for a in range(0, len(left), 256):
+        rows = left[a : a + 256]
+        i, k = np.nonzero(x[rows] @ y >= threshold)
+        p, q = rows[i], right[k]
+        keep = (own[p] | own[q]) & (p != q)
+        p, q = p[keep], q[keep]
+        links += np.bincount(p, weight[q], len(x)).astype(np.int64)
+        if not same:
+            links += np.bincount(q, weight[p], len(x)).astype(np.int64)
+        low = _join(low, p, q)
+    return links, low
 
 
 def embedding_dedup(
-    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, limit: int = 1500, degree: int = 24, beam: int = 64, alpha: float = 1.2
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, limit: int = 1500
 ) -> DataFrame:
     """id_col, n_links, component_id, kept for every vector."""
     small_batches(vectors.sparkSession, 2000)
@@ -204,52 +151,21 @@ def embedding_dedup(
     good = v.where("ok")
     classes = checkpoint(good.groupBy("label", "v").agg(F.min("id").alias("node"), F.count("*").alias("m"), F.first("norm").alias("norm")))
     nodes = classes.select("node", "label", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
-    label = nodes.schema["label"].dataType.simpleString()
-    at = shards(nodes, limit).join(classes.select("node", "m"), "node")
-    held = at.groupBy("node").agg(F.array_sort(F.collect_set("shard")).alias("shards"))
-    at = checkpoint(at.join(held, "node"))
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf.v.map(len) == len(pdf.v.iloc[0])].sort_values("node")
-        adj = _with_reverse(robust_graph(np.stack(pdf.v.to_numpy()), degree, alpha), 2 * degree)
-        ids = pdf.node.to_numpy()
-        return pd.DataFrame({"node": ids, "near": [ids[a[a >= 0]].tolist() for a in adj]})
-
-    lists = at.select("shard", "node", "v").groupBy("shard").applyInPandas(build, "node long, near array<long>")
-    union = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most SHARDS_PER_NODE lists
+    at = checkpoint(shards(nodes, limit, threshold))
+    sizes = at.groupBy("shard").agg(F.ceil(F.count("*") / (BLOCK * limit)).alias("blocks"), F.count_if("own").alias("owned")).where("owned > 0")
+    at = at.join(sizes, "shard").join(classes.select("node", "m"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    at = at.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    at = at.select("shard", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "v", "m", "own")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf.v.map(len) == len(pdf.v.iloc[0])].sort_values("node").reset_index(drop=True)
-        x, ids, weight = np.stack(pdf.v.to_numpy()), pdf.node.to_numpy(), pdf.m.to_numpy()
-        n, shard = len(x), pdf.shard.iloc[0]
-        near = [np.asarray(a, np.int64) for a in pdf.near]
-        width = max(1, *(len(a) for a in near)) if n else 1
-        adj = np.full((n, width), -1, np.int64)
-        for i, a in enumerate(near):  # of the united lists, what this shard holds
-            k = np.minimum(np.searchsorted(ids, a), n - 1)
-            k = k[ids[k] == a]
-            adj[i, : len(k)] = k
-        code = range_search(x, adj, threshold, beam)
-        p, q = code // n, code % n
-        several = (pdf.shards.map(len) > 1).to_numpy()
-        both = np.flatnonzero(several[p] & several[q])
-        mine = np.ones(len(code), bool)
-        sets = [set(s) for s in pdf.shards]
-        for i in both:
-            mine[i] = min(sets[p[i]] & sets[q[i]]) == shard
-        links = np.bincount(p[mine], weight[q[mine]], n).astype(np.int64)
-        low = np.arange(n)  # the smallest row reachable inside the shard
-        while True:
-            new = low.copy()
-            np.minimum.at(new, p, low[q])
-            new = new[new]
-            if (new == low).all():
-                break
-            low = new
-        return pd.DataFrame({"node": ids, "links": links, "low": ids[low]})
-
-    hits = at.join(union, "node").select("shard", "node", "v", "m", "shards", "near").groupBy("shard").applyInPandas(search, "node long, links long, low long")
-    hits = checkpoint(hits)
+        pdf = pdf.sort_values("node")
+        ids, own = pdf.node.to_numpy(), pdf.own.to_numpy(bool)
+        left, right = (np.flatnonzero((pdf.block == pdf[k]).to_numpy()) for k in ("a", "b"))
+        links, low = compare(np.stack(pdf.v.to_numpy()), pdf.m.to_numpy(), own, left, right, threshold)
+        says = own | (low != np.arange(len(low)))
+        return pd.DataFrame({"node": ids, "links": np.where(own, links, 0), "low": ids[low]})[says]
+
+    hits = checkpoint(at.groupBy("shard", "a", "b").applyInPandas(search, "node long, links long, low long"))
     comp = components(hits.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")))
     per_node = hits.groupBy("node").agg(F.sum("links").alias("links")).join(comp, "node", "left")
     per_class = classes.join(per_node, "node", "left").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))

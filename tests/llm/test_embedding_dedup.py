@@ -1,5 +1,5 @@
 import numpy as np
-from lodestream.llm.embedding_dedup import audit_recall, embedding_dedup
+from lodestream.llm.embedding_dedup import audit_recall, embedding_dedup, shards
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node int"
 
@@ -66,3 +66,31 @@ def test_links_and_components(spark):
 
 def test_empty_table(spark):
     assert embedding_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def clusters():
+    """Two labels of far clusters of near clusters, pairs across cell borders, and a ball of unequal near copies."""
+    r = np.random.default_rng(5)
+    out = []
+    for lab in (0, 1):
+        for _ in range(5):
+            far = r.normal(size=16)
+            for _ in range(4):
+                near = far + r.normal(size=16) * 0.25
+                out += [(near + r.normal(size=16) * 0.2, lab) for _ in range(15)]
+        out += [(r.normal(size=16), lab) for _ in range(20)]
+    ball = r.normal(size=16)
+    out += [(ball + r.normal(size=16) * 0.15, 1) for _ in range(150)]
+    return [(i, v.astype(np.float32).tolist(), lab) for i, (v, lab) in enumerate(out)]
+
+
+def test_split_path_equals_brute_force(spark):
+    data = clusters()
+    df = spark.createDataFrame([(*x, 7) for x in data], SCHEMA).repartition(4)
+    unit = [(i, lab, (np.asarray(v) / np.linalg.norm(v)).tolist()) for i, v, lab in data]
+    at = shards(spark.createDataFrame(unit, "node long, label int, v array<double>"), 20, 0.93)
+    assert at.where("own").count() == len(data) and at.where("own").select("node").distinct().count() == len(data)
+    assert max(r.shard.count(".") for r in at.collect()) > 1  # several levels
+    out = embedding_dedup(df, limit=20)  # the ball is cut into blocks
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == brute(data)
+    assert audit_recall(df, out, every=1).collect()[0].recall == 1.0
