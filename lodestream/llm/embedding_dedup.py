@@ -11,7 +11,8 @@
 
 The bound and the blocks leave nothing out; where clusters are missing, comparisons grow with the square of a label's size.
 
-`audit_recall` holds the counts of the nodes whose id is divisible by `every` against a scan of all vectors.
+`audit_recall` holds the counts of the nodes whose id is divisible by `every` against a scan of all vectors;
+`audited`, the registered path, does so for every result.
 
 Defined results: null, empty, zero or non-finite vectors and vectors of a null label link with nothing and are their own component;
 vectors of different lengths never link. Ties and repeated rows: equal vectors link with each other. Rows that repeat an id are
@@ -20,6 +21,7 @@ each counted. Other columns play no part; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,6 +34,9 @@ from pyspark.sql import functions as F
 from .common import checkpoint, small_batches
 from .components import components
 
+log = logging.getLogger(__name__)
+
+LEAST_RECALL = 0.95  # a result that the audit finds below it is not returned
 SAMPLE = 512
 BLOCK = 4  # a block of an unsplit shard holds about so many times the limit
 LEVELS = 6  # of splitting; what is large after them is compared in blocks
@@ -175,20 +180,42 @@ def embedding_dedup(
 
 
 def audit_recall(vectors: DataFrame, result: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, every: int = 100, queries: int = 2000) -> DataFrame:
-    """One row: links that a scan of all vectors finds for the queries (ids divisible by `every`, at most `queries` of them), links
-    found, and recall. The queries' vectors go to every task; their number is bounded."""
-    q = vectors.where(F.col(id_col) % every == 0).orderBy(id_col).limit(queries).select(id_col, label_col, vector_col).toPandas()
-    q = q[[v is not None and len(v) > 0 and np.all(np.isfinite(np.asarray(v, float))) and np.linalg.norm(v) > 0 for v in q[vector_col]]]
-    by = {k: (g[id_col].to_numpy(), np.stack([np.asarray(v, float) / np.linalg.norm(np.asarray(v, float)) for v in g[vector_col]])) for k, g in q.groupby(label_col)}
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if k in by and v and None not in v and len(v) == by[k][1].shape[1] and np.isfinite(v).all() and (n := np.linalg.norm(v)) > 0:
-                    hit = by[k][0][(by[k][1] @ (np.asarray(v) / n) >= threshold) & (by[k][0] != i)]
-                    if len(hit):
-                        yield pa.RecordBatch.from_pydict({id_col: pa.array(hit.astype(np.int64))})
-
-    true = vectors.select(F.col(id_col).cast("long"), label_col, F.col(vector_col).cast("array<double>")).mapInArrow(scan, f"{id_col} long").groupBy(id_col).agg(F.count("*").alias("true_links"))
-    both = true.join(result.select(id_col, "n_links"), id_col)
-    return both.agg(F.sum("true_links").alias("true_links"), F.sum(F.least("n_links", "true_links")).alias("found")).withColumn("recall", F.coalesce(F.col("found") / F.col("true_links"), F.lit(1.0)))
+    """One row: links that a scan of all vectors finds for the queries (all ids divisible by `every` that stand once), links found, and
+    recall. The queries go to every task in blocks of about `queries`, one block after the other."""
+    spark = vectors.sparkSession
+    every_row = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    once = checkpoint(every_row.where(F.col("id") % every == 0).groupBy("id").agg(F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v")).where("n = 1 and label is not null and v is not null"))
+    blocks = -(-once.count() // queries)
+    links = result.select(F.col(id_col).cast("long").alias("id"), "n_links")
+    true_links = found = 0
+    for block in range(blocks):
+        q = once.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()
+        q = q[[len(v) > 0 and np.all(np.isfinite(np.asarray(v, float))) and 0 < np.linalg.norm(np.asarray(v, float)) < np.inf for v in q.v]]
+        q["len"] = q.v.map(len)
+        by = {k: (g["id"].to_numpy(np.int64), np.stack([np.asarray(v, float) / np.linalg.norm(np.asarray(v, float)) for v in g.v])) for k, g in q.groupby(["label", "len"])}
+
+        def scan(batches: Iterator[pa.RecordBatch], by=by) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hits = []
+                for i, k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    if v and (k, len(v)) in by and None not in v and np.isfinite(v).all() and 0 < (n := np.linalg.norm(v)) < np.inf:
+                        ids, x = by[k, len(v)]
+                        hits.append(ids[(x @ (np.asarray(v) / n) >= threshold) & (ids != i)])
+                if hits:
+                    ids, n = np.unique(np.concatenate(hits), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(ids.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
+
+        true = every_row.where("id is not null").mapInArrow(scan, "id long, n long").groupBy("id").agg(F.sum("n").alias("true_links"))
+        r = true.join(links, "id").agg(F.sum("true_links").alias("t"), F.sum(F.least("n_links", "true_links")).alias("f")).collect()[0]
+        true_links, found = true_links + (r.t or 0), found + (r.f or 0)
+    return spark.createDataFrame([(true_links, found, found / true_links if true_links else 1.0)], "true_links long, found long, recall double")
+
+
+def audited(vectors: DataFrame) -> DataFrame:
+    """embedding_dedup by the default columns, held against a scan for every hundredth id before it is returned."""
+    out = checkpoint(embedding_dedup(vectors))
+    row = audit_recall(vectors, out).collect()[0]
+    log.info("recall %.6f: %d of %d links of the audited ids", row.recall, row.found, row.true_links)
+    if row.recall < LEAST_RECALL:
+        raise RuntimeError(f"embedding_dedup found {row.found} of {row.true_links} links of the audited ids")
+    return out

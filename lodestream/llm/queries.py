@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .embedding_dedup import embedding_dedup
+from .embedding_dedup import audited
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
@@ -62,7 +62,7 @@ def op5_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_dedup(table(spark, sf_dir, "embeddings"))
+    return audited(table(spark, sf_dir, "embeddings"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from lodestream.llm.embedding_dedup import audit_recall, embedding_dedup, shards
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node int"
@@ -94,3 +95,22 @@ def test_split_path_equals_brute_force(spark):
     out = embedding_dedup(df, limit=20)  # the ball is cut into blocks
     assert {r.vec_id: (r.n_links, r.component_id) for r in out.collect()} == brute(data)
     assert audit_recall(df, out, every=1).collect()[0].recall == 1.0
+
+
+def test_registered_path_is_audited(spark, tmp_path, monkeypatch):
+    import lodestream.llm.embedding_dedup as E
+    from lodestream.llm.queries import op1_embedding_dedup
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(9)
+    ball = r.normal(size=16)
+    data = [(i, (ball + r.normal(size=16) * 0.05).tolist(), 0, 7) for i in range(0, 600, 20)]
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert op1_embedding_dedup(spark, str(tmp_path)).count() == len(data)
+    whole = E.embedding_dedup
+    monkeypatch.setattr(E, "embedding_dedup", lambda v: whole(v).withColumn("n_links", F.lit(1).cast("long")))
+    with pytest.raises(RuntimeError):
+        op1_embedding_dedup(spark, str(tmp_path))
+    df = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    row = audit_recall(df, whole(df), every=20, queries=7).collect()[0]  # several blocks
+    assert row.true_links == 30 * 29 and row.recall == 1.0
