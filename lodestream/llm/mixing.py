@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Time is counted in slots of one block each. With integer shares a_s that add up to the period H, block i of source s is released at
-slot floor(i * H / a_s) and due by ceil((i + 1) * H / a_s); in every slot the released block with the earliest deadline goes. At no
-point has a source had a block more or less than its weight's share of the slots so far. The pattern repeats every H slots, so one
-period is scheduled on the driver (H is a parameter) and every row's place follows from its number within its source.
+Time is counted in slots of one block each. Block i of a source with weight w is released at slot floor(i / w) and due by
+ceil((i + 1) / w); in every slot the released block with the earliest deadline goes. At no point has a source had a block more or less
+than its weight's share of the slots so far. Weights are fractions, exact as they are written, and nothing is rounded or repeated: the
+schedule runs on the driver from the first slot to the last, one slot a block, and is written down in bounded stretches. The driver holds
+one entry a source.
 
 Every document is used at least once: a source that runs out starts again (the next epoch) until the slowest one is through, so
 weights hold to the end and nothing is dropped. Within a source, documents go in the order of a seeded hash of their ids.
@@ -16,12 +17,20 @@ read; other columns, of any name, are kept. An empty table gives an empty result
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 ROWS_PER_BUCKET = 4096
+STRETCH = 250  # periods that are written down at a time
+TOLD = 250_000  # slots, and sources, up to which all tasks are told of them
 
 
 def shares(weights: Mapping, period: int) -> dict:
@@ -42,18 +51,36 @@ def shares(weights: Mapping, period: int) -> dict:
     return out
 
 
-def schedule(share: Mapping) -> list:
-    """The source of every slot of one period."""
-    period = sum(share.values())
-    release = sorted(((i * period // a, -(-(i + 1) * period // a), str(s), s) for s, a in share.items() for i in range(a)), key=lambda x: x[:3])
+def exact(weights: Mapping) -> dict:
+    """The weights as fractions of their sum; floats count as they are written."""
+    w = {s: Fraction(x) if isinstance(x, (int, Fraction)) else Fraction(repr(float(x))) for s, x in weights.items()}
+    total = sum(w.values())
+    if w and (total <= 0 or min(w.values()) <= 0):
+        raise ValueError("weights must be positive")
+    return {s: x / total for s, x in w.items()}
+
+
+def slots(weights: Mapping) -> Iterator:
+    """The source of every slot, without end."""
+    w = exact(weights)
+    names = sorted(w, key=lambda s: (s is not None, str(s)))
+    up, down = [w[s].numerator for s in names], [w[s].denominator for s in names]
+    waiting = [(0, k, 0) for k in range(len(names))]  # release, source, block
     ready: list = []
-    out, k = [], 0
-    for slot in range(period):
-        while k < len(release) and release[k][0] <= slot:
-            heapq.heappush(ready, (release[k][1], release[k][2], k))
-            k += 1
-        out.append(release[heapq.heappop(ready)[2]][3])
-    return out
+    slot = 0
+    while names:
+        while waiting and waiting[0][0] <= slot:
+            _, k, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * down[k] // up[k]), k, i))
+        _, k, i = heapq.heappop(ready)
+        heapq.heappush(waiting, ((i + 1) * down[k] // up[k], k, i + 1))
+        yield names[k]
+        slot += 1
+
+
+def schedule(share: Mapping) -> list:
+    """The source of every slot of one period of integer shares."""
+    return list(islice(slots(share), sum(share.values())))
 
 
 def mix_sources(
@@ -69,47 +96,50 @@ def mix_sources(
     into: tuple[str, str] = ("mix_position", "mix_epoch"),
 ) -> DataFrame:
     """The rows of docs with their place in the mix and the epoch of their source. Without weights: each source's share of the rows,
-    blended with `uniform` parts of equal shares."""
+    blended with `uniform` parts of equal shares. The schedule is written down in stretches of STRETCH * period slots."""
     spark = docs.sparkSession
     pos, epoch = into
     tag = "_" + "_".join([*docs.columns, *into])  # prefix of our own columns: longer than any of theirs
     c = lambda name: tag + name
     h = F.xxhash64(F.lit(seed), F.col(id_col))
-    counts = docs.groupBy(source_col).agg(F.count("*").alias("n")).limit(period + 1).collect()
-    n = {r[0]: r[1] for r in counts}
-    if len(n) > period:
-        raise ValueError(f"more than {period} sources")
+    n = {r[0]: r[1] for r in docs.groupBy(source_col).agg(F.count("*").alias("n")).collect()}  # one row a source
     total = sum(n.values())
     if weights is None:
-        weights = {s: (1 - uniform) * k / total + uniform / len(n) for s, k in n.items()}
+        part = Fraction(repr(float(uniform)))
+        weights = {s: (1 - part) * k / total + part / len(n) for s, k in n.items()}
     missing = [s for s in n if not weights.get(s)]
     if missing:
         raise ValueError(f"no weight for the sources {missing[:5]}: leave them out of the input, or give them one")
-    share = shares({s: weights[s] for s in n}, period) if n else {}
-    slots: dict = {s: [] for s in share}
-    for slot, s in enumerate(schedule(share)):
-        slots[s].append(slot)
-
-    def slot_of(s, row: int) -> int:
-        b = row // block
-        return b // share[s] * period + slots[s][b % share[s]]
-
-    end = max((slot_of(s, n[s] - 1) + 1 for s in n), default=0)  # in slots
-    of = {s: i for i, s in enumerate(sorted(share, key=lambda s: (s is not None, str(s))))}
-    info = spark.createDataFrame([(s, i, n[s], share[s], -(-end // period) * share[s] * block // n[s] + 1) for s, i in of.items()], f"{c('s')} {docs.schema[source_col].dataType.simpleString()}, {c('k')} int, {c('n')} long, {c('a')} int, {c('epochs')} long")
-    table = spark.createDataFrame([(of[s], r, x) for s in of for r, x in enumerate(slots[s])], f"{c('k')} int, {c('r')} int, {c('slot')} int")
+    of = {s: i for i, s in enumerate(sorted(n, key=lambda s: (s is not None, str(s))))}
+    path = f"{shared_dir(spark)}/lodestream/{uuid.uuid4().hex}"
+    kinds = f"{c('k')} int, {c('blk')} long, {c('at')} long"
+    order, used, wanted = slots({s: weights[s] for s in n}), dict.fromkeys(n, 0), {s: -(-k // block) for s, k in n.items()}
+    open_, end = len(n), 0
+    while open_:  # until every source has had all its blocks
+        k, blk = [], []
+        for s in islice(order, STRETCH * period):
+            k.append(of[s])
+            blk.append(used[s])
+            used[s] += 1
+            open_ -= used[s] == wanted[s]
+            if not open_:
+                break
+        stretch = pa.table({c("k"): pa.array(k, pa.int32()), c("blk"): pa.array(blk, pa.int64()), c("at"): pa.array(range(end, end + len(k)), pa.int64())})
+        spark.createDataFrame(stretch, kinds).write.mode("append").parquet(path)
+        end += len(k)
+    table = spark.read.schema(kinds).parquet(path) if end else spark.createDataFrame([], kinds)
+    table = F.broadcast(table) if end <= TOLD else table
+    info = spark.createDataFrame([(s, i, n[s], -(-used[s] * block // n[s])) for s, i in of.items()], f"{c('s')} {docs.schema[source_col].dataType.simpleString()}, {c('k')} int, {c('n')} long, {c('epochs')} long")
+    info = F.broadcast(info) if len(n) <= TOLD else info
 
     buckets = max(1, -(-total // ROWS_PER_BUCKET))
-    known = docs.withColumn(c("h"), h).withColumn(c("b"), F.pmod(F.col(c("h")), F.lit(buckets))).join(F.broadcast(info), F.col(source_col).eqNullSafe(F.col(c("s"))))
+    known = docs.withColumn(c("h"), h).withColumn(c("b"), F.pmod(F.col(c("h")), F.lit(buckets))).join(info, F.col(source_col).eqNullSafe(F.col(c("s"))))
     sizes = docs.select(F.col(source_col).alias(c("s")), F.pmod(h, F.lit(buckets)).alias(c("b"))).groupBy(c("s"), c("b")).agg(F.count("*").alias(c("m")))
     w = Window.partitionBy(c("s")).orderBy(c("b"))  # one row a bucket
-    offsets = sizes.join(F.broadcast(info.select(c("s"), c("k"))), sizes[c("s")].eqNullSafe(info[c("s")])).select(sizes[c("s")], c("k"), c("b"), c("m")).withColumn(c("off"), F.sum(c("m")).over(w) - F.col(c("m"))).select(c("k"), c("b"), c("off"))
+    offsets = sizes.join(info, sizes[c("s")].eqNullSafe(info[c("s")])).select(sizes[c("s")], c("k"), c("b"), c("m")).withColumn(c("off"), F.sum(c("m")).over(w) - F.col(c("m"))).select(c("k"), c("b"), c("off"))
     own: Column = F.row_number().over(Window.partitionBy(c("k"), c("b")).orderBy(c("h"), id_col)) - 1
     numbered = known.withColumn(c("rn"), own).join(offsets, [c("k"), c("b")])
     each = numbered.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), F.col(c("epochs")) - 1)))
     row = F.col(epoch) * F.col(c("n")) + F.col(c("off")) + F.col(c("rn"))
-    each = each.withColumn(c("row"), row).withColumn(c("blk"), F.expr(f"`{c('row')}` div {block}"))
-    each = each.withColumn(c("r"), (F.col(c("blk")) % F.col(c("a"))).cast("int")).join(F.broadcast(table), [c("k"), c("r")])
-    slot = F.expr(f"`{c('blk')}` div `{c('a')}`") * period + F.col(c("slot"))
-    each = each.withColumn(c("at"), slot).where(F.col(c("at")) < end)
+    each = each.withColumn(c("row"), row).withColumn(c("blk"), F.expr(f"`{c('row')}` div {block}")).join(table, [c("k"), c("blk")])
     return each.select(*[F.col(f"`{x}`") for x in docs.columns], (F.col(c("at")) * block + F.col(c("row")) % block).alias(pos), epoch)

@@ -36,3 +36,19 @@ def test_empty_and_missing_weight(spark):
     assert mix_sources(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mix_sources(df, {"b": 1.0})
+
+
+def test_exact_weights_and_many_sources(spark):
+    sizes = {"a": 9001, "b": 2003, "c": 997, "d": 13}  # weights that no thousandths hold
+    df = spark.createDataFrame([(i, s) for s, k in sizes.items() for i in range(k)], "doc_id long, source string").repartition(3)
+    got = mix_sources(df, block=1, period=10).orderBy("mix_position").collect()  # in several stretches
+    assert [r.mix_position for r in got] == list(range(len(got)))
+    assert Counter(r.source for r in got if r.mix_epoch == 0) == sizes
+    total, seen = sum(sizes.values()), Counter()
+    for t, r in enumerate(got, 1):
+        seen[r.source] += 1
+        assert all(abs(seen[s] - t * (0.8 * k / total + 0.05)) < 1 + 1e-9 for s, k in sizes.items())
+    many = spark.createDataFrame([(i, f"s{i % 1203}") for i in range(2500)], "doc_id long, source string")
+    out = mix_sources(many)
+    assert out.where("mix_epoch = 0").select("doc_id").distinct().count() == 2500
+    assert out.select("mix_position").distinct().count() == out.count()
