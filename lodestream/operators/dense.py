@@ -1,4 +1,4 @@
-"""Dense retrieval: exact top-k of a bounded batch of queries against a table of vectors, with metadata filters pushed below it."""
+"""Dense retrieval: exact top-k of a batch of queries, in bounded blocks, against a table of vectors, with metadata filters pushed below it."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.vector import score
 from .ranking import top_k
 
-MAX_QUERIES = 10_000  # told to every task
+MAX_QUERIES = 10_000  # a block of queries, told to every task
 
 
 class MetadataFilter(NamedTuple):
@@ -48,9 +48,15 @@ def filtered(df: DataFrame, filters: Sequence[MetadataFilter] = (), equal: Mappi
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "cosine", filters: Sequence[MetadataFilter] = (), threshold: float | None = None) -> DataFrame:
-    """vectors (chunk_id, embedding, ...), queries (query_id, vector). The queries are a stated set of at most MAX_QUERIES rows; all of
-    them are told to every task, and each vector is scored where it is read. More are answered by calling again."""
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one batch")
-    pairs = filtered(vectors, filters).join(F.broadcast(queries.select("query_id", "vector")))
-    return top_k(pairs.select("query_id", "chunk_id", score(F.col("vector"), F.col("embedding"), metric).alias("score")), k, threshold=threshold)
+    """vectors (chunk_id, embedding, ...), queries (query_id, vector). Queries are answered in blocks of about MAX_QUERIES, dealt by a hash
+    of their id; a block is told to every task, and each vector is scored where it is read."""
+    blocks = -(-queries.count() // MAX_QUERIES)
+    rows = filtered(vectors, filters)
+
+    def answered(q: DataFrame) -> DataFrame:
+        pairs = rows.join(F.broadcast(q.select("query_id", "vector")))
+        return top_k(pairs.select("query_id", "chunk_id", score(F.col("vector"), F.col("embedding"), metric).alias("score")), k, threshold=threshold)
+
+    if blocks <= 1:
+        return answered(queries)
+    return reduce(DataFrame.union, [answered(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)) for b in range(blocks)])

@@ -10,6 +10,7 @@ from lodestream.functions import text as T
 from lodestream.operators import cache as K
 from lodestream.operators import context as X
 from lodestream.operators import dedup as D
+from lodestream.operators import dense as N
 from lodestream.operators import diversity as V
 from lodestream.operators import graph as G
 from lodestream.operators import queries as Q
@@ -148,6 +149,16 @@ def test_shingles(spark):
     assert [r.x for r in df.select(T.word_shingles(F.col("t")).alias("x")).collect()] == [[], ["ab"], ["abcab"]]
 
 
+def test_dense_blocks(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    v = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(30)], "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(25)], "query_id long, vector array<double>")
+    whole = sorted(N.dense_top_k(v, q, 3).collect())
+    monkeypatch.setattr(N, "MAX_QUERIES", 10)
+    assert sorted(N.dense_top_k(v, q, 3).collect()) == whole and len(whole) == 75
+    assert len(N.dense_top_k(v, q.limit(0), 3).collect()) == 0
+
+
 def test_citation_spans_of_all_items_and_whole_texts(spark, tmp_path):
     spark.createDataFrame([(3, "x" * 50), (1002, "see [Source 4] here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {}
