@@ -100,7 +100,7 @@ def dedup_simhash_results(spark, d):
 @query("dedup_minhash_results")
 def dedup_minhash_results(spark, d):
     r = _ranked(spark, d, 5)
-    s = D.minhash_rows(r.select("chunk_id", "content").distinct(), "content", "chunk_id", 32)
+    s = D.minhash_rows(r.select("chunk_id", "content").distinct(), "content", "chunk_id")
     return D.greedy_by_minhash(r.join(s, "chunk_id"))
 
 

@@ -166,3 +166,36 @@ def test_citation_spans_of_all_items_and_whole_texts(spark, tmp_path):
         got.setdefault(r.item_id, []).append(r.asDict())
     assert set(got) == {3, 1002} and len(got[3]) == 2 and len(got[1002]) == 3
     assert min(r["start"] for r in got[3]) == 51
+
+
+def test_minhash_results_use_all_permutations(spark, tmp_path):
+    import hashlib
+
+    from lodestream.plans import text_ops as O
+
+    r = np.random.default_rng(4)
+    base = [["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)] for _ in range(6)]
+    docs = []
+    for g, words in enumerate(base):  # shingles of the copies overlap by about 0.8
+        for j in range(5):
+            docs.append((g * 5 + j, " ".join([f"topic{g}x"] + words[: 40 - j] + ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(j)]), "en", "s"))
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(g, f"topic{g}x") for g in range(6)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def signature(t, seeds):
+        return [min(int(hashlib.md5(i.to_bytes(4, "little") + t[k : k + 3].encode()).hexdigest()[:8], 16) for k in range(len(t) - 2)) for i in range(seeds)]
+
+    ranked = sorted((x.query_id, x["rank"], x.content) for x in O._ranked(spark, str(tmp_path), 5).collect())
+
+    def brute(seeds):
+        out, kept = set(), {}
+        for q, k, t in ranked:
+            s = np.array(signature(t, seeds))
+            home = next((h for h, y in kept.setdefault(q, []) if np.mean(s == y) >= 0.8), None)
+            if home is None:
+                kept[q].append((k, s))
+            out.add((q, k, k if home is None else home))
+        return out
+
+    got = {(x.query_id, x["rank"], x.kept_as) for x in O.dedup_minhash_results(spark, str(tmp_path)).collect()}
+    assert got == brute(128) != brute(32)
