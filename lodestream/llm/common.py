@@ -5,6 +5,7 @@ Words are maximal runs of bytes other than space and \\t..\\r, so a word never s
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import uuid
 
@@ -28,6 +29,19 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for what runs inside; the caller's come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: every input bit reaches every output bit."""
     x = np.asarray(x, np.uint64).copy()

@@ -1,16 +1,17 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-A text is cut into units where no piece of the model can cross: before the first of a run of word marks, and around white space that
-stands in no longer piece. Distinct units are exploded into their substrings of bounded length, equi-joined to the piece table, and
-the matches, grouped by unit, are the edges of its lattice. A fold over the edges then segments the unit:
+A text is cut into units where no piece of the model can cross: between two characters that stand side by side in no piece. Distinct
+units are exploded into their substrings of bounded length, equi-joined to the piece table, and the matches, grouped by unit, are the
+edges of its lattice. A fold over the edges then segments the unit:
 
 * unigram models: Viterbi, edges by end, keeping the best score and last piece of every prefix;
 * BPE models, whose scores are merge ranks and no likelihoods, so that Viterbi would not give the model's segmentation: edges by rank,
   each merged if exactly two tokens of the present segmentation make it up. Should a merge allow one of better rank, which this order
   has passed, the unit goes to an exact priority queue over the same edges, and so do units of more than 60 characters.
 
-The FREQUENT most frequent units (a fixed bound) are told to all tasks; the rest meet their documents in blocks: (block, unit) pairs are
-joined to the dictionary by unit and brought back to the block, whose texts travel once, compressed.
+Texts are then written once as blocks of word numbers: a block has its distinct words as runs of unit numbers. Units up to a bounded
+number of the most frequent ones are told to all tasks; a block carries the list of its other units, which are joined to the dictionary
+by unit and brought back to their block.
 
 Defined results: null text gives null ids, empty text no ids. Characters that no piece has are given as bytes if the model has byte
 pieces, else as the unknown id. Special tokens in a text are ordinary text. Decoding gives back the text as the model normalises it
@@ -24,20 +25,22 @@ from __future__ import annotations
 import heapq
 import re
 import struct
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_batches
+from .common import checkpoint, settings, small_batches
 
 MARK = "▁"
-FREQUENT = 1 << 17
+FREQUENT = 1 << 17  # units told to all tasks, of at most LONGEST characters each
+STRETCH = 1 << 20  # words whose ids are put together at once
+BLOCK_BYTES = 32 << 20  # of the texts that travel as one row; a single longer text is a block of its own
 LONGEST = 60  # characters of a unit whose cuts fit into 64 bits
 LONGEST_VITERBI = 256  # characters of a unit whose prefixes are folded as an array
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -97,14 +100,6 @@ class Model:
     def normal(self) -> list[tuple[str, int, float]]:
         return [(p, i, s) for i, (p, s, t) in enumerate(self.pieces) if t == NORMAL]
 
-    def unit_pattern(self) -> re.Pattern:
-        """Units of a marked text: no piece crosses from one to the next."""
-        long = [p for p, _, _ in self.normal() if len(p) > 1]
-        if any(re.search(f"[^{MARK}]{MARK}", p) for p in long):
-            raise ValueError("a piece holds a word mark inside")
-        alone = "".join(c for c in "\n\t\r" if not any(c in p for p in long))
-        return re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
-
     def decode(self, ids: np.ndarray) -> str:
         return self.decoder()(ids)
 
@@ -122,6 +117,91 @@ class Model:
         return decode
 
 
+WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+
+
+class Cutter:
+    """Cuts texts into words and words into units: no piece crosses from one to the next."""
+
+    def __init__(self, model: Model) -> None:
+        pieces = [p for p, _, _ in model.normal()]
+        if any(re.search(f"[^{MARK}]{MARK}", p) for p in pieces):
+            raise ValueError("a piece holds a word mark inside")
+        inner = sorted({c for p in pieces if len(p) > 1 for c in p})
+        self.kind = np.zeros(0x110000, np.uint16)  # 0: never beside another character in a piece
+        self.kind[[ord(c) for c in inner]] = np.arange(1, len(inner) + 1)
+        self.joined = np.zeros((len(inner) + 1, len(inner) + 1), bool)
+        for p in pieces:
+            for a, b in zip(p, p[1:]):
+                self.joined[self.kind[ord(a)], self.kind[ord(b)]] = True
+        if not model.bpe and not model.byte_ids:  # a run of characters without a piece is one unknown id
+            single = {p for p in pieces if len(p) == 1}
+            lone = np.array([True] + [c not in single for c in inner])
+            self.joined |= np.outer(lone, lone)
+
+    @staticmethod
+    def words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Row numbers of the texts in another order, offsets of their words, and the words: each stands for a mark and itself."""
+        text = pc.fill_null(text.cast(pa.large_string()), "")
+        odd = pc.or_(pc.match_substring(text, "  "), pc.match_substring(text, MARK))
+        for test in (pc.starts_with(text, " "), pc.ends_with(text, " "), pc.equal(text, "")):
+            odd = pc.or_(odd, test)
+        odd = odd.to_numpy(zero_copy_only=False)
+        plain = pc.split_pattern(text.filter(pa.array(~odd)), " ")
+        rest = [[w[1:] for w in WORD.findall(MARK + x.replace(" ", MARK))] if x else [] for x in text.filter(pa.array(odd)).to_pylist()]
+        sizes = np.concatenate([np.diff(plain.offsets.to_numpy()), np.array([len(x) for x in rest], np.int64)])
+        words = pa.concat_arrays([plain.flatten(), pa.array([w for x in rest for w in x], pa.large_string())])
+        return np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]), np.concatenate([[0], np.cumsum(sizes)]), words
+
+    def units(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Offsets of the units of each word, and the units."""
+        marked = pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), words, pa.scalar("", pa.large_string()))
+        if not len(marked):
+            return np.zeros(1, np.int64), marked
+        at = np.frombuffer(marked.buffers()[1], np.int64)[marked.offset : marked.offset + len(marked) + 1]
+        data = marked.buffers()[2].slice(at[0], at[-1] - at[0])
+        codes = np.frombuffer(data.to_pybytes().decode().encode("utf-32-le"), np.uint32)
+        first = np.concatenate([[0], np.cumsum(pc.utf8_length(marked).to_numpy())])
+        kind = self.kind[codes]
+        cut = np.ones(len(codes) + 1, bool)
+        cut[1:-1] = ~self.joined[kind[:-1], kind[1:]]
+        cut[first] = True
+        cuts = np.flatnonzero(cut)
+        byte = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])[cuts]
+        return np.searchsorted(cuts, first), pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(byte.astype(np.int64)), data)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together to blocks of BLOCK_BYTES of text."""
+    held, size = [], 0
+    for b in batches:
+        if held and size + b.column(text).nbytes > BLOCK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if b.num_rows:
+            held.append(b)
+            size += b.column(text).nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def gathered(flat: np.ndarray, off: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[off[i]:off[i + 1]] of every i of index, one after another, and their offsets."""
+    size = off[index + 1] - off[index]
+    out = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.arange(out[-1]) + np.repeat(off[index] - out[:-1], size)], out
+
+
+def one_row(arrays: dict[str, pa.Array | np.ndarray]) -> bytes:
+    """Arrays of any lengths as one compressed row of lists."""
+    lists = {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for k, v in arrays.items()}
+    batch = pa.RecordBatch.from_pydict(lists)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def piece_table(spark: SparkSession, model: Model) -> DataFrame:
     """piece, id, score, rank, risky: whether a piece of better rank has this one at its beginning or end."""
     rows = sorted(model.normal(), key=lambda x: (-x[2], x[1]))
@@ -246,8 +326,6 @@ def dictionary(units: DataFrame, model: Model) -> DataFrame:
     """w, c, ids (packed 32-bit little-endian integers) and lossy (whether decoding does not give w back) of every distinct unit."""
     spark = units.sparkSession
     longest = max(len(p) for p, _, _ in model.normal())
-    # a unit's edges come one after another: hashing up to so many units a task spares sorting all edges by unit
-    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
     seg = segmented(lattice(units.withColumn("n", F.length("w")), piece_table(spark, model), longest), model.bpe, [s for _, s, _ in model.pieces])
     known, unknown, fuse, bpe = model.byte_ids, model.unknown, not model.bpe, model.bpe
     rank = {p: (r, i) for r, (p, i, _) in enumerate(sorted(model.normal(), key=lambda x: (-x[2], x[1])))}
@@ -286,81 +364,101 @@ def dictionary(units: DataFrame, model: Model) -> DataFrame:
     return seg.mapInArrow(finish, "w string, c long, ids binary, lossy boolean")
 
 
+# a unit's edges come one after another: hashing up to so many units a task spares sorting all edges by unit
+HASHED = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000"}
+
+
 def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """id_col, ids, n_tokens, round_trip (whether every unit of the text decodes to itself, a word mark counting as a space)."""
     spark = docs.sparkSession
     with open(model_file, "rb") as f:  # the vocabulary's path is a parameter; the driver tells the model to the tasks
         model = Model.read(f.read())
-    pattern = model.unit_pattern()
+    cutter = Cutter(model)
     small_batches(spark)
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = src.schema["id"].dataType.simpleString()
 
-    def units_of(text: str) -> list[str]:
-        return pattern.findall(MARK + text.replace(" ", MARK)) if text else []
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"w": pa.array(list(seen.keys()), pa.string()), "c": pa.array(list(seen.values()), pa.int64())})
-            seen.clear()
-            return out
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(units_of(t))
-                if len(seen) > 200_000:
-                    yield flush()
-        yield flush()
+        for b in blocks(batches, 0):
+            _, _, words = cutter.words(b.column(0))
+            seen = words.dictionary_encode()
+            off, units = cutter.units(seen.dictionary)
+            times = np.bincount(seen.indices.to_numpy(), minlength=len(seen.dictionary))
+            u = units.dictionary_encode()
+            c = np.bincount(u.indices.to_numpy(), np.repeat(times, np.diff(off)), len(u.dictionary))
+            yield pa.RecordBatch.from_pydict({"w": u.dictionary.cast(pa.string()), "c": pa.array(c.astype(np.int64))})
 
     units = src.select("text").mapInArrow(count, "w string, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    words = checkpoint(dictionary(units, model))
-    top = words.orderBy(F.desc("c"), "w").limit(frequent).toPandas()
-    told = spark.sparkContext.broadcast((dict(zip(top.w, [bytes(x) for x in top.ids])), set(top.w[top.lossy])))
-
-    def block_of(k: int) -> int:
-        return (TaskContext.get().partitionId() << 32) + k
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = told.value[0].keys()
-        for k, b in enumerate(batches):
-            own: set[str] = set()
-            for t in b.column(1).to_pylist():
-                own.update(units_of(t))
-            own -= common
-            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(own), block_of(k))), "w": pa.array(list(own), pa.string())})
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, b in enumerate(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-                out.write_batch(b)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block_of(k)]), "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, common_lossy = told.value
-        for b in batches:
-            for rows, own_w, own_ids, own_lossy in zip(*(b.column(i) for i in range(4))):
-                w, f = own_w.as_py() or [], own_lossy.as_py() or []
-                own = dict(zip(w, own_ids.as_py() or []))
-                lossy = common_lossy | {x for x, y in zip(w, f) if y}
-                for d in pa.ipc.open_stream(rows.as_buffer()):
-                    ids, sizes, null, same = [], [0], [], []
-                    for t in d.column(1).to_pylist():
-                        u = units_of(t)
-                        ids.append(b"".join([common[x] if x in common else own[x] for x in u]))
-                        sizes.append(sizes[-1] + len(ids[-1]) // 4)
-                        null.append(t is None)
-                        same.append(None if t is None else not lossy or lossy.isdisjoint(u))
-                    flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                    lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat, mask=pa.array(null, pa.bool_()))
-                    yield pa.RecordBatch.from_arrays([d.column(0), lists, pa.array(np.diff(sizes).astype(np.int64), mask=np.array(null, bool)), pa.array(same, pa.bool_())], [id_col, "ids", "n_tokens", "round_trip"])
-
-    pairs = src.mapInArrow(rare, "block long, w string").join(words.select("w", "ids", "lossy"), "w")
-    own = pairs.groupBy("block").agg(F.collect_list(F.struct("w", "ids", "lossy")).alias("own")).select("block", F.col("own.w").alias("w"), F.col("own.ids").alias("ids"), F.col("own.lossy").alias("lossy"))
-    blocks = src.mapInArrow(packed, "block long, rows binary")
-    return blocks.join(own, "block", "left").select("rows", "w", "ids", "lossy").mapInArrow(encode, f"{id_col} {id_type}, ids array<int>, n_tokens long, round_trip boolean")
+    with settings(spark, HASHED):
+        known = checkpoint(dictionary(units, model))
+    told = spark.sparkContext.broadcast(most_frequent(known, frequent))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = told.value[0]
+        for k, b in enumerate(blocks(batches, 1)):
+            order, text_off, words = cutter.words(b.column(1))
+            seen = words.dictionary_encode()
+            word_off, units = cutter.units(seen.dictionary)
+            u = units.dictionary_encode()
+            place = pc.index_in(u.dictionary, common)
+            own = u.dictionary.filter(pc.is_null(place))
+            number = pc.fill_null(place, -1).to_numpy().astype(np.int32)
+            number[number < 0] = len(common) + np.arange(len(own), dtype=np.int32)
+            row = one_row({
+                "id": b.column(0).take(pa.array(order)), "null": pc.is_null(b.column(1)).take(pa.array(order)), "text_off": text_off.astype(np.int32),
+                "word": seen.indices, "word_off": word_off.astype(np.int32), "unit": number[u.indices.to_numpy()],
+            })
+            own = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + k]), pa.array([row], pa.binary()), own], ["block", "packed", "own"])
+
+    def encode(block: pa.Table, own: pa.Table) -> pa.Table:
+        common, flat, off, lossy = told.value
+        own = own.sort_by("k")
+        raw = own.column("ids").to_pylist()
+        flat = np.concatenate([flat, np.frombuffer(b"".join(raw), "<i4")])
+        off = np.concatenate([off, off[-1] + np.cumsum([len(x) // 4 for x in raw], dtype=np.int64)])
+        lossy = np.concatenate([lossy, own.column("lossy").to_numpy().astype(bool)])
+        out = []
+        for packed in block.column("packed"):
+            row = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+            col = {c: row.column(c).flatten() for c in row.schema.names}
+            text_off, word, word_off, unit = (col[c].to_numpy() for c in ("text_off", "word", "word_off", "unit"))
+            ids, ends = gathered(flat, off, unit)
+            of_word = ends[word_off]  # offsets of the ids of each distinct word
+            bad = np.concatenate([[0], np.cumsum(lossy[unit])])[word_off]
+            bad = np.concatenate([[0], np.cumsum(np.diff(bad)[word])])[text_off]
+            at = 0
+            while at < len(text_off) - 1:  # a stretch of texts at a time bounds the memory
+                to = max(at + 1, int(np.searchsorted(text_off, text_off[at] + STRETCH, "right")) - 1)
+                got, ends = gathered(ids, of_word, word[text_off[at] : text_off[to]])
+                ends = ends[text_off[at : to + 1] - text_off[at]]
+                null = col["null"].slice(at, to - at)
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(got), mask=null)
+                none = null.to_numpy(zero_copy_only=False)
+                out.append(pa.RecordBatch.from_arrays([col["id"].slice(at, to - at), lists, pa.array(np.diff(ends), mask=none), pa.array(np.diff(bad[at : to + 1]) == 0, mask=none)], [id_col, "ids", "n_tokens", "round_trip"]))
+                at = to
+        return pa.Table.from_batches(out)
+
+    packed = checkpoint(src.mapInArrow(pack, "block long, packed binary, own array<string>"))
+    own = packed.select("block", F.posexplode("own").alias("k", "w")).join(known.select("w", "ids", "lossy"), "w").select(F.col("block").alias("of"), "k", "ids", "lossy")
+    texts = packed.select("block", "packed").groupBy("block").cogroup(own.groupBy("of"))
+    return texts.applyInArrow(encode, f"{id_col} {id_type}, ids array<int>, n_tokens long, round_trip boolean")
+
+
+def most_frequent(known: DataFrame, most: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Up to `most` units as an array, their ids one after another with offsets, and whether each is lossy. Counts are binned, so that
+    the driver gets a few bins and then no more than `most` units."""
+    short = known.where(F.length("w") <= LONGEST).withColumn("bin", F.floor(F.log2("c") * 8))
+    total, least = 0, None
+    for r in sorted(short.groupBy("bin").count().collect(), reverse=True):
+        total += r["count"]
+        if total > most:
+            break
+        least = r.bin
+    top = short.where(F.lit(False) if least is None else F.col("bin") >= least).select("w", "ids", "lossy").toArrow()
+    sizes = pc.binary_length(top.column("ids")).to_numpy() // 4
+    flat = np.frombuffer(b"".join(top.column("ids").to_pylist()), "<i4")
+    return top.column("w").combine_chunks().cast(pa.large_string()), flat, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), top.column("lossy").to_numpy().astype(bool)
 
 
 def sentencepiece_decode(df: DataFrame, model_file: str, *, ids_col: str = "ids", into: str = "text") -> DataFrame:
