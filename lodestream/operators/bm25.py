@@ -1,28 +1,83 @@
-"""Sparse retrieval: a postings table, its statistics, and batched BM25 top-k.
+"""Sparse retrieval: a persisted index of term counts, its statistics, and batched BM25 top-k.
 
-Queries are a DataFrame (query_id, query). The query side of the join is one row per query term; Spark picks its strategy by size, so a
-large batch of queries shuffles on the term like any join.
+The index is built in one pass over the texts: a row a chunk with its distinct terms and their counts, in the chunks' own order, so
+building it shuffles only a count a term. Queries are a DataFrame (query_id, query). Each index row meets the terms of the batch and
+sums its scores where it is read: what is shuffled is one number a query and chunk that share a term, never a posting.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import BM25_STOP, bm25_tokens
 from .ranking import top_k
+from .tables import shared_dir, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def token_lists(chunks: DataFrame, content: str = "content", stop: tuple[str, ...] = BM25_STOP) -> DataFrame:
-    return chunks.withColumn("tokens", bm25_tokens(F.coalesce(F.col(content), F.lit("")), stop))
+    return spread(chunks).withColumn("tokens", bm25_tokens(F.coalesce(F.col(content), F.lit("")), stop))
+
+
+def term_counts(chunks: DataFrame, content: str = "content") -> DataFrame:
+    """(chunk_id, len, terms, tfs): tokens are sorted in their row, and the places where the term changes give its counts."""
+    t = token_lists(chunks, content).select("chunk_id", F.size("tokens").alias("len"), F.array_sort("tokens").alias("tokens"))
+    first = F.expr("filter(sequence(1, size(tokens)), i -> i = 1 or element_at(tokens, i) <> element_at(tokens, i - 1))")
+    t = t.withColumn("at", F.when(F.col("len") > 0, first).otherwise(F.array().cast("array<int>")))
+    tfs = F.expr("transform(at, (x, i) -> coalesce(get(at, i + 1), len + 1) - x)")
+    return t.select("chunk_id", "len", F.transform("at", lambda i: F.element_at("tokens", i)).alias("terms"), tfs.alias("tfs"))
+
+
+class Index(NamedTuple):
+    """chunks (chunk_id, len, terms, tfs), terms (term, df), and the path that both are written under."""
+
+    chunks: DataFrame
+    terms: DataFrame
+    path: str
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str | None = None, content: str = "content") -> Index:
+        spark = chunks.sparkSession
+        path = path or f"{shared_dir(spark)}/lodestream/bm25-{uuid.uuid4().hex}"
+        term_counts(chunks, content).write.parquet(f"{path}/chunks")
+        each = spark.read.parquet(f"{path}/chunks").select(F.explode("terms").alias("term"))
+        each.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+        return cls.load(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Index:
+        return cls(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/terms"), path)
 
+    def stats(self) -> DataFrame:
+        """One row: n chunks, avgdl, total tokens."""
+        return self.chunks.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), F.sum("len").alias("total_tokens"))
 
-def postings(chunks: DataFrame, content: str = "content") -> DataFrame:
-    """(term, chunk_id, tf, len): one row per distinct term of a chunk."""
-    t = token_lists(chunks, content).select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    return t.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    def without(self, ids: DataFrame) -> Index:
+        """The index without the chunks of `ids` (chunk_id); statistics follow."""
+        left = self.chunks.join(ids.select("chunk_id"), "chunk_id", "left_anti")
+        return Index(left, left.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), self.path)
+
+    def idf(self, n: int, epsilon: float = EPSILON) -> DataFrame:
+        return self.terms.withColumn("idf", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(epsilon)))
+
+    def scores(self, queries: DataFrame, *, k1: float = K1, b: float = B) -> DataFrame:
+        """(query_id, chunk_id, score) of every chunk that shares a term; a term counts as often as the query repeats it."""
+        s = self.stats().collect()[0]  # one row
+        n, avgdl = s["n"], s["avgdl"] or 1.0
+        terms = queries.select("query_id", F.explode(bm25_tokens(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        asked = terms.join(self.idf(n).select("term", "idf"), "term").select("term", "query_id", (F.col("qtf") * F.col("idf")).alias("weight"))
+        norm = F.lit(k1) * (1 - b + b * F.col("len") / avgdl)
+        each = self.chunks.select("chunk_id", norm.alias("norm"), F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("chunk_id", "norm", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+        part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + F.col("norm"))
+        return each.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
+
+    def top_k(self, queries: DataFrame, k: int = 10, **kw) -> DataFrame:
+        return top_k(self.scores(queries, **kw), k)
 
 
 def corpus_stats(chunks: DataFrame, content: str = "content") -> DataFrame:
@@ -30,28 +85,13 @@ def corpus_stats(chunks: DataFrame, content: str = "content") -> DataFrame:
     return token_lists(chunks, content).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"), F.sum(F.size("tokens")).alias("total_tokens"))
 
 
-def term_stats(chunks: DataFrame, content: str = "content") -> DataFrame:
+def term_stats(index: Index) -> DataFrame:
     """One row: vocabulary, corpus size, mean length (2 places), total tokens."""
-    vocabulary = postings(chunks, content).select("term").distinct().agg(F.count("*").alias("vocabulary_size"))
-    s = corpus_stats(chunks, content).select(F.col("n").alias("corpus_size"), F.round("avgdl", 2).alias("avg_doc_length"), "total_tokens")
+    vocabulary = index.terms.agg(F.count("*").alias("vocabulary_size"))
+    s = index.stats().select(F.col("n").alias("corpus_size"), F.round("avgdl", 2).alias("avg_doc_length"), "total_tokens")
     return vocabulary.join(F.broadcast(s))  # one row each
 
 
-def idf(post: DataFrame, n: int, epsilon: float = EPSILON) -> DataFrame:
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), F.lit(epsilon)))
-
-
-def bm25_scores(chunks: DataFrame, queries: DataFrame, *, content: str = "content", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, chunk_id, score) of every chunk that shares a term; a term counts as often as the query repeats it."""
-    s = corpus_stats(chunks, content).collect()[0]  # one row
-    n, avgdl = s["n"], s["avgdl"] or 1.0
-    terms = queries.select("query_id", F.explode(bm25_tokens(F.coalesce("query", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    post = postings(chunks, content).join(terms.select("term").distinct(), "term", "left_semi")  # only terms that are asked for
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avgdl))
-    hits = post.join(idf(post, n), "term").withColumn("w", weight).join(terms, "term")
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score")).where("score > 0")
-
-
-def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, **kw) -> DataFrame:
-    return top_k(bm25_scores(chunks, queries, **kw), k)
+def bm25_top_k(chunks: DataFrame, queries: DataFrame, k: int = 10, *, content: str = "content", **kw) -> DataFrame:
+    """Builds an index of the chunks and answers the queries from it."""
+    return Index.build(chunks, content=content).top_k(queries, k, **kw)

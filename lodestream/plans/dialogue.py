@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import bm25 as B
 from ..operators import conversation as C
 from ..operators import evaluation as E
 from ..operators import feedback as FB
 from ..operators import generation as G
 from ..operators import metrics as M
 from .registry import query, table
-from .retrieval import _bm25, asked, chunks
+from .retrieval import _bm25, asked, chunks, index
 
 
 def messages(spark, d):
@@ -139,7 +138,7 @@ def batch_report(spark, d):
 
 def _ranked(spark, d):
     c = chunks(spark, d)
-    return B.bm25_top_k(c, asked(spark, d), 5).join(c.select("chunk_id", "content"), "chunk_id")
+    return index(spark, d).top_k(asked(spark, d), 5).join(c.select("chunk_id", "content"), "chunk_id")
 
 
 @query("prompt_context", f"""

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import advanced as A
-from ..operators import bm25 as B
 from ..operators import queries as Q
 from .registry import query, table
-from .retrieval import asked, chunks
+from .retrieval import asked, chunks, index
 
 ASKS = (
     "What is the {w}?", "how do {w} and {w2} compare to each other", "Explain the concept of {w}", "definition of {w}", "list all cases about {w} since 1999",
@@ -106,14 +105,14 @@ def query_synonyms(spark, d):
 
 
 def _retrieve(spark, d):
-    c = chunks(spark, d)
-    return lambda queries, k: B.bm25_top_k(c, queries, k)
+    found = index(spark, d)
+    return lambda queries, k: found.top_k(queries, k)
 
 
 @query("query_feedback_terms")
 def query_feedback_terms(spark, d):
     c, q = chunks(spark, d), asked(spark, d)
-    hits = B.bm25_top_k(c, q, 3).join(c.select("chunk_id", "content"), "chunk_id")
+    hits = index(spark, d).top_k(q, 3).join(c.select("chunk_id", "content"), "chunk_id")
     return Q.feedback_terms(hits, q).select("query_id", F.array_join("added", " ").alias("added"))
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25 as B
 from ..operators import chunking as C
 from ..operators import context as X
 from ..operators import dedup as D
@@ -13,7 +12,7 @@ from ..operators import diversity as V
 from ..operators import graph as G
 from ..operators.embedding import hash_vector
 from .registry import query, table
-from .retrieval import asked, chunks
+from .retrieval import asked, chunks, index
 
 class _Sql(str):
     """SQL with {0} for a column; other braces stand for themselves."""
@@ -87,7 +86,7 @@ def minhash(spark, d):
 
 def _ranked(spark, d, k=10):
     c, q = chunks(spark, d), asked(spark, d)
-    return B.bm25_top_k(c, q, k).join(c.select("chunk_id", "content"), "chunk_id").join(q, "query_id")
+    return index(spark, d).top_k(q, k).join(c.select("chunk_id", "content"), "chunk_id").join(q, "query_id")
 
 
 @query("dedup_simhash_results")
