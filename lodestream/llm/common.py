@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_dir
+
 SPACES = (0x20, *range(0x09, 0x0E))
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so that powers can be inverted modulo 2**64
@@ -163,17 +165,6 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it names none, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="lodestream-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a Parquet table in the shared folder: survives lost executors, and takes less disk than serialised rows."""
     spark = df.sparkSession
@@ -184,6 +175,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str) -> DataFrame:
+    """As checkpoint, bucketed by a column: grouping or joining by it shuffles only the other side."""
+    spark = df.sparkSession
+    name = f"lodestream_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, column).option("path", f"{shared_dir(spark)}/lodestream/{name}").saveAsTable(name, format="parquet")
+    return spark.table(name)
+
+
 BITMAP = 33_554_393  # bits (4 MB as packed words), a prime: ids that follow one another spread evenly
 
 

@@ -12,9 +12,10 @@ position) of the whole corpus matches it, whether or not that one is removed its
    earliest, so a key needs its minimum and no pairs.
 4. The match of each class with its earliest witness is verified word by word on the lines themselves.
 
-Defined results: null text counts as empty and stays null; rows with a null id are returned unchanged and match nothing. Rows that repeat
-an id are one document for the order of lines; their lines at equal places are each other's copies and stay together. Lines are
-whole, however long. Other columns, of any name, are kept. An empty table gives an empty result.
+Defined results: ids are integers. Null text counts as empty and stays null; rows with a null id are returned unchanged and match
+nothing. Rows that repeat an id with another text are documents of their own, in the order of a hash of their texts; rows that repeat
+id and text are one document, and all of them lose the same lines. Lines are whole, however long. Other columns, of any name, are kept.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,11 +52,20 @@ def whole_key(w: Column) -> Column:
     return F.aggregate(F.transform(w, lambda x, i: F.xxhash64(x, i)), F.lit(0).cast("long"), _xor)
 
 
+def text_place(text: Column) -> Column:
+    """31 bits of a text's hash in the upper half of a long; the lower half takes the number of a line."""
+    return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), 32)
+
+
+def line_number(pos: Column) -> Column:
+    return pos.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
 def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(doc, pos, n, h1, h2, p0, s0, p1, s1) of every line with a word; the last four hash a half of the line, for matches of its own
-    length or one more (0) and of one less (1)."""
-    src = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-    t = src.select("doc", "pos", words(F.col("line")).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
+    """(doc, pos, n, h1, h2, p0, s0, p1, s1) of every line with a word. pos: the text's place plus the number of the line. The last four
+    hash a half of the line, for matches of its own length or one more (0) and of one less (1)."""
+    src = source(docs, id_col, text_col).select("doc", "at", F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    t = src.select("doc", (F.col("at") + F.col("number")).alias("pos"), words(F.col("line")).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
     half = {0: F.expr("n div 2").cast("int"), 1: F.expr("(n - 1) div 2").cast("int")}
     long_enough = F.col("n") >= min_words
     keys = []
@@ -66,8 +76,14 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
     return t.select("doc", "pos", "n", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("second"), "w").alias("h2"), *keys)
 
 
+def source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, at, text) of the rows that have an id and a text."""
+    there = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    return there.select(F.col(id_col).cast("long").alias("doc"), text_place(F.col(text_col)).alias("at"), F.col(text_col).alias("text"))
+
+
 def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(removed, documents). removed: one row per document that loses lines: doc, removed (sorted places from 0).
+    """(removed, documents). removed: one row per distinct id and text that loses lines: doc, removed (sorted line numbers from 0).
     documents: the rows of docs with what is left of each text."""
     lines = checkpoint(line_table(docs, id_col, text_col, min_words))  # texts are cut into words once
     halves = ("p0", "s0", "p1", "s1")
@@ -78,10 +94,11 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     half = long_lines.select("at", F.posexplode(F.array(*halves)).alias("kind", "key"))
     twice = half.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     kinds = half.join(twice, "key", "left_semi").groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("kinds"))
-    wanted = kinds.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "kinds")).alias("want"))
-    text = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    found = text.join(wanted, "doc").select("doc", F.split("text", "\n").alias("lines"), F.explode("want").alias("want"))
-    found = found.where(F.col("want.pos") < F.size("lines")).select("doc", F.col("want.pos").alias("pos"), F.col("want.kinds").alias("kinds"), words(F.get("lines", F.col("want.pos"))).alias("w"))
+    text_at = (F.col("at.pos") - line_number(F.col("at.pos"))).alias("at")
+    wanted = kinds.groupBy(F.col("at.doc").alias("doc"), text_at).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "kinds")).alias("want"))
+    found = source(docs, id_col, text_col).join(wanted, ["doc", "at"]).select("doc", F.split("text", "\n").alias("lines"), F.explode("want").alias("want"))
+    line = F.get("lines", line_number(F.col("want.pos")))
+    found = found.where(line.isNotNull()).select("doc", F.col("want.pos").alias("pos"), F.col("want.kinds").alias("kinds"), words(line).alias("w"))
     found = checkpoint(found.dropDuplicates(["doc", "pos"]))
 
     # their deletion neighbourhoods
@@ -107,15 +124,15 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # every place of an equal line but the first, and the first places of classes that match an earlier one
     firsts = classes.select("h1", "h2", "at").join(near.select(F.struct("doc", "pos").alias("at"), F.lit(True).alias("gone")), "at", "left")
     gone = lines.select("doc", "pos", "h1", "h2").join(firsts, ["h1", "h2"]).where(F.col("gone") | (F.struct("doc", "pos") != F.col("at"))).select("doc", "pos")
-    removed = gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
-
-    names = docs.columns
-    key = "_removed_" + "_".join(names)
-    doc_key = "_doc_" + "_".join(names)
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(F.col(key), i)), "\n")
-    out = docs.join(removed.select(F.col("doc").alias(doc_key), F.col("removed").alias(key)), docs[id_col].cast("long") == F.col(doc_key), "left")
-    out = out.withColumn(text_col, F.when(F.col(key).isNull(), F.col(text_col)).otherwise(kept))
-    return removed, out
+    number = line_number(F.col("pos"))
+    removed = gone.groupBy("doc", (F.col("pos") - number).alias("at")).agg(F.array_sort(F.collect_set(number)).alias("removed"))
+
+    free = "_" + "_".join(docs.columns)  # a name that no column of docs has
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line, i: ~F.array_contains(F.col("removed" + free), i)), "\n")
+    mine = removed.toDF("doc" + free, "at" + free, "removed" + free)
+    out = docs.join(mine, (docs[id_col].cast("long") == F.col("doc" + free)) & (text_place(docs[text_col]) == F.col("at" + free)), "left")
+    out = out.withColumn(text_col, F.when(F.col("removed" + free).isNull(), F.col(text_col)).otherwise(kept))
+    return removed.select("doc", "removed"), out.select(docs.columns)
 
 
 def one_edit(x: Column, y: Column) -> Column:

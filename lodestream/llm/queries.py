@@ -33,7 +33,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: lines in all, lines removed and their places, and what is left as a digest."""
+    """Per document: lines in all, and the length and digest of what is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     _, kept = line_dedup(docs.withColumn("n_lines", F.size(F.split("text", "\n"))))
     return kept.select("doc_id", "n_lines", F.length("text").alias("n_chars_kept"), F.sha2(F.col("text"), 256).alias("kept_sha256"))

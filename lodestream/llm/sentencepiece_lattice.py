@@ -11,7 +11,7 @@ edges of its lattice. A fold over the edges then segments the unit:
 
 Texts are then written once as blocks of word numbers: a block has its distinct words as runs of unit numbers. Units up to a bounded
 number of the most frequent ones are told to all tasks; a block carries the list of its other units, which are joined to the dictionary
-by unit and brought back to their block.
+by unit and brought back to their block. The blocks' table is bucketed by block, so the texts themselves are never shuffled.
 
 Defined results: null text gives null ids, empty text no ids. Characters that no piece has are given as bytes if the model has byte
 pieces, else as the unknown id. Special tokens in a text are ordinary text. Decoding gives back the text as the model normalises it
@@ -35,12 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, settings, small_batches
+from .common import bucketed, checkpoint, settings, small_batches
 
 MARK = "▁"
-FREQUENT = 1 << 17  # units told to all tasks, of at most LONGEST characters each
+FREQUENT = 1 << 18  # units told to all tasks, of at most LONGEST characters each
 STRETCH = 1 << 20  # words whose ids are put together at once
-BLOCK_BYTES = 32 << 20  # of the texts that travel as one row; a single longer text is a block of its own
+BLOCK_BYTES = 24 << 20  # of the texts that travel as one row; a single longer text is a block of its own
 LONGEST = 60  # characters of a unit whose cuts fit into 64 bits
 LONGEST_VITERBI = 256  # characters of a unit whose prefixes are folded as an array
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -176,8 +176,9 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
     held, size = [], 0
     for b in batches:
         if held and size + b.column(text).nbytes > BLOCK_BYTES:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, size = [], 0
+            block, held, size = pa.Table.from_batches(held).combine_chunks().to_batches()[0], [], 0
+            yield block
+            del block
         if b.num_rows:
             held.append(b)
             size += b.column(text).nbytes
@@ -192,6 +193,24 @@ def gathered(flat: np.ndarray, off: np.ndarray, index: np.ndarray) -> tuple[np.n
     return flat[np.arange(out[-1]) + np.repeat(off[index] - out[:-1], size)], out
 
 
+def planes(numbers: np.ndarray) -> dict[str, np.ndarray]:
+    """The four bytes of each number apart, so that they compress."""
+    parts = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4)
+    return {f"word{i}": np.ascontiguousarray(parts[:, i]) for i in range(4)}
+
+
+def from_planes(col: dict[str, pa.Array]) -> np.ndarray:
+    return np.stack([col[f"word{i}"].to_numpy() for i in range(4)], axis=1).reshape(-1).view("<u4").astype(np.int64)
+
+
+def by_frequency(numbers: np.ndarray, kinds: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers with the most frequent one as 0, the next as 1 and so on, and the old number of each new one."""
+    order = np.argsort(-np.bincount(numbers, minlength=kinds), kind="stable")
+    new = np.empty(kinds, np.uint32)
+    new[order] = np.arange(kinds, dtype=np.uint32)
+    return new[numbers], order
+
+
 def one_row(arrays: dict[str, pa.Array | np.ndarray]) -> bytes:
     """Arrays of any lengths as one compressed row of lists."""
     lists = {k: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for k, v in arrays.items()}
@@ -398,15 +417,16 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc
         for k, b in enumerate(blocks(batches, 1)):
             order, text_off, words = cutter.words(b.column(1))
             seen = words.dictionary_encode()
-            word_off, units = cutter.units(seen.dictionary)
+            word, old = by_frequency(seen.indices.to_numpy(), len(seen.dictionary))
+            word_off, units = cutter.units(seen.dictionary.take(pa.array(old)))
             u = units.dictionary_encode()
             place = pc.index_in(u.dictionary, common)
             own = u.dictionary.filter(pc.is_null(place))
             number = pc.fill_null(place, -1).to_numpy().astype(np.int32)
             number[number < 0] = len(common) + np.arange(len(own), dtype=np.int32)
             row = one_row({
-                "id": b.column(0).take(pa.array(order)), "null": pc.is_null(b.column(1)).take(pa.array(order)), "text_off": text_off.astype(np.int32),
-                "word": seen.indices, "word_off": word_off.astype(np.int32), "unit": number[u.indices.to_numpy()],
+                "id": b.column(0).take(pa.array(order)), "null": pc.is_null(b.column(1)).take(pa.array(order)),
+                "words": np.diff(text_off).astype(np.int32), "units": np.diff(word_off).astype(np.int32), "unit": number[u.indices.to_numpy()], **planes(word),
             })
             own = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.cast(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + k]), pa.array([row], pa.binary()), own], ["block", "packed", "own"])
@@ -422,7 +442,8 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc
         for packed in block.column("packed"):
             row = pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
             col = {c: row.column(c).flatten() for c in row.schema.names}
-            text_off, word, word_off, unit = (col[c].to_numpy() for c in ("text_off", "word", "word_off", "unit"))
+            word, unit = from_planes(col), col["unit"].to_numpy()
+            text_off, word_off = (np.concatenate([[0], np.cumsum(col[c].to_numpy(), dtype=np.int64)]) for c in ("words", "units"))
             ids, ends = gathered(flat, off, unit)
             of_word = ends[word_off]  # offsets of the ids of each distinct word
             bad = np.concatenate([[0], np.cumsum(lossy[unit])])[word_off]
@@ -439,7 +460,7 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc
                 at = to
         return pa.Table.from_batches(out)
 
-    packed = checkpoint(src.mapInArrow(pack, "block long, packed binary, own array<string>"))
+    packed = bucketed(src.mapInArrow(pack, "block long, packed binary, own array<string>"), "block")
     own = packed.select("block", F.posexplode("own").alias("k", "w")).join(known.select("w", "ids", "lossy"), "w").select(F.col("block").alias("of"), "k", "ids", "lossy")
     texts = packed.select("block", "packed").groupBy("block").cogroup(own.groupBy("of"))
     return texts.applyInArrow(encode, f"{id_col} {id_type}, ids array<int>, n_tokens long, round_trip boolean")

@@ -70,3 +70,11 @@ def test_very_long_line_and_empty_table(spark):
     assert {x.doc: x.removed for x in removed.collect()} == {2: [0], 3: [0]}
     removed, docs = line_dedup(df.limit(0))
     assert removed.count() == 0 and docs.count() == 0
+
+
+def test_rows_of_one_id_with_different_texts_keep_their_own_lines(spark):
+    rows = [(1, "alpha beta gamma\nshared line here"), (5, "first a\nshared line here\nthird a"), (5, "first b\nonly in second row\nthird b"), (5, "first b\nonly in second row\nthird b")]
+    _, docs = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert docs.columns == ["doc_id", "text"]
+    want = [(1, rows[0][1]), (5, "first a\nthird a"), (5, rows[2][1]), (5, rows[3][1])]
+    assert sorted((x.doc_id, x.text) for x in docs.collect()) == sorted(want)
