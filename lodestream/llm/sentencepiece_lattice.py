@@ -40,7 +40,7 @@ from .common import bucketed, checkpoint, settings, small_batches
 MARK = "▁"
 FREQUENT = 1 << 18  # units told to all tasks, of at most LONGEST characters each
 STRETCH = 1 << 20  # words whose ids are put together at once
-BLOCK_BYTES = 24 << 20  # of the texts that travel as one row; a single longer text is a block of its own
+BLOCK_BYTES = 12 << 20  # of the texts that travel as one row; a single longer text is a block of its own
 LONGEST = 60  # characters of a unit whose cuts fit into 64 bits
 LONGEST_VITERBI = 256  # characters of a unit whose prefixes are folded as an array
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -179,6 +179,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBa
             block, held, size = pa.Table.from_batches(held).combine_chunks().to_batches()[0], [], 0
             yield block
             del block
+            pa.default_memory_pool().release_unused()
         if b.num_rows:
             held.append(b)
             size += b.column(text).nbytes
@@ -399,8 +400,7 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, 0):
-            _, _, words = cutter.words(b.column(0))
-            seen = words.dictionary_encode()
+            seen = cutter.words(b.column(0))[2].dictionary_encode()
             off, units = cutter.units(seen.dictionary)
             times = np.bincount(seen.indices.to_numpy(), minlength=len(seen.dictionary))
             u = units.dictionary_encode()
