@@ -1,6 +1,6 @@
 """N-gram Jaccard join by parity sketches.
 
-A document's set of word shingles is dealt over the parts of its size band by a hash of each shingle. A part's key is the XOR of its
+A document's set of word shingles is dealt over the parts of its size band by a hash of each shingle, a few shingles a part. A part's key is the XOR of its
 shingles' hashes, so two documents differ in at most |A ^ B| parts, and a document's parity sketch (one bit a bucket, flipped by
 each shingle) has a Hamming distance of at most |A ^ B|. Jaccard >= t bounds |A ^ B| by (1 - t) / (1 + t) * (|A| + |B|); a document
 therefore emits, in a fixed order of parts, its first d + 1 keys that hold anything, where d is that bound for its largest partner:
@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import BITMAP, Texts, bitmap, checkpoint, mix64, signed, small_batches
 from .components import components
 
-BAND = 4  # a band holds sizes of one to BAND / threshold times its least
+BAND = 3  # a band holds sizes of one to BAND / threshold times its least
+SHINGLES = 3  # of a band's largest sets, in a part on average: sets that share a passage only then rarely share a part
+FEW = 256  # bands from here on have parts of so many; below, a part is about one shingle, so that none of the first d + 1 is missing
 SKETCH_WORDS = 8  # 512 bits
 HOT_SHINGLES = 1 << 20  # at most so many frequent shingles are told to all tasks: 8 MB
 HOT_SHARE = 0.02  # of a batch's documents
@@ -117,9 +119,9 @@ def emitted(g: np.ndarray, hot: np.ndarray, threshold: Fraction) -> np.ndarray:
         low = BAND**band
         if band < 0 or n < low or n * threshold >= low * BAND:
             continue
-        # parts of about one shingle for the band's largest set; singletons, in effect, in the lowest bands
-        width = np.uint64(63 - 31 if low < 64 else max(1, 63 - int(low * BAND / threshold).bit_length()))
-        part = order >> width
+        # singletons, in effect, in the lowest bands
+        parts = 1 << 32 if low < 64 else int(low * BAND / threshold / (SHINGLES if low >= FEW else 1))
+        part = ((order >> np.uint64(31)) * np.uint64(parts)) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         keys = np.bitwise_xor.reduceat(x, first)[:m]
         out.append(mix64(keys + mix64(part[first][:m] + np.uint64(band << 40))))
@@ -216,12 +218,12 @@ def ngram_jaccard_join(
     links = verified(src, star, k, threshold)
     comp = components(links)
 
-    # what the stars have left apart
+    # what the stars have left apart: the leader has met all others of its key
     of = bare.drop("sk").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    at = shared.join(of, "sid")
+    at = shared.where("sid <> lo").join(of, "sid")
     mixed = at.groupBy("key").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u < v").select("key")
-    at = checkpoint(at.join(mixed, "key", "left_semi").select("key", "lo", "sid", "component", "n", *sk_cols))
-    pairs = at.alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.sid") != F.col("x.lo")) & _similar(threshold))
+    at = checkpoint(at.join(mixed, "key", "left_semi").select("key", "sid", "component", "n", *sk_cols))
+    pairs = at.alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _similar(threshold))
     rest = pairs.select(F.col("x.sid").alias("p"), F.col("y.sid").alias("q")).distinct()
     rest = checkpoint(allowed(rest).join(star, ["a", "b"], "left_anti"))
     more = verified(src, rest, k, threshold)
