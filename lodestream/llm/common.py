@@ -12,7 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import shared_dir
@@ -31,6 +31,16 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def text_place(text: Column) -> Column:
+    """31 bits of a text's hash in the upper half of a long; the lower half takes the number of a line or word. With the id of the row,
+    it tells rows apart that repeat an id with another text."""
+    return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), 32)
+
+
+def place_number(pos: Column) -> Column:
+    return pos.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
 @contextlib.contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """Session settings for what runs inside; the caller's come back afterwards."""

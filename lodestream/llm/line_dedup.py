@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, place_number, text_place
 
 _BREAK = r"[\x20\x09-\x0D]+"
 
@@ -52,15 +52,6 @@ def whole_key(w: Column) -> Column:
     return F.aggregate(F.transform(w, lambda x, i: F.xxhash64(x, i)), F.lit(0).cast("long"), _xor)
 
 
-def text_place(text: Column) -> Column:
-    """31 bits of a text's hash in the upper half of a long; the lower half takes the number of a line."""
-    return F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)), 32)
-
-
-def line_number(pos: Column) -> Column:
-    return pos.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-
-
 def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(doc, pos, n, h1, h2, p0, s0, p1, s1) of every line with a word. pos: the text's place plus the number of the line. The last four
     hash a half of the line, for matches of its own length or one more (0) and of one less (1)."""
@@ -94,10 +85,10 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     half = long_lines.select("at", F.posexplode(F.array(*halves)).alias("kind", "key"))
     twice = half.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     kinds = half.join(twice, "key", "left_semi").groupBy("at").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("kinds"))
-    text_at = (F.col("at.pos") - line_number(F.col("at.pos"))).alias("at")
+    text_at = (F.col("at.pos") - place_number(F.col("at.pos"))).alias("at")
     wanted = kinds.groupBy(F.col("at.doc").alias("doc"), text_at).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "kinds")).alias("want"))
     found = source(docs, id_col, text_col).join(wanted, ["doc", "at"]).select("doc", F.split("text", "\n").alias("lines"), F.explode("want").alias("want"))
-    line = F.get("lines", line_number(F.col("want.pos")))
+    line = F.get("lines", place_number(F.col("want.pos")))
     found = found.where(line.isNotNull()).select("doc", F.col("want.pos").alias("pos"), F.col("want.kinds").alias("kinds"), words(line).alias("w"))
     found = checkpoint(found.dropDuplicates(["doc", "pos"]))
 
@@ -124,7 +115,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     # every place of an equal line but the first, and the first places of classes that match an earlier one
     firsts = classes.select("h1", "h2", "at").join(near.select(F.struct("doc", "pos").alias("at"), F.lit(True).alias("gone")), "at", "left")
     gone = lines.select("doc", "pos", "h1", "h2").join(firsts, ["h1", "h2"]).where(F.col("gone") | (F.struct("doc", "pos") != F.col("at"))).select("doc", "pos")
-    number = line_number(F.col("pos"))
+    number = place_number(F.col("pos"))
     removed = gone.groupBy("doc", (F.col("pos") - number).alias("at")).agg(F.array_sort(F.collect_set(number)).alias("removed"))
 
     free = "_" + "_".join(docs.columns)  # a name that no column of docs has

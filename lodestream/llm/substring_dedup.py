@@ -1,17 +1,20 @@
 """Substring dedup by relative Lempel-Ziv parsing over partitioned reference blocks.
 
-The reference is every earlier document. Its index holds the runs of `length` words, hashed, with the smallest document that starts
-each; it is split by hash into blocks, and a document is factored against all of them: its longest stretches in which every run of
-`length` words is indexed with a smaller document are the duplicate factors, greedily as long as they go. A run that straddles two
-factors is looked up like any other, so nothing is lost at factor boundaries.
+The reference is every earlier document. Its index holds where each run of `length` words starts first (document and place); it is
+split by hash into blocks, and a document is looked up in all of them. From its first indexed run on, a document is factored: a factor
+goes on in one reference document as long as the next run stands there at the next place. Where a factor ends, the runs that straddle
+its end are looked up like any other and may begin the next factor inside it, so nothing is lost at factor boundaries. Every factor is
+then compared with the words that stand in its reference; only factors that agree are duplicate spans.
 
 What keeps the index small: equal documents are factored once; and only runs whose minimiser (the smallest hash among their
 sub-runs of `anchor` words, which equal runs share) also stands in another document are indexed at all. Both steps are exact: they
 leave out only runs that no other document has.
 
-Hashes have 64 bits. Defined results: null, empty and blank texts have no words; documents shorter than `length` words lose nothing.
-Of equal documents only the smallest id keeps its words. Repeated ids count as one document for what is earlier; each row is
-returned. Null ids are left out. Other columns play no part; an empty table gives an empty result. Texts are taken whole.
+Hashes of runs have 64 bits, so two different runs may share an index entry: the factor then differs from its reference and is not
+removed. Defined results: ids are integers. Null, empty and blank texts have no words; documents shorter than `length` words lose
+nothing. Of equal documents only the smallest id keeps its words. Rows that repeat an id are no reference for each other; each row is
+factored and returned by its own text. Null ids are left out. Other columns play no part; an empty table gives an empty result. Texts
+are taken whole.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP, Texts, Words, bitmap, checkpoint, covered, mix64, signed, small_batches, windows
+from .common import BITMAP, Texts, Words, bitmap, checkpoint, covered, mix64, place_number, signed, small_batches, text_place, windows
 
 
 def runs(w: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,21 +69,44 @@ def kept_digest(t: Texts, w: Words, i: int, keep: np.ndarray) -> str:
     return hashlib.sha256(b" ".join([t.data[w.start[j] : w.end[j]].tobytes() for j in which])).hexdigest()
 
 
+def factored(pos: np.ndarray, ref: np.ndarray, ref_pos: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+    """Factors (first and last word, reference document, place in it) of one document from the places of its indexed runs, sorted: a
+    factor goes on while the next run stands in the same reference one place further on."""
+    if not len(pos):
+        return []
+    on = (np.diff(pos) == 1) & (np.diff(ref_pos) == 1) & (ref[1:] == ref[:-1])
+    begin = np.concatenate([[0], np.flatnonzero(~on) + 1])
+    end = np.concatenate([begin[1:], [len(pos)]]) - 1
+    return [(int(pos[i]), int(pos[j]) + length - 1, int(ref[i]), int(ref_pos[i])) for i, j in zip(begin, end)]
+
+
+def word_digest(t: Texts, w: Words, first: int, last: int) -> bytes:
+    """128 bits of the words from first to last of a batch."""
+    return hashlib.blake2b(b" ".join([t.data[w.start[j] : w.end[j]].tobytes() for j in range(first, last + 1)]), digest_size=16).digest()
+
+
+SPANS = "spans array<struct<first:long,last:long>>"
+SPAN_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+FACTOR_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("ref", pa.int64()), ("ref_pos", pa.int64()), ("digest", pa.binary())]))
+FACTORS = "factors array<struct<first:long,last:long,ref:long,ref_pos:long,digest:binary>>"
+
+
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 13, anchor: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans). documents: id_col, n_words, n_removed, kept_sha256. spans: id_col and the duplicate factors of each document
-    that is not a whole copy, as sorted (first, last) word places."""
+    """(documents, spans). documents: id_col, n_words, n_removed, kept_sha256. spans: id_col and, for each document that is not a whole
+    copy but has factors, its duplicate spans as sorted (first, last) word places and its factors with their references."""
     spark = docs.sparkSession
     small_batches(spark)
     src = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    src = src.withColumn("at", text_place(F.col("text")))  # with the id, it tells rows apart
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = Texts(b.column(1)).words()
             d1, d2 = text_ids(w)
             sha = [hashlib.sha256(b" ".join((x or "").encode().split())).hexdigest() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_words": pa.array(w.count.astype(np.int64)), "d1": pa.array(d1), "d2": pa.array(d2), "sha": pa.array(sha, pa.string())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "at": b.column(2), "n_words": pa.array(w.count.astype(np.int64)), "d1": pa.array(d1), "d2": pa.array(d2), "sha": pa.array(sha, pa.string())})
 
-    profiles = checkpoint(src.mapInArrow(profile, "doc_id long, n_words long, d1 long, d2 long, sha string"))
+    profiles = checkpoint(src.mapInArrow(profile, "doc_id long, at long, n_words long, d1 long, d2 long, sha string"))
     # written down, so that joins on it are plain ones, which adaptive execution splits where a text has very many copies
     first = checkpoint(profiles.where(f"n_words >= {length}").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
 
@@ -111,10 +137,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for b in batches:
             h = b.column(0).to_numpy() % BITMAP
             b = b.filter(pa.array((bits[h // 32] >> (h % 32)) & 1 == 1))
-            packed = [pack.compress((t or "").encode()) for t in b.column(1).to_pylist()]  # texts travel twice from here on
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+            packed = [pack.compress((t or "").encode()) for t in b.column(1).to_pylist()]  # texts travel from here on
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], ["doc_id", "at", "packed"])
 
-    texts = checkpoint(src.mapInArrow(some, "doc_id long, packed binary").join(held, "doc_id").select("doc_id", "packed", "anchors"))
+    texts = checkpoint(src.mapInArrow(some, "doc_id long, at long, packed binary").join(held, "doc_id").select("doc_id", "at", "packed", "anchors"))
 
     def unpacked(column: pa.Array) -> Texts:
         d = zstandard.ZstdDecompressor()
@@ -122,41 +148,67 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = unpacked(b.column(1)).words()
+            w = unpacked(b.column(2)).words()
             at, run, low = runs(w, length, anchor)
-            flat = b.column(2).flatten().to_numpy().view(np.uint64)
-            own = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
+            flat = b.column(3).flatten().to_numpy().view(np.uint64)
+            own = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
             keep = np.isin(mix64(low) + mix64(w.doc[at].astype(np.uint64)), mix64(flat) + mix64(own.astype(np.uint64)))
-            doc, run = distinct(w.doc[at][keep], run[keep])
-            yield pa.RecordBatch.from_pydict({"run": pa.array(signed(run)), "doc_id": pa.array(b.column(0).to_numpy()[doc])})
+            at, run = at[keep], run[keep]
+            doc = w.doc[at]
+            yield pa.RecordBatch.from_pydict({"run": pa.array(signed(run)), "doc_id": pa.array(b.column(0).to_numpy()[doc]), "pos": pa.array(b.column(1).to_numpy()[doc] + at - w.off[doc])})
 
-    index = texts.mapInArrow(indexed, "run long, doc_id long")
-    earliest = index.groupBy("run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("run", "lo")
-    found = index.join(earliest, "run").where("lo < doc_id").groupBy("doc_id").agg(F.collect_list("run").alias("runs"))
+    # pos: the row's place plus the number of the run's first word
+    index = texts.mapInArrow(indexed, "run long, doc_id long, pos long")
+    earliest = index.groupBy("run").agg(F.min(F.struct("doc_id", "pos")).alias("ref"), F.max("doc_id").alias("hi")).where("ref.doc_id < hi").select("run", "ref")
+    hits = index.join(earliest, "run").where("ref.doc_id < doc_id").select("doc_id", "pos", F.col("ref.doc_id").alias("ref"), F.col("ref.pos").alias("ref_pos"))
+    row = (F.col("pos") - place_number(F.col("pos"))).alias("at")
+    hits = hits.groupBy("doc_id", row).agg(F.collect_list(F.struct(place_number(F.col("pos")).alias("pos"), "ref", "ref_pos")).alias("hits"))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = unpacked(b.column(1))
+            t = unpacked(b.column(2))
             w = t.words()
-            at, run, _ = runs(w, length, length)
-            flat = b.column(2).flatten().to_numpy().view(np.uint64)
-            own = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy())
-            hit = np.isin(mix64(run) + mix64(w.doc[at].astype(np.uint64)), mix64(flat) + mix64(own.astype(np.uint64)))
-            gone = covered(at[hit], length, len(w.start))
-            n, sha, spans = [], [], []
+            n, sha, spans, factors = [], [], [], []
             for i in range(b.num_rows):
-                g = gone[w.off[i] : w.off[i + 1]]
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
-                n.append(int(g.sum()))
-                sha.append(kept_digest(t, w, i, ~g))
+                own = b.column(3)[i].values
+                pos, ref, ref_pos = (own.field(k).to_numpy() for k in range(3))
+                by = np.argsort(pos)
+                f = factored(pos[by].astype(np.int64), ref[by], ref_pos[by], length)
+                gone = covered(pos, length, int(w.count[i]))
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+                n.append(int(gone.sum()))
+                sha.append(kept_digest(t, w, i, ~gone))
                 spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(edge[::2], edge[1::2])])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], ["doc_id", "n_removed", "cut_sha", "spans"])
+                factors.append([{"first": x, "last": y, "ref": r, "ref_pos": p, "digest": word_digest(t, w, w.off[i] + x, w.off[i] + y)} for x, y, r, p in f])
+            cols = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, SPAN_TYPE), pa.array(factors, FACTOR_TYPE)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "at", "n_removed", "cut_sha", "spans", "factors"])
+
+    schema = f"doc_id long, at long, n_removed long, cut_sha string, {SPANS}, {FACTORS}"
+    cut = texts.drop("anchors").join(hits, ["doc_id", "at"]).dropDuplicates(["doc_id", "at"])
+    cut = checkpoint(cut.mapInArrow(parse, schema))
+
+    # every factor against the words that stand in its reference
+    each = cut.select("doc_id", "at", F.explode("factors").alias("f")).select("doc_id", "at", "f.*", F.expr("f.last - f.first + 1").alias("n"))
+    ref_row = (F.col("ref_pos") - place_number(F.col("ref_pos"))).alias("at")
+    asked = each.select("ref", "ref_pos", "n").distinct().groupBy(F.col("ref").alias("doc_id"), ref_row).agg(F.collect_list(F.struct(place_number(F.col("ref_pos")).alias("first"), "n")).alias("asked"))
+
+    def origin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = unpacked(b.column(2))
+            w = t.words()
+            out = []
+            for i, (d, at, asked) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
+                out += [(d, at + x["first"], x["n"], word_digest(t, w, w.off[i] + x["first"], w.off[i] + x["first"] + x["n"] - 1)) for x in asked if x["first"] + x["n"] <= w.count[i]]
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["ref", "ref_pos", "n", "origin"])
 
-    cut = texts.select("doc_id", "packed").join(found, "doc_id").mapInArrow(parse, "doc_id long, n_removed long, cut_sha string, spans array<struct<first:long,last:long>>")
-    cut = checkpoint(cut)
+    there = texts.drop("anchors").join(asked, ["doc_id", "at"]).mapInArrow(origin, "ref long, ref_pos long, n long, origin binary").distinct()
+    wrong = checkpoint(each.join(there, ["ref", "ref_pos", "n"], "left").where(~F.col("digest").eqNullSafe(F.col("origin"))).select("doc_id", "at", "first", "last"))
+    if not wrong.isEmpty():  # two different runs of one hash: cut those documents again without the factors that differ
+        cut = checkpoint(recut(cut, wrong, texts, unpacked, schema))
 
     nothing = hashlib.sha256(b"").hexdigest()
-    whole = profiles.join(first, ["d1", "d2"], "left").join(cut.select("doc_id", "n_removed", "cut_sha").dropDuplicates(["doc_id"]), "doc_id", "left")
+    whole = profiles.join(first, ["d1", "d2"], "left").join(cut.select("doc_id", "at", "n_removed", "cut_sha"), ["doc_id", "at"], "left")
     copy = (F.col("n_words") >= length) & (F.col("rep") < F.col("doc_id"))
     out = whole.select(
         F.col("doc_id").alias(id_col),
@@ -164,4 +216,30 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(nothing)).otherwise(F.coalesce("cut_sha", "sha")).alias("kept_sha256"),
     )
-    return out, cut.select(F.col("doc_id").alias(id_col), "spans")
+    return out, cut.select(F.col("doc_id").alias(id_col), "spans", "factors")
+
+
+def recut(cut: DataFrame, wrong: DataFrame, texts: DataFrame, unpacked, schema: str) -> DataFrame:  # noqa: ANN001
+    """cut, with the documents of `wrong` cut by their other factors only."""
+    again = wrong.groupBy("doc_id", "at").agg(F.collect_set(F.struct("first", "last")).alias("wrong"))
+    some = cut.join(again, ["doc_id", "at"])
+    some = some.select("doc_id", "at", F.filter("factors", lambda f: ~F.array_contains("wrong", F.struct(f["first"].alias("first"), f["last"].alias("last")))).alias("factors"))
+    some = texts.drop("anchors").dropDuplicates(["doc_id", "at"]).join(some, ["doc_id", "at"]).select("doc_id", "at", "packed", "factors")
+
+    def redo(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = unpacked(b.column(2))
+            w = t.words()
+            n, sha, spans = [], [], []
+            for i, factors in enumerate(b.column(3).to_pylist()):
+                gone = np.zeros(int(w.count[i]), bool)
+                for f in factors:
+                    gone[f["first"] : f["last"] + 1] = True
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+                n.append(int(gone.sum()))
+                sha.append(kept_digest(t, w, i, ~gone))
+                spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(edge[::2], edge[1::2])])
+            cols = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, SPAN_TYPE), b.column(3).cast(FACTOR_TYPE)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "at", "n_removed", "cut_sha", "spans", "factors"])
+
+    return cut.join(again, ["doc_id", "at"], "left_anti").unionByName(some.mapInArrow(redo, schema))

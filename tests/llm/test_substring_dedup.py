@@ -45,3 +45,31 @@ def test_equals_brute_force(spark):
 def test_empty_table(spark):
     out, spans = substring_dedup(spark.createDataFrame([], "doc_id long, text string"))
     assert out.count() == 0 and spans.count() == 0
+
+
+def test_factors_follow_one_reference_and_rows_of_one_id_keep_apart(spark):
+    a, b = [f"a{i}" for i in range(30)], [f"b{i}" for i in range(30)]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(["x"] + a[5:25] + b[:20])), (4, " ".join(a[:20])), (4, " ".join(["own"] * 3 + b[3:20]))]
+    out, spans = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in out.collect()) == [(1, 30, 0), (2, 30, 0), (3, 41, 40), (4, 20, 17), (4, 20, 20)]
+    got = {r.doc_id: r for r in spans.where("doc_id = 3").collect()}[3]
+    assert [(s.first, s.last) for s in got.spans] == [(1, 40)]
+    assert [(f.first, f.last, f.ref, f.ref_pos & 0xFFFFFFFF) for f in got.factors] == [(1, 20, 1, 5), (21, 40, 2, 0)]
+
+
+def test_a_factor_that_differs_from_its_reference_is_kept(spark):
+    from pyspark.sql import functions as F
+
+    from lodestream.llm.substring_dedup import FACTORS, SPANS, recut
+    import zstandard
+    from lodestream.llm.common import Texts
+    import pyarrow as pa
+
+    schema = f"doc_id long, at long, n_removed long, cut_sha string, {SPANS}, {FACTORS}"
+    cut = spark.createDataFrame([(7, 0, 4, "", [], [(0, 1, 1, 0, b""), (4, 5, 1, 9, b"")]), (8, 0, 1, "same", [], [])], schema)
+    texts = spark.createDataFrame([(7, 0, bytearray(zstandard.ZstdCompressor().compress(b"a b c d e f")), [1])], "doc_id long, at long, packed binary, anchors array<long>")
+    wrong = spark.createDataFrame([(7, 0, 0, 1)], "doc_id long, at long, first long, last long")
+    unpacked = lambda column: Texts(pa.array([zstandard.ZstdDecompressor().decompress(x).decode() for x in column.to_pylist()], pa.string()))
+    got = {r.doc_id: r for r in recut(cut, wrong, texts, unpacked, schema).withColumn("k", F.size("factors")).collect()}
+    assert (got[7].n_removed, got[7].cut_sha, got[7].k) == (2, hashlib.sha256(b"a b c d").hexdigest(), 1)
+    assert got[8].cut_sha == "same"
