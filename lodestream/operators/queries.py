@@ -30,16 +30,51 @@ FEEDBACK_STOP = tuple("a an the and or but in on at to for of with by from is it
 # Words that open a question.
 QUESTION_WORDS = tuple("what how why when where who which is are do does can could".split())
 # Contractions and what they stand for.
-CONTRACTIONS = dict(
-    x.split("=")
-    for x in (
-        "can't=cannot|won't=will not|don't=do not|doesn't=does not|didn't=did not|isn't=is not|aren't=are not|wasn't=was not|weren't=were not|haven't=have not|"
-        "hasn't=has not|hadn't=had not|wouldn't=would not|couldn't=could not|shouldn't=should not|mustn't=must not|mightn't=might not|i'm=i am|i've=i have|"
-        "i'll=i will|i'd=i would|you're=you are|you've=you have|you'll=you will|you'd=you would|he's=he is|she's=she is|it's=it is|we're=we are|we've=we have|"
-        "we'll=we will|we'd=we would|they're=they are|they've=they have|they'll=they will|they'd=they would|that's=that is|there's=there is|what's=what is|"
-        "who's=who is|where's=where is|how's=how is|let's=let us"
-    ).split("|")
-)
+CONTRACTIONS = {
+    "can't": "cannot",
+    "won't": "will not",
+    "don't": "do not",
+    "doesn't": "does not",
+    "didn't": "did not",
+    "isn't": "is not",
+    "aren't": "are not",
+    "wasn't": "was not",
+    "weren't": "were not",
+    "haven't": "have not",
+    "hasn't": "has not",
+    "hadn't": "had not",
+    "wouldn't": "would not",
+    "couldn't": "could not",
+    "shouldn't": "should not",
+    "mustn't": "must not",
+    "mightn't": "might not",
+    "i'm": "i am",
+    "i've": "i have",
+    "i'll": "i will",
+    "i'd": "i would",
+    "you're": "you are",
+    "you've": "you have",
+    "you'll": "you will",
+    "you'd": "you would",
+    "he's": "he is",
+    "she's": "she is",
+    "it's": "it is",
+    "we're": "we are",
+    "we've": "we have",
+    "we'll": "we will",
+    "we'd": "we would",
+    "they're": "they are",
+    "they've": "they have",
+    "they'll": "they will",
+    "they'd": "they would",
+    "that's": "that is",
+    "there's": "there is",
+    "what's": "what is",
+    "who's": "who is",
+    "where's": "where is",
+    "how's": "how is",
+    "let's": "let us",
+}
 # Where a complex query is cut.
 CUTS = r"(?i)\band\b|\bor\b|\bbut\b|\bvs\.?\b|\bversus\b|\bcompared?\s+(?:to|with)\b|;"
 # Intents in order of priority, with their patterns and labels.

@@ -26,7 +26,7 @@ def spread(df: DataFrame) -> DataFrame:
     """The rows dealt over all cores, if they come from fewer files than cores and are less than CORE_BYTES a core; else df itself.
     Rows of one Parquet row group are one task's work however large the cluster is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > CORE_BYTES * cores or len(df.inputFiles()) >= cores:
         return df
     return df.repartition(max(1, min(cores, math.ceil(size / (1 << 17)))))

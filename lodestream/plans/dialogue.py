@@ -91,12 +91,12 @@ def feedback_per_chunk(spark, d):
 
 @query("feedback_rerank", f"""
 with {_EV}, o as (select query, chunk_id, avg(score) as own from e group by all), a as (select chunk_id, avg(score) as alls from e group by all),
-r as (select 'q' || (doc_id % 3) as query_id, doc_id as chunk_id, 0.1 + (doc_id % 10) / 12.5::double as score from documents where doc_id < 100),
+r as (select 'q' || (doc_id % 3) as query_id, doc_id as chunk_id, 0.1 + (doc_id % 10) / 12.5::double as score from documents),
 j as (select r.query_id, r.chunk_id, r.score, coalesce(own, alls) as f from r left join o on o.query = r.query_id and o.chunk_id = r.chunk_id left join a on a.chunk_id = r.chunk_id),
 s as (select query_id, chunk_id, round(case when f >= 0.6 then least(1.0, score + 0.2) when f <= 0.4 then greatest(0.0, score - 0.3) else score end, 6) as score from j),
 k as (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from s) select * from k where rank <= 10""")
 def feedback_rerank(spark, d):
-    r = table(spark, d, "documents").where("doc_id < 100").select(F.concat(F.lit("q"), (F.col("doc_id") % 3).cast("string")).alias("query_id"), F.col("doc_id").alias("chunk_id"), (0.1 + (F.col("doc_id") % 10) / 12.5).alias("score"))
+    r = table(spark, d, "documents").select(F.concat(F.lit("q"), (F.col("doc_id") % 3).cast("string")).alias("query_id"), F.col("doc_id").alias("chunk_id"), (0.1 + (F.col("doc_id") % 10) / 12.5).alias("score"))
     return FB.rerank(r.withColumn("query", F.col("query_id")).withColumn("rank", F.lit(0)), _events(spark, d)).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -165,13 +165,13 @@ def answer_stream(spark, d):
 
 
 def _cited(spark, d):
-    t = table(spark, d, "benchmark").where("item_id < 1000")
-    text = F.concat(F.substring("text", 1, 20), F.lit(" [Source "), (F.col("item_id") % 7).cast("string"), F.lit("] and  [source 2]."))
+    t = table(spark, d, "benchmark")
+    text = F.concat("text", F.lit(" [Source "), (F.col("item_id") % 7).cast("string"), F.lit("] and  [source 2]."))
     return t.select("item_id", text.alias("answer"), F.lit(4).alias("n_sources"))
 
 
 @query("citations", r"""
-with t as (select item_id, item_id % 7 as n, substr(text, 1, 20) || ' [Source ' || (item_id % 7) || '] and  [source 2].' as answer from benchmark where item_id < 1000),
+with t as (select item_id, item_id % 7 as n, text || ' [Source ' || (item_id % 7) || '] and  [source 2].' as answer from benchmark),
 m as (select *, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '(?i)\[source\s+(\d+)\]', 1), lambda x: x::int))) as m from t)
 select item_id, array_to_string(list_filter(m, lambda x: x between 1 and 4), ',') as cited, array_to_string(list_filter(m, lambda x: x < 1 or x > 4), ',') as unknown, array_to_string(list_filter([1, 2, 3, 4], lambda x: not list_contains(m, x)), ',') as uncited,
  trim(regexp_replace(regexp_replace(answer, '(?i)\[source\s+(\d+)\]', '', 'g'), '[ \t]{2,}', ' ', 'g')) as clean_text from m""")

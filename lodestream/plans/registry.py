@@ -26,3 +26,10 @@ def query(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def twin(name: str, oracle: str) -> None:
+    """The SQL twin of a query that is registered elsewhere."""
+    if name not in QUERIES or name in ORACLE:
+        raise ValueError(f"no query {name} that lacks a twin")
+    ORACLE[name] = oracle
