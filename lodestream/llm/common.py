@@ -6,7 +6,6 @@ Words are maximal runs of bytes other than space and \\t..\\r, so a word never s
 from __future__ import annotations
 
 import contextlib
-import gc
 import uuid
 
 import numpy as np
@@ -175,13 +174,16 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+# The shuffle files of a table that is written down go with the end of its write.
+FREED = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a Parquet table in the shared folder: survives lost executors, and takes less disk than serialised rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestream/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # both let Spark delete the shuffle files of what is written now
+    with settings(spark, FREED):
+        df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -190,7 +192,8 @@ def bucketed(df: DataFrame, column: str) -> DataFrame:
     spark = df.sparkSession
     name = f"lodestream_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, column).option("path", f"{shared_dir(spark)}/lodestream/{name}").saveAsTable(name, format="parquet")
+    with settings(spark, FREED):
+        df.write.bucketBy(n, column).option("compression", "zstd").saveAsTable(name, format="parquet", path=f"{shared_dir(spark)}/lodestream/{name}")
     return spark.table(name)
 
 
