@@ -6,8 +6,10 @@ urls that rules decide are the labels for the rest:
 1. Segments that are variable by their look (digits, long hexadecimal) become wildcards in place, and urls are counted by host and
    shaped path, so a host with a third of all urls is one row per shaped path from there on.
 2. Level by level, a node of the tree whose children are many and rarely repeat has them generalised into one wildcard.
-3. Branches of a host (first segments) whose rest paths are distributed over the same templates, and whose labels do not tell them
-   apart, are merged.
+3. Branches of a host (first segments) are held against the pool of all its branches with the same commonest rest template. A branch
+   joins the pool if its rest paths are distributed over templates like the pool's (total variation, with room for small samples), and
+   its labels do not differ from the pool's by more than chance; branches that differ to the same side are merged, branches with few
+   labels are pooled apart from the labelled ones.
 4. A template's purity is its share of allowed labels, smoothed towards its merged branch, that towards the host, and that towards all
    urls. Templates below `reject` are blocked.
 
@@ -34,7 +36,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-LEVELS = 4  # deeper segments are one wildcard
+LEVELS = 32  # a tree is as deep as its deepest path, up to here; deeper segments are one wildcard
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -67,7 +69,8 @@ def url_templates(
     rules: Sequence[tuple[str, str, str]] = RULES,
     many: int = 10,
     rarely: float = 0.3,
-    common: float = 0.05,
+    differ: float = 0.3,
+    chance: float = 3.0,
     min_labels: int = 5,
     strength: float = 10.0,
     reject: float = 0.25,
@@ -83,7 +86,8 @@ def url_templates(
     leaves = checkpoint(base.groupBy("host", "shape").agg(F.count("*").alias("n"), good.alias("good"), bad.alias("bad")))
     parts = F.split("shape", "/")
     tree = leaves.withColumn("segs", F.when(F.size(parts) > LEVELS + 1, F.concat(F.slice(parts, 1, LEVELS), F.array(F.lit("**")))).otherwise(parts)).withColumn("prefix", F.lit(""))
-    for level in range(1, LEVELS + 1):
+    deepest = leaves.agg(F.max(F.size(parts))).collect()[0][0] or 1  # one row
+    for level in range(1, min(deepest - 1, LEVELS) + 1):
         seg = F.get("segs", F.lit(level))
         child = tree.where(seg.isNotNull()).groupBy("host", "prefix", seg.alias("seg")).agg(F.sum("n").alias("n"))
         wild = child.groupBy("host", "prefix").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where((F.col("kinds") >= many) & (F.col("kinds") >= rarely * F.col("all"))).select("host", "prefix", F.lit(True).alias("wild"))
@@ -91,13 +95,25 @@ def url_templates(
 
     tree = tree.withColumn("branch", F.split_part(F.col("prefix"), F.lit("/"), F.lit(2))).withColumn("rest", F.expr("substring(prefix, length(branch) + 2)")).select("host", "shape", "n", "good", "bad", "prefix", "branch", "rest")
 
-    # branches with the same common templates and labels that agree
-    rests = tree.groupBy("host", "branch", "rest").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    totals = rests.groupBy("host", "branch").agg(F.sum("n").alias("all"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    usual = rests.select("host", "branch", "rest", "n").join(totals.select("host", "branch", "all"), ["host", "branch"]).where(F.col("n") >= common * F.col("all")).groupBy("host", "branch").agg(F.array_sort(F.collect_set("rest")).alias("usual"))  # at most 1 / common entries
+    # branches against the pool of their host's branches with the same commonest template
+    rests = checkpoint(tree.groupBy("host", "branch", "rest").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")))
+    usual = F.max_by("rest", F.struct("n", "rest")).alias("usual")
+    totals = checkpoint(rests.groupBy("host", "branch").agg(F.sum("n").alias("all"), F.sum("good").alias("good"), F.sum("bad").alias("bad"), usual))
     labels = F.col("good") + F.col("bad")
-    state = F.when(labels < min_labels, "unknown").when(F.col("good") >= F.col("bad"), "good").otherwise("bad")
-    merged = totals.join(usual, ["host", "branch"], "left").select("host", "branch", F.xxhash64("usual", state).alias("kind"))
+    known = (labels >= min_labels).alias("known")
+    mine = rests.select("host", "branch", "rest", "n").join(totals.select("host", "branch", "all", "usual", known), ["host", "branch"])
+    pool = ["host", "usual", "known"]
+    pooled = mine.groupBy(*pool, "rest").agg(F.sum("n").alias("pool_n"))
+    sizes = totals.groupBy("host", "usual", known).agg(F.sum("all").alias("pool_all"))
+    p, q = F.col("n") / F.col("all"), F.col("pool_n") / F.col("pool_all")
+    apart = mine.join(pooled, [*pool, "rest"]).join(sizes, pool).groupBy("host", "branch").agg((0.5 * (F.sum(F.abs(p - q)) + 1 - F.sum(q))).alias("apart"))
+    near = totals.join(apart, ["host", "branch"]).withColumn("known", labels >= min_labels).withColumn("alike", F.col("apart") <= differ + 1 / F.sqrt("all"))
+    rate = near.where("alike").groupBy(*pool).agg(((F.sum("good") + 1) / (F.sum("good") + F.sum("bad") + 2)).alias("rate"))
+    near = near.join(rate, pool, "left")
+    error = (F.col("good") / labels - F.col("rate")) / F.sqrt(F.col("rate") * (1 - F.col("rate")) / labels)
+    side = F.when(~F.col("known"), "few").when(error > chance, "above").when(error < -chance, "below").otherwise("like")
+    kind = F.when(F.col("alike"), F.xxhash64(F.lit("pool"), "usual", side)).otherwise(F.xxhash64(F.lit("alone"), "branch"))
+    merged = near.select("host", "branch", kind.alias("kind"))
 
     of_all = leaves.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()[0]  # one row
     prior = ((of_all["good"] or 0) + 1) / ((of_all["good"] or 0) + (of_all["bad"] or 0) + 1)

@@ -45,3 +45,23 @@ def test_learned_templates(spark):
 
 def test_empty_table(spark):
     assert url_templates(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_similar_branches_are_merged_and_rejected(spark):
+    rules = (("block", "x.net", "/ads/"), ("block", "x.net", "/promo/"), ("allow", "x.net", "/blog/"), ("block", "x.net", "/blend/a1"))
+    spam = lambda b, n, extra: [f"http://x.net/{b}/click/{i}" for i in range(n)] + [f"http://x.net/{b}/{extra}" for _ in range(2)]
+    urls = spam("ads", 40, "about") + spam("promo", 40, "terms")  # alike, though not over the same templates
+    urls += [f"http://x.net/blog/post/{i}" for i in range(400)]
+    urls += [f"http://x.net/blend/a1/click/{i}" for i in range(6)] + [f"http://x.net/blend/a2/click/{i}" for i in range(6)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    out = {urls[r.page_id]: r for r in url_templates(df, rules=rules).collect()}
+    a, b = out["http://x.net/ads/click/1"], out["http://x.net/promo/click/1"]
+    assert a.purity == b.purity < 0.25  # one template of the merged branch
+    assert out["http://x.net/blog/post/1"].purity > 0.9
+    assert out["http://x.net/blend/a2/click/1"].verdict == "allow"  # half way between its branch and its host
+
+
+def test_deep_paths_keep_their_segments(spark):
+    df = spark.createDataFrame([(1, "http://h.net/a/b/c/d/e/f/g"), (2, "http://h.net/a/b/c/d/e/f/h"), (3, "http://h.net/" + "/".join("s" for _ in range(40)))], "page_id long, url string")
+    got = {r.page_id: r.template for r in url_templates(df).collect()}
+    assert got[1] == "/a/b/c/d/e/f/g" and got[2] == "/a/b/c/d/e/f/h" and got[3].endswith("/**")
