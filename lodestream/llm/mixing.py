@@ -7,11 +7,11 @@ schedule runs on the driver from the first slot to the last, one slot a block, a
 one entry a source.
 
 Every document is used at least once: a source that runs out starts again (the next epoch) until the slowest one is through, so
-weights hold to the end and nothing is dropped. Within a source, documents go in the order of a seeded hash of their ids.
+weights hold to the end and nothing is dropped. Within a source, documents go in the order of a seeded hash of their rows.
 
 Rows are numbered in buckets of a source, dealt by that hash, plus the bucket's offset: a source of a third of all rows is many
-buckets. Defined results: a null source is a source of its own; null ids hash like a value; repeated rows are rows; texts are not
-read; other columns, of any name, are kept. An empty table gives an empty result. Weights for sources that hold no row are dropped.
+buckets, and so are a third of rows with one id. Defined results: a null source is a source of its own; null ids hash like a value;
+repeated rows are rows; other columns, of any name, are kept. An empty table gives an empty result. Weights for sources that hold no row are dropped.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir
 
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 STRETCH = 250  # periods that are written down at a time
 TOLD = 250_000  # slots, and sources, up to which all tasks are told of them
 
@@ -101,7 +101,8 @@ def mix_sources(
     pos, epoch = into
     tag = "_" + "_".join([*docs.columns, *into])  # prefix of our own columns: longer than any of theirs
     c = lambda name: tag + name
-    h = F.xxhash64(F.lit(seed), F.col(id_col))
+    hashed = [f.name for f in docs.schema if f.name != id_col and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    h = F.xxhash64(F.lit(seed), F.col(id_col), *[F.col(f"`{x}`") for x in hashed])
     n = {r[0]: r[1] for r in docs.groupBy(source_col).agg(F.count("*").alias("n")).collect()}  # one row a source
     total = sum(n.values())
     if weights is None:
@@ -129,14 +130,18 @@ def mix_sources(
         end += len(k)
     table = spark.read.schema(kinds).parquet(path) if end else spark.createDataFrame([], kinds)
     table = F.broadcast(table) if end <= TOLD else table
-    info = spark.createDataFrame([(s, i, n[s], -(-used[s] * block // n[s])) for s, i in of.items()], f"{c('s')} {docs.schema[source_col].dataType.simpleString()}, {c('k')} int, {c('n')} long, {c('epochs')} long")
+    sources = [(s, i, n[s], -(-used[s] * block // n[s]), max(1, -(-n[s] // ROWS_PER_BUCKET))) for s, i in of.items()]
+    kind = docs.schema[source_col].dataType.simpleString()
+    info = spark.createDataFrame(sources, f"{c('s')} {kind}, {c('k')} int, {c('n')} long, {c('epochs')} long, {c('buckets')} long")
     info = F.broadcast(info) if len(n) <= TOLD else info
 
-    buckets = max(1, -(-total // ROWS_PER_BUCKET))
-    known = docs.withColumn(c("h"), h).withColumn(c("b"), F.pmod(F.col(c("h")), F.lit(buckets))).join(info, F.col(source_col).eqNullSafe(F.col(c("s"))))
-    sizes = docs.select(F.col(source_col).alias(c("s")), F.pmod(h, F.lit(buckets)).alias(c("b"))).groupBy(c("s"), c("b")).agg(F.count("*").alias(c("m")))
-    w = Window.partitionBy(c("s")).orderBy(c("b"))  # one row a bucket
-    offsets = sizes.join(info, sizes[c("s")].eqNullSafe(info[c("s")])).select(sizes[c("s")], c("k"), c("b"), c("m")).withColumn(c("off"), F.sum(c("m")).over(w) - F.col(c("m"))).select(c("k"), c("b"), c("off"))
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.join(info, F.col(source_col).eqNullSafe(F.col(c("s")))).withColumn(c("b"), F.pmod(F.col(c("h")), F.col(c("buckets"))))
+
+    known = bucketed(docs.withColumn(c("h"), h))
+    sizes = bucketed(docs.select(source_col, h.alias(c("h")))).groupBy(c("k"), c("b")).agg(F.count("*").alias(c("m")))
+    w = Window.partitionBy(c("k")).orderBy(c("b"))  # one row a bucket
+    offsets = sizes.withColumn(c("off"), F.sum(c("m")).over(w) - F.col(c("m"))).select(c("k"), c("b"), c("off"))
     own: Column = F.row_number().over(Window.partitionBy(c("k"), c("b")).orderBy(c("h"), id_col)) - 1
     numbered = known.withColumn(c("rn"), own).join(offsets, [c("k"), c("b")])
     each = numbered.withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("long"), F.col(c("epochs")) - 1)))

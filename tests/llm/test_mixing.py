@@ -52,3 +52,11 @@ def test_exact_weights_and_many_sources(spark):
     out = mix_sources(many)
     assert out.where("mix_epoch = 0").select("doc_id").distinct().count() == 2500
     assert out.select("mix_position").distinct().count() == out.count()
+
+
+def test_rows_without_an_id_are_dealt_over_buckets(spark):
+    df = spark.createDataFrame([(None, "a", f"text {i}", {"k": i}) for i in range(3000)] + [(1, "b", "x", {"k": 0})], "doc_id long, source string, text string, meta map<string,int>").repartition(3)
+    out = mix_sources(df)
+    assert out.columns == [*df.columns, "mix_position", "mix_epoch"]
+    got = out.where("source = 'a' and mix_epoch = 0").collect()
+    assert len({r.text for r in got}) == 3000 and len({r.mix_position for r in got}) == 3000
