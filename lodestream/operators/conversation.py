@@ -79,3 +79,16 @@ def standalone(messages: DataFrame, queries: DataFrame) -> DataFrame:
     q = queries.join(last, "conv_id", "left")
     add = is_follow_up(F.col("query")) & (hint != "") & ~F.contains(F.lower("query"), F.lower(hint))
     return q.withColumn("standalone", F.when(F.coalesce(add, F.lit(False)), F.concat("query", F.lit(" (in the context of: "), hint, F.lit(")"))).otherwise(F.col("query"))).drop("last")
+
+
+def by_role(messages: DataFrame, role: str) -> DataFrame:
+    return messages.where(F.col("role") == role)
+
+
+def added(messages: DataFrame, new: DataFrame) -> DataFrame:
+    """messages with the new ones (conv_id, place, role, text) behind each conversation's last turn, in order of place."""
+    last = messages.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    w = Window.partitionBy("conv_id").orderBy("place")
+    turn = F.coalesce(F.col("last") + 1, F.lit(0)) + F.row_number().over(w) - 1
+    more = new.join(last, "conv_id", "left").withColumn("turn", turn.cast(messages.schema["turn"].dataType))
+    return messages.select("conv_id", "turn", "role", "text").unionByName(more.select("conv_id", "turn", "role", "text"))

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from typing import Any, NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.vector import score
-from .ranking import top_k
+from .ranking import PLACES, checked_k, top_k
 
+PAIRS = 1 << 22  # scores that a task holds at once
 MAX_QUERIES = 10_000  # a block of queries, told to every task
 
 
@@ -47,15 +50,68 @@ def filtered(df: DataFrame, filters: Sequence[MetadataFilter] = (), equal: Mappi
     return df.where(reduce(Column.__and__, conds)) if conds else df
 
 
+def block_scores(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of all pairs of rows of v and q in double precision; higher is nearer."""
+    if metric == "euclidean":  # by differences: products would lose the digits of near vectors
+        return 1 / (1 + np.sqrt(((v[:, None, :] - q[None, :, :]) ** 2).sum(axis=2)))
+    dots = v @ q.T
+    if metric == "dot":
+        return dots
+    if metric != "cosine":
+        raise ValueError(f"no such metric: {metric}")
+    n = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+    return np.where(n == 0, 0.0, dots / np.where(n == 0, 1.0, n))
+
+
+def candidates(rows: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, chunk_id, score): the k best of every batch of rows for every query. The queries, a bounded block, are told to all
+    tasks; a batch is scored as one matrix product, a slice of the queries at a time."""
+    asked = queries.select("query_id", "vector").toPandas()  # at most about MAX_QUERIES rows
+    if asked.empty:
+        return rows.where(F.lit(False)).select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "chunk_id", F.lit(0.0).alias("score"))
+    told = rows.sparkSession.sparkContext.broadcast((asked.query_id.to_numpy(), np.stack([np.asarray(x, float) for x in asked.vector])))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = told.value
+        for b in batches:
+            ok = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array(ok))
+            if not b.num_rows:
+                continue
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+            if len(flat) != b.num_rows * vectors.shape[1] or len(set(b.column(1).value_lengths().to_pylist())) != 1:
+                raise ValueError("vectors of different length")
+            v, chunk = flat.reshape(b.num_rows, -1), b.column(0).to_numpy(zero_copy_only=False)
+            place = np.argsort(np.argsort(chunk, kind="stable"), kind="stable")
+            step = max(1, PAIRS // (b.num_rows * (vectors.shape[1] if metric == "euclidean" else 1)))
+            for at in range(0, len(ids), step):
+                s = np.round(block_scores(v, vectors[at : at + step], metric), PLACES)
+                best = [np.lexsort((place, -s[:, j]))[:k] if len(s) <= 4 * k else top_of(s[:, j], place, k) for j in range(s.shape[1])]
+                at_row = np.concatenate(best)
+                of = np.repeat(np.arange(s.shape[1]), [len(x) for x in best])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + step][of], kinds[0]), b.column(0).take(pa.array(at_row)), pa.array(s[at_row, of])], ["query_id", "chunk_id", "score"])
+
+    of = {"query_id": queries.schema["query_id"].dataType, "chunk_id": rows.schema["chunk_id"].dataType}
+    kinds = [to_arrow_type(of["query_id"])]
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in of.items()) + ", score double"
+    return rows.select("chunk_id", F.col("embedding").cast("array<double>")).mapInArrow(scored, schema)
+
+
+def top_of(s: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """The k rows of highest score, ties by place."""
+    least = np.partition(s, len(s) - k)[len(s) - k]
+    near = np.flatnonzero(s >= least)
+    return near[np.lexsort((place[near], -s[near]))[:k]]
+
+
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "cosine", filters: Sequence[MetadataFilter] = (), threshold: float | None = None) -> DataFrame:
     """vectors (chunk_id, embedding, ...), queries (query_id, vector). Queries are answered in blocks of about MAX_QUERIES, dealt by a hash
-    of their id; a block is told to every task, and each vector is scored where it is read."""
+    of their id; each vector is scored where it is read, and only the k best of a batch are shuffled. A null vector is nowhere."""
     blocks = -(-queries.count() // MAX_QUERIES)
     rows = filtered(vectors, filters)
 
     def answered(q: DataFrame) -> DataFrame:
-        pairs = rows.join(F.broadcast(q.select("query_id", "vector")))
-        return top_k(pairs.select("query_id", "chunk_id", score(F.col("vector"), F.col("embedding"), metric).alias("score")), k, threshold=threshold)
+        return top_k(candidates(rows, q.where(F.col("vector").isNotNull()), checked_k(k), metric), k, threshold=threshold)
 
     if blocks <= 1:
         return answered(queries)

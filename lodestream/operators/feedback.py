@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranking import top_k
@@ -37,3 +37,28 @@ def rerank(ranked: DataFrame, events: DataFrame, k: int = 10) -> DataFrame:
     all_ = per_chunk(events).select("chunk_id", F.col("mean_score").alias("_all"))
     j = ranked.join(own, ["query", "chunk_id"], "left").join(all_, "chunk_id", "left")
     return top_k(j.withColumn("score", adjusted(F.col("score"), F.coalesce("_own", "_all"))).drop("_own", "_all", "rank"), k)
+
+
+def for_chunk(events: DataFrame, chunk_id) -> DataFrame:  # noqa: ANN001
+    return events.where(F.col("chunk_id") == chunk_id)
+
+
+def for_query(events: DataFrame, query: str) -> DataFrame:
+    """Events of exactly this query."""
+    return events.where(F.col("query") == query)
+
+
+def for_query_and_chunk(events: DataFrame, query: str, chunk_id) -> DataFrame:  # noqa: ANN001
+    return for_chunk(for_query(events, query), chunk_id)
+
+
+def record(events: DataFrame, path: str) -> None:
+    """Appends events to a log of JSON lines; times are ISO 8601."""
+    events.write.mode("append").json(path)
+
+
+def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The events of a log. Lines that are no JSON are left out."""
+    bad = "_bad"
+    rows = spark.read.schema(f"{schema}, {bad} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
+    return rows.where(F.col(bad).isNull()).drop(bad)

@@ -106,3 +106,22 @@ def bibliography(citations: DataFrame) -> DataFrame:
     """(query_id, source_number, document_id, content): a numbered list per query."""
     line = F.concat(F.lit("["), F.col("source_number").cast("string"), F.lit("] "), F.col("document_id").cast("string"), F.lit('\n  "'), preview(F.col("content")), F.lit('"'))
     return citations.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_number", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("bibliography"))
+
+
+def is_complete(finish_reason: Column) -> Column:
+    return F.coalesce(finish_reason == "stop", F.lit(False))
+
+
+def is_truncated(finish_reason: Column) -> Column:
+    return F.coalesce(finish_reason == "length", F.lit(False))
+
+
+def source_label(number: Column) -> Column:
+    return F.format_string("[Source %d]", number)
+
+
+def to_response(stream_rows: DataFrame, key: str, model: str = "") -> DataFrame:
+    """(key, text, chunks, finish_reason, model): stop once the final delta is there, else null; usage counts words of the text."""
+    done = stream_rows.groupBy(key).agg(F.max("is_final").alias("done"))
+    r = collected(stream_rows, key).join(done, key)
+    return r.select(key, "text", "chunks", F.when(F.col("done"), "stop").alias("finish_reason"), F.lit(model).alias("model"), F.size(split_words(F.col("text"))).alias("completion_tokens"))

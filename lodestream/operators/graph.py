@@ -3,7 +3,7 @@ Names compare in lower case."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Technology terms.
@@ -109,3 +109,28 @@ def expanded_queries(queries: DataFrame, ent: DataFrame, rel: DataFrame, max_hop
     names = top.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]).alias("graph_entities"))
     out = queries.join(names, "query_id", "left").withColumn("graph_entities", F.coalesce("graph_entities", F.array().cast("array<string>")))
     return out.withColumn("expanded", F.when(F.size("graph_entities") > 0, F.concat("query", F.lit(" "), F.array_join("graph_entities", " "))).otherwise(F.col("query")))
+
+
+def entity(ent: DataFrame, names: DataFrame) -> DataFrame:
+    """The entities of the names (name), in any case and with blanks around; names without an entity give no row."""
+    wanted = names.select(F.lower(F.trim("name")).alias("_n")).distinct()
+    return ent.join(wanted, F.col("key") == F.col("_n"), "left_semi")
+
+
+def sizes(ent: DataFrame, rel: DataFrame) -> DataFrame:
+    """One row: n_entities, n_relations."""
+    e = ent.agg(F.count("*").alias("n_entities"))
+    return e.join(F.broadcast(rel.agg(F.count("*").alias("n_relations"))))  # one row each
+
+
+def save(ent: DataFrame, rel: DataFrame, path: str) -> None:
+    """JSON lines of entities and relations under a path."""
+    ent.write.mode("overwrite").json(f"{path}/entities")
+    rel.write.mode("overwrite").json(f"{path}/relations")
+
+
+def load(spark: SparkSession, path: str, id_type: str = "bigint") -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) as they were saved."""
+    ent = spark.read.schema(f"key string, name string, type string, doc_ids array<{id_type}>").json(f"{path}/entities")
+    rel = spark.read.schema(f"subject string, predicate string, obj string, weight double, doc_ids array<{id_type}>").json(f"{path}/relations")
+    return ent, rel

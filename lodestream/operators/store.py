@@ -62,3 +62,22 @@ def persist(store: DataFrame, path: str) -> None:
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("namespace", F.coalesce(F.col("namespace").cast("string"), F.lit("")))
+
+
+def in_namespace(store: DataFrame, namespace: str | None = None) -> DataFrame:
+    """None: all namespaces."""
+    return store if namespace is None else store.where(F.col("namespace") == namespace)
+
+
+def get(store: DataFrame, ids: DataFrame, namespace: str | None = None) -> DataFrame:
+    """The rows of the ids (chunk_id); ids that the store does not have give none."""
+    return in_namespace(store, namespace).join(ids.select("chunk_id").distinct(), "chunk_id", "left_semi")
+
+
+def list_ids(store: DataFrame, namespace: str | None = None) -> DataFrame:
+    """(chunk_id), in order; only the id column is read."""
+    return in_namespace(store, namespace).select("chunk_id").orderBy("chunk_id")
+
+
+def count(store: DataFrame, namespace: str | None = None) -> int:
+    return in_namespace(store, namespace).count()

@@ -186,7 +186,11 @@ def _cited_whole(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.alias("answer"))
 
 
-@query("citation_spans")
+@query("citation_spans", r"""
+with t as (select item_id, item_id % 7 as n, text, text || ' [Source ' || (item_id % 7) || '] and  [source 2].' as answer from benchmark),
+w as (select *, unnest(regexp_extract_all(answer, '(?i)\[source\s+\d+\]')) as whole, unnest(range(0, len(regexp_extract_all(answer, '(?i)\[source\s+\d+\]')))) as i, regexp_split_to_array(answer, '(?i)\[source\s+\d+\]') as parts, regexp_extract_all(answer, '(?i)\[source\s+\d+\]') as wholes from t),
+s as (select *, list_sum(list_transform(parts[1:(i + 1)::bigint], lambda x: length(x))) + coalesce(list_sum(list_transform(wholes[1:i::bigint], lambda x: length(x))), 0) as start from w)
+select item_id, regexp_extract(whole, '\d+')::int as number, start::int as start, (start + length(whole))::int as end from s""")
 def citation_spans(spark, d):
     return _cited_whole(spark, d).select("item_id", F.explode(G.marker_spans(F.col("answer"))).alias("m")).select("item_id", "m.*")
 
@@ -202,6 +206,7 @@ def _samples(spark, d):
 
 
 _TOK = r"regexp_extract_all(lower(coalesce({0}, '')), '([\p{{L}}\p{{N}}_]+)', 1)"
+_EXACT = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\s\p{{Z}}]', '', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
 _EVAL = f"""
 with a as (select conv_id, turn, text as answer from conversations where role = 'assistant'), q as (select conv_id, turn + 1 as turn, text as question from conversations where role = 'user'),
 s as (select a.conv_id || '#' || a.turn as sample_id, question, answer, b.text as reference from a join q using (conv_id, turn) left join benchmark b on b.item_id = a.conv_id),
@@ -212,16 +217,57 @@ m as (select sample_id, case when len(ta) = 0 then 1.0 else len(list_filter(ta,
   + case when len(list_intersect(dr, qa))::double / greatest(1, len(list_distinct(list_concat(dr, qa)))) >= 0.05 then 1 else 0 end) / 2.0::double as context_precision,
  case when len(tr) > 0 then len(list_filter(tr, lambda x: list_contains(pool, x)))::double / len(tr) when len(ta) = 0 then 1.0 else len(list_filter(ta, lambda x: list_contains(pool, x)))::double / len(ta) end as context_recall,
  case when len(dq) + len(da) = 0 then 1.0 else len(list_intersect(dq, da))::double / len(list_distinct(list_concat(dq, da))) end as answer_relevance,
- case when coalesce(reference, '') = '' then 0.0 when len(list_intersect(da, dr)) = 0 then 0.0 else 2.0::double * len(list_intersect(da, dr)) / (len(da) + len(dr)) end as token_f1 from u)
+ case when coalesce(reference, '') = '' then 0.0 when len(list_intersect(da, dr)) = 0 then 0.0 else 2.0::double * len(list_intersect(da, dr)) / (len(da) + len(dr)) end as token_f1,
+ case when coalesce(reference, '') = '' then 0.0 when {_EXACT.format('answer')} = {_EXACT.format('reference')} then 1.0 else 0.0 end as exact_match from u)
 """
 
 
-@query("answer_metrics", _EVAL + "select sample_id, round(faithfulness, 6) as faithfulness, round(context_precision, 6) as context_precision, round(context_recall, 6) as context_recall, round(answer_relevance, 6) as answer_relevance, round(token_f1, 6) as token_f1 from m")
+@query("answer_metrics", _EVAL + "select sample_id, round(faithfulness, 6) as faithfulness, round(context_precision, 6) as context_precision, round(context_recall, 6) as context_recall, round(answer_relevance, 6) as answer_relevance, round(token_f1, 6) as token_f1, exact_match::double as exact_match from m")
 def answer_metrics(spark, d):
     m = E.answer_metrics(_samples(spark, d))
-    return m.select("sample_id", *[F.round(c, 6).alias(c) for c in E.METRICS if c != "exact_match"])
+    return m.select("sample_id", *[F.round(c, 6).alias(c) for c in E.METRICS])
 
 
-@query("answer_report")
+@query("answer_report", _EVAL + "select metric, round(avg(value), 6) as mean from (unpivot (select faithfulness::double as faithfulness, context_precision::double as context_precision, context_recall::double as context_recall, answer_relevance::double as answer_relevance, exact_match::double as exact_match, token_f1::double as token_f1 from m) on faithfulness, context_precision, context_recall, answer_relevance, exact_match, token_f1 into name metric value value) group by metric")
 def answer_report(spark, d):
     return E.answer_report(E.answer_metrics(_samples(spark, d)))
+
+
+@query("feedback_log", f"with {_EV} select query, chunk_id, score from e")
+def feedback_log(spark, d):
+    """Events appended to a log of JSON lines in two parts, and read again."""
+    import uuid
+
+    from ..operators.tables import shared_dir
+
+    e = _events(spark, d).select("query", "chunk_id", "score")
+    path = f"{shared_dir(spark)}/lodestream/feedback-{uuid.uuid4().hex}"
+    FB.record(e.where("chunk_id % 2 = 0"), path)
+    FB.record(e.where("chunk_id % 2 <> 0"), path)
+    return FB.load(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema))
+
+
+@query("feedback_of_query", f"with {_EV} select chunk_id, score from e where query = 'q1' and chunk_id = 1")
+def feedback_of_query(spark, d):
+    return FB.for_query_and_chunk(_events(spark, d), "q1", 1).select("chunk_id", "score")
+
+
+@query("conversation_added", """
+select conv_id, turn, role, text from conversations
+union all select conv_id, max(turn) + 1 + p, 'user', 'more ' || p from conversations, range(0, 2) r(p) group by conv_id, p""")
+def conversation_added(spark, d):
+    m = messages(spark, d)
+    new = m.select("conv_id").distinct().select("conv_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("place"))
+    return C.added(m, new.select("conv_id", "place", F.lit("user").alias("role"), F.concat(F.lit("more "), F.col("place").cast("string")).alias("text")))
+
+
+@query("messages_by_role", "select conv_id, turn from conversations where role = 'assistant'")
+def messages_by_role(spark, d):
+    return C.by_role(messages(spark, d), "assistant").select("conv_id", "turn")
+
+
+@query("answer_responses", "select item_id as query_id, text, ceil(length(text) / 7.0)::bigint as chunks, 'stop' as finish_reason, true as complete from benchmark where length(text) > 0")
+def answer_responses(spark, d):
+    a = asked(spark, d).select("query_id", F.col("query").alias("answer"))
+    r = G.to_response(G.stream(a, 7), "query_id", "mock")
+    return r.select("query_id", "text", "chunks", "finish_reason", G.is_complete(F.col("finish_reason")).alias("complete"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import importlib
 import importlib.metadata
+import importlib.util
 import json
 import logging
 import threading
@@ -206,6 +208,23 @@ class Hooks:
             self.register(name, p)
         return sorted(found)
 
+    def load_directory(self, path: str | Path) -> list[str]:
+        """Registers what `plugins()` of every module file in a folder returns."""
+        out = []
+        for file in sorted(Path(path).glob("[!_]*.py")):
+            spec = importlib.util.spec_from_file_location(f"lodestream_plugin_{file.stem}", file)
+            module = importlib.util.module_from_spec(spec)
+            spec.loader.exec_module(module)
+            for name, p in module.plugins().items():
+                self.register(name, p)
+                out.append(name)
+        return sorted(out)
+
+    def describe(self) -> list[dict[str, Any]]:
+        """Name, class, hooks and tags of every plugin."""
+        hooks = ("before_ingest", "after_ingest", "before_query", "after_query", "on_error")
+        return [{"name": n, "kind": type(p).__name__, "hooks": [h for h in hooks if hasattr(p, h)], "tags": sorted(t for t, names in self.tags.items() if n in names)} for n, p in sorted(self.plugins.items())]
+
     def by_tag(self, tag: str) -> list[str]:
         return sorted(self.tags.get(tag, ()))
 
@@ -219,6 +238,61 @@ class Hooks:
                     log.exception("plugin %s failed in %s", name, hook)
 
 
+class CountingPlugin:
+    """Counts the calls of every hook."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, int] = defaultdict(int)
+
+    def __getattr__(self, hook: str) -> Callable:
+        if not hook.startswith(("before_", "after_", "on_")):
+            raise AttributeError(hook)
+        return lambda **context: self.counts.__setitem__(hook, self.counts[hook] + 1)
+
+
+class LoggingPlugin:
+    """Logs errors of the pipeline."""
+
+    def on_error(self, error: Exception, stage: str, **context: Any) -> None:
+        log.error("%s failed: %s", stage, error)
+
+
+class Metrics:
+    """Counters and timings of driver-side work; snapshot() is what they are now."""
+
+    def __init__(self) -> None:
+        self._lock, self._counts, self._times = threading.Lock(), defaultdict(float), defaultdict(list)
+
+    def count(self, name: str, by: float = 1) -> None:
+        with self._lock:
+            self._counts[name] += by
+
+    def instrument(self, name: str) -> Callable:
+        """Decorator: calls, failures and milliseconds of a function that runs an action."""
+
+        def wrap(f: Callable) -> Callable:
+            @functools.wraps(f)
+            def run(*a: Any, **kw: Any) -> Any:
+                start = time.perf_counter()
+                try:
+                    return f(*a, **kw)
+                except Exception:
+                    self.count(f"{name}.failed")
+                    raise
+                finally:
+                    self.count(f"{name}.calls")
+                    with self._lock:
+                        self._times[name].append((time.perf_counter() - start) * 1000)
+
+            return run
+
+        return wrap
+
+    def snapshot(self) -> dict[str, Any]:
+        with self._lock:
+            return {"counts": dict(self._counts), "mean_ms": {k: sum(v) / len(v) for k, v in self._times.items()}}
+
+
 @dataclass
 class Pipeline:
     """documents (doc_id, text) in, answers out. The index is a table of chunks with vectors; `index` may be replaced by a stored one."""
@@ -276,7 +350,7 @@ class Pipeline:
         """queries with context, prompt, answer, usage and sources."""
         c = self.config
         self.hooks.call("before_query", queries=queries)
-        with self.tracer.span("query"):
+        with self.tracer.span("query"), self._reporting("query"):
             hits = self.retrieve(queries, k)
             context = generation.context_block(hits, c.context_chars)
             sources = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score"))), lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["score"].alias("score"))).alias("sources"))
@@ -288,6 +362,14 @@ class Pipeline:
         self.events.emit("answered")
         return out
 
+    @contextlib.contextmanager
+    def _reporting(self, stage: str) -> Iterator[None]:
+        try:
+            yield
+        except Exception as e:
+            self.hooks.call("on_error", error=e, stage=stage)
+            raise
+
     def stats(self) -> dict[str, int]:
         r = self.index.agg(F.count("*").alias("chunks"), F.count_distinct("document_id").alias("documents")).collect()[0] if self.index is not None else None
         return {"chunks": r["chunks"], "documents": r["documents"]} if r else {"chunks": 0, "documents": 0}

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import store as S
+from ..operators.tables import shared_dir
 from ..sources import loaders as L
 from .registry import query, table
 
@@ -61,3 +64,56 @@ def cache_keys(spark, d):
     from ..operators.cache import result_key
 
     return table(spark, d, "benchmark").select("item_id", result_key(F.col("text")).alias("cache_key"))
+
+
+@query("store_get", "select vec_id as chunk_id, label from embeddings where vec_id % 7 = 0 and label % 2 = 1")
+def store_get(spark, d):
+    s = _items(spark, d).withColumn("namespace", F.concat(F.lit("ns"), (F.col("label") % 2).cast("string")))
+    ids = s.where("chunk_id % 7 = 0").select("chunk_id").union(s.select((-1 - F.col("chunk_id")).alias("chunk_id")))
+    return S.get(s, ids, "ns1").select("chunk_id", "label")
+
+
+@query("store_list_ids", "select vec_id as chunk_id from embeddings where label % 2 = 0")
+def store_list_ids(spark, d):
+    s = _items(spark, d).withColumn("namespace", F.concat(F.lit("ns"), (F.col("label") % 2).cast("string")))
+    return S.list_ids(s, "ns0")
+
+
+def _new_path(spark, kind):
+    return f"{shared_dir(spark)}/lodestream/{kind}-{uuid.uuid4().hex}"
+
+
+@query("store_persisted", "select vec_id as chunk_id, 'ns' || (label % 2) as namespace, len(embedding)::int as dimensions, label from embeddings")
+def store_persisted(spark, d):
+    """Written by namespace and read again."""
+    s = _items(spark, d).withColumn("namespace", F.concat(F.lit("ns"), (F.col("label") % 2).cast("string")))
+    path = _new_path(spark, "store")
+    S.persist(s, path)
+    return S.load(spark, path).select("chunk_id", "namespace", F.size("embedding").alias("dimensions"), "label")
+
+
+@query("source_csv", "select 'c_custkey: ' || c_custkey || ' | c_name: ' || c_name || ' | c_mktsegment: ' || c_mktsegment as text, c_name as title, 'csv' as format from customer")
+def source_csv(spark, d):
+    """Customers as CSV files with a header, loaded as documents."""
+    path = _new_path(spark, "csv")
+    table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").write.option("header", "true").csv(path)
+    return L.load_csv(spark, path, title="c_name").select("text", "title", "format")
+
+
+@query("source_json", "select text, source as title, lang, 'json' as format from documents where text is not null")
+def source_json(spark, d):
+    """Documents as JSON lines, loaded by key."""
+    path = _new_path(spark, "docs") + ".jsonl"
+    table(spark, d, "documents").where("text is not null").select("text", "source", "lang").write.json(path)
+    got = L.load_json(spark, path, content_key="text", title_key="source", metadata_keys=("lang",))
+    return got.select("text", "title", F.try_element_at("extra", F.lit("lang")).alias("lang"), "format")
+
+
+@query("source_markdown", "select item_id::varchar as title, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, 'markdown' as format from benchmark")
+def source_markdown(spark, d):
+    """Benchmark items as Markdown files with front matter, one a row."""
+    path = _new_path(spark, "md")
+    body = F.concat(F.lit("---\ntitle: "), F.col("item_id").cast("string"), F.lit("\n---\n"), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    b = table(spark, d, "benchmark").select("item_id", body.alias("raw"))
+    meta, rest = L.front_matter(F.col("raw"))
+    return b.select(F.try_element_at(meta, F.lit("title")).alias("title"), F.trim(rest).alias("text"), F.lit("markdown").alias("format"))

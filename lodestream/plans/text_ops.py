@@ -209,18 +209,57 @@ def graph_subgraph(spark, d):
     return G.subgraph(ent, _nations(spark, d), names)[1].select("subject", "obj")
 
 
-@query("graph_entities", r"""
-with w as (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as name from documents), m as (select * from w where regexp_full_match(name, '[A-Z]{2,8}s?'))
-select lower(name) as key, count(distinct doc_id)::int as docs from m group by 1""")
+_WORD = r"regexp_extract_all({0}, '[\p{L}\p{M}\p{N}\p{Pc}]+')"
+_MEASURE = r"\d+(?:\.\d+)?\s*(?:dimensions?|layers?|heads?|tokens?|bytes?|ms|seconds?)"
+
+
+@query("graph_entities", rf"""
+with w as (select doc_id, unnest({_WORD.replace('{0}', 'text')}) as name from documents),
+t as (select doc_id, lower(name) as key, 0 as pass from w where lower(name) in ({','.join(f"'{x}'" for x in G.TERMS)})),
+a as (select doc_id, lower(name) as key, 1 as pass from w where regexp_full_match(name, '[A-Z]{{2,8}}s?')),
+m as (select doc_id, lower(unnest(regexp_extract_all(text, '(?i)\b({_MEASURE})\b', 1))) as key, 3 as pass from documents),
+u as (select doc_id, key, min(pass) as pass from (select * from t union all select * from a union all select * from m) group by all)
+select key, case arg_min(pass, doc_id) when 0 then 'TECHNOLOGY' when 1 then 'ACRONYM' else 'MEASURE' end as type, count(*)::int as docs from u group by key""")
 def graph_entities(spark, d):
-    m = G.mentions(table(spark, d, "documents")).where("type = 'ACRONYM'")
-    return G.entities(m).select("key", F.size("doc_ids").alias("docs"))
+    return G.entities(G.mentions(table(spark, d, "documents"))).select("key", "type", F.size("doc_ids").alias("docs"))
+
 
+# sentences that state where nations lie and what they trade, so that every pattern has something to find
+STATED = ("{n} is a {r}", "{n} is part of {r}", "{n} uses {r}", "{n} extends {r}", "{n} is built on {r}", "{n} is developed by {r}", "{n} integrates with {r}", "{n} and {r} are related")
+
+
+def _stated(spark, d):
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    name = lambda c: F.regexp_replace(c, r"\W", "")
+    shape = F.element_at(F.array(*[F.lit(x) for x in STATED]), (F.col("n_nationkey") % len(STATED) + 1).cast("int"))
+    text = F.replace(F.replace(shape, F.lit("{n}"), name("n_name")), F.lit("{r}"), name("r_name"))
+    return n.select(F.col("n_nationkey").cast("long").alias("doc_id"), name("n_name").alias("n"), name("r_name").alias("r"), text.alias("text"))
 
-@query("graph_stated_relations")
+
+@query("graph_stated_relations", r"""
+with n as (select n_nationkey, lower(regexp_replace(n_name, '\W', '', 'g')) as n, lower(regexp_replace(r_name, '\W', '', 'g')) as r from nation join region on n_regionkey = r_regionkey),
+s as (select n as subject, ['IS_A', 'PART_OF', 'USES', 'EXTENDS', 'BUILT_ON', 'DEVELOPED_BY', 'INTEGRATES_WITH', 'RELATED_TO'][n_nationkey % 8 + 1] as predicate, r as obj, 1.0::double as weight, 1 as docs from n)
+select * from s union all select least(n, r), 'CO_OCCURS_WITH', greatest(n, r), 0.5::double, 1 from n""")
 def graph_stated_relations(spark, d):
-    c = table(spark, d, "conversations").select(F.concat_ws("#", "conv_id", "turn").alias("doc_id"), "text")
-    return G.relations(G.stated_relations(c, G.mentions(c))).select("subject", "predicate", "obj", "weight", F.size("doc_ids").alias("docs"))
+    docs = _stated(spark, d)
+    found = docs.select("doc_id", F.explode(F.array(F.lower("n"), F.lower("r"))).alias("key"))
+    return G.relations(G.stated_relations(docs.select("doc_id", "text"), found)).select("subject", "predicate", "obj", "weight", F.size("doc_ids").alias("docs"))
+
+
+@query("graph_persisted", "select lower(n_name) as key, 'PART_OF' as predicate, r_name as obj from nation join region on n_regionkey = r_regionkey where lower(n_name) in ('nation_3', 'nation_4')")
+def graph_persisted(spark, d):
+    """Saved as JSON lines, loaded, and two entities looked up with their relations."""
+    import uuid
+
+    from ..operators.tables import shared_dir
+
+    rel = _nations(spark, d)
+    ent = rel.select(F.lower("subject").alias("key"), F.col("subject").alias("name"), F.lit("NATION").alias("type"), "doc_ids")
+    path = f"{shared_dir(spark)}/lodestream/graph-{uuid.uuid4().hex}"
+    G.save(ent, rel, path)
+    ent, rel = G.load(spark, path)
+    names = spark.createDataFrame([(" Nation_3",), ("NATION_4",), ("nowhere",)], "name string")
+    return G.entity(ent, names).join(rel, F.col("name") == F.col("subject")).select("key", "predicate", "obj")
 
 
 @query("graph_expanded_queries")
