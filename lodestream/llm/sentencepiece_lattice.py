@@ -40,7 +40,7 @@ from .common import bucketed, checkpoint, settings, small_batches
 MARK = "▁"
 FREQUENT = 1 << 18  # units told to all tasks, of at most LONGEST characters each
 STRETCH = 1 << 20  # words whose ids are put together at once
-BLOCK_BYTES = 12 << 20  # of the texts that travel as one row; a single longer text is a block of its own
+BLOCK_BYTES = 16 << 20  # of the texts that travel as one row; a single longer text is a block of its own
 LONGEST = 60  # characters of a unit whose cuts fit into 64 bits
 LONGEST_VITERBI = 256  # characters of a unit whose prefixes are folded as an array
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -461,7 +461,8 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc
         return pa.Table.from_batches(out)
 
     packed = bucketed(src.mapInArrow(pack, "block long, packed binary, own array<string>"), "block")
-    own = packed.select("block", F.posexplode("own").alias("k", "w")).join(known.select("w", "ids", "lossy"), "w").select(F.col("block").alias("of"), "k", "ids", "lossy")
+    own = packed.select("block", F.posexplode("own").alias("k", "w")).join(known.select("w", "ids", "lossy"), "w")
+    own = checkpoint(own.select(F.col("block").alias("of"), "k", "ids", "lossy"))
     texts = packed.select("block", "packed").groupBy("block").cogroup(own.groupBy("of"))
     return texts.applyInArrow(encode, f"{id_col} {id_type}, ids array<int>, n_tokens long, round_trip boolean")
 
