@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from ..functions.text import KEYWORD_STOP
-from ..operators.queries import FEEDBACK_STOP
-from .registry import twin
+from ..operators.queries import CONTRACTIONS, ENGLISH_STOP, FEEDBACK_STOP, PARAPHRASE_STOP, QUESTION_WORDS
+from .registry import ORACLE, twin
 from .retrieval import _bm25
+from .rewriting import _Q
 from .text_ops import _LOOSE
 
 
@@ -148,3 +149,138 @@ known as (select item_id as query_id, unnest(regexp_split_to_array(lower(text),
 n as (select query_id, term, count(*) as n, min(rank * 10000000 + place) as first from x where length(term) > 2 and term not in {_in(FEEDBACK_STOP)} and (query_id, term) not in (select query_id, term from known) group by query_id, term),
 o as (select *, row_number() over (partition by query_id order by n desc, first) as r from n)
 select item_id as query_id, coalesce(string_agg(term, ' ' order by r), '') as added from benchmark left join o on o.query_id = item_id and r <= 5 group by item_id""")
+
+
+_ASKED = f"q as (with {_Q} select query_id, query from q)"
+_SPLIT = r"list_filter(regexp_split_to_array({0}, '[\s\p{{Z}}]+'), lambda x: x <> '')"
+_TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+')"
+_ABOUT = " ".join(f"when starts_with(lower(stem), '{p}') then 'information about ' || trim(substr(stem, {len(p) + 1}))" for p in ("what is", "what are", "how does", "how do", "explain", "describe"))
+
+
+def _paraphrased(n: int) -> str:
+    """(query_id, query, made)"""
+    return rf"""select query_id, query, list_filter([case when len(key) > 0 and key <> words then array_to_string(key, ' ') end, case {_ABOUT} end,
+ case when len({_SPLIT.format('query')}) <= 4 then 'definition of ' || regexp_replace(lower(query), '\?+$', '') end], lambda v: v is not null and trim(v) <> '' and lower(v) <> lower(query))[1:{n}] as made
+ from (select *, list_filter(words, lambda w: w not in {_in(PARAPHRASE_STOP)} and length(w) > 2) as key from (select query_id, query, {_TOKENS.format('query')} as words, regexp_replace(trim(query), '\?+$', '') as stem from q))"""
+
+
+twin("query_paraphrases", f"with {_ASKED} select query_id, array_to_string(made, '|') as paraphrases from ({_paraphrased(3)})")
+
+twin("query_variants", rf"""
+with {_ASKED}, w as (select query_id, query, {_SPLIT.format('query')} as words, trim(regexp_replace(rtrim(query), '[? ]+$', '')) as bare from q),
+k as (select *, list_filter(words, lambda x: trim(lower(x), '?.,!') not in {_in(QUESTION_WORDS)}) as key from w),
+m as (select query_id, list_filter([trim(query), case when len(key) >= 2 then array_to_string(key, ' ') end, case when len(words) >= 3 and len(key) > 0 then array_to_string(list_reverse(key), ' ') end,
+ case when ends_with(rtrim(query), '?') and bare <> query then bare end], lambda v: v is not null) as made from k)
+select query_id, array_to_string(list_filter(made, lambda v, i: list_position(list_transform(made, lambda x: lower(x)), lower(v)) = i)[1:4], '|') as variants from m""")
+
+
+def _contracted(text: str) -> str:
+    for k in sorted(CONTRACTIONS, key=lambda x: (-len(x), x)):
+        text = f"regexp_replace({text}, '\\b{k.replace(chr(39), chr(39) * 2)}\\b', '{CONTRACTIONS[k]}', 'g')"
+    return text
+
+
+_QUOTED = r"""regexp_replace(query, '"[^"]*"', ' __quoted_0__ ')"""
+_SCRIPTS = (("latin", "A-Za-zÀ-ÖØ-öø-ÿ"), ("cjk", "一-鿿぀-ヿ가-힯"), ("arabic", "؀-ۿ"), ("cyrillic", "Ѐ-ӿ"))
+_COUNTS = ", ".join(f"length(regexp_replace(query, '[^{r}]', '', 'g')) as {n}" for n, r in _SCRIPTS)
+twin("query_normalized", rf"""
+with {_ASKED}, t as (select query_id, query, regexp_extract(query, '"([^"]*)"', 1) as phrase, {_contracted(f'lower({_QUOTED})')} as t, {_COUNTS} from q),
+w as (select *, list_transform({_SPLIT.format(r"regexp_replace(t, '[^\p{L}\p{M}\p{N}\p{Pc}\s\p{Z}]', ' ', 'g')")}, lambda x: case when x = '__quoted_0__' then trim(phrase) else x end) as words from t),
+s as (select *, list_filter(words, lambda x: x in {_in(ENGLISH_STOP)}) as stopped, array_to_string(list_filter(words, lambda x: x not in {_in(ENGLISH_STOP)} and length(x) >= 2), ' ') as normalized from w)
+select query_id, normalized, array_to_string(stopped, ' ') as removed, false as truncated, length(normalized) < 2 as too_short,
+ case when greatest(latin, cjk, arabic, cyrillic) = 0 then 'unknown' when latin >= greatest(cjk, arabic, cyrillic) then 'latin' when cjk >= greatest(arabic, cyrillic) then 'cjk' when arabic >= cyrillic then 'arabic' else 'cyrillic' end as script from s""")
+
+
+def _sub_searches(subs: str, k: int, extra: str = "") -> str:
+    """subs: rows (query_id, sub, text). The fused results of every query, without repeats of a text after the cut."""
+    search = _bm25(k=3 * k).replace("from benchmark", "from (select query_id || '#' || sub as item_id, text from subs)")
+    return f"""{extra}subs as ({subs}), r as ({search}),
+f as (select s.query_id, r.chunk_id, round(sum(1 / (60.0 + r.rank)::double), 6) as score from r join subs s on s.query_id || '#' || s.sub = r.query_id group by s.query_id, r.chunk_id),
+c as (select *, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from f qualify rank <= {k})"""
+
+
+def _once(name: str) -> str:
+    return f"select query_id, chunk_id, score, rank from {name} join documents on doc_id = chunk_id qualify row_number() over (partition by query_id, md5(text) order by rank) = 1"
+
+
+_HYDE = "select query_id, 0 as sub, hypothesis as text from h union all select query_id, 1, query from q join h using (query_id) where query <> hypothesis"
+_BACK = "select query_id, 0 as sub, query as text from q union all select query_id, 1, broader from q join b using (query_id) where lower(broader) <> lower(query)"
+_MULTI = f"select query_id, 0 as sub, query as text from q union all select query_id, unnest(range(1, len(made) + 1)), unnest(made) from (select query_id, query, list_distinct(list_filter(made, lambda v: v <> query)) as made from ({_paraphrased(3)}))"
+twin("retrieve_hyde", f"with {_ASKED}, h as ({ORACLE['query_hypothesis']}), {_sub_searches(_HYDE, 5)} {_once('c')}")
+twin("retrieve_step_back", f"with {_ASKED}, b as ({ORACLE['query_step_back']}), {_sub_searches(_BACK, 5)} {_once('c')}")
+twin("retrieve_multi_query", f"with {_ASKED}, {_sub_searches(_MULTI, 5)} {_once('c')}")
+
+
+def _strategy(subs: str, k: int) -> str:
+    return f"(with {_sub_searches(subs, k)} select query_id, chunk_id, score, rank from c)"
+
+
+def _of(subs: str, *intents: str) -> str:
+    return f"select * from ({subs}) where query_id in (select query_id from i where intent in {_in(intents)})".replace(",)", ")")
+
+
+_FOUR = _MULTI.replace("[1:3] as made", "[1:4] as made")
+twin("retrieve_routed", f"""
+with {_ASKED}, h as ({ORACLE['query_hypothesis']}), b as ({ORACLE['query_step_back']}), i as ({ORACLE['query_intent']}),
+hyde as (select * from {_strategy(_of(_HYDE, 'factual', 'definitional'), 5)}), back as (select * from {_strategy(_of(_BACK, 'procedural'), 5)}),
+four as (select * from {_strategy(_of(_FOUR, 'comparative'), 5)}), multi as (select * from {_strategy(_of(_MULTI, 'unknown'), 5)}),
+hop as (select * from {_strategy(_of(_MULTI, 'multi_hop'), 15)} union all select * from {_strategy(_of(_BACK, 'multi_hop'), 15)}),
+fused as (select query_id, chunk_id, round(sum(1 / (60.0 + rank)::double), 6) as score from hop group by all),
+joint as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id)::int as rank from fused qualify rank <= 5),
+every as (select * from hyde union all select * from back union all select * from four union all select * from multi union all select * from joint)
+select query_id, chunk_id, score, rank, intent, confidence, case intent when 'factual' then 'hyde' when 'definitional' then 'hyde' when 'procedural' then 'step_back' when 'multi_hop' then 'composite[multi_query+step_back]' else 'multi_query' end as strategy from every join i using (query_id)""")
+
+
+_TRIMMED = r"regexp_replace(x, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+_START = "case when strpos(substr(text, a.off + 1), p) > 0 then a.off + strpos(substr(text, a.off + 1), p) - 1 else a.off end"
+
+
+def _split_sentences(least: int) -> str:
+    return rf"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\s\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_TRIMMED}), lambda x: x <> '' and length(x) >= {least})"
+
+
+def _located(parts: str) -> str:
+    """Chunks from rows (doc_id, text, parts), each searched for from one past the start of the one before."""
+    fold = f"list_reduce(parts, lambda a, p: {{'off': greatest(a.off, {_START} + 1), 'out': list_append(a.out, {{'s': {_START}, 'p': p}})}}, {{'off': 0::bigint, 'out': []::struct(s bigint, p varchar)[]}}).out"
+    return f"""select doc_id || '#' || i as chunk_id, doc_id as document_id, i::int as index, c.s::int as start_char, (c.s + length(c.p))::int as end_char, c.p as content
+ from (select doc_id, unnest(o) as c, unnest(range(0, len(o))) as i from (select doc_id, {fold} as o from ({parts})))"""
+
+
+_TAIL = "list_reduce(list_reverse(a.cur), lambda t, x: case when t.stop or t.n + length(x) + 1 > 50 then {'n': t.n, 'stop': true, 'keep': t.keep} else {'n': t.n + length(x) + 1, 'stop': false, 'keep': list_prepend(x, t.keep)} end, {'n': 0::bigint, 'stop': false, 'keep': []::varchar[]}).keep"
+_GROWN = "(length(s) + case when len(a.cur) > 0 then 1 else 0 end)"
+_PACKED = (
+    f"list_reduce(ss, lambda a, s: case when a.n + {_GROWN} > 512 and len(a.cur) > 0 then {{'done': list_append(a.done, array_to_string(a.cur, ' ')), 'cur': list_append({_TAIL}, s),"
+    f" 'n': (coalesce(list_sum(list_transform({_TAIL}, lambda y: length(y))), 0) + greatest(len({_TAIL}) - 1, 0) + {_GROWN})::bigint}}"
+    f" else {{'done': a.done, 'cur': list_append(a.cur, s), 'n': (a.n + {_GROWN})::bigint}} end, {{'done': []::varchar[], 'cur': []::varchar[], 'n': 0::bigint}})"
+)
+twin("chunk_sentence", _located(f"select doc_id, text, case when len(g.cur) > 0 then list_append(g.done, array_to_string(g.cur, ' ')) else g.done end as parts from (select doc_id, text, {_PACKED} as g from (select doc_id, text, {_split_sentences(5)} as ss from documents where text is not null))"))
+
+_BAG = r"list_distinct(list_filter(regexp_split_to_array(lower({0}), '[\s\p{{Z}}]+'), lambda z: z <> ''))"
+_BAGS = f"list_transform(ss, lambda x: {_BAG.format('x')})"
+_NEAR = "case when i = 1 or len(list_distinct(list_concat(bags[i - 1], bags[i]))) = 0 then 0.0::double else len(list_intersect(bags[i - 1], bags[i]))::double / len(list_distinct(list_concat(bags[i - 1], bags[i]))) end"
+_JOINED = (
+    "list_reduce(items, lambda a, x: case when a.cur is not null and length(a.cur) + 1 + length(x.s) <= 512 and x.sim >= 0.3 then {'done': a.done, 'cur': a.cur || ' ' || x.s}"
+    " else {'done': case when a.cur is null then a.done else list_append(a.done, a.cur) end, 'cur': x.s} end, {'done': []::varchar[], 'cur': null::varchar})"
+)
+twin("chunk_semantic", _located(f"select doc_id, text, case when g.cur is null then g.done else list_append(g.done, g.cur) end as parts from (select doc_id, text, {_JOINED} as g from (select doc_id, text, list_transform(ss, lambda x, i: {{'s': x, 'sim': {_NEAR}}}) as items from (select *, {_BAGS} as bags from (select doc_id, text, {_split_sentences(0)} as ss from documents where text is not null))))"))
+
+
+def _pieces(x: str, level: int = 0) -> str:
+    """The parts of at most 512 characters of x: runs between separators, longer parts by the next separator, at last cut hard."""
+    seps = ("chr(10) || chr(10)", "chr(10)", "'. '", "' '")
+    if level == len(seps):
+        return f"list_transform(range(0, length({x}), 512), lambda h: substr({x}, h + 1, 512))"
+    a, p, sep = f"a{level}", f"p{level}", seps[level]
+    grown = f"case when {a}.run = '' then {p} else {a}.run || {sep} || {p} end"
+    deeper = _pieces(p, level + 1)
+    step = f"case when length({grown}) <= 512 then {{'done': {a}.done, 'run': {grown}}} else {{'done': list_concat(list_append({a}.done, {a}.run), case when length({p}) <= 512 then [] else {deeper} end), 'run': case when length({p}) <= 512 then {p} else '' end}} end"
+    fold = f"list_reduce(string_split({x}, {sep}), lambda {a}, {p}: {step}, {{'done': []::varchar[], 'run': ''::varchar}})"
+    return f"case when length({x}) <= 512 then [{x}] else list_transform([{fold}], lambda r{level}: list_append(r{level}.done, r{level}.run))[1] end"
+
+
+_MERGED = "list_reduce(pieces, lambda a, p: case when a.cur is not null and length(a.cur) + 1 + length(p) <= 512 then {'done': a.done, 'cur': a.cur || ' ' || p} else {'done': case when a.cur is null then a.done else list_append(a.done, a.cur) end, 'cur': p} end, {'done': []::varchar[], 'cur': null::varchar})"
+_OVERLAPPED = "list_transform(merged, lambda p, i: case when i > 1 and length(right(merged[i - 1], 50) || ' ' || p) <= 512 then right(merged[i - 1], 50) || ' ' || p else p end)"
+twin("chunk_recursive", _located(
+    f"select doc_id, text, {_OVERLAPPED} as parts from (select doc_id, text, case when g.cur is null then g.done else list_append(g.done, g.cur) end as merged from (select doc_id, text, {_MERGED} as g"
+    rf" from (select doc_id, text, list_filter({_pieces('text')}, lambda v: not regexp_full_match(v, '[\s\p{{Z}}]*')) as pieces from documents where text is not null)))"
+))
