@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, sentences, split_words
+from .tables import spread
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 
@@ -28,7 +29,7 @@ def fixed_chunks(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFra
     step = size - overlap
     spans = F.expr(f"transform(sequence(0, greatest(length(text) - 1, 0), {step}), p -> struct(p as start_char, least(p + {size}, length(text)) as end_char, substring(text, p + 1, {size}) as content))")
     kept = F.filter(spans, lambda s: ~s["content"].rlike(r"(?U)^\s*$"))
-    d = docs.where(F.length("text") > 0).select(F.col("doc_id").alias("document_id"), F.posexplode(kept).alias("index", "s"))
+    d = spread(docs).where(F.length("text") > 0).select(F.col("doc_id").alias("document_id"), F.posexplode(kept).alias("index", "s"))
     return _identified(d.select("document_id", "index", "s.*"))
 
 
@@ -60,14 +61,14 @@ def sentence_groups(size: int, overlap: int) -> str:
 
 def sentence_chunks(docs: DataFrame, size: int = 512, overlap: int = 50, min_length: int = 5) -> DataFrame:
     checked(size, overlap)
-    d = docs.select(F.col("doc_id").alias("document_id"), "text", sentences(F.col("text"), min_length).alias("sentences"))
+    d = spread(docs).select(F.col("doc_id").alias("document_id"), "text", sentences(F.col("text"), min_length).alias("sentences"))
     return _located(d.withColumn("parts", F.expr(sentence_groups(size, overlap))))
 
 
 def semantic_chunks(docs: DataFrame, size: int = 512, threshold: float = 0.3) -> DataFrame:
     """Neighbouring sentences stay together while they fit and each is similar enough to the one before it (Jaccard of lower-case words)."""
     checked(size, 0)
-    d = docs.select(F.col("doc_id").alias("document_id"), "text", sentences(F.col("text")).alias("sentences"))
+    d = spread(docs).select(F.col("doc_id").alias("document_id"), "text", sentences(F.col("text")).alias("sentences"))
     bags = F.transform("sentences", lambda s: F.array_distinct(split_words(F.lower(s))))
     d = d.withColumn("bags", bags).withColumn("sims", F.when(F.size("bags") > 1, F.zip_with(F.slice("bags", 1, F.size("bags") - 1), F.slice("bags", 2, F.size("bags") - 1), lambda a, b: jaccard(a, b, 0.0))).otherwise(F.array().cast("array<double>")))
     d = d.withColumn("items", F.transform("sentences", lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get("sims", i - 1), F.lit(0.0)).alias("sim"))))
@@ -142,7 +143,7 @@ def recursive_chunks(docs: DataFrame, size: int = 512, overlap: int = 50) -> Dat
             yield pa.RecordBatch.from_pydict({n: pa.array(list(c), k) for n, c, k in zip(("document_id", "index", "start_char", "end_char", "content"), cols, (b.column(0).type, pa.int32(), pa.int32(), pa.int32(), pa.string()))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _identified(docs.select("doc_id", "text").mapInArrow(chunk, f"document_id {kind}, index int, start_char int, end_char int, content string"))
+    return _identified(spread(docs.select("doc_id", "text")).mapInArrow(chunk, f"document_id {kind}, index int, start_char int, end_char int, content string"))
 
 
 def renumbered(chunks: DataFrame) -> DataFrame:

@@ -27,6 +27,6 @@ def spread(df: DataFrame) -> DataFrame:
     Rows of one Parquet row group are one task's work however large the cluster is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > CORE_BYTES * cores or len(df.inputFiles()) >= cores:
+    if size > CORE_BYTES * cores or not 0 < len(df.inputFiles()) < cores:
         return df
     return df.repartition(max(1, min(cores, math.ceil(size / (1 << 17)))))

@@ -96,14 +96,24 @@ def documents_from_rows(df: DataFrame, key: str, content: list[str] | None = Non
     return documents(df, row_text(content or [], df.columns), src, name, "csv")
 
 
+def numbered(d: DataFrame) -> DataFrame:
+    """d with _file and _row: the number of a record in its file, or, of a file that is read in splits, in its split, with the split's
+    place before it. The same files read with the same settings give the same numbers, wherever they run."""
+    d = d.withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.col("_metadata.file_block_start")).withColumn("_id", F.monotonically_increasing_id())
+    first = d.groupBy("_file", "_at").agg(F.min("_id").alias("_first"))  # one row a split
+    row = (F.col("_id") - F.col("_first")).cast("string")
+    numbers = F.when(F.col("_at") > 0, F.concat(F.col("_at").cast("string"), F.lit("+"), row)).otherwise(row)
+    return d.join(first, ["_file", "_at"]).withColumn("_row", numbers).drop("_at", "_id", "_first")
+
+
 def load_csv(spark: SparkSession, path: str, content: list[str] | None = None, title: str | None = None) -> DataFrame:
-    """One document per record of CSV and TSV files with a header; the row number counts within its file's split."""
+    """One document per record of CSV and TSV files with a header; a record is known by its file and its number there."""
     sep = "\t" if path.lower().endswith(".tsv") else ","
     d = spark.read.option("header", "true").option("sep", sep).option("multiLine", "true").option("escape", '"').csv(path)
     cols = d.columns
-    d = d.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
-    name = F.col(title) if title else F.concat(stem(F.col("_file")), F.lit("["), F.col("_row").cast("string"), F.lit("]"))
-    return documents(d, row_text(content or [], cols), F.concat("_file", F.lit("#row"), F.col("_row").cast("string")), name, "csv")
+    d = numbered(d)
+    name = F.col(title) if title else F.concat(stem(F.col("_file")), F.lit("["), F.col("_row"), F.lit("]"))
+    return documents(d, row_text(content or [], cols), F.concat("_file", F.lit("#row"), F.col("_row")), name, "csv")
 
 
 def load_json(spark: SparkSession, path: str, content_key: str | None = None, title_key: str | None = None, metadata_keys: tuple[str, ...] = ()) -> DataFrame:
@@ -111,13 +121,13 @@ def load_json(spark: SparkSession, path: str, content_key: str | None = None, ti
     lines = path.lower().endswith(".jsonl")
     d = spark.read.option("mode", "FAILFAST").option("multiLine", str(not lines).lower()).json(path)
     cols = d.columns
-    d = d.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
+    d = numbered(d)
     whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in cols]))
     text = F.coalesce(F.col(content_key).cast("string"), whole) if content_key in cols else whole
-    name = F.col(title_key).cast("string") if title_key in cols else F.concat(stem(F.col("_file")), F.lit("["), F.col("_row").cast("string"), F.lit("]"))
+    name = F.col(title_key).cast("string") if title_key in cols else F.concat(stem(F.col("_file")), F.lit("["), F.col("_row"), F.lit("]"))
     keys = [k for k in metadata_keys if k in cols]
     extra = F.create_map(*[x for k in keys for x in (F.lit(k), F.col(k).cast("string"))]) if keys else None
-    return documents(d, text, F.concat("_file", F.lit("#"), F.col("_row").cast("string")), name, "json", extra)
+    return documents(d, text, F.concat("_file", F.lit("#"), F.col("_row")), name, "json", extra)
 
 
 def front_matter(text: Column) -> tuple[Column, Column]:

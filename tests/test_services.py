@@ -10,6 +10,7 @@ from lodestream.operators import generation as G
 from lodestream.operators import models as M
 from lodestream.operators import store as S
 from lodestream.plans import pipeline as P
+from lodestream.sources import loaders as L
 
 
 def test_one_bad_row_costs_no_other_its_value(spark):
@@ -101,3 +102,15 @@ def test_index_of_odd_texts(spark, tmp_path):
     left = again.without(spark.createDataFrame([(4,)], "chunk_id int"))
     assert {r.term: r.df for r in left.terms.collect()} == {"moon": 2, "sun": 2} and left.stats().collect()[0].n == 5
     assert pd.isna(B.Index.build(spark.createDataFrame([], "chunk_id int, content string")).stats().toPandas().avgdl[0])
+
+
+def test_ids_of_records_do_not_follow_the_partitions(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / f"{name}.csv").write_text("x,y\n" + "".join(f"{i},{name}\n" for i in range(50)) + "7,same\n7,same\n")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    found = []
+    for cost in ("1", "1g"):  # files packed together, or each by itself
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        found.append(sorted((r.doc_id, r.text) for r in L.load_csv(spark, str(tmp_path)).collect()))
+    spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert found[0] == found[1] and len({i for i, _ in found[0]}) == 156
