@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence.
 
 Every text is reduced to two histograms: character classes, and the common words of its language. Each is held against the
-reference of that language (summed over all documents of the corpus) by Jensen-Shannon distance (base 2, 0 to 1). A text too short
-for a stable histogram is not judged by it.
+reference of that language by Jensen-Shannon distance (base 2, 0 to 1). References are summed over all documents of the corpus that
+pass the base rules, so that junk is no part of the norm. A text too short for a stable histogram is not judged by it.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept. A null or unlisted language has no
 reference, so only the base rules apply. Repeated rows are judged row by row; extra columns are left alone; an empty table gives an
@@ -128,14 +128,20 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where(p.sum(1) > 0, np.sqrt(np.maximum((kl(p) + kl(q)) / 2, 0)), 0)
 
 
-def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Summed histograms of every listed language over all documents: one partial row a batch and language, then a small sum."""
+def fails(m: dict[str, np.ndarray], min_words: int, max_repeat_percent: int) -> np.ndarray:
+    """The base rules."""
+    return (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
+
+
+def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", *, min_words: int, max_repeat_percent: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Summed histograms of every listed language over all documents that pass the base rules: one partial row a batch and language,
+    then a small sum."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             langs = b.column(1).to_pylist()
             chars, words = histograms(b.column(0), langs)
-            of = np.array([x or "" for x in langs], object)
+            of = np.where(fails(measure(b.column(0)), min_words, max_repeat_percent), "", np.array([x or "" for x in langs], object))
             for lang in LANGUAGES:
                 rows = of == lang
                 if rows.any():
@@ -167,7 +173,7 @@ def judged(b: pa.RecordBatch, text: str, lang: str, ref: dict, *, min_words: int
         rc[i], rw[i] = ref[langs[i]]
     cd, wd = js_distance(chars, rc), js_distance(words, rw)
     by_char, by_word = known & (chars.sum(1) >= min_chars), known & (m["n_words"] >= min_hist_words)
-    failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > max_repeat_percent * m["n_words"])
+    failed = fails(m, min_words, max_repeat_percent)
     odd = (by_char & (cd > max_char_distance)) | (by_word & (wd > max_word_distance))
     return m | {"base_failed": failed, "kept": ~failed & ~odd, "char_distance": pa.array(cd, mask=~by_char), "word_distance": pa.array(wd, mask=~by_word)}
 
@@ -178,7 +184,7 @@ DEFAULTS = {"min_words": 10, "max_repeat_percent": 20, "max_char_distance": 0.25
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **limits: float) -> DataFrame:
     """One row per document: the base measures, both distances (null where not judged), base_failed and kept. limits: see DEFAULTS."""
     limits = DEFAULTS | limits
-    ref = references(docs, text_col, lang_col)
+    ref = references(docs, text_col, lang_col, min_words=limits["min_words"], max_repeat_percent=limits["max_repeat_percent"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,7 +200,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def kept_documents(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", **limits: float) -> DataFrame:
     """The rows of docs, all columns as they are, that the rules keep: decided where the text is read, without a join."""
     limits = DEFAULTS | limits
-    ref = references(docs, text_col, lang_col)
+    ref = references(docs, text_col, lang_col, min_words=limits["min_words"], max_repeat_percent=limits["max_repeat_percent"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
