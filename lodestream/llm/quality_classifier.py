@@ -8,8 +8,9 @@ The model is fitted on the driver on at most `sample` labelled rows (a documente
 document is then read whole and scored. Labels, language, source and ids are no features.
 
 Defined results: null, empty and blank texts have all features zero and get the score the model gives those. Without any usable label
-every score is 0.5. Rows whose label is null or not 0 or 1 are not used. Repeated rows are scored each; an empty table gives an empty
-result; other columns play no part.
+every score is 0.5. Rows whose label is null or not 0 or 1 are not used. Rows with a null id are scored and not held out. Repeated rows
+are scored each; of rows that repeat a labelled id with another text, the one of smallest features is learned from. An empty table
+gives an empty result; other columns play no part.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def features(text: pa.Array) -> np.ndarray:
     cols = [
         np.log1p(w.count), m["word_chars"] / words, n[:, 1] / chars, n[:, 2] / chars, n[:, 4] / chars, n[:, 8] / chars, (n[:, 5] + n[:, 6]) / chars, n[:, 7] / chars,
         byte(33) / words, byte(124) / words, m["n_dup_lines"] / words, m["n_repeat_words"] / words, per(order[new]) / words, np.log1p(longest), per(common) / words,
-        per(_MARKED[last]) / words, byte(10) / words, per(capital(first) & capital(second)) / words,
+        per(_MARKED[last]) / words, byte(10) / words, per(capital(first) & capital(second) & (w.end - w.start > 1)) / words,
     ]
     return np.stack(cols, 1) * (w.count > 0)[:, None]
 
@@ -175,7 +176,7 @@ def fit(x: np.ndarray, y: np.ndarray, *, rounds: int = 120, pair_rounds: int = 4
 
 def held_out(id_col: str) -> Column:
     """The rows whose labels are never learned."""
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000) -> Additive:
@@ -189,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     small_batches(docs.sparkSession)
     kind = labels.schema[id_col].dataType.simpleString()
-    rows = got.select("id", "text", "y").mapInArrow(each, f"id {kind}, x array<double>, y double").dropDuplicates(["id"]).toPandas().sort_values("id")
+    rows = got.select("id", "text", "y").mapInArrow(each, f"id {kind}, x array<double>, y double").groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).toPandas().sort_values("id")
     x = np.array(rows.x.tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, (rows.y.to_numpy(float) >= 0.5).astype(float))
 
