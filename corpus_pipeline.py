@@ -39,8 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in mixing order: files and their rows follow the schedule, and sources that run out come again."""
-    mixed = mix_sources(docs)
-    return mixed.repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(docs.columns)
+    place = "_place_" + "_".join(docs.columns)  # a name that no column has
+    mixed = mix_sources(docs, into=(place, "_epoch" + place))
+    return mixed.repartitionByRange(place).sortWithinPartitions(place).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

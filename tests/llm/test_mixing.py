@@ -60,3 +60,31 @@ def test_rows_without_an_id_are_dealt_over_buckets(spark):
     assert out.columns == [*df.columns, "mix_position", "mix_epoch"]
     got = out.where("source = 'a' and mix_epoch = 0").collect()
     assert len({r.text for r in got}) == 3000 and len({r.mix_position for r in got}) == 3000
+
+
+def test_positions_equal_brute_force(spark):
+    from fractions import Fraction
+    from math import ceil, floor
+
+    from pyspark.sql import functions as F
+
+    sizes = {"a": 1500, "b": 37, None: 200}
+    rows = [(i + 10_000 * k, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(3)
+    block, weights = 8, {"a": 0.6, "b": 0.1, None: 0.3}
+    per = 1024
+    keyed = df.select("doc_id", "source", F.xxhash64(F.lit(17), "doc_id", "source").alias("h")).collect()
+    order = {s: [x.doc_id for x in sorted((x for x in keyed if x.source == s), key=lambda x: (x.h % max(1, ceil(n / per)), x.h, x.doc_id))] for s, n in sizes.items()}
+    w = {s: Fraction(str(x)) for s, x in weights.items()}
+    names = sorted(w, key=lambda s: (s is not None, str(s)))
+    used, slot, want = dict.fromkeys(w, 0), 0, {}
+    while any(used[s] < ceil(n / block) for s, n in sizes.items()):
+        s = min((x for x in names if floor(used[x] / w[x]) <= slot), key=lambda x: (ceil((used[x] + 1) / w[x]), names.index(x)))
+        for i in range(block):
+            k = used[s] * block + i
+            want[slot * block + i] = (order[s][k % sizes[s]], s, k // sizes[s])
+        used[s] += 1
+        slot += 1
+    got = {x.mix_position: (x.doc_id, x.source, x.mix_epoch) for x in mix_sources(df, weights, block=block).collect()}
+    assert set(got) <= set(want) and all(want[p] == v for p, v in got.items())
+    assert all(s == "a" or e >= 0 for _, s, e in got.values()) and len({d for d, _, e in got.values() if e == 0}) == len(rows)
