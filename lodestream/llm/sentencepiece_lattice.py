@@ -38,9 +38,10 @@ from pyspark.sql import functions as F
 from .common import bucketed, checkpoint, settings, small_batches
 
 MARK = "▁"
-FREQUENT = 1 << 18  # units told to all tasks, of at most LONGEST characters each
-STRETCH = 1 << 20  # words whose ids are put together at once
-BLOCK_BYTES = 16 << 20  # of the texts that travel as one row; a single longer text is a block of its own
+FREQUENT = 1 << 19  # units told to all tasks, of at most LONGEST characters each
+STRETCH = 1 << 18  # words whose ids are put together at once
+BLOCK_BYTES = 8 << 20  # of the texts that travel as one row; a single longer text is a block of its own
+COUNT_BYTES = 4 << 20  # of the texts whose units are counted together
 LONGEST = 60  # characters of a unit whose cuts fit into 64 bits
 LONGEST_VITERBI = 256  # characters of a unit whose prefixes are folded as an array
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -150,7 +151,9 @@ class Cutter:
         plain = pc.split_pattern(text.filter(pa.array(~odd)), " ")
         rest = [[w[1:] for w in WORD.findall(MARK + x.replace(" ", MARK))] if x else [] for x in text.filter(pa.array(odd)).to_pylist()]
         sizes = np.concatenate([np.diff(plain.offsets.to_numpy()), np.array([len(x) for x in rest], np.int64)])
-        words = pa.concat_arrays([plain.flatten(), pa.array([w for x in rest for w in x], pa.large_string())])
+        words = plain.flatten()
+        if rest:
+            words = pa.concat_arrays([words, pa.array([w for x in rest for w in x], pa.large_string())])
         return np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]), np.concatenate([[0], np.cumsum(sizes)]), words
 
     def units(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -162,20 +165,26 @@ class Cutter:
         data = marked.buffers()[2].slice(at[0], at[-1] - at[0])
         codes = np.frombuffer(data.to_pybytes().decode().encode("utf-32-le"), np.uint32)
         first = np.concatenate([[0], np.cumsum(pc.utf8_length(marked).to_numpy())])
+        width = np.ones(len(codes), np.int8)  # bytes of each character
+        for least in (0x80, 0x800, 0x10000):
+            width += codes >= least
         kind = self.kind[codes]
-        cut = np.ones(len(codes) + 1, bool)
+        del codes
+        cut = np.ones(len(kind) + 1, bool)
         cut[1:-1] = ~self.joined[kind[:-1], kind[1:]]
         cut[first] = True
         cuts = np.flatnonzero(cut)
-        byte = np.concatenate([[0], np.cumsum(1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000))])[cuts]
-        return np.searchsorted(cuts, first), pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(byte.astype(np.int64)), data)
+        byte = np.zeros(len(width) + 1, np.int64)
+        np.cumsum(width, out=byte[1:])
+        byte = byte[cuts]
+        return np.searchsorted(cuts, first), pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(byte), data)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """The batches put together to blocks of BLOCK_BYTES of text."""
+def blocks(batches: Iterator[pa.RecordBatch], text: int, size_of: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together to blocks of so many bytes of text."""
     held, size = [], 0
     for b in batches:
-        if held and size + b.column(text).nbytes > BLOCK_BYTES:
+        if held and size + b.column(text).nbytes > size_of:
             block, held, size = pa.Table.from_batches(held).combine_chunks().to_batches()[0], [], 0
             yield block
             del block
@@ -399,7 +408,7 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc
     id_type = src.schema["id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, 0):
+        for b in blocks(batches, 0, COUNT_BYTES):
             seen = cutter.words(b.column(0))[2].dictionary_encode()
             off, units = cutter.units(seen.dictionary)
             times = np.bincount(seen.indices.to_numpy(), minlength=len(seen.dictionary))
@@ -414,7 +423,7 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = told.value[0]
-        for k, b in enumerate(blocks(batches, 1)):
+        for k, b in enumerate(blocks(batches, 1, BLOCK_BYTES)):
             order, text_off, words = cutter.words(b.column(1))
             seen = words.dictionary_encode()
             word, old = by_frequency(seen.indices.to_numpy(), len(seen.dictionary))
