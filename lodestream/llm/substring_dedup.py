@@ -155,9 +155,13 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             keep = np.isin(mix64(low) + mix64(w.doc[at].astype(np.uint64)), mix64(flat) + mix64(own.astype(np.uint64)))
             at, run = at[keep], run[keep]
             doc = w.doc[at]
+            by = np.lexsort((at, run, doc))  # the first place of each run in its text
+            new = np.ones(len(by), bool)
+            new[1:] = (doc[by][1:] != doc[by][:-1]) | (run[by][1:] != run[by][:-1])
+            at, run, doc = at[by][new], run[by][new], doc[by][new]
             yield pa.RecordBatch.from_pydict({"run": pa.array(signed(run)), "doc_id": pa.array(b.column(0).to_numpy()[doc]), "pos": pa.array(b.column(1).to_numpy()[doc] + at - w.off[doc])})
 
-    # pos: the row's place plus the number of the run's first word
+    # pos: the row's place plus the number of the first word of the run where it stands first in the text
     index = texts.mapInArrow(indexed, "run long, doc_id long, pos long")
     earliest = index.groupBy("run").agg(F.min(F.struct("doc_id", "pos")).alias("ref"), F.max("doc_id").alias("hi")).where("ref.doc_id < hi").select("run", "ref")
     hits = index.join(earliest, "run").where("ref.doc_id < doc_id").select("doc_id", "pos", F.col("ref.doc_id").alias("ref"), F.col("ref.pos").alias("ref_pos"))
@@ -168,12 +172,20 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for b in batches:
             t = unpacked(b.column(2))
             w = t.words()
+            at, run = w.windows(length)
+            ends = np.searchsorted(w.doc[at], np.arange(b.num_rows + 1))
             n, sha, spans, factors = [], [], [], []
             for i in range(b.num_rows):
                 own = b.column(3)[i].values
-                pos, ref, ref_pos = (own.field(k).to_numpy() for k in range(3))
-                by = np.argsort(pos)
-                f = factored(pos[by].astype(np.int64), ref[by], ref_pos[by], length)
+                first, ref, ref_pos = (own.field(k).to_numpy() for k in range(3))
+                # a run that the text repeats has the reference of its first place
+                _, at_first, same = np.unique(run[ends[i] : ends[i + 1]], return_index=True, return_inverse=True)
+                hit = np.full(int(w.count[i]), -1)
+                hit[first] = np.arange(len(first))
+                hit = hit[at_first[same]]  # the k-th run of a text begins at its k-th word
+                pos = np.flatnonzero(hit >= 0)
+                hit = hit[pos]
+                f = factored(pos, ref[hit], ref_pos[hit], length)
                 gone = covered(pos, length, int(w.count[i]))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 n.append(int(gone.sum()))

@@ -73,3 +73,12 @@ def test_a_factor_that_differs_from_its_reference_is_kept(spark):
     got = {r.doc_id: r for r in recut(cut, wrong, texts, unpacked, schema).withColumn("k", F.size("factors")).collect()}
     assert (got[7].n_removed, got[7].cut_sha, got[7].k) == (2, hashlib.sha256(b"a b c d").hexdigest(), 1)
     assert got[8].cut_sha == "same"
+
+
+def test_repeats_inside_a_text_are_found_at_every_place(spark):
+    run = [f"r{i}" for i in range(15)]
+    rows = [(1, " ".join(run)), (2, " ".join(["x"] + run + ["y", "z"] + run + run)), (3, " ".join(run * 4))]
+    out, spans = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in out.collect()} == brute(rows)
+    got = {r.doc_id: [(f.first, f.last, f.ref) for f in r.factors] for r in spans.collect()}
+    assert got[2][:2] == [(1, 15, 1), (18, 32, 1)]
