@@ -10,24 +10,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_shingles, content_hash, loose
+from .tables import spread
 
 SEEDS = 128
 
 
 def first_seen(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per content hash, the first in order. The minimum is taken before the shuffle."""
-    h = docs.withColumn("content_hash", content_hash(F.coalesce(F.col(text), F.lit(""))))
+    h = spread(docs).withColumn("content_hash", content_hash(F.coalesce(F.col(text), F.lit(""))))
     first = h.groupBy("content_hash").agg(F.min(order).alias(order))
     return h.join(first, ["content_hash", order], "left_semi")
 
 
 def is_duplicate(docs: DataFrame, registry: DataFrame, text: str = "text") -> DataFrame:
     """Rows of docs whose hash the registry (content_hash) has."""
-    return docs.withColumn("content_hash", content_hash(F.col(text))).join(registry.select("content_hash").distinct(), "content_hash", "left_semi")
+    return spread(docs).withColumn("content_hash", content_hash(F.col(text))).join(registry.select("content_hash").distinct(), "content_hash", "left_semi")
 
 
 def registry_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    n = docs.select(content_hash(F.col(text)).alias("h")).groupBy("h").agg(F.count("*").alias("c"))
+    n = spread(docs).select(content_hash(F.col(text)).alias("h")).groupBy("h").agg(F.count("*").alias("c"))
     return n.agg(F.sum("c").alias("total_seen"), F.sum(F.col("c") - 1).alias("duplicates_skipped"), F.count("*").alias("unique_loaded"))
 
 

@@ -29,4 +29,5 @@ def spread(df: DataFrame) -> DataFrame:
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size > CORE_BYTES * cores or not 0 < len(df.inputFiles()) < cores:
         return df
-    return df.repartition(max(1, min(cores, math.ceil(size / (1 << 17)))))
+    parts = min(cores, math.ceil(size / (1 << 17)))
+    return df.repartition(parts) if parts > 1 else df

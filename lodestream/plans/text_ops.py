@@ -53,13 +53,11 @@ def dedup_is_duplicate(spark, d):
 
 
 @query("dedup_exact_by_source", f"""
-with r as (select source, doc_id, text, row_number() over (partition by source order by doc_id)::int as rank from documents)
+with r as (select source, doc_id, text, doc_id as rank from documents)
 select source as query_id, doc_id as chunk_id, rank, min(rank) over (partition by source, md5({_LOOSE.format('text')})) as canonical_rank from r""")
 def dedup_exact_by_source(spark, d):
-    from pyspark.sql import Window
-
-    docs = table(spark, d, "documents")
-    ranked = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"))
+    docs = table(spark, d, "documents")  # a source is one long list, ranked by id
+    ranked = docs.select(F.col("source").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("doc_id").alias("rank"))
     return D.exact_groups(ranked).select("query_id", "chunk_id", "rank", "canonical_rank")
 
 
@@ -78,10 +76,10 @@ def simhash(spark, d):
 
 
 @query("minhash", _GRAMS + """
-select item_id, i::int as i, list_min(list_transform(grams, lambda z: ('0x' || substr(md5(unhex(lpad(printf('%x', i), 2, '0') || '000000') || encode(z)), 1, 8))::bigint)) as x from g, range(0, 8) r(i)""")
+select item_id, i::int as i, list_min(list_transform(grams, lambda z: ('0x' || substr(md5(unhex(lpad(printf('%x', i), 2, '0') || '000000') || encode(z)), 1, 8))::bigint)) as x from g, range(0, 128) r(i)""")
 def minhash(spark, d):
-    q = table(spark, d, "benchmark").select("item_id", T.char_shingles(T.loose(F.col("text")), 3).alias("grams")).where(F.size("grams") > 0)
-    return q.select("item_id", F.posexplode(D.minhash(F.col("grams"), 8)).alias("i", "x"))
+    q = table(spark, d, "benchmark").where(T.loose(F.col("text")) != "")
+    return D.minhash_rows(q, key="item_id").select("item_id", F.posexplode("signature").alias("i", "x"))
 
 
 def _ranked(spark, d, k=10):
