@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.tables import shared_dir
+from ..operators.tables import shared_dir, spread
 
 SPACES = (0x20, *range(0x09, 0x0E))
 _MASK = (1 << 64) - 1
@@ -22,7 +22,8 @@ _BASE = 0x9E3779B97F4A7C15  # odd, so that powers can be inverted modulo 2**64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; a small one of few files is dealt over the cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
