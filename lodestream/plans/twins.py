@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from ..functions.text import KEYWORD_STOP
+from ..operators.graph import TERMS
 from ..operators.queries import CONTRACTIONS, ENGLISH_STOP, FEEDBACK_STOP, PARAPHRASE_STOP, QUESTION_WORDS
 from .registry import ORACLE, twin
 from .retrieval import _bm25
 from .rewriting import _Q
-from .text_ops import _LOOSE
+from .text_ops import _LOOSE, _MEASURE, _WORD
 
 
 def _in(words: tuple[str, ...]) -> str:
@@ -284,3 +285,24 @@ twin("chunk_recursive", _located(
     f"select doc_id, text, {_OVERLAPPED} as parts from (select doc_id, text, case when g.cur is null then g.done else list_append(g.done, g.cur) end as merged from (select doc_id, text, {_MERGED} as g"
     rf" from (select doc_id, text, list_filter({_pieces('text')}, lambda v: not regexp_full_match(v, '[\s\p{{Z}}]*')) as pieces from documents where text is not null)))"
 ))
+
+
+def _mentions(name: str, key: str, rows: str) -> str:
+    """name: (key, doc_id, name) of the first mention of every entity of a row; key names the rows' id."""
+    return rf"""{name}_w as (select {key} as doc_id, unnest(ws) as name, unnest(range(0, len(ws))) as i from (select {key}, {_WORD.replace('{0}', 'text')} as ws from {rows})),
+{name}_m as (select {key} as doc_id, unnest(ms) as name, unnest(range(0, len(ms))) as i from (select {key}, regexp_extract_all(text, '(?i)\b({_MEASURE})\b', 1) as ms from {rows})),
+{name}_u as (select doc_id, name, i from {name}_w where lower(name) in {_in(TERMS)} union all select doc_id, name, 1000000000 + i from {name}_w where regexp_full_match(name, '[A-Z]{{2,8}}s?') union all select doc_id, name, 3000000000 + i from {name}_m),
+{name} as (select doc_id, lower(name) as key, arg_min(name, i) as name from {name}_u group by doc_id, lower(name))"""
+
+
+twin("graph_expanded_queries", rf"""
+with recursive {_mentions('d', 'doc_id', 'documents')}, {_mentions('b', 'item_id', 'benchmark')},
+ent as (select key, arg_min(name, doc_id) as name from d group by key), known as (select doc_id, list(key) as keys from d group by doc_id),
+s as (select doc_id, unnest(regexp_split_to_array(text, '[.!?\n]+')) as t from documents), p as (select list_filter(keys, lambda k: contains(lower(t), k)) as present from s join known using (doc_id)),
+e as (select distinct u, v from (select present, unnest(present) as u from p where len(present) >= 2), unnest(present) x(v) where u <> v),
+q as (select distinct b.doc_id as query_id, key from b join ent using (key)),
+h1 as (select distinct query_id, key, v as node from q join e on e.u = q.key), h2 as (select distinct h1.query_id, h1.key, e.v as node from h1 join e on e.u = h1.node where e.v <> h1.key),
+n as (select query_id, key, node, min(hops) as hops from (select *, 1 as hops from h1 union all select *, 2 from h2) group by query_id, key, node),
+r as (select query_id, ent.name as name, min(hops) as hops from n join ent on ent.key = n.node group by query_id, ent.name),
+t as (select *, row_number() over (partition by query_id order by hops, name) as place from r qualify place <= 10)
+select item_id as query_id, coalesce(string_agg(name, ',' order by place), '') as graph_entities, any_value(text) || coalesce(' ' || string_agg(name, ' ' order by place), '') as expanded from benchmark left join t on t.query_id = item_id group by item_id""")
