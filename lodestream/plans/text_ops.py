@@ -265,5 +265,6 @@ def graph_expanded_queries(spark, d):
     docs = table(spark, d, "documents")
     m = G.mentions(docs)
     rel = G.relations(G.stated_relations(docs, m))
-    q = G.expanded_queries(asked(spark, d), G.entities(m), rel)
+    ent = G.entities(m)  # a query about each of them
+    q = G.expanded_queries(ent.select(F.col("key").alias("query_id"), F.concat(F.lit("more about "), "name").alias("query")), ent, rel)
     return q.select("query_id", F.array_join("graph_entities", ",").alias("graph_entities"), "expanded")

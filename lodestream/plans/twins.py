@@ -296,8 +296,8 @@ def _mentions(name: str, key: str, rows: str) -> str:
 
 
 twin("graph_expanded_queries", rf"""
-with recursive {_mentions('d', 'doc_id', 'documents')}, {_mentions('b', 'item_id', 'benchmark')},
-ent as (select key, arg_min(name, doc_id) as name from d group by key), known as (select doc_id, list(key) as keys from d group by doc_id),
+with recursive {_mentions('d', 'doc_id', 'documents')}, ent as (select key, arg_min(name, doc_id) as name from d group by key),
+asks as (select key as item_id, 'more about ' || name as text from ent), {_mentions('b', 'item_id', 'asks')}, known as (select doc_id, list(key) as keys from d group by doc_id),
 s as (select doc_id, unnest(regexp_split_to_array(text, '[.!?\n]+')) as t from documents), p as (select list_filter(keys, lambda k: contains(lower(t), k)) as present from s join known using (doc_id)),
 e as (select distinct u, v from (select present, unnest(present) as u from p where len(present) >= 2), unnest(present) x(v) where u <> v),
 q as (select distinct b.doc_id as query_id, key from b join ent using (key)),
@@ -305,4 +305,4 @@ h1 as (select distinct query_id, key, v as node from q join e on e.u = q.key), h
 n as (select query_id, key, node, min(hops) as hops from (select *, 1 as hops from h1 union all select *, 2 from h2) group by query_id, key, node),
 r as (select query_id, ent.name as name, min(hops) as hops from n join ent on ent.key = n.node group by query_id, ent.name),
 t as (select *, row_number() over (partition by query_id order by hops, name) as place from r qualify place <= 10)
-select item_id as query_id, coalesce(string_agg(name, ',' order by place), '') as graph_entities, any_value(text) || coalesce(' ' || string_agg(name, ' ' order by place), '') as expanded from benchmark left join t on t.query_id = item_id group by item_id""")
+select item_id as query_id, coalesce(string_agg(name, ',' order by place), '') as graph_entities, any_value(text) || coalesce(' ' || string_agg(name, ' ' order by place), '') as expanded from asks left join t on t.query_id = item_id group by item_id""")
