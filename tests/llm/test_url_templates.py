@@ -65,3 +65,98 @@ def test_deep_paths_keep_their_segments(spark):
     df = spark.createDataFrame([(1, "http://h.net/a/b/c/d/e/f/g"), (2, "http://h.net/a/b/c/d/e/f/h"), (3, "http://h.net/" + "/".join("s" for _ in range(40)))], "page_id long, url string")
     got = {r.page_id: r.template for r in url_templates(df).collect()}
     assert got[1] == "/a/b/c/d/e/f/g" and got[2] == "/a/b/c/d/e/f/h" and got[3].endswith("/**")
+
+
+def slow_verdicts(urls, rules):
+    """(template, purity, verdict) of every url by loops."""
+    import math
+    from collections import Counter, defaultdict
+
+    rows = []
+    for u in urls:
+        host, path = brute(u)[:2]
+        fits = [(len(h + p), v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        shape = re.sub(r"[0-9]+", "*", re.sub(r"(?:(?<=^)|(?<=[/._-]))(?=[0-9a-f]*[0-9])[0-9a-f]{8,}(?=$|[/._-])", "*", path))
+        rows.append((host, shape, max(fits)[1] if fits else None))
+    n, good, bad = Counter(), Counter(), Counter()
+    for h, s, v in rows:
+        n[h, s] += 1
+        good[h, s] += v == "allow"
+        bad[h, s] += v == "block"
+    prefix = dict.fromkeys(n, "")
+    for level in range(1, max(s.count("/") for _, s in n) + 1):
+        child = Counter()
+        for h, s in n:
+            if s.count("/") >= level:
+                child[h, prefix[h, s], s.split("/")[level]] += n[h, s]
+        kinds, total = Counter((h, p) for h, p, _ in child), Counter()
+        for (h, p, _), k in child.items():
+            total[h, p] += k
+        wild = {x for x in kinds if kinds[x] >= 10 and kinds[x] >= 0.3 * total[x]}
+        prefix = {(h, s): p if s.count("/") < level else p + "/" + ("*" if (h, p) in wild else s.split("/")[level]) for (h, s), p in prefix.items()}
+    place = {(h, s): (h, p.split("/")[1] if p else "", p[len(p.split("/")[1] if p else "") + 1 :]) for (h, s), p in prefix.items()}
+    rests = defaultdict(lambda: [0, 0, 0])
+    for x, at in place.items():
+        for i, c in enumerate((n, good, bad)):
+            rests[at][i] += c[x]
+    branches = defaultdict(dict)
+    for (h, b, r), v in rests.items():
+        branches[h, b][r] = v
+    pools, sizes = defaultdict(Counter), Counter()
+    key = {}
+    for (h, b), of in branches.items():
+        known = sum(v[1] + v[2] for v in of.values()) >= 5
+        key[h, b] = (h, max((v[0], r) for r, v in of.items())[1], known)
+        for r, v in of.items():
+            pools[key[h, b]][r] += v[0]
+            sizes[key[h, b]] += v[0]
+    alike, sums = {}, {}
+    for (h, b), of in branches.items():
+        k, all_ = key[h, b], sum(v[0] for v in of.values())
+        pq = [(v[0] / all_, pools[k][r] / sizes[k]) for r, v in of.items()]
+        alike[h, b] = 0.5 * (sum(abs(p - q) for p, q in pq) + 1 - sum(q for _, q in pq)) <= 0.3 + 1 / math.sqrt(all_)
+        sums[h, b] = (sum(v[1] for v in of.values()), sum(v[2] for v in of.values()))
+    kind = {}
+    for x in branches:
+        if not alike[x]:
+            kind[x] = ("alone", x[1])
+            continue
+        pool = [sums[y] for y in branches if key[y] == key[x] and alike[y]]
+        rate = (sum(g for g, _ in pool) + 1) / (sum(g + b for g, b in pool) + 2)
+        g, labels = sums[x][0], sum(sums[x])
+        error = (g / labels - rate) / math.sqrt(rate * (1 - rate) / labels) if labels else 0
+        kind[x] = ("pool", key[x][1], "few" if not key[x][2] else "above" if error > 3 else "below" if error < -3 else "like")
+    smooth = lambda g, b, up: (g + 10 * up) / (g + b + 10)
+    totals = sum(good.values()), sum(bad.values())
+    prior = (totals[0] + 1) / (sum(totals) + 1)
+    groups = {"host": defaultdict(lambda: [0, 0]), "kind": defaultdict(lambda: [0, 0]), "rest": defaultdict(lambda: [0, 0])}
+    names = lambda h, b, r: (("host", h), ("kind", (h, kind[h, b])), ("rest", (h, kind[h, b], r)))
+    for (h, b, r), (_, g, x) in rests.items():
+        for level, name in names(h, b, r):
+            groups[level][name][0] += g
+            groups[level][name][1] += x
+    out = []
+    for h, s, v in rows:
+        p = prior
+        for level, name in names(*place[h, s]):
+            p = smooth(*groups[level][name], p)
+        out.append((prefix[h, s], round(p, 9), v or ("block" if p < 0.25 else "allow")))
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    import random
+
+    r = random.Random(12)
+    rules = (("block", "a.net", "/p1/"), ("block", "a.net", "/p2/x"), ("allow", "a.net", "/p3/"), ("allow", "b.net", "/"), ("block", "b.net", "/q/1"), ("block", "c.net", "/s/"))
+    urls = [None, "x", "http://a.net", "http://c.net/s/only"]
+    for _ in range(900):
+        host = r.choice(["a.net", "a.net", "b.net", "c.net", "w.c.net"])
+        branch = r.choice(["p1", "p2", "p3", "p4", "q", "s", "t"])
+        leaf = r.choice([str(r.randrange(99)), "x" + str(r.randrange(9)), "deadbeef" + str(r.randrange(10, 99)), "".join(r.choice("ghjk") for _ in range(4)), "about"])
+        urls.append(f"http://{host}/{branch}/" + r.choice(["", "", "d/", "e/f/"]) + leaf + r.choice(["", ".html", "?q=1"]))
+    out = {x.page_id: x for x in url_templates(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4), rules=rules).collect()}
+    want = slow_verdicts(urls, rules)
+    for i, (template, purity, verdict) in enumerate(want):
+        assert (out[i].template, out[i].verdict) == (template, verdict) and abs(out[i].purity - purity) < 1e-8, urls[i]
+    assert {x.verdict for x in out.values() if x.rule is None} == {"allow", "block"}  # templates are rejected
