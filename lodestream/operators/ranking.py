@@ -71,7 +71,9 @@ def linear_rerank(ranked: DataFrame, k: int, query: str = "query", content: str
 
     q, t = F.lower(query), F.lower(content)
     terms = F.array_distinct(split_words(q))
-    share = F.when(F.size(terms) == 0, 0.0).otherwise(F.size(F.filter(terms, lambda x: F.contains(t, x))) / F.size(terms))
+    # the text is lowered once a row, not once a term: an outer lambda binds it
+    found = F.get(F.transform(F.array(t), lambda low: F.size(F.filter(terms, lambda x: F.contains(low, x)))), 0)
+    share = F.when(F.size(terms) == 0, 0.0).otherwise(found / F.size(terms))
     phrase = F.when(F.contains(t, q), 1.0).otherwise(0.0)
     words = F.size(split_words(F.col(content)))
     length = F.greatest(F.lit(0.0), 1 - 0.001 * F.greatest(F.lit(0), words - 200))

@@ -11,11 +11,12 @@ from ..operators import dense as D
 from ..operators import evaluation as E
 from ..operators import ranking as R
 from ..operators.embedding import hash_vector
+from ..operators.tables import spread
 from .registry import query, table
 
 
 def chunks(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "lang", "source")
+    return spread(table(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "lang", "source")
 
 
 _BUILT: dict[tuple, B.Index] = {}
