@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .embedding_dedup import audited
 from .line_dedup import line_dedup
@@ -20,6 +21,7 @@ from .token_counts import separator_scan, tokenised
 from .url_templates import url_templates
 
 RANKS = os.environ.get("TOKEN_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+BYTES = os.environ.get("BYTE_BPE", "/opt/tokenizers/byte_bpe_50k.json")
 PIECES = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -71,6 +73,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select(F.explode(F.arrays_zip(F.col("extra").alias("doc_id"), F.col("counts").alias("n_tokens"))).alias("x")).select("x.doc_id", "x.n_tokens")
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number and digest of its ids, and the digest of what they decode to."""
+    both = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), BYTES), BYTES)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op8_token_counts": op8_token_counts,
@@ -82,6 +91,7 @@ QUERIES = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
+    "op13_bpe": op13_bpe,
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
