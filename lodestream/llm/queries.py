@@ -11,6 +11,7 @@ from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .embedding_dedup import audited
 from .line_dedup import line_dedup
+from .merkle import folded_root, leaf_digest, merkle_manifest, proof_digest
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
 from .quality_classifier import quality_classifier
@@ -80,6 +81,19 @@ def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof under the root of the corpus, and whether it holds for the document as it is found: one in seven ids has
+    its n_chars tampered with."""
+    told = ["doc_id", "source", "lang", "n_chars", "text"]
+    leaf = leaf_digest(*map(F.col, told))
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = F.when(hit, leaf_digest(*(F.col(c) + 1 if c == "n_chars" else F.col(c) for c in told)))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", leaf.alias("leaf"), found.alias("found"))
+    out = merkle_manifest(rows, group="lang", order="doc_id")
+    out = out.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), folded_root(F.coalesce("found", "leaf"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op8_token_counts": op8_token_counts,
@@ -92,11 +106,45 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
     "op13_bpe": op13_bpe,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
+
+
+def _leaf(n_chars: str) -> str:
+    told = [f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(told)})"
+
+
+# CRC-32 by its definition: a byte is added to the remainder, which is shifted eight times
+_STEP = "case when s % 2 = 1 then xor(s // 2, 3988292384) else s // 2 end"
+_CRC32 = f"""xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+  lambda r, b: list_reduce(list_prepend(xor(r, b), [0::bigint for i in range(8)]), lambda s, z: {_STEP})), 4294967295)"""
+
 ORACLE: dict[str, str] = {
+    "op12_merkle_manifest": f"""
+with recursive d as (select row_number() over () as rid, doc_id, coalesce('=' || lang, '') as run, {_leaf("n_chars")} as leaf,
+  case when {_CRC32} % 7 = 0 then {_leaf("(n_chars + 1)")} else {_leaf("n_chars")} end as found from documents),
+r as (select *, row_number() over (partition by run order by doc_id nulls first, leaf, rid) - 1 as pos, count(*) over (partition by run) as n from d),
+t as (select run, 0 as lvl, pos, leaf as h, n from r
+  union all select run, lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (n + 1) // 2 from t where n > 1 group by run, lvl, pos // 2, n),
+s as (select run, h as subroot, row_number() over (order by run) - 1 as pos, count(*) over () as n, lvl as height from t where n = 1),
+u as (select 0 as lvl, pos, subroot as h, n from s
+  union all select lvl + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (n + 1) // 2 from u where n > 1 group by lvl, pos // 2, n),
+steps as (select rid, l.lvl as step, r.pos >> l.lvl as pos, run, 0 as upper from r join (select distinct run, lvl from t where n > 1) l using (run)
+  union all select rid, height + l.lvl, s.pos >> l.lvl, '', 1 from r join s using (run), (select distinct lvl from u where n > 1) l),
+nodes as (select run, lvl, pos, h, 0 as upper from t union all select '', lvl, pos, h, 1 from u),
+heights as (select rid, height from r join s using (run)),
+path as (select rid, step, p.pos % 2 as side, coalesce(k.h, '') as sib from steps p join heights using (rid)
+  left join nodes k on k.upper = p.upper and k.run = p.run and k.lvl = step - height * p.upper and k.pos = xor(p.pos, 1)),
+f as (select rid, 0 as step, found as h from r
+  union all select f.rid, f.step + 1, sha256(case when side = 1 then sib || f.h else f.h || sib end) from f join path using (rid, step)),
+top as (select rid, max_by(h, step) as folded_root from f group by rid),
+proof as (select rid, sha256(string_agg(sib, '' order by step)) as p from path group by rid)
+select doc_id, leaf, subroot, root, coalesce(p, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+from r join s using (run) join top using (rid) left join proof using (rid), (select h as root from u where n = 1)""",
     "op6_substring_dedup": f"""
 with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as ws from documents),
 win as (select doc_id, i, array_to_string(ws[i:i + 12], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
