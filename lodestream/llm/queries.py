@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import cross_tokenizer_alignment
 from .bpe import bpe_decode, bpe_encode
 from .common import table
 from .embedding_dedup import audited
@@ -94,6 +95,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: tokens, groups and links of the two tokenizers, how common its links are, and the digest of its groups."""
+    documents, _ = cross_tokenizer_alignment(table(spark, sf_dir, "documents"), BYTES, PIECES)
+    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
+    told = F.array_join(F.transform("groups", lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
+    digest = F.when(F.col("n_groups") == 0, F.lit("")).otherwise(F.sha2(told.cast("binary"), 256))
+    return documents.withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op8_token_counts": op8_token_counts,
@@ -106,6 +116,7 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op4_quality_rules": op4_quality_rules,
     "op13_bpe": op13_bpe,
+    "op11_alignment": op11_alignment,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
