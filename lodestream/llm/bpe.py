@@ -23,6 +23,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def byte_letters() -> list[str]:
 
 
 class Vocabulary:
-    """raw: the bytes of each id; byte: the id of each byte; merge: left << 32 | right to rank << 32 | id."""
+    """raw: the bytes of each id; byte: the id of each byte; rank: of left << 32 | right; made: the id that each rank makes."""
 
     def __init__(self, text: str) -> None:
         d = json.loads(text)
@@ -75,10 +76,9 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in added}
         self.hidden = {t["id"] for t in added if t["special"]}
         self.byte = [vocab[c] for c in byte_letters()]
-        self.merge: dict[int, int] = {}
-        for rank, pair in enumerate(m["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merge[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
+        pairs = [pair.split(" ") if isinstance(pair, str) else pair for pair in m["merges"]]
+        self.rank = {vocab[a] << 32 | vocab[b]: r for r, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]
 
     @classmethod
     def read(cls, path: str) -> str:
@@ -89,41 +89,36 @@ class Vocabulary:
         return text
 
 
-def merged(word: bytes, byte: list[int], merge: dict[int, int]) -> list[int]:
+def merged(word: bytes, byte: list[int], rank_of: dict[int, int], made: list[int]) -> list[int]:
     """The ids of one word."""
     ids = [byte[c] for c in word]
     n = len(ids)
-    heap = []
-    for i in range(n - 1):
-        m = merge.get(ids[i] << 32 | ids[i + 1])
-        if m is not None:
-            heap.append(m >> 32 << 32 | i)  # rank, then place
+    rank = [rank_of.get(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]  # of the pair that starts at each symbol
+    heap = [r << 32 | i for i, r in enumerate(rank) if r >= 0]
     if not heap:
         return ids
     heapify(heap)
+    rank.append(-1)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
         top = heappop(heap)
         i = top & 0xFFFFFFFF
-        j = after[i]
-        if ids[i] < 0 or j >= n:
-            continue  # stale: merged into its left neighbour, or last by now
-        m = merge.get(ids[i] << 32 | ids[j])
-        if m is None or m >> 32 != top >> 32:
-            continue  # stale: the pair at this place is another by now
-        new = m & 0xFFFFFFFF
-        ids[i], ids[j] = new, -1
-        j = after[i] = after[j]
+        if rank[i] != top >> 32:
+            continue  # stale: the pair at this place has changed since
+        new = ids[i] = made[rank[i]]
+        gone = after[i]
+        ids[gone] = rank[gone] = rank[i] = -1
+        j = after[i] = after[gone]
         if j < n:
             before[j] = i
-            m = merge.get(new << 32 | ids[j])
-            if m is not None:
-                heappush(heap, m >> 32 << 32 | i)
+            r = rank[i] = rank_of.get(new << 32 | ids[j], -1)
+            if r >= 0:
+                heappush(heap, r << 32 | i)
         h = before[i]
         if h >= 0:
-            m = merge.get(ids[h] << 32 | new)
-            if m is not None:
-                heappush(heap, m >> 32 << 32 | h)
+            r = rank[h] = rank_of.get(ids[h] << 32 | new, -1)
+            if r >= 0:
+                heappush(heap, r << 32 | h)
     return [x for x in ids if x >= 0]
 
 
@@ -141,7 +136,7 @@ class Encoder(dict):
         self.special = regex.compile("|".join(regex.escape(x) for x in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("i", merged(word.encode(), self.v.byte, self.v.merge)).tobytes()
+        ids = array("i", merged(word.encode(), self.v.byte, self.v.rank, self.v.made)).tobytes()
         if len(word) <= KEPT_LETTERS:
             if len(self) >= KEPT_WORDS:
                 self.clear()
@@ -216,10 +211,13 @@ def bpe_decode(df: DataFrame, vocabulary_file: str, *, ids_col: str = "ids", int
     @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
         v = encoder(told.value).v
-        raw = [v.raw.get(i, b"") for i in range(max(v.raw) + 1)]
+        raw = [v.raw.get(i, b"") for i in range(max(v.raw) + 2)]  # the last stands for ids outside the vocabulary
         for i in v.hidden if skip_special else ():
             raw[i] = b""
-        n = len(raw)
-        return pa.array([None if x is None else b"".join([raw[i] for i in x if 0 <= i < n]).decode("utf-8", "replace") for x in (y.as_py() for y in ids)], pa.string())
+        flat = ids.flatten().to_numpy()
+        flat = np.where((flat < 0) | (flat >= len(raw)), len(raw) - 1, flat)
+        ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(ids), 0).to_numpy()])
+        out = [b"".join([raw[i] for i in flat[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+        return pa.array(out, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
 
     return df.withColumn(into, text(F.col(ids_col)))

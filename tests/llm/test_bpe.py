@@ -25,11 +25,11 @@ def by_scan(word, v):
     """Merges the leftmost pair of the best rank until none is left."""
     ids = [v.byte[c] for c in word]
     while True:
-        best = min(((v.merge[a << 32 | b] >> 32, i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if a << 32 | b in v.merge), default=None)
+        best = min(((v.rank[a << 32 | b], i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if a << 32 | b in v.rank), default=None)
         if best is None:
             return ids
         i = best[1]
-        ids[i : i + 2] = [v.merge[ids[i] << 32 | ids[i + 1]] & 0xFFFFFFFF]
+        ids[i : i + 2] = [v.made[best[0]]]
 
 
 def test_queue_equals_scan():
@@ -37,7 +37,7 @@ def test_queue_equals_scan():
     r = random.Random(1)
     for _ in range(1500):
         word = bytes(r.choice(b"aaabceinorst the\xc3\xa9") for _ in range(r.randrange(0, 30)))
-        assert merged(word, v.byte, v.merge) == by_scan(word, v)
+        assert merged(word, v.byte, v.rank, v.made) == by_scan(word, v)
 
 
 @pytest.mark.parametrize("special", [True, False])
