@@ -1,4 +1,4 @@
-"""Dense retrieval: exact top-k of a batch of queries, in bounded blocks, against a table of vectors, with metadata filters pushed below it."""
+"""Dense retrieval: exact top-k of a batch of queries against a table of vectors, with metadata filters pushed below it."""
 
 from __future__ import annotations
 
@@ -8,14 +8,14 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
+from .blocks import against
 from .ranking import PLACES, checked_k, top_k
 
 PAIRS = 1 << 22  # scores that a task holds at once
-MAX_QUERIES = 10_000  # a block of queries, told to every task
 
 
 class MetadataFilter(NamedTuple):
@@ -63,38 +63,39 @@ def block_scores(v: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.where(n == 0, 0.0, dots / np.where(n == 0, 1.0, n))
 
 
+def best_of(s: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best rows of every column of s, ties by place: rows and columns."""
+    best = [np.lexsort((place, -s[:, j]))[:k] if len(s) <= 4 * k else top_of(s[:, j], place, k) for j in range(s.shape[1])]
+    return np.concatenate(best) if best else np.zeros(0, np.int64), np.repeat(np.arange(s.shape[1]), [len(x) for x in best])
+
+
+def matrix(column: pa.ChunkedArray, n: int | None = None) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]).to_numpy(zero_copy_only=False).astype(float) if column.num_chunks else np.zeros(0)
+    n = n or (len(flat) // len(column) if len(column) else 0)
+    if len(flat) != len(column) * n or set(pc.list_value_length(column).unique().to_pylist()) - {n}:
+        raise ValueError("vectors of different length")
+    return flat.reshape(len(column), n)
+
+
 def candidates(rows: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
-    """(query_id, chunk_id, score): the k best of every batch of rows for every query. The queries, a bounded block, are told to all
-    tasks; a batch is scored as one matrix product, a slice of the queries at a time."""
-    asked = queries.select("query_id", "vector").toPandas()  # at most about MAX_QUERIES rows
-    if asked.empty:
-        return rows.where(F.lit(False)).select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "chunk_id", F.lit(0.0).alias("score"))
-    told = rows.sparkSession.sparkContext.broadcast((asked.query_id.to_numpy(), np.stack([np.asarray(x, float) for x in asked.vector])))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = told.value
-        for b in batches:
-            ok = b.column(1).is_valid().to_numpy(zero_copy_only=False)
-            b = b.filter(pa.array(ok))
-            if not b.num_rows:
-                continue
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
-            if len(flat) != b.num_rows * vectors.shape[1] or len(set(b.column(1).value_lengths().to_pylist())) != 1:
-                raise ValueError("vectors of different length")
-            v, chunk = flat.reshape(b.num_rows, -1), b.column(0).to_numpy(zero_copy_only=False)
-            place = np.argsort(np.argsort(chunk, kind="stable"), kind="stable")
-            step = max(1, PAIRS // (b.num_rows * (vectors.shape[1] if metric == "euclidean" else 1)))
-            for at in range(0, len(ids), step):
-                s = np.round(block_scores(v, vectors[at : at + step], metric), PLACES)
-                best = [np.lexsort((place, -s[:, j]))[:k] if len(s) <= 4 * k else top_of(s[:, j], place, k) for j in range(s.shape[1])]
-                at_row = np.concatenate(best)
-                of = np.repeat(np.arange(s.shape[1]), [len(x) for x in best])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + step][of], kinds[0]), b.column(0).take(pa.array(at_row)), pa.array(s[at_row, of])], ["query_id", "chunk_id", "score"])
+    """(query_id, chunk_id, score): the k best of every block of rows for every query, each pair of blocks as one matrix product."""
+
+    def scored(mine: pa.Table, asked: pa.Table) -> Iterator[pa.RecordBatch]:
+        q = matrix(asked.column(1))
+        v = matrix(mine.column(1), q.shape[1])
+        place = np.argsort(np.argsort(mine.column(0).to_numpy(), kind="stable"), kind="stable")
+        step = max(1, PAIRS // (len(v) * (q.shape[1] if metric == "euclidean" else 1)))
+        for at in range(0, len(q), step):
+            s = np.round(block_scores(v, q[at : at + step], metric), PLACES)
+            row, of = best_of(s, place, k)
+            yield from pa.table([asked.column(0).take(pa.array(at + of)), mine.column(0).take(pa.array(row)), pa.array(s[row, of])], ["query_id", "chunk_id", "score"]).to_batches()
 
     of = {"query_id": queries.schema["query_id"].dataType, "chunk_id": rows.schema["chunk_id"].dataType}
-    kinds = [to_arrow_type(of["query_id"])]
     schema = ", ".join(f"{c} {t.simpleString()}" for c, t in of.items()) + ", score double"
-    return rows.select("chunk_id", F.col("embedding").cast("array<double>")).mapInArrow(scored, schema)
+    mine = rows.where("embedding is not null").select("chunk_id", F.col("embedding").cast("array<double>"))
+    asked = queries.where("vector is not null").select("query_id", F.col("vector").cast("array<double>"))
+    return against(mine, asked, scored, schema)
 
 
 def top_of(s: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
@@ -105,14 +106,6 @@ def top_of(s: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
 
 
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, *, metric: str = "cosine", filters: Sequence[MetadataFilter] = (), threshold: float | None = None) -> DataFrame:
-    """vectors (chunk_id, embedding, ...), queries (query_id, vector). Queries are answered in blocks of about MAX_QUERIES, dealt by a hash
-    of their id; each vector is scored where it is read, and only the k best of a batch are shuffled. A null vector is nowhere."""
-    blocks = -(-queries.count() // MAX_QUERIES)
-    rows = filtered(vectors, filters)
-
-    def answered(q: DataFrame) -> DataFrame:
-        return top_k(candidates(rows, q.where(F.col("vector").isNotNull()), checked_k(k), metric), k, threshold=threshold)
-
-    if blocks <= 1:
-        return answered(queries)
-    return reduce(DataFrame.union, [answered(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)) for b in range(blocks)])
+    """vectors (chunk_id, embedding, ...), queries (query_id, vector). The vectors are read once for all queries; only the k best of a
+    block are shuffled. A null vector is nowhere, vectors of different lengths raise."""
+    return top_k(candidates(filtered(vectors, filters), queries, checked_k(k), metric), k, threshold=threshold)

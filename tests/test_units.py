@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as T
+from lodestream.operators import bm25 as B
+from lodestream.operators import blocks
 from lodestream.operators import cache as K
 from lodestream.operators import context as X
 from lodestream.operators import dedup as D
@@ -14,6 +16,7 @@ from lodestream.operators import dense as N
 from lodestream.operators import diversity as V
 from lodestream.operators import graph as G
 from lodestream.operators import queries as Q
+from lodestream.operators import ranking as R
 from lodestream.operators import store as S
 from lodestream.plans import dialogue as P
 from lodestream.sources import loaders as L
@@ -154,9 +157,37 @@ def test_dense_blocks(spark, monkeypatch):
     v = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(30)], "chunk_id long, embedding array<double>")
     q = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(25)], "query_id long, vector array<double>")
     whole = sorted(N.dense_top_k(v, q, 3).collect())
-    monkeypatch.setattr(N, "MAX_QUERIES", 10)
-    assert sorted(N.dense_top_k(v, q, 3).collect()) == whole and len(whole) == 75
+    monkeypatch.setattr(N, "against", lambda *a: blocks.against(*a, most=7, most_asked=10))
+    small = N.dense_top_k(v, q, 3)
+    assert sorted(small.collect()) == whole and len(whole) == 75
     assert len(N.dense_top_k(v, q.limit(0), 3).collect()) == 0
+    assert len(N.dense_top_k(v.limit(0), q, 3).collect()) == 0
+
+
+def test_dense_reads_the_table_once(spark, tmp_path):
+    v = spark.range(3000).select(F.col("id").alias("chunk_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
+    v.write.parquet(f"{tmp_path}/v.parquet")
+    v = spark.read.parquet(f"{tmp_path}/v.parquet")
+    out = N.dense_top_k(v, v.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector")), 2)  # three blocks of queries
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and "Union" not in plan  # the vectors and the queries
+    assert out.count() == 6000 and out.where("rank = 1 and round(score, 5) < 1").count() == 0
+
+
+def test_bm25_blocks(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    c = spark.createDataFrame([(i, " ".join(r.choices(words, range(40, 0, -1), k=r.randrange(0, 30)))) for i in range(80)], "chunk_id long, content string")
+    q = spark.createDataFrame([(i, " ".join(r.choices(words, k=4))) for i in range(20)] + [(20, "none"), (21, None)], "query_id long, query string")
+    index = B.Index.build(c)
+    every = index.scores(q)
+    want = R.top_k(every, 5).collect()
+    assert every.count() > len(want)
+    monkeypatch.setattr(B, "against", lambda *a, **b: blocks.against(*a, most=9, most_asked=4))
+    monkeypatch.setattr(B, "ADDS", 50)
+    assert sorted(index.top_k(q, 5).collect()) == sorted(want)
 
 
 def test_citation_spans_of_all_items_and_whole_texts(spark, tmp_path):
