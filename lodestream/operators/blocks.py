@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,27 +30,53 @@ def _read(payload: pa.BinaryScalar) -> pa.Table:
     return pa.ipc.open_stream(payload.as_buffer()).read_all()
 
 
-def packed(df: DataFrame, most: int) -> DataFrame:
-    """(payload): the rows of df, up to `most` to a row."""
+HELD = 1 << 16  # rows that a task holds while it packs by key
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, most):
-                b = batch.slice(at, most)
-                if n and n + b.num_rows > most:
-                    yield _told(held)
-                    held, n = [], 0
-                held.append(b)
-                n += b.num_rows
-        if held:
-            yield _told(held)
 
-    return df.mapInArrow(pack, "payload binary")
+def packed(df: DataFrame, most: int, key: str | None = None) -> DataFrame:
+    """(payload): the rows of df, up to `most` to a row. With a key, its first column, (key, payload): rows of one key each."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        n = 0
+
+        def told(k) -> pa.RecordBatch:  # noqa: ANN001
+            out = _told(held.pop(k)[0])
+            return out if key is None else pa.RecordBatch.from_arrays([pa.array([k], kind), out.column(0)], [key, "payload"])
 
-def against(rows: DataFrame, asked: DataFrame, score: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str, *, most: int = ROWS, most_asked: int = ASKED) -> DataFrame:
-    """score(block of rows, block of asked rows) for all pairs of blocks."""
+        for batch in batches:
+            kind = batch.schema[0].type
+            parts = [(None, batch)]
+            if key is not None:
+                codes = batch.column(0).dictionary_encode()
+                order = pc.array_sort_indices(codes.indices)
+                ends = np.cumsum([0, *np.bincount(codes.indices.to_numpy(), minlength=len(codes.dictionary))])
+                parts = [(k, batch.take(order[a : b])) for k, a, b in zip(codes.dictionary.to_pylist(), ends[:-1], ends[1:])]
+            for k, part in parts:
+                for at in range(0, part.num_rows, most):
+                    b = part.slice(at, most)
+                    if k in held and held[k][1] + b.num_rows > most:
+                        n -= held[k][1]
+                        yield told(k)
+                    rows, size = held.setdefault(k, ([], 0))
+                    held[k] = ([*rows, b], size + b.num_rows)
+                    n += b.num_rows
+            if n > HELD:
+                for k in list(held):
+                    yield told(k)
+                n = 0
+        for k in list(held):
+            yield told(k)
+
+    if key is None:
+        return df.mapInArrow(pack, "payload binary")
+    return df.mapInArrow(pack, f"{key} {df.schema[key].dataType.simpleString()}, payload binary")
+
+
+def against(
+    rows: DataFrame, asked: DataFrame, score: Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]], schema: str, *, most: int = ROWS, most_asked: int = ASKED, key: str | None = None
+) -> DataFrame:
+    """score(block of rows, block of asked rows) for all pairs of blocks; with a key, the first column of both, for those of equal keys."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, left, held, n = None, None, [], 0
@@ -65,5 +93,8 @@ def against(rows: DataFrame, asked: DataFrame, score: Callable[[pa.Table, pa.Tab
         if held:
             yield from score(left, pa.concat_tables(held).combine_chunks())
 
-    pairs = packed(rows, most).select(F.monotonically_increasing_id().alias("place"), F.col("payload").alias("rows")).crossJoin(packed(asked, most_asked))
-    return pairs.mapInArrow(scored, schema)
+    keys = [] if key is None else [key]
+    mine = packed(rows, most, key).select(*keys, F.monotonically_increasing_id().alias("place"), F.col("payload").alias("rows"))
+    theirs = packed(asked, most_asked, key)
+    pairs = mine.crossJoin(theirs) if key is None else mine.join(theirs, key)
+    return pairs.select("place", "rows", "payload").mapInArrow(scored, schema)

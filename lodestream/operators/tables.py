@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def table_of(df: DataFrame) -> DataFrame:
+    """df, written down in the shared folder: what several steps read, or what ends a round."""
+    path = f"{shared_dir(df.sparkSession)}/lodestream/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows dealt over all cores, if they come from fewer files than cores and are less than CORE_BYTES a core; else df itself.
     Rows of one Parquet row group are one task's work however large the cluster is."""

@@ -11,6 +11,8 @@ from ..operators import dense as D
 from ..operators import evaluation as E
 from ..operators import ranking as R
 from ..operators.embedding import hash_vector
+from ..operators.ivf import IVFIndex, recall
+from ..operators.segments import SegmentedIndex
 from ..operators.tables import spread
 from .registry import query, table
 
@@ -43,9 +45,9 @@ def _tokens(col: str) -> str:
     return f"list_filter(regexp_split_to_array(regexp_replace(lower({col}), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '[\\s\\p{{Z}}]+'), lambda t: t <> '' and t not in {_STOP})"
 
 
-def _bm25(k1: float = 1.5, b: float = 0.75, k: int = 10) -> str:
+def _bm25(k1: float = 1.5, b: float = 0.75, k: int = 10, docs: str = "documents") -> str:
     return f"""
-with tok as (select doc_id as chunk_id, {_tokens('text')} as tokens from documents),
+with tok as (select doc_id as chunk_id, {_tokens('text')} as tokens from {docs}),
 st as (select count(*) as n, avg(len(tokens)) as avgdl from tok),
 post as (select term, chunk_id, count(*) as tf, any_value(l) as l from (select chunk_id, len(tokens) as l, unnest(tokens) as term from tok) group by term, chunk_id),
 idf as (select term, greatest(ln((n - count(*) + 0.5) / (count(*) + 0.5) + 1), 0.25) as idf from post, st group by term, n),
@@ -83,6 +85,24 @@ def bm25_remove_chunks(spark, d):
     return left.stats().withColumn("avgdl", F.round("avgdl", 6))
 
 
+@query("bm25_pruned_topk", _bm25())
+def bm25_pruned_topk(spark, d):
+    """The rows of bm25_topk from the postings of the queries' terms."""
+    index = SegmentedIndex.create(spark)
+    index.add(chunks(spark, d))
+    return index.top_k(asked(spark, d), 10)
+
+
+@query("bm25_segments", _bm25(docs="(select * from documents where lang <> 'de' or lang is null)"))
+def bm25_segments(spark, d):
+    """One language after another added, one of them removed again."""
+    index, c = SegmentedIndex.create(spark), chunks(spark, d)
+    index.add(c.where("lang in ('en', 'de')"))
+    index.add(c)
+    index.remove(c.where("lang = 'de'"))
+    return index.top_k(asked(spark, d), 10)
+
+
 # dense search: the stated queries are the vectors whose id is divisible by 100
 _DOT = "list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i] * b[i]))"
 _VEC = "select vec_id, embedding::double[] as v, label from embeddings"
@@ -134,6 +154,24 @@ def dense_topk_threshold(spark, d):
     return D.dense_top_k(vectors(spark, d), vector_queries(spark, d), threshold=0.3)
 
 
+def _cells(spark, d):
+    v = vectors(spark, d)
+    return IVFIndex.build(v, cells=16, nprobe=2)
+
+
+@query("dense_topk_all_cells", _scored(_COS))
+def dense_topk_all_cells(spark, d):
+    """The cells' index where every cell is looked into."""
+    return _cells(spark, d).top_k(vector_queries(spark, d), nprobe=16)
+
+
+@query("dense_cells_recall")
+def dense_cells_recall(spark, d):
+    """What the cells' index finds of the exact results, with nprobe tuned to 0.9."""
+    q = vector_queries(spark, d)
+    return recall(_cells(spark, d).tuned(q).top_k(q), dense_topk_cosine(spark, d))
+
+
 @query("dense_min_max", f"""
 with t as ({_scored(_COS)}), m as (select *, min(score) over (partition by query_id) as lo, max(score) over (partition by query_id) as hi from t)
 select query_id, chunk_id, round(case when hi = lo then 1.0 else (score - lo) / (hi - lo) end, 6) as score, rank from m""")

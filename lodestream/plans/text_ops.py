@@ -11,6 +11,7 @@ from ..operators import dedup as D
 from ..operators import diversity as V
 from ..operators import graph as G
 from ..operators.embedding import hash_vector
+from ..operators.greedy import greedy_minhash, greedy_simhash
 from .registry import query, table
 from .retrieval import asked, chunks, index
 
@@ -62,19 +63,51 @@ def dedup_exact_by_source(spark, d):
 
 
 _GRAMS = f"""
-with t as (select item_id, {_LOOSE.format('text')} as t from benchmark),
+with recursive t as (select item_id, {_LOOSE.format('text')} as t from benchmark),
 g as (select item_id, case when length(t) < 3 then [t] else list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) end as grams from t where t <> '')
 """
 
 
-@query("simhash", _GRAMS + """, m as (select item_id, md5(unnest(grams)) as m from g),
+_SIMHASH = _GRAMS + """, m as (select item_id, md5(unnest(grams)) as m from g),
 h as (select item_id, ('0x' || substr(m, 17, 8))::bigint as hi, ('0x' || substr(m, 25, 8))::bigint as lo from m),
-v as (select item_id, b, sum(case when (hi >> b::bigint) & 1 = 1 then 1 else -1 end) as vh, sum(case when (lo >> b::bigint) & 1 = 1 then 1 else -1 end) as vl from h, range(0, 32) r(b) group by item_id, b)
-select item_id, sum(case when vh > 0 then 1::bigint << b else 0 end)::bigint as hi, sum(case when vl > 0 then 1::bigint << b else 0 end)::bigint as lo from v group by item_id""")
+v as (select item_id, b, sum(case when (hi >> b::bigint) & 1 = 1 then 1 else -1 end) as vh, sum(case when (lo >> b::bigint) & 1 = 1 then 1 else -1 end) as vl from h, range(0, 32) r(b) group by item_id, b),
+fp as (select item_id, sum(case when vh > 0 then 1::bigint << b else 0 end)::bigint as hi, sum(case when vl > 0 then 1::bigint << b else 0 end)::bigint as lo from v group by item_id)
+"""
+
+
+def _sequential(rows: str, kind: str, near: str) -> str:
+    """The greedy rule row by row: each is held against the list of those that stay."""
+    return f"""
+o as materialized (select doc_id, x, row_number() over (order by doc_id) as rn from {rows}),
+s as (select 0::bigint as rn, null::bigint as doc_id, null::bigint as home, []::struct(d bigint, x {kind})[] as kept
+ union all select rn, doc_id, home, case when home is null then list_append(kept, {{'d': doc_id, 'x': x}}) else kept end
+ from (select o.*, kept, list_filter(kept, lambda k: {near})[1].d as home from s join o on o.rn = s.rn + 1))
+select doc_id, coalesce(home, doc_id) as kept_as from s where rn > 0"""
+
+
+@query("simhash", _SIMHASH + "select * from fp")
 def simhash(spark, d):
     return D.simhash_rows(table(spark, d, "benchmark"), key="item_id")
 
 
+@query("dedup_simhash_corpus", _SIMHASH.replace("item_id", "doc_id").replace("benchmark", "documents") + ", z as (select d.doc_id, [coalesce(hi, 0), coalesce(lo, 0)] as x from documents d left join fp using (doc_id)), "
+       + _sequential("z", "bigint[]", "bit_count(xor(k.x[1], x[1])) + bit_count(xor(k.x[2], x[2])) <= 3"))
+def dedup_simhash_corpus(spark, d):
+    """Every document, in order, against those before it that stay."""
+    return greedy_simhash(D.simhash_rows(table(spark, d, "documents")))
+
+
+_MINHASH = _GRAMS + """, sig as (select item_id, list_transform(range(0, 128), lambda i:
+ list_min(list_transform(grams, lambda z: ('0x' || substr(md5(unhex(lpad(printf('%x', i), 2, '0') || '000000') || encode(z)), 1, 8))::bigint))) as x from g),
+z as (select d.item_id as doc_id, coalesce(x, list_transform(range(0, 128), lambda i: 4294967295::bigint)) as x from benchmark d left join sig using (item_id)), """
+
+
+@query("dedup_minhash_corpus", _MINHASH + _sequential("z", "bigint[]", "len(list_filter(range(1, 129), lambda i: k.x[i] = x[i])) / 128.0 >= 0.8"))
+def dedup_minhash_corpus(spark, d):
+    """Every benchmark item, in order, against those before it that stay."""
+    return greedy_minhash(D.minhash_rows(table(spark, d, "benchmark"), key="item_id").withColumnRenamed("item_id", "doc_id"))
+
+
 @query("minhash", _GRAMS + """
 select item_id, i::int as i, list_min(list_transform(grams, lambda z: ('0x' || substr(md5(unhex(lpad(printf('%x', i), 2, '0') || '000000') || encode(z)), 1, 8))::bigint)) as x from g, range(0, 128) r(i)""")
 def minhash(spark, d):
