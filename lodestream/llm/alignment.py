@@ -19,6 +19,7 @@ no part. An empty table has empty results.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BORDER, STRETCH, Encoder, Vocabulary, encoder
+from .bpe import BORDER, KEPT_LETTERS, KEPT_WORDS, STRETCH, Encoder, Vocabulary, encoder
 from .common import checkpoint, small_batches
-from .sentencepiece_lattice import Cutter, Model, blocks, from_planes, gathered, one_row, planes
+from .sentencepiece_lattice import Cutter, Model, blocks, from_planes, one_row, planes
 
 BLOCK_BYTES = 8 << 20  # of the texts that are one row; a single longer text is a block of its own
 PAIR = 1 << 32
@@ -78,17 +79,47 @@ def align(len_a: np.ndarray, len_b: np.ndarray) -> Aligned:
     return Aligned(link_a, link_b, root[: len(len_a)], root[len(len_a) :])
 
 
-class Sides:
-    """Both tokenizers in a worker, with the bytes of their ids."""
+class Pieces(dict):
+    """Ids of side B, packed, of what stands between two spaces; a bounded number is kept. No piece crosses from a character to a word
+    mark, so words are encoded one by one."""
 
-    def __init__(self, a: str, b: bytes) -> None:
+    def __init__(self, model: bytes) -> None:
         import sentencepiece
 
+        super().__init__()
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.raw = Model.read(model).raw()
+        self.odd = False
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.model.encode(word)
+        out = array("i", ids).tobytes()
+        if b"".join([self.raw[i] for i in ids]) != (" " + word).encode():
+            self.odd = True
+        elif len(word) <= KEPT_LETTERS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = out
+        return out
+
+    def encode(self, text: str) -> bytes | None:
+        """None where the ids do not spell out a space and the text."""
+        self.odd = False
+        words = [text] if "  " in text or text[0] == " " or text[-1] == " " else text.split(" ")
+        out = b"".join(map(self.__getitem__, words))
+        return None if self.odd else out
+
+
+class Sides:
+    """Both tokenizers in a worker, with the lengths of their tokens."""
+
+    def __init__(self, a: str, b: bytes) -> None:
         self.a: Encoder = encoder(a)
-        self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
-        self.raw_a, self.off_a = _flat([self.a.v.raw.get(i, b"") for i in range(max(self.a.v.raw) + 1)])
-        self.raw_b, self.off_b = _flat(Model.read(b).raw())
-        self.len_a, self.len_b = np.diff(self.off_a), np.diff(self.off_b)
+        self.b = Pieces(b)
+        self.len_a = np.array([len(self.a.v.raw.get(i, b"")) for i in range(max(self.a.v.raw) + 1)])
+        self.len_b = np.array([len(x) for x in self.b.raw])
+        # an id and what follows it: place 4 * id + separator
+        self.told = pa.array([f"{i}{s}" for i in range(max(len(self.len_a), len(self.len_b))) for s in ("", ",", "|", ";")])
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """The ids on both sides, or None where they do not spell out a space and the text."""
@@ -97,18 +128,25 @@ class Sides:
             cut = BORDER.search(text, at + STRETCH) if len(text) - at > STRETCH else None
             part = text[at : cut.start()] if cut else text[at:]
             at = cut.end() if cut else len(text)  # the space at the cut is the one that both put before the next stretch
-            a = np.frombuffer(self.a.plain(" " + part), np.int32)
-            b = np.array(self.b.encode(part), np.int32)
-            told = (" " + part).encode()
-            if gathered(self.raw_a, self.off_a, a)[0].tobytes() != told or gathered(self.raw_b, self.off_b, b)[0].tobytes() != told:
+            a, b = np.frombuffer(self.a.plain(" " + part), np.int32), self.b.encode(part)
+            if b is None or self.len_a[a].sum() != len(part.encode()) + 1:  # A's merges never change a byte
                 return None
             out_a.append(a)
-            out_b.append(b)
+            out_b.append(np.frombuffer(b, np.int32))
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else None
 
-
-def _flat(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    def groups(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, n: np.ndarray) -> pa.StringArray:
+        """The groups of documents of n tokens each as texts, a1,a2|b1;a3|b2,b3: of_a and of_b number the groups."""
+        key = np.concatenate([2 * of_a, 2 * of_b + 1])
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        step = np.append(np.where(key[1:] == key[:-1], 1, np.where(key[1:] // 2 == key[:-1] // 2, 2, 3)), 0) if len(key) else key
+        ends = np.cumsum(n)
+        step[ends[n > 0] - 1] = 0  # a document's last token
+        tokens = self.told.take(pa.array(4 * np.concatenate([a, b])[order].astype(np.int64) + step)).cast(pa.large_string())
+        _, off, data = tokens.buffers()
+        off = np.frombuffer(off, np.int64)[tokens.offset : tokens.offset + len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
+        return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(off[np.append(0, ends)].copy()), data or pa.py_buffer(b"")).cast(pa.string())
 
 
 _SIDES: list[tuple[int, Sides]] = []
@@ -148,7 +186,7 @@ def cross_tokenizer_alignment(docs: DataFrame, vocabulary_file: str, model_file:
     """(documents, pairs).
 
     documents: id_col, n_a, n_b, n_groups, n_links, n_best (links whose pair no other pair of the same A id exceeds), count_sum (of the
-    links' counts), groups (in order, each with the ids of side a and of side b). pairs: a, b, documents (that hold the pair linked), best.
+    links' counts), groups (in order, as a1,a2|b1;a3|b2,b3 of the ids of both sides). pairs: a, b, documents (that hold the pair linked), best.
     """
     spark = docs.sparkSession
     with open(model_file, "rb") as f:
@@ -205,17 +243,14 @@ def cross_tokenizer_alignment(docs: DataFrame, vocabulary_file: str, model_file:
                 c = np.concatenate([[0], np.cumsum(documents[place])])[np.concatenate([[0], np.cumsum(links)])]
                 first = x.of_a == np.arange(len(x.of_a))  # a component's smallest node is its first token of A
                 group = np.cumsum(first) - 1
-                sizes_a, sizes_b = np.bincount(group), np.bincount(group[x.of_b])
                 of_doc = np.concatenate([[0], np.cumsum(n_a[lo:hi])])
                 in_doc = np.concatenate([[0], np.cumsum(first)])[of_doc]  # groups before each document
-                ids = ((sizes_a, a[at_a : at_a + len(x.of_a)]), (sizes_b, b[at_b : at_b + len(x.of_b)]))
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(z)]).astype(np.int32)), pa.array(v)) for z, v in ids]
-                groups = pa.ListArray.from_arrays(pa.array(in_doc.astype(np.int32)), pa.StructArray.from_arrays(lists, ["a", "b"]))
+                groups = s.groups(a[at_a : at_a + len(x.of_a)], b[at_b : at_b + len(x.of_b)], group, group[x.of_b], n_a[lo:hi] + n_b[lo:hi])
                 numbers = [pa.array(v.astype(np.int64)) for v in (n_a[lo:hi], n_b[lo:hi], np.diff(in_doc), links, n_best, np.diff(c))]
                 out.append(pa.RecordBatch.from_arrays([col["id"].slice(lo, n), *numbers, groups], [id_col, "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]))
         return pa.Table.from_batches(out)
 
     longs = ", ".join(f"{c} long" for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"))
     by_block = encoded.select("block", "packed").groupBy("block").cogroup(back.select(F.col("block").alias("of"), "pair", "documents", "best").groupBy("of"))
-    documents = by_block.applyInArrow(finish, f"`{id_col}` {id_type}, {longs}, groups array<struct<a: array<int>, b: array<int>>>")
+    documents = by_block.applyInArrow(finish, f"`{id_col}` {id_type}, {longs}, groups string")
     return documents, pairs.select("a", "b", "documents", "best")

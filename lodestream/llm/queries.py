@@ -98,9 +98,7 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: tokens, groups and links of the two tokenizers, how common its links are, and the digest of its groups."""
     documents, _ = cross_tokenizer_alignment(table(spark, sf_dir, "documents"), BYTES, PIECES)
-    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
-    told = F.array_join(F.transform("groups", lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
-    digest = F.when(F.col("n_groups") == 0, F.lit("")).otherwise(F.sha2(told.cast("binary"), 256))
+    digest = F.when(F.col("n_groups") == 0, F.lit("")).otherwise(F.sha2(F.col("groups").cast("binary"), 256))
     return documents.withColumn("groups_sha256", digest).drop("groups")
 
 
