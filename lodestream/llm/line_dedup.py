@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, place_number, text_place
 
+APPENDED = 64  # words of a line whose keys are put together one by one
 _BREAK = r"[\x20\x09-\x0D]+"
 
 
@@ -45,7 +46,15 @@ def deletions(w: Column) -> Column:
     moved = F.transform(w, lambda x, i: F.xxhash64(x, i - 1))
     first = F.aggregate(F.slice(moved, 2, F.greatest(F.size(w) - 1, F.lit(0))), F.lit(0).cast("long"), _xor)
     steps = F.zip_with(F.slice(own, 1, F.size(w) - 1), F.slice(moved, 2, F.size(w) - 1), _xor)
-    return F.aggregate(steps, F.array(first), lambda acc, s: F.array_append(acc, _xor(F.element_at(acc, -1), s)))
+    short = F.aggregate(steps, F.array(first), lambda acc, s: F.array_append(acc, _xor(F.element_at(acc, -1), s)))
+    return F.when(F.size(w) <= APPENDED, short).otherwise(running_xor(F.concat(F.array(first), steps)))
+
+
+def running_xor(x: Column) -> Column:
+    """The XOR of x[0], ..., x[i] for every i, by doubling: every pass reaches twice as far back, so a line costs its length times the
+    logarithm of its length."""
+    reach = F.filter(F.array(*[F.lit(1 << i) for i in range(31)]), lambda s: s < F.size(x))
+    return F.aggregate(reach, x, lambda acc, s: F.transform(acc, lambda v, i: F.when(i >= s, _xor(v, F.get(acc, i - s))).otherwise(v)))
 
 
 def whole_key(w: Column) -> Column:

@@ -1,7 +1,10 @@
 import random
 import re
+from itertools import accumulate
+from operator import xor
 
-from lodestream.llm.line_dedup import line_dedup
+from lodestream.llm.line_dedup import line_dedup, running_xor
+from pyspark.sql import functions as F
 
 
 def distance_at_most_one(a, b):
@@ -72,6 +75,21 @@ def test_very_long_line_and_empty_table(spark):
     assert removed.count() == 0 and docs.count() == 0
 
 
+def test_cost_of_a_line_follows_its_length(spark):
+    """200,000 words in one line: with a cost of their square this would take hours."""
+    words = [f"w{i}" for i in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:150_000], "new", *words[150_000:]])), (3, " ".join([*words[:-9], "q", *words[-8:]])), (4, " ".join(["q", "r", *words[2:]]))]
+    removed, _ = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {x.doc: x.removed for x in removed.collect()} == {2: [0], 3: [0]}
+
+
+def test_running_xor(spark):
+    r = random.Random(1)
+    rows = [([r.getrandbits(62) for _ in range(n)],) for n in (1, 2, 3, 63, 64, 65, 1000)]
+    for x in spark.createDataFrame(rows, "x array<long>").withColumn("y", running_xor(F.col("x"))).collect():
+        assert x.y == list(accumulate(x.x, xor))
+
+
 def test_rows_of_one_id_with_different_texts_keep_their_own_lines(spark):
     rows = [(1, "alpha beta gamma\nshared line here"), (5, "first a\nshared line here\nthird a"), (5, "first b\nonly in second row\nthird b"), (5, "first b\nonly in second row\nthird b")]
     _, docs = line_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
