@@ -9,6 +9,7 @@ from ..operators import evaluation as E
 from ..operators import feedback as FB
 from ..operators import generation as G
 from ..operators import metrics as M
+from ..streaming.state import drained, session_memory, with_state_store
 from .registry import query, table
 from .retrieval import _bm25, asked, chunks, index
 
@@ -36,15 +37,29 @@ def conversation_context(spark, d):
     return C.context(messages(spark, d), 2).select("conv_id", "turn", "place")
 
 
-@query("conversation_compact", """
+_COMPACT = """
 with m as (select *, greatest(1, length(text) // 4) as t, row_number() over (partition by conv_id, role = 'system' order by turn desc) as r from conversations),
 k as (select * from m where role = 'system' or r <= 6),
 s as (select *, sum(case when role = 'system' then t else 0 end) over (partition by conv_id) as fixed, sum(case when role = 'system' then 0 else t end) over (partition by conv_id order by turn desc rows unbounded preceding) as later from k)
-select conv_id, turn from s where role = 'system' or fixed + later <= 120""")
+select conv_id, turn from s where role = 'system' or fixed + later <= 120"""
+
+
+@query("conversation_compact", _COMPACT)
 def conversation_compact(spark, d):
     return C.compact(messages(spark, d), 3, 120).select("conv_id", "turn")
 
 
+@query("conversation_memory_stream", _COMPACT)
+def conversation_memory_stream(spark, d):
+    """The same memory, kept by a stream of the messages file by file."""
+    own = with_state_store(spark)
+    schema = table(own, d, "conversations").schema
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{d}/conversations.parque[t]")  # a file or a folder
+    out = drained(session_memory(stream, 3, 120))
+    last = out.groupBy("conv_id").agg(F.max("version").alias("version"))
+    return out.join(last, ["conv_id", "version"], "left_semi").where("turn is not null").select("conv_id", "turn")
+
+
 @query("conversation_formatted", """
 with m as (select *, row_number() over (partition by conv_id, role = 'system' order by turn desc) as r from conversations)
 select conv_id, string_agg(upper(role) || ': ' || text, chr(10) order by role = 'system' desc, turn) as context from m where role = 'system' or r <= 4 group by conv_id""")
