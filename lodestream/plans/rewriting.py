@@ -16,17 +16,21 @@ ASKS = (
 
 
 def questions(spark, d):
-    """Questions made of words of the benchmark items: ten shapes."""
-    w = F.split("text", r"\s+")
-    b = table(spark, d, "benchmark").select("item_id", F.lower(F.regexp_replace(F.get(w, 1), r"[^\p{L}]", "")).alias("w"), F.lower(F.regexp_replace(F.get(w, 2), r"[^\p{L}]", "")).alias("w2"))
+    """Questions made of the whole texts of the benchmark items, in two halves: ten shapes."""
+    words = F.split(F.coalesce("text", F.lit("")), r"\s+")
+    half = F.ceil(F.size(words) / 2).cast("int")
+    plain = lambda x: F.lower(F.regexp_replace(F.array_join(x, " "), r"[^\p{L} ]", ""))
+    b = table(spark, d, "benchmark").select("item_id", plain(F.slice(words, 1, half)).alias("w"), plain(F.slice(words, half + 1, F.size(words))).alias("w2"))
     shape = F.element_at(F.array(*[F.lit(a) for a in ASKS]), (F.col("item_id") % len(ASKS) + 1).cast("int"))
-    return b.where("w is not null and w2 is not null").select(F.col("item_id").alias("query_id"), F.replace(F.replace(shape, F.lit("{w2}"), F.col("w2")), F.lit("{w}"), F.col("w")).alias("query"))
+    return b.select(F.col("item_id").alias("query_id"), F.replace(F.replace(shape, F.lit("{w2}"), F.col("w2")), F.lit("{w}"), F.col("w")).alias("query"))
 
 
 _SHAPES = "[" + ", ".join("'" + a.replace("'", "''") + "'" for a in ASKS) + "]"
+_PLAIN = r"lower(regexp_replace(array_to_string({}, ' '), '[^\p{{L}} ]', '', 'g'))"
 _Q = rf"""
-b as (select item_id, lower(regexp_replace(regexp_split_to_array(text, '\s+')[2], '[^\p{{L}}]', '', 'g')) as w, lower(regexp_replace(regexp_split_to_array(text, '\s+')[3], '[^\p{{L}}]', '', 'g')) as w2 from benchmark),
-q as (select item_id as query_id, replace(replace({_SHAPES}[item_id % {len(ASKS)} + 1], '{{w2}}', w2), '{{w}}', w) as query from b where w is not null and w2 is not null)
+a as (select item_id, regexp_split_to_array(coalesce(text, ''), '\s+') as ws from benchmark),
+b as (select item_id, {_PLAIN.format("ws[1:(len(ws) + 1) // 2]")} as w, {_PLAIN.format("ws[(len(ws) + 1) // 2 + 1:]")} as w2 from a),
+q as (select item_id as query_id, replace(replace({_SHAPES}[item_id % {len(ASKS)} + 1], '{{w2}}', w2), '{{w}}', w) as query from b)
 """
 
 
