@@ -6,7 +6,7 @@ Result lists are bounded by their top-k; the greedy rules (keep in rank order, d
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_shingles, content_hash, loose
@@ -32,28 +32,23 @@ def registry_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return n.agg(F.sum("c").alias("total_seen"), F.sum(F.col("c") - 1).alias("duplicates_skipped"), F.count("*").alias("unique_loaded"))
 
 
+def write_first_seen(docs: DataFrame, path: str, order: str = "doc_id", text: str = "text") -> dict[str, int]:
+    """Writes the first row of every content hash, and gives the statistics of registry_stats from the same job: they are observed as
+    the rows are written, and no row is read again for them."""
+    row = F.struct(*docs.columns)
+    h = spread(docs).groupBy(content_hash(F.coalesce(F.col(text), F.lit(""))).alias("content_hash")).agg(F.min_by(row, order).alias("row"), F.count("*").alias("c"))
+    seen = Observation()
+    counts = (F.sum("c").alias("total_seen"), F.sum(F.col("c") - 1).alias("duplicates_skipped"), F.count("*").alias("unique_loaded"))
+    h.observe(seen, *counts).select("content_hash", "row.*").write.parquet(path)
+    return {k: v or 0 for k, v in seen.get.items()}
+
+
 def exact_groups(ranked: DataFrame, content: str = "content") -> DataFrame:
     """Result rows with canonical_rank: the rank of the first result of the list with the same loose text."""
     w = Window.partitionBy("query_id", F.md5(loose(F.col(content))))
     return ranked.withColumn("canonical_rank", F.min("rank").over(w))
 
 
-def simhash(text: Column) -> Column:
-    """64 votes over the MD5 (low 64 bits) of the distinct 3-grams of the loose text; a tie is 0. As a signed long."""
-    grams = char_shingles(loose(text), 3)
-    halves = F.transform(grams, lambda g: F.struct(F.conv(F.substring(F.md5(g), 17, 8), 16, 10).cast("long").alias("hi"), F.conv(F.substring(F.md5(g), 25, 8), 16, 10).cast("long").alias("lo")))
-
-    def half(name: str, hs: Column) -> Column:
-        votes = [F.aggregate(hs, F.lit(0), lambda s, h, i=i: s + F.when(h[name].bitwiseAND(F.lit(1 << i)) != 0, 1).otherwise(-1)) for i in range(32)]
-        out = F.lit(0).cast("long")
-        for i, v in enumerate(votes):
-            out = out + F.when(v > 0, F.lit(1 << i)).otherwise(F.lit(0))
-        return out
-
-    hi = half("hi", halves)
-    return F.shiftleft(hi, 32).bitwiseOR(half("lo", halves))
-
-
 def simhash_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, hi, lo): the two 32-bit halves of each simhash, by exploding grams and summing votes, without deep expressions."""
     d = docs.select(key, loose(F.coalesce(F.col(text), F.lit(""))).alias("t"))

@@ -111,9 +111,31 @@ def source_json(spark, d):
 
 @query("source_markdown", "select item_id::varchar as title, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, 'markdown' as format from benchmark")
 def source_markdown(spark, d):
-    """Benchmark items as Markdown files with front matter, one a row."""
-    path = _new_path(spark, "md")
-    body = F.concat(F.lit("---\ntitle: "), F.col("item_id").cast("string"), F.lit("\n---\n"), F.trim(F.regexp_replace("text", r"\s+", " ")))
-    b = table(spark, d, "benchmark").select("item_id", body.alias("raw"))
-    meta, rest = L.front_matter(F.col("raw"))
-    return b.select(F.try_element_at(meta, F.lit("title")).alias("title"), F.trim(rest).alias("text"), F.lit("markdown").alias("format"))
+    """Benchmark items as Markdown files with front matter, a file a row, loaded from the files."""
+    head = F.concat(F.lit("---\ntitle: "), F.col("item_id").cast("string"), F.lit("\n---\n"))
+    path = _files(table(spark, d, "benchmark"), F.concat(head, F.trim(F.regexp_replace("text", r"\s+", " "))))
+    return L.load_markdown(spark, path, glob="part-*").select("title", "text", "format")
+
+
+@query("source_markdown_sections", r"""
+with t as (select item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from benchmark)
+select h as title, '# ' || h || chr(10) || t as text from (select 'First ' || item_id as h, t from t union all select 'Second ' || item_id, t from t)""")
+def source_markdown_sections(spark, d):
+    """Each text under two headings of a Markdown file, and a heading with too little below it; loaded by section."""
+    t, i = F.trim(F.regexp_replace("text", r"\s+", " ")), F.col("item_id").cast("string")
+    body = F.concat(F.lit("before\n# First "), i, F.lit("\n"), t, F.lit("\n\n## x\n\n# Second "), i, F.lit("\n"), t)
+    path = _files(table(spark, d, "benchmark"), body)
+    return L.load_markdown(spark, path, sections=True, min_chars=20, glob="part-*").select("title", "text")
+
+
+@query("source_text", "select text || chr(10) as text, 'text' as format from benchmark")
+def source_text(spark, d):
+    """Benchmark items as text files, a file a row."""
+    return L.load_text(spark, _files(table(spark, d, "benchmark"), F.col("text")), glob="part-*").select("text", "format")
+
+
+def _files(rows, text):
+    """A text file, in a folder of its own, for each row."""
+    path = _new_path(rows.sparkSession, "files")
+    rows.select(text.alias("value"), "item_id").write.partitionBy("item_id").text(path)
+    return path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -12,6 +14,8 @@ from ..operators import diversity as V
 from ..operators import graph as G
 from ..operators.embedding import hash_vector
 from ..operators.greedy import greedy_minhash, greedy_simhash
+from ..operators.graph_index import GraphIndex
+from ..operators.tables import shared_dir
 from .registry import query, table
 from .retrieval import asked, chunks, index
 
@@ -41,11 +45,21 @@ def dedup_first_seen(spark, d):
     return D.first_seen(table(spark, d, "documents")).select("doc_id", "content_hash")
 
 
-@query("dedup_stats", f"with h as (select content_hash, count(*) as c from ({_HASHED}) group by 1) select sum(c)::bigint as total_seen, sum(c - 1)::bigint as duplicates_skipped, count(*) as unique_loaded from h")
+_SEEN = f"with h as (select content_hash, count(*) as c from ({_HASHED}) group by 1) select sum(c)::bigint as total_seen, sum(c - 1)::bigint as duplicates_skipped, count(*) as unique_loaded from h"
+
+
+@query("dedup_stats", _SEEN)
 def dedup_stats(spark, d):
     return D.registry_stats(table(spark, d, "documents"))
 
 
+@query("dedup_observed", _SEEN)
+def dedup_observed(spark, d):
+    """The statistics, observed in the job that writes the first documents."""
+    path = f"{shared_dir(spark)}/lodestream/{uuid.uuid4().hex}"
+    return spark.createDataFrame([D.write_first_seen(table(spark, d, "documents"), path)], "total_seen long, duplicates_skipped long, unique_loaded long")
+
+
 @query("dedup_is_duplicate", f"select doc_id from ({_HASHED}) where content_hash in (select content_hash from ({_HASHED}) where source = 'src0')")
 def dedup_is_duplicate(spark, d):
     docs = table(spark, d, "documents")
@@ -244,17 +258,41 @@ _WORD = r"regexp_extract_all({0}, '[\p{L}\p{M}\p{N}\p{Pc}]+')"
 _MEASURE = r"\d+(?:\.\d+)?\s*(?:dimensions?|layers?|heads?|tokens?|bytes?|ms|seconds?)"
 
 
-@query("graph_entities", rf"""
+_ENTITIES = rf"""
 with w as (select doc_id, unnest({_WORD.replace('{0}', 'text')}) as name from documents),
 t as (select doc_id, lower(name) as key, 0 as pass from w where lower(name) in ({','.join(f"'{x}'" for x in G.TERMS)})),
 a as (select doc_id, lower(name) as key, 1 as pass from w where regexp_full_match(name, '[A-Z]{{2,8}}s?')),
 m as (select doc_id, lower(unnest(regexp_extract_all(text, '(?i)\b({_MEASURE})\b', 1))) as key, 3 as pass from documents),
 u as (select doc_id, key, min(pass) as pass from (select * from t union all select * from a union all select * from m) group by all)
-select key, case arg_min(pass, doc_id) when 0 then 'TECHNOLOGY' when 1 then 'ACRONYM' else 'MEASURE' end as type, count(*)::int as docs from u group by key""")
+select key, case arg_min(pass, doc_id) when 0 then 'TECHNOLOGY' when 1 then 'ACRONYM' else 'MEASURE' end as type, count(*)::int as docs from u group by key"""
+
+
+@query("graph_entities", _ENTITIES)
 def graph_entities(spark, d):
     return G.entities(G.mentions(table(spark, d, "documents"))).select("key", "type", F.size("doc_ids").alias("docs"))
 
 
+@query("graph_incremental", _ENTITIES.replace("count(*)::int as docs", "count(*) as docs"))
+def graph_incremental(spark, d):
+    """The documents indexed by language, one batch after another; one of the batches twice, as after a failure."""
+    g, docs = GraphIndex(spark, f"{shared_dir(spark)}/lodestream/graph-{uuid.uuid4().hex}"), table(spark, d, "documents")
+    first = F.coalesce(F.col("lang").isin("en", "de"), F.lit(False))
+    for batch, rows in ((0, docs.where(first)), (1, docs.where(~first)), (1, docs.where(~first))):
+        g.index(rows, batch)
+    return g.entities().select("key", "type", F.col("documents").alias("docs"))
+
+
+@query("graph_alias_lookup", f"select 'That ' || key as asked, key, docs from ({_ENTITIES.replace('count(*)::int as docs', 'count(*) as docs')})")
+def graph_alias_lookup(spark, d):
+    """Every entity of the documents, looked up by an alias of its alias."""
+    g = GraphIndex(spark, f"{shared_dir(spark)}/lodestream/graph-{uuid.uuid4().hex}")
+    g.index(table(spark, d, "documents"), 0)
+    key = g.entities().select("key")
+    the = F.concat(F.lit("the "), "key")
+    g.add_aliases(key.select(the.alias("alias"), F.col("key").alias("name")).union(key.select(F.concat(F.lit("that "), "key"), the)), 0)
+    return g.lookup(key.select(F.concat(F.lit("That "), "key").alias("name"))).select("asked", "key", F.col("documents").alias("docs"))
+
+
 # sentences that state where nations lie and what they trade, so that every pattern has something to find
 STATED = ("{n} is a {r}", "{n} is part of {r}", "{n} uses {r}", "{n} extends {r}", "{n} is built on {r}", "{n} is developed by {r}", "{n} integrates with {r}", "{n} and {r} are related")
 
@@ -280,10 +318,6 @@ def graph_stated_relations(spark, d):
 @query("graph_persisted", "select lower(n_name) as key, 'PART_OF' as predicate, r_name as obj from nation join region on n_regionkey = r_regionkey where lower(n_name) in ('nation_3', 'nation_4')")
 def graph_persisted(spark, d):
     """Saved as JSON lines, loaded, and two entities looked up with their relations."""
-    import uuid
-
-    from ..operators.tables import shared_dir
-
     rel = _nations(spark, d)
     ent = rel.select(F.lower("subject").alias("key"), F.col("subject").alias("name"), F.lit("NATION").alias("type"), "doc_ids")
     path = f"{shared_dir(spark)}/lodestream/graph-{uuid.uuid4().hex}"

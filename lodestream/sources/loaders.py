@@ -139,24 +139,29 @@ def front_matter(text: Column) -> tuple[Column, Column]:
     return F.map_from_entries(pairs), F.regexp_replace(text, r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\z)", "")
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at both ends."""
+    return F.btrim(text, F.lit(" \t\n\r\f\x0b"))
+
+
 def markdown_sections(body: Column, min_chars: int = 50) -> Column:
     """Spans from one ATX heading to the next as (section_index, heading, content); short ones go but keep their number; what stands
     before the first heading goes; without any section left the body is one."""
     parts = F.filter(F.split(body, r"(?m)(?=^#{1,6}[ \t]+)"), lambda p: p.rlike(r"\A#{1,6}[ \t]+"))
-    made = F.transform(parts, lambda p, i: F.struct(i.alias("section_index"), F.trim(F.regexp_extract(p, r"\A#{1,6}[ \t]+([^\n]*)", 1)).alias("heading"), F.trim(p).alias("content")))
+    made = F.transform(parts, lambda p, i: F.struct(i.alias("section_index"), F.trim(F.regexp_extract(p, r"\A#{1,6}[ \t]+([^\n]*)", 1)).alias("heading"), stripped(p).alias("content")))
     kept = F.filter(made, lambda s: F.length(s["content"]) >= min_chars)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.struct(F.lit(0).alias("section_index"), F.lit("").alias("heading"), F.trim(body).alias("content"))))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.struct(F.lit(0).alias("section_index"), F.lit("").alias("heading"), stripped(body).alias("content"))))
 
 
-def load_markdown(spark: SparkSession, path: str, sections: bool = False, images: bool = True, min_chars: int = 50) -> DataFrame:
-    d = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
+def load_markdown(spark: SparkSession, path: str, sections: bool = False, images: bool = True, min_chars: int = 50, glob: str = "*.md") -> DataFrame:
+    d = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
     meta, body = front_matter(F.col("raw"))
     d = d.select("file", meta.alias("meta"), body.alias("body"))
     if not images:
         d = d.withColumn("body", F.regexp_replace("body", r"!\[[^\]]*\]\([^)]*\)", ""))
     title = F.coalesce(F.try_element_at("meta", F.lit("title")), stem(F.col("file")))
     if not sections:
-        return documents(d, F.trim("body"), F.col("file"), title, "markdown", F.col("meta"))
+        return documents(d, stripped(F.col("body")), F.col("file"), title, "markdown", F.col("meta"))
     d = d.withColumn("s", F.explode(markdown_sections(F.col("body"), min_chars)))
     return documents(d, F.col("s.content"), F.concat("file", F.lit("#"), F.col("s.section_index").cast("string")), F.when(F.col("s.heading") == "", title).otherwise(F.col("s.heading")), "markdown", F.col("meta"))
 
