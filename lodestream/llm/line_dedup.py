@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, place_number, text_place
 
-APPENDED = 64  # words of a line whose keys are put together one by one
+APPENDED = 4096  # words of a line whose keys are put together one by one: copying so few costs less than the passes
 _BREAK = r"[\x20\x09-\x0D]+"
 
 
@@ -102,15 +102,21 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     found = checkpoint(found.dropDuplicates(["doc", "pos"]))
 
     # their deletion neighbourhoods
-    v = found.select("doc", "pos", "kinds", F.size("w").alias("n"), whole_key(F.col("w")).alias("whole"), deletions(F.col("w")).alias("v"))
+    # place 0 stands for the whole line, place i for the line without its word i - 1
+    variants = F.concat(F.array(whole_key(F.col("w"))), deletions(F.col("w")))
+    each = found.select("doc", "pos", "kinds", F.size("w").alias("n"), F.posexplode(variants).alias("place", "v")).withColumn("i", F.col("place") - 1)
     h0, h1 = F.expr("n div 2"), F.expr("(n - 1) div 2")
     has = lambda bit: F.col("kinds").bitwiseAND(F.lit(1 << bit)) != 0
-    each = v.select("doc", "pos", "kinds", "n", F.posexplode("v").alias("i", "v"))
-    swap = each.where((has(0) & (F.col("i") >= h0)) | (has(1) & (F.col("i") < h0))).select("doc", "pos", F.xxhash64(F.lit("swap"), "n", "i", "v").alias("key"))
-    cut = each.where((has(2) & (F.col("i") >= h1)) | (has(3) & (F.col("i") <= h1))).select("doc", "pos", F.xxhash64(F.lit("cut"), F.col("n") - 1, "v").alias("key"))
-    short = v.where(has(0) | has(1)).select("doc", "pos", F.xxhash64(F.lit("cut"), "n", "whole").alias("key"), F.lit(True).alias("whole"))
+    swapped = (F.col("i") >= 0) & ((has(0) & (F.col("i") >= h0)) | (has(1) & (F.col("i") < h0)))
+    longer = (F.col("i") >= 0) & ((has(2) & (F.col("i") >= h1)) | (has(3) & (F.col("i") <= h1)))
+    shorter = (F.col("i") < 0) & (has(0) | has(1))
     # replacements: the earliest of a key; insertions: the earliest whole line of a key for its longer lines, and the other way round
-    rows = swap.withColumn("side", F.lit(0)).union(cut.withColumn("side", F.lit(1))).union(short.select("doc", "pos", "key", F.lit(2).alias("side")))
+    swap = F.struct(F.lit(0).alias("side"), F.when(swapped, F.xxhash64(F.lit("swap"), "n", "i", "v")).alias("key"))
+    cut = F.struct(
+        F.when(longer, F.lit(1)).otherwise(F.lit(2)).alias("side"),
+        F.when(longer | shorter, F.xxhash64(F.lit("cut"), F.when(longer, F.col("n") - 1).otherwise(F.col("n")), "v")).alias("key"),
+    )
+    rows = checkpoint(each.select("doc", "pos", F.inline(F.array(swap, cut))).where("key is not null"))
     at = F.struct("doc", "pos")
     mins = rows.groupBy("key").agg(F.min(F.when(F.col("side") == 0, at)).alias("m0"), F.min(F.when(F.col("side") == 1, at)).alias("m1"), F.min(F.when(F.col("side") == 2, at)).alias("m2"), F.count("*").alias("c")).where("c > 1")
     met = rows.join(mins, "key").withColumn("other", F.when(F.col("side") == 0, F.col("m0")).when(F.col("side") == 1, F.col("m2")).otherwise(F.col("m1")))
