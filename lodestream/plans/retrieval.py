@@ -25,10 +25,10 @@ _BUILT: dict[tuple, B.Index] = {}
 
 
 def index(spark, d) -> B.Index:
-    """The text index of the documents: built once a session and table, as long as the table's files stay as they are."""
-    meta = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_modification_time")
-    state = meta.agg(F.max("file_modification_time"), F.count("*"), F.approx_count_distinct("file_path")).collect()[0]  # one row
-    key = (spark.sparkContext.applicationId, d, *state)
+    """The text index of the documents: built once a session and table, as long as the table has the same files of the same age."""
+    docs = table(spark, d, "documents")
+    newest, n = docs.select("_metadata.file_modification_time").agg(F.max("file_modification_time"), F.count("*")).collect()[0]  # one row
+    key = (spark.sparkContext.applicationId, d, newest, n, *sorted(docs.inputFiles()))
     if key not in _BUILT:
         _BUILT[key] = B.Index.build(chunks(spark, d))
     return _BUILT[key]

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import store as S
+from ..operators.metadata import FieldFilter, as_variant, passing
 from ..operators.tables import shared_dir
 from ..sources import loaders as L
 from .registry import query, table
@@ -92,6 +93,16 @@ def store_persisted(spark, d):
     return S.load(spark, path).select("chunk_id", "namespace", F.size("embedding").alias("dimensions"), "label")
 
 
+@query("metadata_filtered", """
+with k as (select event_id, event_type, (props->>'k')::bigint as k from events)
+select event_id, k from k where k > 40 and k not in (50, 60) and k <> 45 and event_type <> 'view'""")
+def metadata_filtered(spark, d):
+    """Events by what their free-form properties hold."""
+    e = table(spark, d, "events").select("event_id", "event_type", "props")
+    keep = [FieldFilter("k", "gt", 40), FieldFilter("k", "not_in", [50, 60]), FieldFilter("k", "neq", 45)]
+    return passing(as_variant(e.where("event_type <> 'view'"), "props"), keep).select("event_id", F.expr("variant_get(metadata, '$.k', 'bigint')").alias("k"))
+
+
 @query("source_csv", "select 'c_custkey: ' || c_custkey || ' | c_name: ' || c_name || ' | c_mktsegment: ' || c_mktsegment as text, c_name as title, 'csv' as format from customer")
 def source_csv(spark, d):
     """Customers as CSV files with a header, loaded as documents."""

@@ -15,6 +15,7 @@ from ..operators import graph as G
 from ..operators.embedding import hash_vector
 from ..operators.greedy import greedy_minhash, greedy_simhash
 from ..operators.graph_index import GraphIndex
+from ..operators.table_functions import register
 from ..operators.tables import shared_dir
 from .registry import query, table
 from .retrieval import asked, chunks, index
@@ -176,6 +177,15 @@ def chunk_recursive(spark, d):
     return C.recursive_chunks(table(spark, d, "documents"))
 
 
+@query("chunk_table_function")
+def chunk_table_function(spark, d):
+    """The recursive chunks through SQL's table function."""
+    register(spark)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    rows = spark.sql("select * from chunk_table(table(select * from {docs}), size => 512, overlap => 50)", docs=docs)
+    return rows.select(F.concat_ws("#", F.col("document_id").cast("string"), F.col("index").cast("string")).alias("chunk_id"), *rows.columns)
+
+
 @query("chunk_sentence")
 def chunk_sentence(spark, d):
     return C.sentence_chunks(table(spark, d, "documents"))

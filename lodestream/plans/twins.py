@@ -306,3 +306,5 @@ n as (select query_id, key, node, min(hops) as hops from (select *, 1 as hops fr
 r as (select query_id, ent.name as name, min(hops) as hops from n join ent on ent.key = n.node group by query_id, ent.name),
 t as (select *, row_number() over (partition by query_id order by hops, name) as place from r qualify place <= 10)
 select item_id as query_id, coalesce(string_agg(name, ',' order by place), '') as graph_entities, any_value(text) || coalesce(' ' || string_agg(name, ' ' order by place), '') as expanded from asks left join t on t.query_id = item_id group by item_id""")
+
+twin("chunk_table_function", ORACLE["chunk_recursive"])
