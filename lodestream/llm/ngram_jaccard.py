@@ -10,10 +10,11 @@ share a band.
 Exactness does not depend on which shingles come first, so shingles that batches find frequent are dealt to the last parts: a
 passage that a third of all documents carry then yields no key unless a document is made of little else.
 
-Copies (equal sets) are one class and only classes are joined. In each key the smallest class is first verified against all others
-(a star), which joins most members of a large group of near copies; then every pair of one key that the stars have left in different
-components, and whose sizes and sketches allow the similarity, is verified. So no link between components is lost, and no group of
-near copies is expanded into all its pairs.
+Copies (equal sets) are one class and only classes are joined. In each key one class is first verified against all others (a star): the
+one that meets most others in all its keys, which is the middle of a group of near copies and reaches most of it. Then every pair of one
+key that the stars have left in different components, and whose sizes and sketches allow the similarity, is verified; of keys with the
+same sets left, one is enough. Sketches grow with the sets, so that they tell long texts apart that share passages only. So no link
+between components is lost, and no group of near copies is expanded into all its pairs.
 
 Defined results: null, empty or blank text has an empty set, links with nothing and is its own component. A text of fewer words than
 the shingle length has its whole sequence as one shingle. Equal texts are one class. Extra columns are ignored; an empty table gives
@@ -28,7 +29,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BITMAP, Texts, bitmap, checkpoint, mix64, signed, small_batches
@@ -82,24 +83,19 @@ def sketches(g: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(len(off) - 1, bits), axis=1, bitorder="little").view(np.int64)
 
 
-def long_sketches(g: np.ndarray, off: np.ndarray) -> list[bytes]:
-    """Parity sketches of at least a bit a shingle; a power of two times 64 bits, so that a longer one folds onto a shorter by XOR."""
+def long_sketches(g: np.ndarray, off: np.ndarray) -> list[np.ndarray | None]:
+    """Parity sketches of at least a bit a shingle, as 64-bit words, of sets for which the short ones have less; a power of two of words,
+    so that a longer one folds onto a shorter by XOR."""
     h, out = mix64(g ^ np.uint64(0x7FB5D329728EA185)), []
     for a, b in zip(off[:-1], off[1:]):
-        bits = 64
+        bits = 64 * SKETCH_WORDS
         while bits < b - a:
             bits *= 2
-        out.append(np.packbits((np.bincount((h[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes())
+        odd = np.bincount((h[a:b] & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 if bits > 64 * SKETCH_WORDS else None
+        out.append(None if odd is None else np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
     return out
 
 
-def sketch_distance(x: bytes, y: bytes) -> int:
-    """Hamming distance of two long sketches: at most the size of the sets' symmetric difference."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    n = min(len(a), len(b))
-    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, n), 0) ^ np.bitwise_xor.reduce(b.reshape(-1, n), 0)).sum())
-
-
 def emitted(g: np.ndarray, hot: np.ndarray, threshold: Fraction) -> np.ndarray:
     """The keys of one set: those of its first d + 1 parts that hold anything, in each band that it belongs to."""
     n = len(g)
@@ -128,12 +124,26 @@ def emitted(g: np.ndarray, hot: np.ndarray, threshold: Fraction) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _similar(threshold: Fraction):
-    """Column: whether sizes and sketches of x and y allow the similarity."""
+def _long_distance(x: Column, y: Column) -> Column:
+    """Hamming distance of two long sketches, at most the size of the sets' symmetric difference; null where a set has none."""
+    def fold(v: Column, w: Column) -> Column:
+        """v of the length of w, where it is longer."""
+        n = F.size(w)
+        parts = F.transform(F.sequence(F.lit(0), F.size(v) - n, n), lambda i: F.slice(v, i + 1, n))
+        folded = F.aggregate(parts, F.array_repeat(F.lit(0).cast("long"), n), lambda a, b: F.zip_with(a, b, lambda s, t: s.bitwiseXOR(t)))
+        return F.when(F.size(v) > n, folded).otherwise(v)
+
+    bits = F.zip_with(fold(x, y), fold(y, x), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(bits, F.lit(0), lambda a, b: a + b))
+
+
+def _similar(threshold: Fraction) -> Column:
+    """Whether sizes and sketches of x and y allow the similarity."""
     p, q = threshold.numerator, threshold.denominator
     sizes = (F.least("x.n", "y.n") * q >= F.greatest("x.n", "y.n") * p)
+    most = (F.col("x.n") + F.col("y.n")) * (q - p)
     distance = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
-    return sizes & (distance * (q + p) <= (F.col("x.n") + F.col("y.n")) * (q - p))
+    return sizes & (distance * (q + p) <= most) & F.coalesce(_long_distance(F.col("x.sk"), F.col("y.sk")) * (q + p) <= most, F.lit(True))
 
 
 def ngram_jaccard_join(
@@ -154,7 +164,7 @@ def ngram_jaccard_join(
             s1, s2 = set_ids(g, off)
             sk = sketches(g, off)
             n = b.num_rows
-            cols = {"doc_id": b.column(0), "n": np.diff(off).astype(np.int64), "sid": s1, "sid2": s2} | {f"s{i}": sk[:, i] for i in range(SKETCH_WORDS)} | {"sk": pa.array(long_sketches(g, off), pa.binary())}
+            cols = {"doc_id": b.column(0), "n": np.diff(off).astype(np.int64), "sid": s1, "sid2": s2} | {f"s{i}": sk[:, i] for i in range(SKETCH_WORDS)} | {"sk": pa.array(long_sketches(g, off), pa.list_(pa.int64()))}
             yield pa.RecordBatch.from_pydict({c: v if isinstance(v, pa.Array) else pa.array(np.ascontiguousarray(v)) for c, v in cols.items()})
             # shingles that many of a batch's distinct sets share: same schema, doc_id null
             _, first = np.unique(s1, return_index=True)
@@ -163,10 +173,10 @@ def ngram_jaccard_join(
             often = c >= max(4, HOT_SHARE * n)
             if often.any():
                 zero = np.zeros(int(often.sum()), np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(zero), pa.int64()), "n": pa.array(c[often].astype(np.int64)), "sid": pa.array(signed(v[often])), "sid2": pa.array(zero)} | {f"s{i}": pa.array(zero) for i in range(SKETCH_WORDS)} | {"sk": pa.nulls(len(zero), pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(len(zero), pa.int64()), "n": pa.array(c[often].astype(np.int64)), "sid": pa.array(signed(v[often])), "sid2": pa.array(zero)} | {f"s{i}": pa.array(zero) for i in range(SKETCH_WORDS)} | {"sk": pa.nulls(len(zero), pa.list_(pa.int64()))})
 
     sk_cols = [f"s{i}" for i in range(SKETCH_WORDS)]
-    seen = checkpoint(src.mapInArrow(profile, "doc_id long, n long, sid long, sid2 long, " + ", ".join(f"{c} long" for c in sk_cols) + ", sk binary"))
+    seen = checkpoint(src.mapInArrow(profile, "doc_id long, n long, sid long, sid2 long, " + ", ".join(f"{c} long" for c in sk_cols) + ", sk array<long>"))
     profiles = seen.where("doc_id is not null")
     counts = seen.where("doc_id is null").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(HOT_SHINGLES)
     hot = spark.sparkContext.broadcast(np.sort(np.array([r.sid for r in counts.select("sid").collect()], np.int64).view(np.uint64)))
@@ -194,38 +204,31 @@ def ngram_jaccard_join(
     needed = classes.join(shared.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("rep").alias("rep"))
     bare = checkpoint(full.select(F.col("doc_id").alias("rep"), "n", *sk_cols, "sk").join(needed, "rep").dropDuplicates(["rep"]))
     shared = shared.distinct()
-
-    lead = shared.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
-    shared = checkpoint(shared.join(lead.select("key", "lo"), "key"))
-    star = shared.where("sid <> lo").select(F.col("lo").alias("p"), F.col("sid").alias("q")).distinct()
-
-    p, q = threshold.numerator, threshold.denominator
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y, n = b.column(2), b.column(3), b.column(4).to_numpy()
-            keep = pa.array([sketch_distance(x[i].as_py(), y[i].as_py()) * (q + p) <= int(n[i]) * (q - p) for i in range(b.num_rows)], pa.bool_())
-            yield b.select([0, 1]).filter(keep)
-
-    def allowed(pairs: DataFrame) -> DataFrame:
-        """Pairs of sets as pairs (a, b) of class ids, without those that sizes or sketches rule out."""
-        x, y = bare.alias("x"), bare.alias("y")
-        j = pairs.join(x, F.col("p") == F.col("x.sid")).join(y, (F.col("q") == F.col("y.sid")) & _similar(threshold))
-        j = j.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"), F.col("x.sk").alias("x"), F.col("y.sk").alias("y"), (F.col("x.n") + F.col("y.n")).alias("n"))
-        return j.mapInArrow(near, "a long, b long")
-
-    star = checkpoint(allowed(star))
+    crowd = shared.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = checkpoint(shared.join(crowd, "key"))
+    # how many others a set meets, over all its keys; the low bits break ties
+    met = shared.groupBy("sid").agg(F.sum("c").alias("w")).select("sid", F.shiftleft("w", 16).bitwiseOR(F.col("sid").bitwiseAND(F.lit(0xFFFF))).alias("w"))
+    shared = shared.drop("c").join(met, "sid")
+    lead = shared.groupBy("key").agg(F.max_by("sid", "w").alias("lo"))
+    shared = checkpoint(shared.join(lead, "key").where("sid <> lo").select("key", "sid", "lo"))
+    star = shared.select(F.col("lo").alias("p"), F.col("sid").alias("q")).distinct()
+
+    x, y = bare.alias("x"), bare.alias("y")
+    star = star.join(x, F.col("p") == F.col("x.sid")).join(y, (F.col("q") == F.col("y.sid")) & _similar(threshold))
+    star = checkpoint(star.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
     links = verified(src, star, k, threshold)
     comp = components(links)
 
     # what the stars have left apart: the leader has met all others of its key
-    of = bare.drop("sk").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    at = shared.where("sid <> lo").join(of, "sid")
-    mixed = at.groupBy("key").agg(F.min("component").alias("u"), F.max("component").alias("v")).where("u < v").select("key")
-    at = checkpoint(at.join(mixed, "key", "left_semi").select("key", "sid", "component", "n", *sk_cols))
-    pairs = at.alias("x").join(at.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _similar(threshold))
-    rest = pairs.select(F.col("x.sid").alias("p"), F.col("y.sid").alias("q")).distinct()
-    rest = checkpoint(allowed(rest).join(star, ["a", "b"], "left_anti"))
+    of = checkpoint(bare.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    left = shared.select("key", "sid").join(of.select("sid", "component"), "sid")
+    told = [F.min("component").alias("u"), F.max("component").alias("v"), F.count("*").alias("c"), F.bit_xor("sid").alias("s"), F.bit_xor(F.xxhash64("sid")).alias("t")]
+    one = left.groupBy("key").agg(*told).where("u < v").groupBy("c", "s", "t").agg(F.min("key").alias("key")).select("key")
+    at = checkpoint(shared.select("key", "sid").join(one, "key", "left_semi").join(of, "sid"))
+    x, y = at.alias("x"), at.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.component") != F.col("y.component")) & _similar(threshold))
+    rest = pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    rest = checkpoint(rest.join(star, ["a", "b"], "left_anti"))
     more = verified(src, rest, k, threshold)
     links = links.union(more)
     comp = components(comp.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more))
