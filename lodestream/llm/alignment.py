@@ -29,12 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BORDER, KEPT_LETTERS, KEPT_WORDS, STRETCH, Encoder, Vocabulary, encoder
+from .bpe import BORDER, KEPT_LETTERS, KEPT_WORDS, STRETCH, Encoder, Vocabulary
 from .common import checkpoint, small_batches
 from .sentencepiece_lattice import Cutter, Model, blocks, from_planes, one_row, planes
 
 BLOCK_BYTES = 8 << 20  # of the texts that are one row; a single longer text is a block of its own
 PAIR = 1 << 32
+SCANNED = 32  # bytes of a short word
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,6 +58,41 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+class Scanned(Encoder):
+    """Side A's encoder. The few pairs of a short word are scanned for their least rank, leftmost first, which is what the queue of longer
+    words gives."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__(vocabulary)
+        byte, self.none = vocabulary.byte, len(vocabulary.made)
+        self.first = [vocabulary.rank.get(byte[a] << 32 | byte[b], self.none) for a in range(256) for b in range(256)]  # rank of two bytes
+
+    def scanned(self, word: bytes) -> list[int]:
+        """The ids of one word."""
+        byte, made, first, none, get = self.v.byte, self.v.made, self.first, self.none, self.v.rank.get
+        ids = [byte[c] for c in word]
+        rank = [first[a << 8 | b] for a, b in zip(word, word[1:])]
+        while rank and (r := min(rank)) != none:
+            i = rank.index(r)
+            new = ids[i] = made[r]
+            del ids[i + 1], rank[i]
+            if i < len(rank):
+                rank[i] = get(new << 32 | ids[i + 1], none)
+            if i:
+                rank[i - 1] = get(ids[i - 1] << 32 | new, none)
+        return ids
+
+    def __missing__(self, word: str) -> bytes:
+        raw = word.encode()
+        if len(raw) > SCANNED:
+            return super().__missing__(word)
+        ids = array("i", self.scanned(raw)).tobytes()
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 @dataclass
 class Aligned:
     """Stretches of one or more documents: link_a, link_b (places of linked tokens) and the component of each token."""
@@ -114,7 +150,7 @@ class Sides:
     """Both tokenizers in a worker, with the lengths of their tokens."""
 
     def __init__(self, a: str, b: bytes) -> None:
-        self.a: Encoder = encoder(a)
+        self.a = Scanned(Vocabulary(a))
         self.b = Pieces(b)
         self.len_a = np.array([len(self.a.v.raw.get(i, b"")) for i in range(max(self.a.v.raw) + 1)])
         self.len_b = np.array([len(x) for x in self.b.raw])

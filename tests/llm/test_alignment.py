@@ -127,6 +127,19 @@ def test_components_and_align():
     assert (components(1000, chain[::-1].copy(), chain[::-1] + np.int32(1)) == 0).all()
 
 
+def test_scanned_words_equal_the_queue():
+    from lodestream.llm.alignment import SCANNED, Scanned
+    from lodestream.llm.bpe import Vocabulary, merged
+
+    with open(BYTES, encoding="utf-8") as f:
+        v = Vocabulary(f.read())
+    enc, r = Scanned(v), random.Random(6)
+    words = [b"", b"a", b" the", b"aaaaaaaaaaaaaaaa", *(bytes(r.randrange(256) for _ in range(r.randrange(1, SCANNED + 1))) for _ in range(500))]
+    words += ["".join(r.choice(" aehinorst'é日") for _ in range(r.randrange(1, 11))).encode() for _ in range(5000)]
+    for w in words:
+        assert enc.scanned(w) == merged(w, v.byte, v.rank, v.made)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if len(r.text) < 3000]
