@@ -6,7 +6,7 @@ of neighbouring tokens with common ends on both sides. Members of a component ex
 how many documents it holds an id pair linked, and the blocks' pairs are counted over the corpus.
 
 A block is one row: its documents' ids, packed, and its distinct pairs. The counts of its pairs come back to it by two equi-joins, on the
-pair and on the block, in which a pair has one row a block at most. Nothing is told to all tasks but the two vocabularies.
+pair and on the block, in which a pair has one row a block at most. The blocks' table is bucketed by block, so the tokens are never shuffled. Nothing is told to all tasks but the two vocabularies.
 
 Side A is a byte-level BPE vocabulary, side B a SentencePiece model that puts a space before the text; in both, special tokens in a text
 are ordinary text. Long texts are cut into stretches between a letter and a space before a letter, where neither tokenizer has a token
@@ -29,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BORDER, KEPT_LETTERS, KEPT_WORDS, STRETCH, Encoder, Vocabulary
-from .common import checkpoint, small_batches
-from .sentencepiece_lattice import Cutter, Model, blocks, from_planes, one_row, planes
+from .bpe import BORDER, KEPT_LETTERS, STRETCH, Encoder, Vocabulary, merged
+from .common import bucketed, checkpoint, give_back, small_batches
+from .sentencepiece_lattice import MARK, Cutter, Model, blocks, from_planes, one_row, planes
 
 BLOCK_BYTES = 8 << 20  # of the texts that are one row; a single longer text is a block of its own
 PAIR = 1 << 32
 SCANNED = 32  # bytes of a short word
+RECENT_WORDS = 1 << 17  # words of a generation; a worker keeps two on each side
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -58,7 +59,21 @@ def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-class Scanned(Encoder):
+class Recent(dict):
+    """Ids of words in two generations: when the younger is full it becomes the older one, and words that are met again move on. Frequent
+    words stay, and rare ones, which are most, take no more than a bounded place."""
+
+    old: dict[str, bytes] = {}  # never changed, only replaced
+
+    def keep(self, word: str, ids: bytes) -> bytes:
+        if len(self) >= RECENT_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+class Scanned(Recent, Encoder):
     """Side A's encoder. The few pairs of a short word are scanned for their least rank, leftmost first, which is what the queue of longer
     words gives."""
 
@@ -83,14 +98,11 @@ class Scanned(Encoder):
         return ids
 
     def __missing__(self, word: str) -> bytes:
+        if (ids := self.old.get(word)) is not None:
+            return self.keep(word, ids)
         raw = word.encode()
-        if len(raw) > SCANNED:
-            return super().__missing__(word)
-        ids = array("i", self.scanned(raw)).tobytes()
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+        ids = array("i", self.scanned(raw) if len(raw) <= SCANNED else merged(raw, self.v.byte, self.v.rank, self.v.made)).tobytes()
+        return self.keep(word, ids) if len(word) <= KEPT_LETTERS else ids
 
 
 @dataclass
@@ -103,19 +115,25 @@ class Aligned:
     of_b: np.ndarray
 
 
-def align(len_a: np.ndarray, len_b: np.ndarray) -> Aligned:
-    """len_a, len_b: bytes of the tokens of two cuts of the same bytes."""
+def links(len_a: np.ndarray, len_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked tokens. len_a, len_b: bytes of the tokens of two cuts of the same bytes."""
     end_a, end_b = np.cumsum(len_a), np.cumsum(len_b)
     first = np.searchsorted(end_b, end_a - len_a, "right")  # the token of B that holds the first byte of each of A
     last = np.searchsorted(end_b, end_a, "left")
     times = last - first + 1
     link_a = np.repeat(np.arange(len(len_a), dtype=np.int32), times)
     link_b = (np.arange(len(link_a)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(first, times)).astype(np.int32)
+    return link_a, link_b
+
+
+def align(len_a: np.ndarray, len_b: np.ndarray) -> Aligned:
+    """The links with their components."""
+    link_a, link_b = links(len_a, len_b)
     root = components(len(len_a) + len(len_b), link_a, link_b + np.int32(len(len_a)))
     return Aligned(link_a, link_b, root[: len(len_a)], root[len(len_a) :])
 
 
-class Pieces(dict):
+class Pieces(Recent):
     """Ids of side B, packed, of what stands between two spaces; a bounded number is kept. No piece crosses from a character to a word
     mark, so words are encoded one by one."""
 
@@ -128,16 +146,25 @@ class Pieces(dict):
         self.odd = False
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.model.encode(word)
+        if (out := self.old.get(word)) is not None:
+            return self.keep(word, out)
+        return self.spelt(word, self.model.encode(word))
+
+    def spelt(self, word: str, ids: list[int]) -> bytes:
+        """The ids, packed; kept if they spell out the word."""
         out = array("i", ids).tobytes()
         if b"".join([self.raw[i] for i in ids]) != (" " + word).encode():
             self.odd = True
         elif len(word) <= KEPT_LETTERS:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = out
+            self.keep(word, out)
         return out
 
+    def prepare(self, texts: list[str]) -> None:
+        """Encodes the words of the texts that are not kept, all in one call: most of a call's time is its own."""
+        new = list({w for t in texts for w in t.split(" ") if len(w) <= KEPT_LETTERS and w not in self and w not in self.old and MARK not in w})
+        for word, ids in zip(new, self.model.encode(new, num_threads=1)):
+            self.spelt(word, ids)
+
     def encode(self, text: str) -> bytes | None:
         """None where the ids do not spell out a space and the text."""
         self.odd = False
@@ -205,11 +232,21 @@ def stretches(n_a: np.ndarray, n_b: np.ndarray, most: int) -> Iterator[tuple[int
         at = to
 
 
-TOKENS = 1 << 19  # of the documents that are aligned at once; a longer document is aligned by itself
+PREPARED = 200  # texts whose new words are looked up at once
+TOKENS = 1 << 17  # of the documents that are aligned at once; a longer document is aligned by itself
+
+
+def linked_pairs(s: Sides, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For ranges of documents: first document, last, the pair code of each link and its document."""
+    off_a, off_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
+    for lo, hi in stretches(n_a, n_b, TOKENS):
+        a, b = ids_a[off_a[lo] : off_a[hi]], ids_b[off_b[lo] : off_b[hi]]
+        link_a, link_b = links(s.len_a[a], s.len_b[b])
+        yield lo, hi, a[link_a].astype(np.int64) * PAIR + b[link_b], np.repeat(np.arange(lo, hi, dtype=np.int32), n_a[lo:hi])[link_a]
 
 
-def linked_pairs(s: Sides, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[int, int, int, int, Aligned, np.ndarray, np.ndarray]]:
-    """For ranges of documents: first document, last, first tokens, the alignment, the pair code of each link and its document."""
+def aligned_pairs(s: Sides, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[int, int, int, int, Aligned, np.ndarray, np.ndarray]]:
+    """As linked_pairs, with the first tokens of both sides and the alignment after the documents."""
     off_a, off_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
     for lo, hi in stretches(n_a, n_b, TOKENS):
         a, b = ids_a[off_a[lo] : off_a[hi]], ids_b[off_b[lo] : off_b[hi]]
@@ -237,12 +274,16 @@ def cross_tokenizer_alignment(docs: DataFrame, vocabulary_file: str, model_file:
         s = sides(*told.value)
         for k, block in enumerate(blocks(batches, 1, BLOCK_BYTES)):
             none = (np.zeros(0, np.int32),) * 2
-            ids = [s.encode(t.as_py() or "") or none for t in block.column(1)]
+            ids = []
+            for at in range(0, block.num_rows, PREPARED):
+                texts = [t or "" for t in block.column(1).slice(at, PREPARED).to_pylist()]
+                s.b.prepare(texts)
+                ids += [s.encode(t) or none for t in texts]
             a, b = (np.concatenate([x[i] for x in ids]) for i in (0, 1))
             n_a, n_b = (np.array([len(x[i]) for x in ids], np.int64) for i in (0, 1))
             del ids
             pairs, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo, hi, _, _, _, code, doc in linked_pairs(s, a, b, n_a, n_b):
+            for lo, hi, code, doc in linked_pairs(s, a, b, n_a, n_b):
                 kinds, at = np.unique(code, return_inverse=True)
                 once = np.unique(at * (hi - lo) + (doc - lo))  # a pair counts once a document
                 pairs.append(kinds)
@@ -254,7 +295,7 @@ def cross_tokenizer_alignment(docs: DataFrame, vocabulary_file: str, model_file:
             lists = [pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), pa.array(v)) for v in (kinds, count)]
             yield pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + k]), pa.array([row], pa.binary()), *lists], ["block", "packed", "pairs", "counts"])
 
-    encoded = checkpoint(src.mapInArrow(encode, "block long, packed binary, pairs array<long>, counts array<long>"))
+    encoded = bucketed(src.mapInArrow(encode, "block long, packed binary, pairs array<long>, counts array<long>"), "block")
     own = encoded.select("block", F.explode(F.arrays_zip("pairs", "counts")).alias("x")).select("block", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("c"))
     summed = own.groupBy("pair").agg(F.sum("c").alias("documents")).withColumn("a", F.shiftright("pair", 32))
     best = F.col("documents") == F.max("documents").over(Window.partitionBy("a"))  # an id has no more partners than B has ids
@@ -262,6 +303,7 @@ def cross_tokenizer_alignment(docs: DataFrame, vocabulary_file: str, model_file:
     back = checkpoint(own.select("block", "pair").join(pairs.select("pair", "documents", "best"), "pair"))
 
     def finish(block: pa.Table, counts: pa.Table) -> pa.Table:
+        give_back()  # what the block before took
         s = sides(*told.value)
         counts = counts.sort_by("pair")
         kinds, documents, best = (counts.column(c).to_numpy() for c in ("pair", "documents", "best"))
@@ -271,7 +313,7 @@ def cross_tokenizer_alignment(docs: DataFrame, vocabulary_file: str, model_file:
             col = {c: row.column(c).flatten() for c in row.schema.names}
             n_a, n_b = (col[c].to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
             a, b = (from_planes({c[2:]: v for c, v in col.items() if c.startswith(f"{side}_word")}).astype(np.int32) for side in "ab")
-            for lo, hi, at_a, at_b, x, code, doc in linked_pairs(s, a, b, n_a, n_b):
+            for lo, hi, at_a, at_b, x, code, doc in aligned_pairs(s, a, b, n_a, n_b):
                 place = np.searchsorted(kinds, code)
                 n = hi - lo
                 links = np.bincount(doc - lo, minlength=n)

@@ -6,6 +6,7 @@ Words are maximal runs of bytes other than space and \\t..\\r, so a word never s
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
 
 import numpy as np
@@ -31,6 +32,16 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system. A Python worker outlives its task, and what it holds counts against its executor while others work."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def text_place(text: Column) -> Column:
     """31 bits of a text's hash in the upper half of a long; the lower half takes the number of a line or word. With the id of the row,
     it tells rows apart that repeat an id with another text."""

@@ -149,3 +149,31 @@ def test_query(spark):
         a, c = b.tokens(text)
         want, _ = b.rows([text])
         assert (got[i].n_a, got[i].n_b, got[i].n_groups, got[i].n_links, got[i].groups_sha256) == (*want[0][:4], want[0][6])
+
+
+def test_kept_words_are_bounded_and_frequent_ones_stay(monkeypatch):
+    """Words that a worker keeps: no more than two generations on each side, with the same ids as without."""
+    from lodestream.llm import alignment
+    from lodestream.llm.bpe import Vocabulary
+
+    monkeypatch.setattr(alignment, "RECENT_WORDS", 16, raising=False)
+    with open(PIECES, "rb") as f:
+        s = alignment.Sides(Vocabulary.read(BYTES), f.read())
+    brute, rng = Brute(), random.Random(5)
+    texts = [" ".join(["often", *("".join(rng.choices("abcdefghij", k=6)) for _ in range(7))]) for _ in range(100)] + ["a\u2581b often", "x" * 200]
+    for k in range(0, len(texts), 10):
+        s.b.prepare(texts[k : k + 10])
+        for text in texts[k : k + 10]:
+            a, b = s.encode(text) or ([], [])
+            assert ([*a], [*b]) == tuple([i for i, _ in side] for side in brute.tokens(text))
+            for side in (s.a, s.b):
+                assert len(side) + len(side.old) <= 32
+    assert all(any("often" in w for w in (*side, *side.old)) for side in (s.a, s.b))
+
+
+def test_tokens_are_not_shuffled(spark):
+    """The packed texts stay in their buckets: only counts of pairs are exchanged."""
+    docs = spark.createDataFrame([(k, f"some words of text {k}") for k in range(20)], "doc_id long, text string")
+    plan = cross_tokenizer_alignment(docs, BYTES, PIECES)[0]._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("hashpartitioning(block#" in line for line in exchanges), plan
