@@ -35,12 +35,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, checkpoint, settings, small_batches
+from .common import bucketed, checkpoint, give_back, settings, small_batches
 
 MARK = "▁"
 FREQUENT = 1 << 19  # units told to all tasks, of at most LONGEST characters each
 STRETCH = 1 << 18  # words whose ids are put together at once
-BLOCK_BYTES = 8 << 20  # of the texts that travel as one row; a single longer text is a block of its own
+BLOCK_BYTES = 4 << 20  # of the texts that travel as one row; a single longer text is a block of its own
 COUNT_BYTES = 4 << 20  # of the texts whose units are counted together
 LONGEST = 60  # characters of a unit whose cuts fit into 64 bits
 LONGEST_VITERBI = 256  # characters of a unit whose prefixes are folded as an array
@@ -181,19 +181,23 @@ class Cutter:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: int, size_of: int) -> Iterator[pa.RecordBatch]:
-    """The batches put together to blocks of so many bytes of text."""
+    """The batches put together to blocks of so many bytes of text. What a block took is given back before the next, and after the last."""
     held, size = [], 0
+    give_back()  # what the worker's tasks before took
     for b in batches:
         if held and size + b.column(text).nbytes > size_of:
             block, held, size = pa.Table.from_batches(held).combine_chunks().to_batches()[0], [], 0
             yield block
             del block
-            pa.default_memory_pool().release_unused()
+            give_back()
         if b.num_rows:
             held.append(b)
             size += b.column(text).nbytes
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        block, held = pa.Table.from_batches(held).combine_chunks().to_batches()[0], []
+        yield block
+        del block
+    give_back()
 
 
 def gathered(flat: np.ndarray, off: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,8 +397,8 @@ def dictionary(units: DataFrame, model: Model) -> DataFrame:
     return seg.mapInArrow(finish, "w string, c long, ids binary, lossy boolean")
 
 
-# a unit's edges come one after another: hashing up to so many units a task spares sorting all edges by unit
-HASHED = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000"}
+# a unit's edges come one after another: hashing up to so many units a task spares sorting all edges by unit; small tasks hold fewer
+HASHED = {"spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2m"}
 
 
 def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
@@ -441,6 +445,7 @@ def sentencepiece_encode(docs: DataFrame, model_file: str, *, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + k]), pa.array([row], pa.binary()), own], ["block", "packed", "own"])
 
     def encode(block: pa.Table, own: pa.Table) -> pa.Table:
+        give_back()  # what the block before took
         common, flat, off, lossy = told.value
         own = own.sort_by("k")
         raw = own.column("ids").to_pylist()
