@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,45 +29,90 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITMAP, Texts, Words, bitmap, checkpoint, covered, mix64, place_number, signed, small_batches, text_place, windows
+from .common import BITMAP, Texts, Words, bitmap, checkpoint, covered, mix64, place_number, signed, small_batches, text_place
 
 
-def runs(w: Words, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, hash and minimiser of every run of `length` words inside a text."""
-    h = w.hashes()
-    at, run = windows(h, w.off, length, seed=3)
-    sub_at, sub = windows(h, w.off, anchor)
-    if not len(at):
-        return at, run, run
-    full = np.zeros(len(h), np.uint64)
-    full[sub_at] = sub
-    view = np.lib.stride_tricks.sliding_window_view(full, length - anchor + 1)
-    return at, run, view.min(axis=1)[at]
+def run_starts(w: Words, k: int) -> np.ndarray:
+    """First words of the runs of k words inside a text."""
+    return np.flatnonzero(np.repeat(w.off[1:], w.count) - np.arange(len(w.start)) >= k)
+
+
+def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k neighbouring hashes, from those of the powers of two that make up k."""
+    x, n, out, m = h, 1, None, 0
+    while True:
+        if k & n:
+            out = x if out is None else both(out[: max(len(x) - m, 0)], x[m:])
+            m += n
+        if 2 * n > k:
+            return mix64(out)
+        x = both(x[:-n], x[n:])
+        n *= 2
+
+
+def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x
+
+
+def least(x: np.ndarray, k: int) -> np.ndarray:
+    """The smallest of every k neighbours."""
+    n = 1
+    while 2 * n <= k:
+        x = np.minimum(x[:-n], x[n:])
+        n *= 2
+    return np.minimum(x[: max(len(x) - k + n, 0)], x[k - n :])
+
+
+def minimisers(w: Words, h: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and minimiser of every run of `length` words inside a text. Sub-runs that cross the end of a text lie in none."""
+    at = run_starts(w, length)
+    return at, least(run_hashes(h, anchor), length - anchor + 1)[at] if len(at) else np.zeros(0, np.uint64)
+
+
+def changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
 
 
 def distinct(doc: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (doc, x)."""
+    new = changes(doc, x)  # neighbouring runs mostly have the same minimiser
+    doc, x = doc[new], x[new]
     order = np.lexsort((x, doc))
     doc, x = doc[order], x[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (x[1:] != x[:-1])
+    new = changes(doc, x)
     return doc[new], x[new]
 
 
-def text_ids(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit digests of each text's sequence of words."""
-    h = w.hashes()
+def first_places(doc: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """The first row of each (doc, run)."""
+    if not len(doc):
+        return np.zeros(0, np.int64)
+    order = np.argsort(mix64(run + mix64(doc.astype(np.uint64))))
+    return np.minimum.reduceat(order, np.flatnonzero(changes(doc[order], run[order])))
+
+
+TEXT_SEEDS = (0x9E6C63D0876A9F43, 0x4CF5AD432745937F)
+
+
+def text_id(w: Words, h: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit digest of each text's sequence of words."""
     place = np.arange(len(h)) - np.repeat(w.off[:-1], w.count)
-    out = []
-    for seed in (0x9E6C63D0876A9F43, 0x4CF5AD432745937F):
-        x = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ mix64(place.astype(np.uint64) + np.uint64(seed))), dtype=np.uint64)])
-        out.append(signed(mix64(x[w.off[1:]] - x[w.off[:-1]] + w.count.astype(np.uint64))))
-    return out[0], out[1]
+    x = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h ^ mix64(place.astype(np.uint64) + np.uint64(seed))), dtype=np.uint64)])
+    return signed(mix64(x[w.off[1:]] - x[w.off[:-1]] + w.count.astype(np.uint64)))
+
 
+def text_words(t: Texts, i: int) -> list[bytes]:
+    return t.data[t.off[i] : t.off[i + 1]].tobytes().split()
 
-def kept_digest(t: Texts, w: Words, i: int, keep: np.ndarray) -> str:
-    which = w.off[i] + np.flatnonzero(keep)
-    return hashlib.sha256(b" ".join([t.data[w.start[j] : w.end[j]].tobytes() for j in which])).hexdigest()
+
+def kept_digest(words: list[bytes], keep: np.ndarray) -> str:
+    return hashlib.sha256(b" ".join(compress(words, keep.tolist()))).hexdigest()
 
 
 def factored(pos: np.ndarray, ref: np.ndarray, ref_pos: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
@@ -80,9 +126,9 @@ def factored(pos: np.ndarray, ref: np.ndarray, ref_pos: np.ndarray, length: int)
     return [(int(pos[i]), int(pos[j]) + length - 1, int(ref[i]), int(ref_pos[i])) for i, j in zip(begin, end)]
 
 
-def word_digest(t: Texts, w: Words, first: int, last: int) -> bytes:
-    """128 bits of the words from first to last of a batch."""
-    return hashlib.blake2b(b" ".join([t.data[w.start[j] : w.end[j]].tobytes() for j in range(first, last + 1)]), digest_size=16).digest()
+def word_digest(words: list[bytes], first: int, last: int) -> bytes:
+    """128 bits of the words from first to last of a text."""
+    return hashlib.blake2b(b" ".join(words[first : last + 1]), digest_size=16).digest()
 
 
 SPANS = "spans array<struct<first:long,last:long>>"
@@ -101,9 +147,11 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            w = Texts(b.column(1)).words()
-            d1, d2 = text_ids(w)
-            sha = [hashlib.sha256(b" ".join((x or "").encode().split())).hexdigest() for x in b.column(1).to_pylist()]
+            t = Texts(b.column(1))
+            w = t.words()
+            h = w.hashes()
+            d1, d2 = (text_id(w, h, seed) for seed in TEXT_SEEDS)
+            sha = [hashlib.sha256(b" ".join(text_words(t, i))).hexdigest() for i in range(t.n)]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "at": b.column(2), "n_words": pa.array(w.count.astype(np.int64)), "d1": pa.array(d1), "d2": pa.array(d2), "sha": pa.array(sha, pa.string())})
 
     profiles = checkpoint(src.mapInArrow(profile, "doc_id long, at long, n_words long, d1 long, d2 long, sha string"))
@@ -113,9 +161,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = Texts(b.column(1)).words()
-            at, _, low = runs(w, length, anchor)
+            h = w.hashes()
+            at, low = minimisers(w, h, length, anchor)
             doc, low = distinct(w.doc[at], low)
-            d1, _ = text_ids(w)
+            d1 = text_id(w, h, TEXT_SEEDS[0])
             once = np.zeros(b.num_rows, bool)
             ids = b.column(0).to_numpy()
             order = np.lexsort((ids, d1))
@@ -149,16 +198,16 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = unpacked(b.column(2)).words()
-            at, run, low = runs(w, length, anchor)
+            h = w.hashes()
+            at, low = minimisers(w, h, length, anchor)
             flat = b.column(3).flatten().to_numpy().view(np.uint64)
             own = np.repeat(np.arange(b.num_rows), b.column(3).value_lengths().to_numpy())
-            keep = np.isin(mix64(low) + mix64(w.doc[at].astype(np.uint64)), mix64(flat) + mix64(own.astype(np.uint64)))
-            at, run = at[keep], run[keep]
-            doc = w.doc[at]
-            by = np.lexsort((at, run, doc))  # the first place of each run in its text
-            new = np.ones(len(by), bool)
-            new[1:] = (doc[by][1:] != doc[by][:-1]) | (run[by][1:] != run[by][:-1])
-            at, run, doc = at[by][new], run[by][new], doc[by][new]
+            new = changes(w.doc[at], low)
+            keep = np.isin(mix64(low[new]) + mix64(w.doc[at[new]].astype(np.uint64)), mix64(flat) + mix64(own.astype(np.uint64)))
+            at = at[keep[np.cumsum(new) - 1]]
+            run, doc = run_hashes(h, length)[at] if len(at) else np.zeros(0, np.uint64), w.doc[at]
+            by = first_places(doc, run)
+            at, run, doc = at[by], run[by], doc[by]
             yield pa.RecordBatch.from_pydict({"run": pa.array(signed(run)), "doc_id": pa.array(b.column(0).to_numpy()[doc]), "pos": pa.array(b.column(1).to_numpy()[doc] + at - w.off[doc])})
 
     # pos: the row's place plus the number of the first word of the run where it stands first in the text
@@ -172,7 +221,8 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for b in batches:
             t = unpacked(b.column(2))
             w = t.words()
-            at, run = w.windows(length)
+            at = run_starts(w, length)
+            run = run_hashes(w.hashes(), length)[at] if len(at) else np.zeros(0, np.uint64)
             ends = np.searchsorted(w.doc[at], np.arange(b.num_rows + 1))
             n, sha, spans, factors = [], [], [], []
             for i in range(b.num_rows):
@@ -189,9 +239,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 gone = covered(pos, length, int(w.count[i]))
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 n.append(int(gone.sum()))
-                sha.append(kept_digest(t, w, i, ~gone))
+                words = text_words(t, i)
+                sha.append(kept_digest(words, ~gone))
                 spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(edge[::2], edge[1::2])])
-                factors.append([{"first": x, "last": y, "ref": r, "ref_pos": p, "digest": word_digest(t, w, w.off[i] + x, w.off[i] + y)} for x, y, r, p in f])
+                factors.append([{"first": x, "last": y, "ref": r, "ref_pos": p, "digest": word_digest(words, x, y)} for x, y, r, p in f])
             cols = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, SPAN_TYPE), pa.array(factors, FACTOR_TYPE)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "at", "n_removed", "cut_sha", "spans", "factors"])
 
@@ -207,10 +258,10 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def origin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = unpacked(b.column(2))
-            w = t.words()
             out = []
             for i, (d, at, asked) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist())):
-                out += [(d, at + x["first"], x["n"], word_digest(t, w, w.off[i] + x["first"], w.off[i] + x["first"] + x["n"] - 1)) for x in asked if x["first"] + x["n"] <= w.count[i]]
+                words = text_words(t, i)
+                out += [(d, at + x["first"], x["n"], word_digest(words, x["first"], x["first"] + x["n"] - 1)) for x in asked if x["first"] + x["n"] <= len(words)]
             cols = list(zip(*out)) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["ref", "ref_pos", "n", "origin"])
 
@@ -249,7 +300,7 @@ def recut(cut: DataFrame, wrong: DataFrame, texts: DataFrame, unpacked, schema:
                     gone[f["first"] : f["last"] + 1] = True
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 n.append(int(gone.sum()))
-                sha.append(kept_digest(t, w, i, ~gone))
+                sha.append(kept_digest(text_words(t, i), ~gone))
                 spans.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(edge[::2], edge[1::2])])
             cols = [pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(spans, SPAN_TYPE), b.column(3).cast(FACTOR_TYPE)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "at", "n_removed", "cut_sha", "spans", "factors"])

@@ -82,3 +82,49 @@ def test_repeats_inside_a_text_are_found_at_every_place(spark):
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in out.collect()} == brute(rows)
     got = {r.doc_id: [(f.first, f.last, f.ref) for f in r.factors] for r in spans.collect()}
     assert got[2][:2] == [(1, 15, 1), (18, 32, 1)]
+
+
+def test_hashes_and_minima_of_neighbours():
+    import numpy as np
+    from lodestream.llm.substring_dedup import first_places, least, run_hashes
+
+    r = np.random.default_rng(2)
+    h = r.integers(0, 3, 400).astype(np.uint64)
+    for k in range(1, 16):
+        assert least(h, k).tolist() == [min(h[i : i + k]) for i in range(len(h) - k + 1)]
+        got = run_hashes(h, k).tolist()
+        want = [tuple(h[i : i + k]) for i in range(len(h) - k + 1)]
+        assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+        assert len(run_hashes(h[: k - 1], k)) == 0
+    doc, run = np.repeat([0, 1], 200), h
+    first = {}
+    for i, x in enumerate(zip(doc.tolist(), run.tolist())):
+        first.setdefault(x, i)
+    assert sorted(first_places(doc, run).tolist()) == sorted(first.values()) and len(first_places(doc[:0], run[:0])) == 0
+
+
+def test_a_text_is_cut_at_about_the_cost_of_splitting_it():
+    """Words were sliced out of the batch one by one, at some eight times the cost of splitting the text."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+    from lodestream.llm import substring_dedup as s
+    from lodestream.llm.common import Texts
+
+    text = " ".join(f"w{i % 977}" for i in range(300_000))
+    t = Texts(pa.array([text]))
+    w, keep = t.words(), np.arange(300_000) % 30 > 0
+
+    def cost(f):
+        best = 1e9
+        for _ in range(3):
+            begin = time.process_time()
+            f()
+            best = min(best, time.process_time() - begin)
+        return best
+
+    digest = (lambda: s.kept_digest(s.text_words(t, 0), keep)) if hasattr(s, "text_words") else lambda: s.kept_digest(t, w, 0, keep)
+    assert digest() == hashlib.sha256(" ".join(x for i, x in enumerate(text.split()) if i % 30).encode()).hexdigest()
+    plain = text.encode()
+    assert cost(digest) < 5 * cost(lambda: hashlib.sha256(b" ".join(plain.split())).hexdigest())
