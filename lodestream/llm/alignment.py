@@ -22,6 +22,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import BORDER, KEPT_LETTERS, STRETCH, Encoder, Vocabulary, merged
+from .bpe import BORDER, KEPT_LETTERS, LATER, STRETCH, Encoder, Vocabulary, merged
 from .common import bucketed, checkpoint, give_back, small_batches
 from .sentencepiece_lattice import MARK, Cutter, Model, blocks, from_planes, one_row, planes
 
 BLOCK_BYTES = 8 << 20  # of the texts that are one row; a single longer text is a block of its own
 PAIR = 1 << 32
 SCANNED = 32  # bytes of a short word
+TOGETHER = 1 << 14  # words that are scanned together
 RECENT_WORDS = 1 << 17  # words of a generation; a worker keeps two on each side
 
 
@@ -81,6 +83,72 @@ class Scanned(Recent, Encoder):
         super().__init__(vocabulary)
         byte, self.none = vocabulary.byte, len(vocabulary.made)
         self.first = [vocabulary.rank.get(byte[a] << 32 | byte[b], self.none) for a in range(256) for b in range(256)]  # rank of two bytes
+        # the same as arrays, for many words at once
+        pair = np.fromiter(vocabulary.rank, np.int64, len(vocabulary.rank))
+        rank = np.fromiter(vocabulary.rank.values(), np.int64, len(pair))
+        order = np.argsort(pair)
+        self.pair, self.rank_of = np.append(pair[order], np.iinfo(np.int64).max), np.append(rank[order], self.none)
+        self.byte_of, self.first_of, self.made = np.array(byte), np.array(self.first), np.array(vocabulary.made, np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        pair = left << 32 | right
+        at = np.searchsorted(self.pair, pair)
+        return np.where(self.pair[at] == pair, self.rank_of[at], self.none)
+
+    def scanned_all(self, words: list[bytes]) -> list[bytes]:
+        """What `scanned` gives for each word, packed. All words go on together: every merge takes a symbol from a word, so the words of
+        each length, from the longest on, are scanned with the longer ones that have come down to it."""
+        size = np.array([len(w) for w in words])
+        out = [b""] * len(words)
+        word, ids, rank = np.zeros(0, np.int64), np.zeros((0, 0), np.int64), np.zeros((0, 0), np.int64)
+        for n in range(int(size.max(initial=0)), 0, -1):
+            more = np.flatnonzero(size == n)
+            if len(more):
+                raw = np.frombuffer(b"".join([words[i] for i in more]), np.uint8).reshape(-1, n).astype(np.int64)
+                own = self.byte_of[raw], self.first_of[raw[:, :-1] << 8 | raw[:, 1:]]
+                ids, rank = (np.concatenate([x.reshape(len(word), y.shape[1]), y]) for x, y in zip((ids, rank), own))
+                word = np.concatenate([word, more])
+            if not len(word):
+                continue
+            row = np.arange(len(word))
+            at = rank.argmin(axis=1) if n > 1 else np.zeros(len(word), np.int64)
+            best = rank[row, at] if n > 1 else np.full(len(word), self.none)
+            done = best == self.none
+            told = ids[done].astype(np.int32).tobytes()
+            for k, i in enumerate(word[done].tolist()):
+                out[i] = told[4 * n * k : 4 * n * (k + 1)]
+            on = ~done
+            word, ids, rank, at, best = word[on], ids[on], rank[on], at[on], best[on]
+            row, new = row[: len(word)], self.made[best]
+            ids[row, at] = new
+            keep = np.ones(ids.shape, bool)
+            keep[row, at + 1] = False
+            ids = ids[keep].reshape(len(row), n - 1)
+            keep = np.ones(rank.shape, bool)
+            keep[row, at] = False
+            rank = rank[keep].reshape(len(row), max(n - 2, 0))
+            k = np.flatnonzero(at < n - 2)  # pairs with the symbol after and the one before
+            rank[k, at[k]] = self.ranks(new[k], ids[k, at[k] + 1])
+            k = np.flatnonzero(at > 0)
+            rank[k, at[k] - 1] = self.ranks(ids[k, at[k] - 1], new[k])
+        return out
+
+    def cut(self, text: str) -> list[str]:
+        """The pattern's words."""
+        return (self.pattern if text.isascii() or not LATER.search(text) else self.late).findall(text)
+
+    def prepare(self, words: list[str]) -> None:
+        """Keeps the ids of the words, the short ones of which are scanned together."""
+        new = [w for w in words if len(w) <= KEPT_LETTERS and w not in self and w not in self.old]
+        for w, ids in self.short(new, [w.encode() for w in new]):
+            self.keep(w, ids)
+
+    def short(self, names: list[str], words: list[bytes]) -> Iterator[tuple[str, bytes]]:
+        """The ids of the short ones of the words, with their names."""
+        at = [i for i, w in enumerate(words) if len(w) <= SCANNED]
+        for k in range(0, len(at), TOGETHER):
+            some = at[k : k + TOGETHER]
+            yield from zip([names[i] for i in some], self.scanned_all([words[i] for i in some]))
 
     def scanned(self, word: bytes) -> list[int]:
         """The ids of one word."""
@@ -105,6 +173,57 @@ class Scanned(Recent, Encoder):
         return self.keep(word, ids) if len(word) <= KEPT_LETTERS else ids
 
 
+class Chunks(Recent):
+    """Side A's ids of a space and what stands before the next one. A word of the pattern begins at every space that has no white space
+    on both sides, so these chunks are encoded one by one."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__()
+        self.v = vocabulary
+        self.words = Scanned(vocabulary)
+        self.spaced = False
+
+    def prepare(self, texts: list[str]) -> None:
+        """Encodes the chunks of the texts that are not kept, their words together."""
+        new = [c for c in set(chain.from_iterable(t.split(" ") for t in texts)) if 0 < len(c) <= KEPT_LETTERS and c not in self and c not in self.old and not c[0].isspace()]
+        letters, others = [], []
+        for c in new:
+            (letters if one_word(c) else others).append(c)
+        for c, ids in self.words.short(letters, [b" " + c.encode() for c in letters]):
+            self.keep(c, ids)
+        for at in range(0, len(others), TOGETHER):
+            some = others[at : at + TOGETHER]
+            cut = [self.words.cut(" " + c) for c in some]
+            self.words.prepare(list(set(chain.from_iterable(cut))))
+            for c, words in zip(some, cut):
+                self.keep(c, b"".join(map(self.words.__getitem__, words)))
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (ids := self.old.get(chunk)) is not None:
+            return self.keep(chunk, ids)
+        if chunk[:1].isspace():  # its space may belong to white space before it
+            self.spaced = True
+            return b""
+        ids = self.words.plain(" " + chunk)
+        return self.keep(chunk, ids) if len(chunk) <= KEPT_LETTERS else ids
+
+    def encode(self, text: str, chunks: list[str]) -> bytes:
+        """The ids of a space and the text, which is the chunks with single spaces between them."""
+        self.spaced = False
+        out = b"".join(map(self.__getitem__, chunks))
+        return self.words.plain(" " + text) if self.spaced else out
+
+
+def one_word(chunk: str) -> bool:
+    """Letters only: a word of the pattern with the space before."""
+    return chunk.isalpha() and (chunk.isascii() or not LATER.search(chunk))
+
+
+def chunks(text: str) -> list[str]:
+    """What stands between the spaces; a text with empty chunks is one."""
+    return [text] if "  " in text or text[:1] == " " or text[-1:] == " " else text.split(" ")
+
+
 @dataclass
 class Aligned:
     """Stretches of one or more documents: link_a, link_b (places of linked tokens) and the component of each token."""
@@ -161,14 +280,13 @@ class Pieces(Recent):
 
     def prepare(self, texts: list[str]) -> None:
         """Encodes the words of the texts that are not kept, all in one call: most of a call's time is its own."""
-        new = list({w for t in texts for w in t.split(" ") if len(w) <= KEPT_LETTERS and w not in self and w not in self.old and MARK not in w})
+        new = [w for w in set(chain.from_iterable(t.split(" ") for t in texts)) if len(w) <= KEPT_LETTERS and w not in self and w not in self.old and MARK not in w]
         for word, ids in zip(new, self.model.encode(new, num_threads=1)):
             self.spelt(word, ids)
 
-    def encode(self, text: str) -> bytes | None:
-        """None where the ids do not spell out a space and the text."""
+    def encode(self, words: list[str]) -> bytes | None:
+        """None where the ids do not spell out a space and the words with single spaces between them."""
         self.odd = False
-        words = [text] if "  " in text or text[0] == " " or text[-1] == " " else text.split(" ")
         out = b"".join(map(self.__getitem__, words))
         return None if self.odd else out
 
@@ -177,7 +295,7 @@ class Sides:
     """Both tokenizers in a worker, with the lengths of their tokens."""
 
     def __init__(self, a: str, b: bytes) -> None:
-        self.a = Scanned(Vocabulary(a))
+        self.a = Chunks(Vocabulary(a))
         self.b = Pieces(b)
         self.len_a = np.array([len(self.a.v.raw.get(i, b"")) for i in range(max(self.a.v.raw) + 1)])
         self.len_b = np.array([len(x) for x in self.b.raw])
@@ -191,7 +309,8 @@ class Sides:
             cut = BORDER.search(text, at + STRETCH) if len(text) - at > STRETCH else None
             part = text[at : cut.start()] if cut else text[at:]
             at = cut.end() if cut else len(text)  # the space at the cut is the one that both put before the next stretch
-            a, b = np.frombuffer(self.a.plain(" " + part), np.int32), self.b.encode(part)
+            parts = chunks(part)
+            a, b = np.frombuffer(self.a.encode(part, parts), np.int32), self.b.encode(parts)
             if b is None or self.len_a[a].sum() != len(part.encode()) + 1:  # A's merges never change a byte
                 return None
             out_a.append(a)
@@ -236,17 +355,33 @@ PREPARED = 200  # texts whose new words are looked up at once
 TOKENS = 1 << 17  # of the documents that are aligned at once; a longer document is aligned by itself
 
 
-def linked_pairs(s: Sides, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For ranges of documents: first document, last, the pair code of each link and its document."""
+def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array and where each begins."""
+    begin = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+    return x[begin], begin
+
+
+def linked_pairs(s: Sides, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the linked pairs of the documents, sorted, and how many of these documents hold each."""
     off_a, off_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
+    width = len(s.len_b)  # of a pair as one number; with a document's place behind it, it is sorted as a plain value
+    kinds, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lo, hi in stretches(n_a, n_b, TOKENS):
         a, b = ids_a[off_a[lo] : off_a[hi]], ids_b[off_b[lo] : off_b[hi]]
         link_a, link_b = links(s.len_a[a], s.len_b[b])
-        yield lo, hi, a[link_a].astype(np.int64) * PAIR + b[link_b], np.repeat(np.arange(lo, hi, dtype=np.int32), n_a[lo:hi])[link_a]
+        doc = np.repeat(np.arange(hi - lo), n_a[lo:hi])[link_a]
+        once, _ = runs(np.sort((a[link_a].astype(np.int64) * width + b[link_b]) * (hi - lo) + doc))  # a pair counts once a document
+        pair, begin = runs(once // (hi - lo))
+        kinds.append(pair)
+        held.append(np.diff(np.append(begin, len(once))))
+    pair, count = np.concatenate(kinds), np.concatenate(held)
+    order = np.argsort(pair)
+    pair, begin = runs(pair[order])
+    return pair // width * PAIR + pair % width, np.add.reduceat(count[order], begin) if len(begin) else count
 
 
 def aligned_pairs(s: Sides, ids_a: np.ndarray, ids_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[int, int, int, int, Aligned, np.ndarray, np.ndarray]]:
-    """As linked_pairs, with the first tokens of both sides and the alignment after the documents."""
+    """For ranges of documents: first document, last, first tokens of both sides, the alignment, the pair code of each link and its document."""
     off_a, off_b = np.concatenate([[0], np.cumsum(n_a)]), np.concatenate([[0], np.cumsum(n_b)])
     for lo, hi in stretches(n_a, n_b, TOKENS):
         a, b = ids_a[off_a[lo] : off_a[hi]], ids_b[off_b[lo] : off_b[hi]]
@@ -277,19 +412,13 @@ def cross_tokenizer_alignment(docs: DataFrame, vocabulary_file: str, model_file:
             ids = []
             for at in range(0, block.num_rows, PREPARED):
                 texts = [t or "" for t in block.column(1).slice(at, PREPARED).to_pylist()]
+                s.a.prepare(texts)
                 s.b.prepare(texts)
                 ids += [s.encode(t) or none for t in texts]
             a, b = (np.concatenate([x[i] for x in ids]) for i in (0, 1))
             n_a, n_b = (np.array([len(x[i]) for x in ids], np.int64) for i in (0, 1))
             del ids
-            pairs, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo, hi, code, doc in linked_pairs(s, a, b, n_a, n_b):
-                kinds, at = np.unique(code, return_inverse=True)
-                once = np.unique(at * (hi - lo) + (doc - lo))  # a pair counts once a document
-                pairs.append(kinds)
-                held.append(np.bincount(once // (hi - lo), minlength=len(kinds)))
-            kinds, at = np.unique(np.concatenate(pairs), return_inverse=True)
-            count = np.bincount(at, np.concatenate(held), len(kinds)).astype(np.int64)
+            kinds, count = linked_pairs(s, a, b, n_a, n_b)
             tokens = {f"{side}_{c}": v for side, ids in (("a", a), ("b", b)) for c, v in planes(ids).items()}
             row = one_row({"id": block.column(0), "n_a": n_a.astype(np.int32), "n_b": n_b.astype(np.int32), **tokens})
             lists = [pa.ListArray.from_arrays(pa.array([0, len(kinds)], pa.int32()), pa.array(v)) for v in (kinds, count)]

@@ -177,3 +177,40 @@ def test_tokens_are_not_shuffled(spark):
     plan = cross_tokenizer_alignment(docs, BYTES, PIECES)[0]._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert exchanges and not any("hashpartitioning(block#" in line for line in exchanges), plan
+
+
+def test_words_scanned_together_equal_the_queue():
+    from lodestream.llm.alignment import SCANNED, Scanned
+    from lodestream.llm.bpe import Vocabulary, merged
+
+    with open(BYTES, encoding="utf-8") as f:
+        v = Vocabulary(f.read())
+    enc, r = Scanned(v), random.Random(8)
+    words = [b"", b"a", b" the", b"aaaaaaaaaaaaaaaa", *(bytes(r.randrange(256) for _ in range(r.randrange(1, SCANNED + 1))) for _ in range(500))]
+    words += ["".join(r.choice(" aehinorst'é日") for _ in range(r.randrange(1, 11))).encode() for _ in range(3000)]
+    assert [np.frombuffer(x, np.int32).tolist() for x in enc.scanned_all(words)] == [merged(w, v.byte, v.rank, v.made) for w in words]
+    assert enc.scanned_all([]) == [] and enc.scanned_all([b"", b"x"])[0] == b""
+
+
+def test_kept_chunks_are_not_cut_again(monkeypatch):
+    """A text of known chunks is put together from them; its pattern is not run again, and white space is cut as in the whole text."""
+    from lodestream.llm import alignment
+    from lodestream.llm.bpe import Encoder, Vocabulary
+
+    with open(PIECES, "rb") as f:
+        s = alignment.Sides(Vocabulary.read(BYTES), f.read())
+    brute, r = Brute(), random.Random(11)
+    letters = [*"ab'sé日1!", " ", " ", " ", "\n", "\t", "　", "\x1c", "\x85", "\xa0", "₏"]
+    texts = ["a b, c\n d"] + ["".join(r.choice(letters) for _ in range(r.randrange(1, 20))) for _ in range(1500)]
+    for prepared in (False, True):
+        for t in texts:
+            if prepared:
+                s.a.prepare([t])
+            a, b = s.encode(t) or ([], [])
+            assert ([*a], [*b]) == tuple([i for i, _ in side] for side in brute.tokens(t)), t
+    cut = []
+    plain = Encoder.plain
+    monkeypatch.setattr(Encoder, "plain", lambda self, text: cut.append(text) or plain(self, text))
+    s.encode("some words, and some more of them.")
+    cut.clear()
+    assert s.encode("some more words, and more of them.") is not None and cut == []
