@@ -5,7 +5,12 @@ Result lists are bounded by their top-k; the greedy rules (keep in rank order, d
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,7 @@ from ..functions.text import char_shingles, content_hash, loose
 from .tables import spread
 
 SEEDS = 128
+STRETCH, GRAMS, KNOWN = 1 << 20, 1 << 16, 1 << 19  # characters and grams taken at once; grams whose hashes a task keeps
 
 
 def first_seen(docs: DataFrame, order: str = "doc_id", text: str = "text") -> DataFrame:
@@ -49,15 +55,78 @@ def exact_groups(ranked: DataFrame, content: str = "content") -> DataFrame:
     return ranked.withColumn("canonical_rank", F.min("rank").over(w))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]]
+
+
+def grams(text: str) -> np.ndarray:
+    """The distinct runs of three characters, each as one number, sorted; a shorter text is its own run, an empty one has none. A long
+    text is taken in stretches."""
+    out = []
+    for i in range(0, max(len(text) - 2, min(len(text), 1)), STRETCH):
+        c = np.frombuffer(text[i : i + STRETCH + 2].encode("utf-32-le"), np.uint32).astype(np.uint64)
+        c = np.pad(c, (0, max(0, 3 - len(c))))
+        out.append(_distinct(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:]))
+    return out[0] if len(out) == 1 else _distinct(np.concatenate([np.zeros(0, np.uint64), *out]))
+
+
+_PLACES = np.arange(8, dtype=np.uint16) * np.uint16(256)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)  # exact as far as counts go
+
+
+class Votes:
+    """The votes of texts on the 64 bits of their simhash; a gram is hashed once, until more than KNOWN are kept.
+
+    known: sorted, with an end mark. bins: of each of the eight bytes of a gram's hash, 256 times its place, plus the byte. A text's
+    counted bins, times the bits of each byte, are the ones of its bits."""
+
+    def __init__(self) -> None:
+        self.known, self.bins = np.full(1, ~np.uint64(0)), np.zeros((1, 8), np.uint16)
+
+    def learn(self, new: np.ndarray) -> None:
+        """The last 64 bits of MD5, the highest bit first."""
+        texts = ("".join(chr(c) for b in (42, 21, 0) if (c := g >> b & 0x1FFFFF)) for g in new.tolist())
+        raw = b"".join(hashlib.md5(t.encode(), usedforsecurity=False).digest()[8:] for t in texts)
+        at = np.searchsorted(self.known, new)
+        self.known = np.insert(self.known, at, new)
+        self.bins = np.insert(self.bins, at, np.frombuffer(raw, np.uint8).reshape(-1, 8) + _PLACES, axis=0)
+
+    def of(self, each: list[np.ndarray]) -> np.ndarray:
+        """64 votes for each text's grams, the highest bit first."""
+        if len(self.known) > KNOWN:
+            self.__init__()
+        n, all_ = np.array([len(g) for g in each]), np.concatenate(each)
+        at = np.searchsorted(self.known, all_)
+        if len(new := all_[self.known[at] != all_]):
+            self.learn(_distinct(new))
+            at = np.searchsorted(self.known, all_)
+        bins = self.bins[at] + np.repeat(np.arange(len(each)) * 2048, n)[:, None]
+        ones = np.bincount(bins.ravel(), minlength=len(each) * 2048).reshape(-1, 8, 256) @ _BITS
+        return 2 * ones.reshape(-1, 64).astype(np.int64) - n[:, None]
+
+
 def simhash_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, hi, lo): the two 32-bit halves of each simhash, by exploding grams and summing votes, without deep expressions."""
-    d = docs.select(key, loose(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    g = d.select(key, F.explode_outer(char_shingles(F.col("t"), 3)).alias("g")).withColumn("m", F.md5("g"))
-    g = g.select(key, F.conv(F.substring("m", 17, 8), 16, 10).cast("long").alias("hi"), F.conv(F.substring("m", 25, 8), 16, 10).cast("long").alias("lo"))
-    votes = [F.sum(F.when(F.col(h).bitwiseAND(F.lit(1 << i)) != 0, 1).otherwise(-1)).alias(f"{h}{i}") for h in ("hi", "lo") for i in range(32)]
-    s = g.groupBy(key).agg(*votes)
-    bits = lambda h: sum((F.when(F.col(f"{h}{i}") > 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(32)), F.lit(0))
-    return s.select(key, bits("hi").cast("long").alias("hi"), bits("lo").cast("long").alias("lo"))
+    """(key, hi, lo): the two 32-bit halves of each simhash. A text's distinct grams are counted in Python as numbers, in time linear in
+    the text but for a sort; the votes of rows of one key are summed."""
+    d = spread(docs.select(key, text)).select(key, loose(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        votes = Votes()
+        for b in batches:
+            each, size, done = [], 0, 0
+            for i, t in enumerate(b.column(1)):
+                each.append(grams(t.as_py()))
+                size += len(each[-1])
+                if size >= GRAMS or len(each) == 256 or i + 1 == b.num_rows:
+                    v = votes.of(each)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(done, len(v)), pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * 64, v.ravel())], [key, "votes"])
+                    each, size, done = [], 0, i + 1
+
+    v = d.mapInArrow(vote, f"`{key}` {docs.schema[key].dataType.simpleString()}, votes array<long>")
+    s = v.groupBy(key).agg(*[F.sum(F.get("votes", F.lit(i))).alias(f"v{i}") for i in range(64)])
+    half = lambda first: sum((F.when(F.col(f"v{first + i}") > 0, F.lit(1 << 31 - i)).otherwise(F.lit(0)) for i in range(32)), F.lit(0))
+    return s.select(key, half(0).cast("long").alias("hi"), half(32).cast("long").alias("lo"))
 
 
 def minhash(grams: Column, seeds: int = SEEDS) -> Column:
@@ -102,7 +171,6 @@ def greedy_by_hamming(ranked: DataFrame, limit: int = 3) -> DataFrame:
 
 def greedy_by_minhash(ranked: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The same over signatures (query_id, chunk_id, rank, signature): estimated Jaccard of at least the threshold."""
-    import numpy as np
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")

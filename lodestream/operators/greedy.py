@@ -47,6 +47,7 @@ def stays(pairs: DataFrame) -> DataFrame:
 
 def _greedy(rows: DataFrame, key: str, keys: Column, near: Callable[[str, str], Column]) -> DataFrame:
     """rows (key, fingerprint): (key, kept_as)."""
+    rows = table_of(rows)  # what made them is run once
     first = table_of(rows.groupBy("fingerprint").agg(F.min(key).alias("node")))
     goes = stays(pairs_of(first, keys, near))
     of = first.join(goes, "node", "left").select("fingerprint", F.coalesce("kept_as", "node").alias("kept_as"))
