@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, sentences, split_words
+from ..functions.text import sentences
 from .tables import spread
 
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+ROWS = 20_000  # of a batch that leaves Python
+# Unicode's white space, as Spark's regular expressions have it; capitals that Spark's lower() knows and Unicode 15 does not.
+_SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B, **{c: c + 32 for c in range(0x10D50, 0x10D66)}}
+_SPACE, _SENTENCE_END = re.compile(f"[{_SPACES}]+"), re.compile(f"(?<=[.!?])([{_SPACES}]+)")
+_ODD = re.compile("[\x1c-\x1f" + "".join(map(chr, _CAPITALS)) + "]")  # \x1c to \x1f only Python takes for white space
 
 
 def checked(size: int, overlap: int) -> None:
@@ -65,21 +72,81 @@ def sentence_chunks(docs: DataFrame, size: int = 512, overlap: int = 50, min_len
     return _located(d.withColumn("parts", F.expr(sentence_groups(size, overlap))))
 
 
+def semantic_groups(text: str, size: int, threshold: float) -> Iterator[tuple[int, str]]:
+    """(start, content) of the groups of neighbouring sentences, each searched for from one past the start of the one before; one that is
+    not in the text is put where the search began."""
+    pieces = _SENTENCE_END.split(text)
+    odd = _ODD.search(text) is not None
+    joined = _Joins(text)
+    off, cur, clean, first, before = 0, "", True, 0, None
+
+    def placed() -> tuple[int, str]:
+        nonlocal off
+        k = text.find(cur, off) if clean or joined.may_stand(cur, first) else -1
+        start = k if k >= 0 else off
+        off = max(off, start + 1)
+        return start, cur
+
+    for i in range(0, len(pieces), 2):
+        if not (s := pieces[i].strip(_SPACES)):
+            continue
+        bag = set(_SPACE.split(s.translate(_CAPITALS).lower()) if odd else s.lower().split())
+        if cur and len(cur) + 1 + len(s) <= size and _alike(before, bag) >= threshold:
+            if clean and pieces[i - 1] != " ":
+                clean, first = False, len(cur)
+            cur += " " + s
+        else:
+            if cur:
+                yield placed()
+            cur, clean = s, True
+        before = bag
+    if cur:
+        yield placed()
+
+
+def _alike(a: set[str], b: set[str]) -> float:
+    both = len(a & b)
+    return both / n if (n := len(a) + len(b) - both) else 0.0
+
+
+class _Joins:
+    """What stands around the single spaces between sentences of a text. A group whose sentences are parted otherwise can stand in the text
+    only where another place reads the same; without that, each such group would be searched for as far as the text's end."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.around = text, {}
+
+    def may_stand(self, group: str, at: int) -> bool:
+        """at: the place of a join in the group."""
+        n = 1 << min(at, len(group) - at - 1, 16).bit_length() - 1
+        if n not in self.around:
+            self.around[n] = {self.text[max(0, k - n) : k + 1 + n] for m in _SENTENCE_END.finditer(self.text) if m[0] == " " for k in (m.start(),)}
+        return group[at - n : at + 1 + n] in self.around[n]
+
+
 def semantic_chunks(docs: DataFrame, size: int = 512, threshold: float = 0.3) -> DataFrame:
-    """Neighbouring sentences stay together while they fit and each is similar enough to the one before it (Jaccard of lower-case words)."""
+    """Neighbouring sentences stay together while they fit and each is similar enough to the one before it (Jaccard of lower-case words).
+    The work grows with the text: it runs over Arrow batches, document by document."""
     checked(size, 0)
-    d = spread(docs).select(F.col("doc_id").alias("document_id"), "text", sentences(F.col("text")).alias("sentences"))
-    bags = F.transform("sentences", lambda s: F.array_distinct(split_words(F.lower(s))))
-    d = d.withColumn("bags", bags).withColumn("sims", F.when(F.size("bags") > 1, F.zip_with(F.slice("bags", 1, F.size("bags") - 1), F.slice("bags", 2, F.size("bags") - 1), lambda a, b: jaccard(a, b, 0.0))).otherwise(F.array().cast("array<double>")))
-    d = d.withColumn("items", F.transform("sentences", lambda s, i: F.struct(s.alias("s"), F.coalesce(F.get("sims", i - 1), F.lit(0.0)).alias("sim"))))
-    fold = (
-        "aggregate(items, named_struct('groups', cast(array() as array<string>), 'cur', cast(null as string)),"
-        f" (a, x) -> if(a.cur is not null and length(a.cur) + 1 + length(x.s) <= {size} and x.sim >= {threshold}D,"
-        " named_struct('groups', a.groups, 'cur', concat(a.cur, ' ', x.s)),"
-        " named_struct('groups', if(a.cur is null, a.groups, array_append(a.groups, a.cur)), 'cur', x.s)),"
-        " a -> if(a.cur is null, a.groups, array_append(a.groups, a.cur)))"
-    )
-    return _located(d.withColumn("parts", F.expr(fold)))
+
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for d, t in enumerate(b.column(1)):
+                for i, (start, c) in enumerate(semantic_groups((t.as_py() or b"").decode(errors="replace"), size, threshold)):
+                    rows.append((d, i, start, start + len(c), c))
+                    if len(rows) == ROWS:
+                        yield packed(b, rows)
+                        rows = []
+            yield packed(b, rows)
+
+    def packed(b: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, *cols = zip(*rows) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *map(pa.array, cols, (pa.int32(), pa.int32(), pa.int32(), pa.string()))], ["document_id", "index", "start_char", "end_char", "content"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = spread(docs.select("doc_id", "text")).select("doc_id", F.col("text").cast("binary"))  # a byte that is no character must not end the job
+    return _identified(rows.mapInArrow(chunk, f"document_id {kind}, index int, start_char int, end_char int, content string"))
 
 
 def split_recursive(text: str, size: int, separators: tuple[str, ...] = SEPARATORS) -> list[str]:

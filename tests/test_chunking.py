@@ -94,3 +94,32 @@ def test_bad_sizes():
     for size, overlap in ((0, 0), (10, 10), (10, -1)):
         with pytest.raises(ValueError):
             C.checked(size, overlap)
+
+
+def test_semantic_of_odd_texts(spark):
+    """White space is Unicode's, not Python's; a group stands where the text has it, later too, or where the search began."""
+    texts = {
+        1: "a b. a\x1cb. a b.\x85a b.",
+        2: "a b.\na b.\na b. a b. a b.",
+        3: "𐐀 cat sat. 𐐨 cat sat.\tⱯ Cat. ɐ cat.",
+        4: "Ᲊ one. ᲊ one.",
+    }
+    got = rows(C.semantic_chunks(spark.createDataFrame([*texts.items(), (5, None)], "doc_id long, text string"), 9, 0.3))
+    assert got[1] == [(0, 4, "a b."), (5, 9, "a\x1cb."), (6, 15, "a b. a b.")]
+    assert got[2] == [(10, 19, "a b. a b."), (15, 24, "a b. a b."), (20, 24, "a b.")]
+    assert [c for *_, c in got[3]] == ["𐐀 cat sat.", "𐐨 cat sat.", "Ɐ Cat.", "ɐ cat."]
+    got = rows(C.semantic_chunks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 60, 0.3))
+    assert [c for *_, c in got[3]] == ["𐐀 cat sat. 𐐨 cat sat.", "Ɐ Cat. ɐ cat."] and len(got[4]) == 1
+    bad = spark.sql("select 1L as doc_id, cast(x'61622e20ff62' as string) as text")
+    assert [r.content for r in C.semantic_chunks(bad).collect()] == ["ab.", "�b"]
+
+
+def test_semantic_of_a_long_text_takes_seconds(spark):
+    """Similarities of all neighbours were taken anew for every sentence, and groups searched for from the start of the text."""
+    import time
+
+    text = "".join(f"the cat sat {i}.\nthe cat sat {i} too. " for i in range(40_000))
+    start = time.perf_counter()
+    got = C.semantic_chunks(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert time.perf_counter() - start < 40
+    assert len(got) == 1 + max(r["index"] for r in got) and " ".join(r.content for r in sorted(got, key=lambda r: r["index"])).split() == text.split()
