@@ -50,3 +50,15 @@ def test_a_long_text_takes_seconds(spark):
     (row,) = D.simhash_rows(df).collect()
     assert time.perf_counter() - start < 30
     assert (row.hi, row.lo) == one_by_one(text)
+
+
+def test_each_near_pair_comes_once(spark, monkeypatch):
+    from lodestream.operators import greedy as G
+
+    r = random.Random(8)
+    seeds, found = [r.getrandbits(64) for _ in range(5)], []
+    near = lambda x: x ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 2)))
+    values = list(dict.fromkeys(near(r.choice(seeds)) for _ in range(120)))
+    monkeypatch.setattr(G, "stays", lambda pairs, stays=G.stays: (found.extend(tuple(p) for p in pairs.collect()), stays(pairs))[1])
+    G.greedy_simhash(spark.createDataFrame([(i, x >> 32, x & 0xFFFFFFFF) for i, x in enumerate(values)], "doc_id long, hi long, lo long"))
+    assert sorted(found) == [(i, j) for i, x in enumerate(values) for j, y in enumerate(values) if i < j and (x ^ y).bit_count() <= 3]
